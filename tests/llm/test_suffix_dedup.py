@@ -47,8 +47,7 @@ def corpus(seed, n=60):
     return rows
 
 
-def test_equals_brute(spark, monkeypatch):
-    monkeypatch.setattr(sd, "PASS", 5000)
+def test_equals_brute(spark):
     for seed in (1, 2):
         rows = corpus(seed)
         df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, bucket int").repartition(5)
