@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_main, jaccard_join, packing, pii, quality, suffix_dedup, token_hist
+from . import html_main, id_coder, jaccard_join, packing, pii, quality, suffix_dedup, token_hist
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_coder.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id", "node")
 
