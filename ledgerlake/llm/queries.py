@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_main, id_coder, jaccard_join, packing, pii, quality, suffix_dedup, token_hist
+from . import decontam, html_main, id_coder, jaccard_join, packing, pii, quality, suffix_dedup, token_hist
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_hist.answers(token_hist.histogram(table(spark, sf_dir, "documents")))
 
