@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_main, id_coder, jaccard_join, packing, pii, quality, suffix_dedup, token_hist
+from . import attention_lm, decontam, html_main, id_coder, jaccard_join, packing, pii, quality, suffix_dedup, token_hist
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_hist.answers(token_hist.histogram(table(spark, sf_dir, "documents")))
 
 
+def op5_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score_all(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
