@@ -1,11 +1,14 @@
-"""Queries over the driver's tables, one for each operator, and their SQL counterparts."""
+"""Queries over the driver's tables, one or more for each operator, and their SQL counterparts."""
 
 from __future__ import annotations
 
+from . import content, events, inventory, pages, snapshot, streams  # noqa: F401  (they register)
+from .registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
