@@ -87,7 +87,7 @@ def content_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 
 def directory(spark: SparkSession, path: str, settings: Settings = DEFAULT, recursive: bool = True) -> DataFrame:
-    """(path, size_bytes, modified_at, extension) of media files; contents are not read."""
+    """(path, size_bytes, modified_at, extension) of media files; contents are not read, empty files not listed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     ext = extension(F.col("path"))
     return files.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), ext.alias("extension")).filter(F.col("extension").isin(*settings.media_extensions))
