@@ -35,10 +35,12 @@ from .suffix_dedup import PrefixHashes
 
 #: Slots of the table of counts (its levels, a byte each, go to every worker), and parts it is summed in.
 SLOTS, PARTS = 1 << 22, 64
+#: Bits of the table of documents to take up again.
+BITS = 1 << 25
 FRAGMENTS = 4
 #: Groups of so many members are compared in full; larger ones by pivots first.
 SMALL = 64
-PIVOTS = (2, 12)
+PIVOTS = (4, 12)
 SPREAD = 4
 PASS = 1 << 20
 
@@ -136,7 +138,7 @@ def _prefix(size: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, words: int, percent: int, levels, n: int) -> DataFrame:
-    """Rows (doc_id, node, size), and blobs of prefix n-grams by bucket."""
+    """Rows (doc_id, node, size), and blobs of prefix n-grams, each with a bucket."""
 
     def run(batches):
         table = np.frombuffer(levels.value, np.uint8)
@@ -154,7 +156,7 @@ def _scan(docs: DataFrame, words: int, percent: int, levels, n: int) -> DataFram
             t, h = sets(texts, words)
             size, node = _nodes(t, h, len(texts))
             k = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(node), pa.array(size.astype(np.int64)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=["doc_id", "node", "size", "bucket", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(node), pa.array(size.astype(np.int64)), pa.array(dealt(mixed(node.view(np.uint64)), n), pa.int32()), pa.nulls(k, pa.binary())], names=["doc_id", "node", "size", "bucket", "blob"])
             level = table[_slot(h)]
             order = np.lexsort((h, level, t))
             t, h = t[order], h[order]
@@ -185,7 +187,7 @@ def need(size_a, size_b, percent: int):
 
 
 def _bucket_pairs(blobs: list[bytes], percent: int, most: int):
-    """Pairs of small groups, and the members of large ones."""
+    """Pairs of small groups with how many n-grams of the bucket they share, and the members of large groups."""
     h, node, size, at = (np.concatenate(p) for p in zip(*(unpack(x) for x in blobs)))
     order = np.lexsort((node, h))
     h, node, size, at = h[order], node[order], size[order].astype(np.int64), at[order].astype(np.int64)
@@ -197,30 +199,46 @@ def _bucket_pairs(blobs: list[bytes], percent: int, most: int):
     member, owner = ranges(head[small], count[small])
     later = count[small][owner] - (member - head[small][owner]) - 1
     second, first = ranges(member + 1, later)
-    a, b = member[first], second
-    # The first common n-gram of similar sets leaves enough behind it in both.
-    ok = np.minimum(size[a] - at[a], size[b] - at[b]) >= need(size[a], size[b], percent)
-    ok &= 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
+    ok = 100 * np.minimum(size[first_ := member[first]], size[second]) >= percent * np.maximum(size[first_], size[second])
+    a, b = first_[ok], second[ok]
+    order = np.lexsort((node[b], node[a]))
+    a, b = a[order], b[order]
+    cut = np.flatnonzero(np.r_[True, (node[a][1:] != node[a][:-1]) | (node[b][1:] != node[b][:-1])]) if len(a) else np.empty(0, int)
+    shared = np.diff(np.r_[cut, len(a)])
     large = np.flatnonzero(np.repeat(count > most, count))
-    return node[a[ok]], node[b[ok]], h[large].view(np.int64), node[large], size[large], at[large]
+    pairs = node[a[cut]], node[b[cut]], size[a[cut]], size[b[cut]], shared
+    return pairs, (h[large].view(np.int64), node[large], size[large], at[large])
+
+
+#: What the rows of candidates are.
+_DOC, _PAIR, _MEMBER = range(3)
+_CANDIDATES = "kind int, grp long, a long, b long, size long, size_b long, n long"
 
 
 def _candidates(scan: DataFrame, percent: int, width: int, small: int) -> DataFrame:
-    kind = "grp long, a long, b long, size long, at long"
+    """Settled rows of three kinds. Documents: (b: doc_id, a: node, size). Pairs: (a, b, size, size_b, n: shared
+    n-grams in one bucket). Members of large groups: (grp, a, size, n: place in the set's order)."""
+
+    def rows(kind, grp, a, b, size, size_b, n):
+        k = len(a)
+        col = lambda v: pa.nulls(k, pa.int64()) if v is None else pa.array(v, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([kind] * k, pa.int32()), *map(col, (grp, a, b, size, size_b, n))], names=[x.split()[0] for x in _CANDIDATES.split(", ")])
 
     def run(batches):
         now, blobs = None, []
 
         def flush():
-            a, b, g, m, s, p = _bucket_pairs(blobs, percent, small)
-            one = np.unique(np.stack([a, b]), axis=1) if len(a) else np.empty((2, 0), np.int64)
-            k = one.shape[1]
-            none = pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(one[0]), pa.array(one[1]), none, none], names=["grp", "a", "b", "size", "at"])
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(m), pa.nulls(len(g), pa.int64()), pa.array(s), pa.array(p)], names=["grp", "a", "b", "size", "at"])
+            (a, b, sa, sb, n), (g, m, s, at) = _bucket_pairs(blobs, percent, small)
+            yield rows(_PAIR, None, np.minimum(a, b), np.maximum(a, b), np.where(a < b, sa, sb), np.where(a < b, sb, sa), n)
+            yield rows(_MEMBER, g, m, None, s, None, at)
 
         for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            docs = batch.filter(batch.column(4).is_null())
+            if docs.num_rows:
+                yield rows(_DOC, None, docs.column(1), docs.column(0), docs.column(2), None, None)
+            for bucket, blob in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                if blob is None:
+                    continue
                 if bucket != now:
                     if blobs:
                         yield from flush()
@@ -229,40 +247,56 @@ def _candidates(scan: DataFrame, percent: int, width: int, small: int) -> DataFr
         if blobs:
             yield from flush()
 
-    sent = scan.filter("bucket is not null").select("bucket", "blob").repartition(width, "bucket").sortWithinPartitions("bucket")
-    return settled(sent.mapInArrow(run, kind), "jaccard-candidates")
+    sent = scan.repartition(width, "bucket").sortWithinPartitions("bucket")
+    return settled(sent.mapInArrow(run, _CANDIDATES), "jaccard-candidates")
+
+
+def _bits(wanted: DataFrame) -> np.ndarray:
+    """A bit table of fixed size that holds the wanted documents' ids, and a few others by chance."""
+
+    def mark(batches):
+        table = np.zeros(BITS, bool)
+        for batch in batches:
+            table[_bit(np.asarray(batch.column(0)))] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table).tobytes()], pa.binary())], names=["bits"])
+
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in wanted.select("doc_id").coalesce(8).mapInArrow(mark, "bits binary").collect():
+        out |= np.frombuffer(bytes(r.bits), np.uint8)
+    return np.unpackbits(out).astype(bool)
+
+
+def _bit(ids: np.ndarray) -> np.ndarray:
+    return (mixed(ids.astype(np.int64).view(np.uint64)) >> np.uint64(20)).astype(np.int64) % BITS
 
 
 def _segments(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, frag, size, blob) of each wanted set. ``wanted``: node and the doc_id of one document with it."""
+    """(node, frag, size, blob) of each wanted set, and of a few more. ``wanted``: doc_id of a document with it.
+
+    Texts stay where they are: a bit table says which of them to take up again.
+    """
     cut = np.uint64((1 << 64) // FRAGMENTS)
+    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(_bits(wanted)).tobytes())
 
     def run(batches):
-        rows, size_ = [], 0
-
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["node", "frag", "size", "blob"])
-
+        table = np.unpackbits(np.frombuffer(bits.value, np.uint8)).astype(bool)
+        names = ["node", "frag", "size", "blob"]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
         for batch in pieces(batches):
-            want, texts = batch.column(2).to_pylist(), batch.column(1).to_pylist()
-            t, h = sets(texts, words)
-            size, node = _nodes(t, h, len(texts))
-            frag = (h // cut).astype(np.int64)
-            edge = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (frag[1:] != frag[:-1])]) if len(t) else np.empty(0, int)
-            for s, e in zip(edge.tolist(), np.r_[edge[1:], len(t)].tolist()):
-                k = t[s]
-                if node[k] == want[k]:
-                    rows.append((want[k], int(frag[s]), int(size[k]), pack(np.r_[h[s : s + 1], np.diff(h[s:e])])))
-                    size_ += 8 * (e - s)
-            if size_ > 8 << 20:
-                yield flush()
-                rows, size_ = [], 0
-        if rows:
-            yield flush()
-
-    joined = docs.join(wanted.withColumnRenamed("doc_id", "rep"), F.col("doc_id") == F.col("rep")).select("doc_id", "text", "node")
-    one = joined.mapInArrow(run, "node long, frag int, size long, blob binary")
-    return settled(one.dropDuplicates(["node", "frag"]), "jaccard-segments")
+            batch = batch.filter(batch.column(0).is_valid())
+            batch = batch.filter(pa.array(table[_bit(np.asarray(batch.column(0)))]))
+            step = max(1, int(batch.num_rows * PASS / max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                texts = batch.column(1).slice(at, step).to_pylist()
+                t, h = sets(texts, words)
+                size, node = _nodes(t, h, len(texts))
+                frag = (h // cut).astype(np.int64)
+                edge = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (frag[1:] != frag[:-1])]) if len(t) else np.empty(0, int)
+                rows = [(int(node[t[s]]), int(frag[s]), int(size[t[s]]), pack(np.r_[h[s : s + 1], np.diff(h[s:e])])) for s, e in zip(edge.tolist(), np.r_[edge[1:], len(t)].tolist())]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+    return settled(docs.mapInArrow(run, "node long, frag int, size long, blob binary"), "jaccard-segments")
 
 
 def verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -272,12 +306,14 @@ def verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             left, right = (batch.column(k).to_pylist() for k in (4, 5))
             part = [len(np.intersect1d(np.cumsum(unpack(x)[0]), np.cumsum(unpack(y)[0]), assume_unique=True)) for x, y in zip(left, right)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(part, pa.int64())], names=["a", "b", "size_a", "size_b", "part"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 2, 3, 6)), pa.array(part, pa.int64())], names=["a", "b", "size_a", "size_b", "frag", "part"])
 
     left = segments.select(F.col("node").alias("a"), F.col("frag"), F.col("size").alias("size_a"), F.col("blob").alias("blob_a"))
     right = segments.select(F.col("node").alias("b"), F.col("frag"), F.col("size").alias("size_b"), F.col("blob").alias("blob_b"))
-    both = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", "size_a", "size_b", "blob_a", "blob_b")
-    parts = both.mapInArrow(run, "a long, b long, size_a long, size_b long, part long")
+    both = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", "size_a", "size_b", "blob_a", "blob_b", "frag")
+    parts = both.mapInArrow(run, "a long, b long, size_a long, size_b long, frag int, part long")
+    # A set may have been taken up from more than one document.
+    parts = parts.groupBy("a", "b", "frag").agg(*[F.max(c).alias(c) for c in ("size_a", "size_b", "part")])
     total = parts.groupBy("a", "b").agg(F.sum("part").alias("overlap"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
     return total.filter(F.lit(100) * F.col("overlap") >= percent * (F.col("size_a") + F.col("size_b") - F.col("overlap"))).select("a", "b", "overlap")
 
@@ -287,30 +323,51 @@ def _passing(x: str, y: str, percent: int) -> Column:
     return (F.least(sx - ax, sy - ay) >= need(sx, sy, percent)) & (100 * F.least(sx, sy) >= percent * F.greatest(sx, sy))
 
 
+def _possible(found: DataFrame, degree: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose shared prefix n-grams, summed over the buckets, leave the threshold within reach.
+
+    Common n-grams up to the smaller of the two prefixes' ends lie in both prefixes; beyond it a set
+    has no more than the rest of it. Those in large groups aren't counted by pairs: up to the
+    smaller of both degrees is allowed for them.
+    """
+    n = found.groupBy("a", "b").agg(F.sum("n").alias("n"), F.first("size").alias("sa"), F.first("size_b").alias("sb"))
+    da, db = (degree.select(F.col("a").alias(x), F.col("deg").alias(f"d{x}")) for x in "ab")
+    rest = F.ceil(percent * F.greatest("sa", "sb") / 100) - 1
+    with_degrees = n.join(da, "a", "left").join(db, "b", "left")
+    more = F.least(F.coalesce("da", F.lit(0)), F.coalesce("db", F.lit(0)))
+    return with_degrees.filter(F.col("n") + more + rest >= need(F.col("sa"), F.col("sb"), percent)).select("a", "b")
+
+
 def _ordered(df: DataFrame) -> DataFrame:
     return df.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _large(groups: DataFrame, links: DataFrame, segments: DataFrame, percent: int, counts: tuple[int, ...]) -> DataFrame:
-    """Links of large groups, enough to connect whatever is connected."""
-    for pivots in (*counts, None):
+    """Links of large groups, enough to connect whatever is connected.
+
+    ``groups``: grp, a, size, at, deg (in how many large groups the set is). Pivots are the sets in
+    most groups, first of the whole group, later of its largest component; in the last round every
+    set outside that component meets all sets that no link joins to it yet.
+    """
+    for round_, pivots in enumerate((*counts, None)):
         labels = components(links)
-        member = groups.join(labels, groups["a"] == labels["node"], "left").select("grp", F.col("a").alias("x"), F.col("size").alias("x_size"), F.col("at").alias("x_at"), F.coalesce("root", "a").alias("x_root"))
+        member = groups.join(labels, groups["a"] == labels["node"], "left").select("grp", F.col("a").alias("x"), F.col("size").alias("x_size"), F.col("at").alias("x_at"), "deg", F.coalesce("root", "a").alias("x_root"))
         member = settled(member, "jaccard-members")
         core = member.groupBy("grp", "x_root").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.max(F.struct("n", F.col("x_root").alias("core"))).alias("m")).select("grp", F.col("m.core").alias("core"))
         marked = member.join(core, "grp")
-        other = marked.select("grp", F.col("x").alias("y"), F.col("x_size").alias("y_size"), F.col("x_at").alias("y_at"), F.col("x_root").alias("y_root"), F.col("core").alias("y_core"))
-        outside = marked.filter("x_root <> core")
+        other = marked.select("grp", F.col("x").alias("y"), F.col("x_size").alias("y_size"), F.col("x_at").alias("y_at"), "deg", F.col("x_root").alias("y_root"), F.col("core").alias("y_core"))
+        outside = (marked if round_ == 0 else marked.filter("x_root <> core")).drop("deg")
         if pivots:
-            picks = F.array(*[F.min(F.struct(F.xxhash64("y", F.lit(k + 1000 * pivots)).alias("o"), "y", "y_size", "y_at", "y_root")) for k in range(pivots)])
-            chosen = other.filter("y_root = y_core").groupBy("grp").agg(picks.alias("p")).select("grp", F.explode("p").alias("p")).select("grp", "p.*")
+            turn = F.pmod(F.xxhash64("y", F.lit(round_)), F.lit(pivots))
+            picks = F.array(*[F.min(F.when(turn == k, F.struct((-F.col("deg")).alias("o"), "y", "y_size", "y_at", "y_root"))) for k in range(pivots)])
+            pool = other if round_ == 0 else other.filter("y_root = y_core")
+            chosen = pool.groupBy("grp").agg(F.array_compact(picks).alias("p")).select("grp", F.explode("p").alias("p")).select("grp", "p.*")
             pairs = outside.join(chosen, "grp")
         else:
             pairs = outside.join(other, "grp").filter("(y_root = y_core) or x < y")
         pairs = settled(_ordered(pairs.filter("x_root <> y_root").filter(_passing("x", "y", percent))), "jaccard-pairs")
-        if pairs.isEmpty() and pivots is None:
-            break
-        links = settled(links.select("a", "b").union(verified(pairs, segments, percent).select("a", "b")), "jaccard-links")
+        if not pairs.isEmpty():
+            links = settled(links.select("a", "b").union(verified(pairs, segments, percent).select("a", "b")), "jaccard-links")
     return links
 
 
@@ -320,13 +377,13 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85, small: int = SMALL,
     spark = docs.sparkSession
     width = cluster_width(spark)
     levels = spark.sparkContext.broadcast(count_levels(docs, words).tobytes())
-    scan = settled(_scan(docs, words, percent, levels, SPREAD * width), "jaccard-scan")
-    rows = scan.filter("bucket is null").select("doc_id", "node", "size")
-    found = _candidates(scan, percent, width, small)
-    pairs = found.filter("grp is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = settled(pairs, "jaccard-pairs")
-    groups = found.filter("grp is not null").select("grp", "a", "size", "at")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(groups.select("a")).distinct()
+    found = _candidates(_scan(docs, words, percent, levels, SPREAD * width), percent, width, small)
+    rows = found.filter(F.col("kind") == _DOC).select(F.col("b").alias("doc_id"), F.col("a").alias("node"), "size")
+    member = found.filter(F.col("kind") == _MEMBER).select("grp", "a", "size", F.col("n").alias("at"))
+    degree = settled(member.groupBy("a").agg(F.count(F.lit(1)).alias("deg")), "jaccard-degrees")
+    groups = settled(member.join(degree, "a"), "jaccard-groups")
+    pairs = settled(_possible(found.filter(F.col("kind") == _PAIR), degree, percent), "jaccard-pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(degree.select("a")).distinct()
     reps = rows.filter("size > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     segments = _segments(docs, wanted.join(reps, "node"), words)
     links = settled(verified(pairs, segments, percent).select("a", "b"), "jaccard-links")
