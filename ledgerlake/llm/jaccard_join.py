@@ -148,7 +148,7 @@ def _scan(docs: DataFrame, words: int, percent: int, levels, n: int) -> DataFram
 
         def flush():
             cols = [np.concatenate(x) for x in hold]
-            rows = [(b, pack(*c)) for b, c in by_bucket(dealt(cols[0], n), *cols)]
+            rows = [(b, pack(*c)) for b, c in by_bucket(dealt(mixed(cols[0]), n), *cols)]
             k = len(rows)
             return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "node", "size", "bucket", "blob"])
 
