@@ -199,8 +199,9 @@ def _bucket_pairs(blobs: list[bytes], percent: int, most: int):
     member, owner = ranges(head[small], count[small])
     later = count[small][owner] - (member - head[small][owner]) - 1
     second, first = ranges(member + 1, later)
-    ok = 100 * np.minimum(size[first_ := member[first]], size[second]) >= percent * np.maximum(size[first_], size[second])
-    a, b = first_[ok], second[ok]
+    first = member[first]
+    ok = 100 * np.minimum(size[first], size[second]) >= percent * np.maximum(size[first], size[second])
+    a, b = first[ok], second[ok]
     order = np.lexsort((node[b], node[a]))
     a, b = a[order], b[order]
     cut = np.flatnonzero(np.r_[True, (node[a][1:] != node[a][:-1]) | (node[b][1:] != node[b][:-1])]) if len(a) else np.empty(0, int)
