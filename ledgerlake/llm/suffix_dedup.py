@@ -43,7 +43,9 @@ GRAM = 16
 #: Starts of one unit at most; longer runs (one letter repeated) are cut.
 RUN = 255
 #: Bytes of text of one block, and of one pass of numpy inside it.
-BLOCK, PASS = 24 << 20, 1 << 20
+BLOCK, PASS = 16 << 20, 1 << 20
+#: Bytes of units asked for that are held before they are sent.
+ANSWER = 2 << 20
 #: Buckets a shuffle partition.
 SPREAD = 4
 
@@ -129,6 +131,7 @@ def _spread_first(values: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(values[starts], np.diff(np.r_[starts, n]))
 
 
+# Marks are minima and so crowd among small numbers: they are scrambled again before dealing.
 def _doc_bucket(ids: np.ndarray, n: int) -> np.ndarray:
     return dealt(mixed(ids.astype(np.int64).view(np.uint64)), n)
 
@@ -169,7 +172,7 @@ def _block(ids: list[int], texts: list[bytes], n: int) -> list[tuple]:
     sign = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64)
     rows = [(b, _REPEATS, blob) for b, blob in _intervals(owner[repeat], sign[text[repeat]], start[repeat], start[repeat] + runs[repeat] + SPAN - 1, n)]
     sent = ~repeat
-    for b, (m, u, t, s, r) in by_bucket(dealt(mark[sent], n), mark[sent], unit[sent], text[sent], start[sent], runs[sent]):
+    for b, (m, u, t, s, r) in by_bucket(dealt(mixed(mark[sent]), n), mark[sent], unit[sent], text[sent], start[sent], runs[sent]):
         used, t = np.unique(t, return_inverse=True)
         step = np.r_[m[:1], m[1:] - m[:-1]]
         half = [(u >> np.uint64(32)).astype(np.uint16), u.astype(np.uint32)]
@@ -303,7 +306,7 @@ def _answer(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
         length = runs.astype(np.int64) + SPAN - 1
         first = np.cumsum(length) - length
         rows = []
-        for b, (d, g, m, s, r, f, ln) in by_bucket(dealt(mark, n), doc, sign, mark, start, runs, first, length):
+        for b, (d, g, m, s, r, f, ln) in by_bucket(dealt(mixed(mark), n), doc, sign, mark, start, runs, first, length):
             at, _ = ranges(f, ln)
             rows.append((b, _BYTES, pack(d, g, m, s, r, data[at])))
         return _batch(rows)
@@ -316,7 +319,7 @@ def _answer(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
         for into, v in zip(hold, (ids, sign, mark, start, runs, np.frombuffer(raw, np.uint8)[at])):
             into.append(v)
         size += len(at)
-        if size >= BLOCK:
+        if size >= ANSWER:
             yield flush()
             hold = [[] for _ in range(6)]
             size = 0
