@@ -46,8 +46,10 @@ RUN = 255
 BLOCK, PASS = 16 << 20, 1 << 20
 #: Bytes of units asked for that are held before they are sent.
 ANSWER = 2 << 20
-#: Buckets a shuffle partition.
+#: Buckets of marks a shuffle partition; of documents there is one, as they pass one by one.
 SPREAD = 4
+#: Repeats and requests that a task gathers before it packs them, over all its buckets.
+GATHER = 2_000_000
 
 _BASE = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
@@ -149,7 +151,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 _UNITS, _REPEATS, _ASKED, _BYTES = range(4)
 
 
-def _block(ids: list[int], texts: list[bytes], n: int) -> list[tuple]:
+def _block(ids: list[int], texts: list[bytes], n: int, m: int) -> list[tuple]:
     """Blobs of one block: units to send on, and repeats inside the block."""
     found: list[list[np.ndarray]] = [[], [], [], [], []]
     at = 0
@@ -170,22 +172,22 @@ def _block(ids: list[int], texts: list[bytes], n: int) -> list[tuple]:
     heads = _groups(mark, unit)
     repeat = owner > _spread_first(owner, heads, len(mark))
     sign = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64)
-    rows = [(b, _REPEATS, blob) for b, blob in _intervals(owner[repeat], sign[text[repeat]], start[repeat], start[repeat] + runs[repeat] + SPAN - 1, n)]
+    rows = [(b, _REPEATS, blob) for b, blob in _intervals(owner[repeat], sign[text[repeat]], start[repeat], start[repeat] + runs[repeat] + SPAN - 1, m)]
     sent = ~repeat
-    for b, (m, u, t, s, r) in by_bucket(dealt(mixed(mark[sent]), n), mark[sent], unit[sent], text[sent], start[sent], runs[sent]):
+    for b, (k, u, t, s, r) in by_bucket(dealt(mixed(mark[sent]), n), mark[sent], unit[sent], text[sent], start[sent], runs[sent]):
         used, t = np.unique(t, return_inverse=True)
-        step = np.r_[m[:1], m[1:] - m[:-1]]
+        step = np.r_[k[:1], k[1:] - k[:-1]]
         half = [(u >> np.uint64(32)).astype(np.uint16), u.astype(np.uint32)]
         rows.append((b, _UNITS, pack(doc[used], sign[used], step, *half, t.astype(np.uint32), s.astype(np.uint32), r.astype(np.uint8))))
     return rows
 
 
-def _to_units(docs: DataFrame, n: int) -> DataFrame:
+def _to_units(docs: DataFrame, n: int, m: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size = [], [], 0
 
         def flush():
-            return _batch(_block(ids, texts, n))
+            return _batch(_block(ids, texts, n, m))
 
         for batch in pieces(batches):
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -224,8 +226,8 @@ def _bucketwise(batches: Iterator[pa.RecordBatch], full) -> Iterator[pa.RecordBa
         yield _batch(full(now, blobs))
 
 
-def _meet(blobs: list[bytes], n: int) -> list[tuple]:
-    """Repeats among whole units, and which units' bytes are asked for."""
+def _meet(blobs: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Repeats among whole units of one bucket, and which units' bytes are asked for."""
     cols: list[list[np.ndarray]] = [[] for _ in range(7)]
     for blob in blobs:
         ids, sign, step, high, low, t, s, r = unpack(blob)
@@ -245,10 +247,17 @@ def _meet(blobs: list[bytes], n: int) -> list[tuple]:
     kinds[whole] = 1
     several &= np.repeat(np.add.reduceat(kinds, marks) > 1, span)
     start, end = start.astype(np.int64), start.astype(np.int64) + runs + SPAN - 1
-    rows = [(b, _REPEATS, blob) for b, blob in _intervals(doc[repeat], sign[repeat], start[repeat], end[repeat], n)]
     asked = several & ~repeat
-    for b, c in by_bucket(_doc_bucket(doc[asked], n), doc[asked], sign[asked], mark[asked], start[asked].astype(np.uint32), runs[asked].astype(np.uint8)):
-        rows.append((b, _ASKED, pack(*c)))
+    return [doc[repeat], sign[repeat], start[repeat], end[repeat]], [doc[asked], sign[asked], mark[asked], start[asked].astype(np.uint32), runs[asked].astype(np.uint8)]
+
+
+def _packed(repeats: list[list[np.ndarray]], asked: list[list[np.ndarray]], m: int) -> list[tuple]:
+    rows = []
+    if repeats:
+        rows += [(b, _REPEATS, blob) for b, blob in _intervals(*(np.concatenate(c) for c in zip(*repeats)), m)]
+    if asked:
+        cols = [np.concatenate(c) for c in zip(*asked)]
+        rows += [(b, _ASKED, pack(*c)) for b, c in by_bucket(_doc_bucket(cols[0], m), *cols)]
     return rows
 
 
@@ -453,35 +462,46 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, int, int]:
     """Packed intervals to remove, by bucket of document; number of buckets; shuffle partitions."""
     docs = ids_and_texts(docs)
     width = cluster_width(docs.sparkSession)
-    n = SPREAD * width
-    sent = _by_bucket(_to_units(docs, n), width)
+    n, m = SPREAD * width, width
+    sent = _by_bucket(_to_units(docs, n, m), width)
 
     def meet(batches):
         # Repeats found inside a block come by the same exchange and pass through.
-        units_, passed = [], []
-        now = None
+        units_, passed, repeats_, asked_ = [], [], [], []
+        now, held = None, 0
+
+        def close():
+            nonlocal units_, held
+            r, a = _meet(units_)
+            repeats_.append(r)
+            asked_.append(a)
+            units_ = []
+            held += len(r[0]) + len(a[0])
+
         for batch in batches:
             for b, kind, blob in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if b != now:
+                    if units_:
+                        close()
+                    if held >= GATHER:
+                        yield _batch(_packed(repeats_, asked_, m))
+                        repeats_, asked_, held = [], [], 0
+                    now = b
                 if kind == _REPEATS:
                     passed.append((b, kind, blob))
                     if len(passed) >= 64:
                         yield _batch(passed)
                         passed = []
-                    continue
-                if b != now:
-                    if units_:
-                        yield _batch(_meet(units_, n))
-                    now, units_ = b, []
-                units_.append(blob)
+                else:
+                    units_.append(blob)
         if units_:
-            yield _batch(_meet(units_, n))
-        if passed:
-            yield _batch(passed)
+            close()
+        yield _batch(passed + _packed(repeats_, asked_, m))
 
     met = settled(sent.mapInArrow(meet, _BLOBS), "suffix-met")
-    asked = _with_docs(docs, met.filter(F.col("kind") == _ASKED), n, width).mapInArrow(lambda it: _answer(it, n), _BLOBS)
-    suffixes = _by_bucket(asked, width).mapInArrow(lambda it: _bucketwise(it, lambda b, blobs: _sorted_repeats(blobs, n)), _BLOBS)
-    return met.filter(F.col("kind") == _REPEATS).unionByName(settled(suffixes, "suffix-sorted")), n, width
+    asked = _with_docs(docs, met.filter(F.col("kind") == _ASKED), m, width).mapInArrow(lambda it: _answer(it, n), _BLOBS)
+    suffixes = _by_bucket(asked, width).mapInArrow(lambda it: _bucketwise(it, lambda b, blobs: _sorted_repeats(blobs, m)), _BLOBS)
+    return met.filter(F.col("kind") == _REPEATS).unionByName(settled(suffixes, "suffix-sorted")), m, width
 
 
 def spans(docs: DataFrame) -> DataFrame:
