@@ -6,10 +6,9 @@ Documents whose ``crc32(doc_id as text) mod 10`` is not 0 are learned from; all
    the base score, and, as ids of a text are the ids of its words, the exact counts of all ids.
 2. Ids are put in classes: the most frequent ones each in their own, the rest in bins of equal
    mass. ``P(id | context) = P(class | context) * P(id | class)``; the second part is exact.
-3. Each task trains the attention model for ``P(class | context)`` on windows of its training
-   documents (one word stretch in ``TRAIN_EVERY``, picked by hash from every part of every text),
-   starting from the same weights; the weights are averaged by windows. The sample grows with
-   the corpus.
+3. Each task trains the attention model for ``P(class | context)`` on the windows of all its
+   training documents, the same that score them, starting from the same weights; the weights
+   are averaged by windows.
 4. All texts are scored in overlapping windows of ``T`` ids: batched masked attention over many
    windows at once; each id counts once, in the window where it has at least ``OVERLAP`` ids of
    context (or all there are).
@@ -45,12 +44,12 @@ WIDTH = 16
 SINGLE, BINS = 96, 32
 CLASSES = SINGLE + BINS
 INPUTS = 1024  # the most frequent ids have own input vectors; INPUTS is the start, INPUTS + 1 any other
-TRAIN_EVERY, STRETCH = 16, 40
 BATCH, RATE = 32, 0.05
 TOP = 250_000
 SMOOTH = 0.1
 SPREAD = 4
 BLOCK = 12 << 20
+HOLD = 2_000_000  # ids trained on at once
 PASS = 256 << 10
 
 
@@ -200,6 +199,17 @@ def attend(w: dict, x: np.ndarray) -> tuple:
     return e, q, k, v, a, mixed, mixed @ w["o"] + e
 
 
+def _sums(to: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``rows`` by their numbers ``to`` below ``n``."""
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    if len(to):
+        order = np.argsort(to, kind="stable")
+        to = to[order]
+        first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+        out[to[first]] = np.add.reduceat(rows[order], first)
+    return out
+
+
 def train(w: dict, prior: np.ndarray, x: np.ndarray, last: np.ndarray, y: np.ndarray, keep: np.ndarray) -> dict:
     """One pass over windows with adaptive steps. ``x``: input numbers, ``last``: their classes (CLASSES for
     the start), ``y``: classes that follow, ``keep``: which places count."""
@@ -224,8 +234,7 @@ def train(w: dict, prior: np.ndarray, x: np.ndarray, last: np.ndarray, y: np.nda
         grad = {}
         flat = lambda z: z.reshape(-1, z.shape[-1])
         grad["u"] = flat(h).T @ flat(g)
-        grad["pair"] = np.zeros_like(w["pair"])
-        np.add.at(grad["pair"], lb[b, t], g[b, t])
+        grad["pair"] = _sums(lb[b, t], g[b, t], len(w["pair"]))
         gh = g @ w["u"].T
         grad["o"] = flat(mixed).T @ flat(gh)
         gm = gh @ w["o"].T
@@ -237,8 +246,7 @@ def train(w: dict, prior: np.ndarray, x: np.ndarray, last: np.ndarray, y: np.nda
         ge = gh + gq @ w["q"].T + gk @ w["k"].T + gv @ w["v"].T
         grad["place"] = np.zeros_like(w["place"])
         grad["place"][: xb.shape[1]] = ge.sum(axis=0)
-        grad["embed"] = np.zeros_like(w["embed"])
-        np.add.at(grad["embed"], xb.ravel(), flat(ge))
+        grad["embed"] = _sums(xb.ravel(), flat(ge), len(w["embed"]))
         for name, d in grad.items():
             seen[name] += d * d
             w[name] -= np.float32(RATE) * d / np.sqrt(seen[name])
@@ -291,10 +299,11 @@ def score(w: dict, c: Classes, ids: list[np.ndarray]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, classes, vocabulary: str | None) -> dict:
-    """Weights averaged over all tasks; each trains on the windows of its stretches."""
+    """Weights averaged over all tasks; each trains on all windows of its training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, encode = classes.value, encoder(vocabulary).encode
+        end = np.array([END_ID], "<u4")
         w, n = None, 0
         hold: list[np.ndarray] = []
         size = 0
@@ -310,19 +319,11 @@ def fit(docs: DataFrame, classes, vocabulary: str | None) -> dict:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if held_out(doc):
                     continue
-                words = (text or "").split()
-                for at in range(0, max(1, len(words)), STRETCH):
-                    if xxhash.xxh3_64_intdigest(f"{doc}:{at}") % TRAIN_EVERY:
-                        continue
-                    ids = np.frombuffer(encode(" ".join(words[at : at + STRETCH])), "<u4")
-                    if at + STRETCH >= len(words):
-                        ids = np.r_[ids, np.array([END_ID], "<u4")]
-                    if len(ids):
-                        hold.append(ids)
-                        size += len(ids)
-            if size >= 2_000_000:
-                learn()
-                hold, size = [], 0
+                hold.append(np.r_[np.frombuffer(encode(text), "<u4"), end])
+                size += len(hold[-1])
+                if size >= HOLD:
+                    learn()
+                    hold, size = [], 0
         if hold:
             learn()
         if n:

@@ -84,3 +84,16 @@ def test_gradients():
 
 def test_empty(spark):
     assert lm.score_all(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_trains_on_all_windows_of_training_texts(spark):
+    rows = [*corpus(60), (904, "aa bb cc " * 500, 1)]
+    docs = lm.ids_and_texts(spark.createDataFrame(rows, "doc_id long, text string, key int").coalesce(1))
+    encode = lm.encoder(None).encode
+    ids = [np.r_[np.frombuffer(encode(t), "<u4"), np.array([lm.END_ID], "<u4")] for d, t, _ in rows if not lm.held_out(d)]
+    c = lm.Classes(np.bincount(np.concatenate(ids).astype(np.int64), minlength=lm.encoder(None).vocab_size + 1))
+    x, last, y, keep, _ = lm._grid(ids, c)
+    assert keep.sum() == sum(map(len, ids))
+    want = lm.train(lm.first_weights(), c.prior, x, last, c.cls[y], keep)
+    got = lm.fit(docs, spark.sparkContext.broadcast(c), None)
+    assert all(np.allclose(got[k], want[k], rtol=1e-4, atol=1e-5) for k in want)
