@@ -213,6 +213,21 @@ def active_outer_join(t):
     return active_downloads(p, g)
 
 
+@query("active_outer_join_all", f"""WITH p AS (SELECT {KEY} AS key, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS a FROM events WHERE event_type = 'error' GROUP BY 1),
+g AS (SELECT {KEY} AS key, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS d, CAST(sum(CAST(floor(value) AS BIGINT)) * 2 AS BIGINT) AS t FROM events WHERE event_type = 'click' GROUP BY 1)
+SELECT coalesce(p.key, g.key) AS key, greatest(coalesce(a, 0), coalesce(d, 0)) AS bytes_done, coalesce(t, 0) AS bytes_total,
+least(100.0, coalesce(round(100.0 * greatest(coalesce(a, 0), coalesce(d, 0)) / nullif(t, 0), 1), 0.0)) AS percent FROM p FULL JOIN g ON p.key = g.key""")
+def active_outer_join_all(t):
+    """All errors and clicks, by user and props; some pairs are on one side only."""
+    from ..operators.inventory import active_downloads
+
+    e = t("events").withColumn("key", by_user_and_props())
+    b = F.sum(F.floor("value").cast("long"))
+    p = e.filter("event_type = 'error'").groupBy("key").agg(b.alias("size_bytes"))
+    g = e.filter("event_type = 'click'").groupBy("key").agg(b.alias("bytes_done"), (b * 2).alias("bytes_total"))
+    return active_downloads(p, g)
+
+
 @query("sessionize", """SELECT user_id, count(*) AS sessions FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NULL OR ts >= before + INTERVAL 30 MINUTE GROUP BY user_id""")
 def sessionize(t):
     """Extension: sessions by a gap of half an hour."""

@@ -147,6 +147,13 @@ def pending_cap50(t):
     return inventory.pending_list(o.filter("o_orderstatus = 'P' and o_orderkey % 100 = 0").select(F.col("o_orderkey").cast("string").alias("key")), o.filter("o_orderstatus = 'O'").select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderkey").alias("ord")), 50)
 
 
+@query("pending_all_cap50", "SELECT section, key, ord FROM (SELECT CAST(0 AS INT) AS section, CAST(o_orderkey AS VARCHAR) AS key, CAST(0 AS BIGINT) AS ord FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT CAST(1 AS INT), CAST(o_orderkey AS VARCHAR), o_orderkey FROM orders WHERE o_orderstatus = 'O') ORDER BY section, ord, key LIMIT 50")
+def pending_all_cap50(t):
+    """Fifty pending rows with all orders in process as resumable: the listing's limit."""
+    o = t("orders").select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderkey").alias("ord"), "o_orderstatus")
+    return inventory.pending_list(o.filter("o_orderstatus = 'P'"), o.filter("o_orderstatus = 'O'"), 50)
+
+
 @query("identity_check", "SELECT o_orderkey, o_orderstatus <> 'P' AND o_orderstatus NOT IN ('F', substr(o_orderpriority, 1, 1)) AS mismatch FROM orders")
 def identity_check(t):
     expected = F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderstatus"))

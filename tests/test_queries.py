@@ -46,3 +46,19 @@ def test_every_query_is_listed(spark):
     assert set(queries()) <= set(__spark_entry__.queries())
     assert set(oracle_sql()) <= set(queries())
     assert __spark_entry__.entry(spark).columns == ["date", "label", "items", "bytes"]
+
+
+def test_outer_join_has_every_error_and_click(spark, duck):
+    rows = queries()["active_outer_join_all"](spark, DIR).collect()
+    users, both = duck.sql("select count(distinct user_id), count(distinct (user_id, props)) from events where event_type in ('error', 'click')").fetchall()[0]
+    assert len({r.key.split(":")[0] for r in rows}) == users and len(rows) == both
+    clicked = duck.sql("select 2 * sum(cast(floor(value) as bigint)) from events where event_type = 'click'").fetchall()[0][0]
+    assert sum(r.bytes_total for r in rows) == clicked
+    sides = {(r.bytes_total > 0, 2 * r.bytes_done == r.bytes_total) for r in rows}
+    assert sides >= {(False, False), (True, True), (True, False)}
+
+
+def test_every_resumable_order_is_listed_first(spark, duck):
+    rows = queries()["pending_all_cap50"](spark, DIR).collect()
+    want = duck.sql("select cast(o_orderkey as varchar) from orders where o_orderstatus = 'P' order by 1 limit 50").fetchall()
+    assert [(r.section, r.key) for r in rows] == [(0, k) for (k,) in want]
