@@ -5,11 +5,12 @@ menus, headers, footers, sidebars, notices, adverts, forms and reader comments c
 Where a page marks its article (``article``, ``main``, ``role=main``, ``itemprop=articleBody``),
 lines outside it are blank; lines mostly made of links are blank elsewhere. The text lengths are
 then summed over sliding windows of lines: a sum that rises over the threshold is a surge, one
-that falls to it again is a dive. The text between a surge and its dive is kept, for the stretch
-with the most text.
+that falls to it again is a dive. The text between a surge and its dive is kept: for every stretch
+in page order, or, where an article is marked, for the one with the most text.
 
 Inside a marked article every line counts, so the threshold is zero there and short paragraphs
 and headings stay. Elsewhere a stretch needs windows of more than ``SURGE`` characters.
+The surge and dive lines of a page are those of the first and the last stretch kept.
 
 White space inside a block becomes one space; a line break element counts as white space;
 character references are decoded once. Null, empty and text-less pages give an empty text.
@@ -171,7 +172,7 @@ def stretches(sizes: list[int], threshold: int, window: int = WINDOW) -> list[tu
 
 
 def main_text(page: str | None) -> tuple[str, int, int]:
-    """The main text, and the first and end line of the stretch that it was taken from."""
+    """The main text, and the first and end line of the stretches that it was taken from."""
     if not page:
         return "", 0, 0
     lines = lines_of(page)
@@ -183,12 +184,14 @@ def main_text(page: str | None) -> tuple[str, int, int]:
     found = stretches(sizes, threshold)
     if not found:
         return "", 0, 0
+    if not marked:
+        return "\n".join(lines[k][0] for r in found for k in range(*r) if sizes[k]), found[0][0], found[-1][1]
     start, end = max(found, key=lambda r: (sum(sizes[r[0] : r[1]]), -r[0]))
-    if marked:  # blank lines inside one article don't part it
-        first = next(k for k in range(len(lines)) if sizes[k])
-        joined = [r for r in found if all(x[2] for x in lines[min(r[0], start) : max(r[1], end)])]
-        start, end = min([start, *(r[0] for r in joined)]), max([end, *(r[1] for r in joined)])
-        start = max(start, first)
+    # blank lines inside one article don't part it
+    first = next(k for k in range(len(lines)) if sizes[k])
+    joined = [r for r in found if all(x[2] for x in lines[min(r[0], start) : max(r[1], end)])]
+    start, end = min([start, *(r[0] for r in joined)]), max([end, *(r[1] for r in joined)])
+    start = max(start, first)
     return "\n".join(lines[k][0] for k in range(start, end) if sizes[k]), start, end
 
 

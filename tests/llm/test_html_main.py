@@ -39,3 +39,11 @@ def test_rows(spark):
     assert sorted((r.page_id or 0, r.n_chars) for r in rows) == [(0, 0), (1, 38), (1, 38), (2, 0)]
     assert all(r.n_chars == len(r.text) for r in rows)
     assert h.extract(pages.limit(0)).count() == 0
+
+
+def test_all_sections_without_article():
+    a, b = "a" * 300, "b" * 200
+    page = f"<div><div><p>{a}</p></div></div><div><div><h2>Next</h2><p>{b}</p></div></div>"
+    assert h.main_text(page)[0] == f"{a}\nNext\n{b}"
+    many = "".join(f"<div><div><div><div><p>{c * 120}</p></div></div></div></div>" for c in "abcde")
+    assert h.main_text(many)[0] == "\n".join(c * 120 for c in "abcde")
