@@ -2,6 +2,8 @@
 
 Markup is stripped so that each block of the page becomes one line. Lines of scripts, styles,
 menus, headers, footers, sidebars, notices, adverts, forms and reader comments carry no text.
+An element with the class or id of such a part is kept all the same if it holds a marked article,
+and so is any other such element where the page has no marked text without it.
 Where a page marks its article (``article``, ``main``, ``role=main``, ``itemprop=articleBody``),
 lines outside it are blank; lines mostly made of links are blank elsewhere. The text lengths are
 then summed over sliding windows of lines: a sum that rises over the threshold is a surge, one
@@ -46,15 +48,22 @@ _NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side-bar|menu|navbar|navigation|nav|breadcrumbs?|footer|masthead|topbar|cookies?|consent|notices?|alert|popup|modal|comments?|commentlist|disqus|replies|reply|respond|share|sharing|social|related|newsletter|subscribe|widget|toolbar|pagination|pager|skip-link|copyright|disclaimer|signup|login)(?:$|[\s_-])",
     re.I,
 )
+# Words of layout variants that only say what surrounds a text: no-sidebar, has-left-sidebar.
+_LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:no|has|with)[_-]\S*", re.I)
+# Parts whose articles are others' than the page's.
+_OTHERS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|comments?|commentlist|disqus|replies|reply|respond|related)(?:$|[\s_-])", re.I)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + "|".join(_RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
     re.S | re.I,
 )
+_MARK = re.compile(r"<(?:article|main)\b|\brole\s*=\s*[\"']?main\b|\bitemprop\s*=\s*[\"']?articlebody\b", re.I)
 _ATTR = re.compile(r"([a-zA-Z:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """The page's blocks in order: text, characters inside links, whether inside a marked article."""
+def lines_of(page: str, spare: int = 0) -> list[tuple[str, int, bool]]:
+    """The page's blocks in order: text, characters inside links, whether inside a marked article.
+    ``spare``: which elements that hold a marked article are kept. 0: those with a noisy class or id;
+    1: also forms, menus and hidden ones; 2: also comments and the like."""
     out: list[tuple[str, int, bool]] = []
     text: list[str] = []
     linked = links = 0
@@ -80,6 +89,18 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             if links:
                 linked += len(part)
 
+    def drops(name: str, raw: str, begin: int) -> bool:
+        if name not in _DROPPED and (name != "header" or inside) and not (raw and _is_noise(name, raw, bool(inside))):
+            return False
+        if name == "article" or "article" in inside:
+            return True
+        if name in _LOOSE or not has_mark:  # a loose element ends where an article starts
+            return True
+        if spare < 1 and (name in _DROPPED or name == "header" or _is_hidden(raw)) or spare < 2 and _named(raw, _OTHERS):
+            return True
+        return not _holds_article(page, begin, name)
+
+    has_mark = bool(_MARK.search(page))
     at = 0
     for m in _TOKEN.finditer(page):
         take(page[at : m.start()])
@@ -94,7 +115,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if name == "a":
             links = max(0, links - 1) if closing else links + 1
         if name not in _BLOCKS and not dropped and name != "button":
-            if not closing and name not in _VOID and m[4] and _is_noise(name, m[4], bool(inside)):
+            if not closing and name not in _VOID and m[4] and drops(name, m[4], at):
                 dropped.append([name, 1])
             continue
         if dropped:
@@ -121,7 +142,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             continue
         if name in _VOID:
             continue
-        if name in _DROPPED or name == "header" and not inside or m[4] and _is_noise(name, m[4], bool(inside)):
+        if drops(name, m[4] or "", at):
             dropped.append([name, 1])
             continue
         if name in ("article", "main") or m[4] and _marks_article(m[4]):
@@ -138,14 +159,36 @@ def _attrs(raw: str) -> dict[str, str]:
     return {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTR.findall(raw)}
 
 
+def _named(raw: str, words: re.Pattern) -> bool:
+    """Whether class or id has one of the words, layout variants aside."""
+    found = _attrs(raw)
+    return any(words.search(_LAYOUT.sub("", found.get(k, ""))) for k in ("class", "id"))
+
+
+def _is_hidden(raw: str) -> bool:
+    found = _attrs(raw)
+    return found.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog") or "hidden" in raw.split() or found.get("aria-hidden") == "true"
+
+
 def _is_noise(name: str, raw: str, inside: bool) -> bool:
     if name in ("html", "body", "main", "article"):
         found = _attrs(raw)
-        return name == "article" and bool(_NOISE.search(found.get("class", ""))) and inside
-    found = _attrs(raw)
-    if found.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog") or "hidden" in raw.split() or found.get("aria-hidden") == "true":
-        return True
-    return bool(_NOISE.search(found.get("class", "")) or _NOISE.search(found.get("id", "")))
+        return name == "article" and bool(_NOISE.search(_LAYOUT.sub("", found.get("class", "")))) and inside
+    return _is_hidden(raw) or _named(raw, _NOISE)
+
+
+def _holds_article(page: str, at: int, name: str) -> bool:
+    """Whether the element of this name whose content starts at ``at`` has a marked article that is no noise itself."""
+    depth = 1
+    for m in _TOKEN.finditer(page, at):
+        found = (m[3] or "").lower()
+        if found and not m[2] and (found == "main" or found == "article" and not _named(m[4] or "", _NOISE) or m[4] and _marks_article(m[4])):
+            return True
+        if found == name:
+            depth += -1 if m[2] else 1
+            if not depth:
+                return False
+    return False
 
 
 def _marks_article(raw: str) -> bool:
@@ -177,6 +220,12 @@ def main_text(page: str | None) -> tuple[str, int, int]:
         return "", 0, 0
     lines = lines_of(page)
     marked = any(x[2] and x[0] for x in lines)
+    if not marked and _MARK.search(page):
+        for spare in (1, 2):
+            found = lines_of(page, spare)
+            if any(x[2] and x[0] for x in found):
+                lines, marked = found, True
+                break
     if marked:
         sizes, threshold = [len(t) if inside else 0 for t, _, inside in lines], 0
     else:

@@ -47,3 +47,26 @@ def test_all_sections_without_article():
     assert h.main_text(page)[0] == f"{a}\nNext\n{b}"
     many = "".join(f"<div><div><div><div><p>{c * 120}</p></div></div></div></div>" for c in "abcde")
     assert h.main_text(many)[0] == "\n".join(c * 120 for c in "abcde")
+
+
+def test_wrapper_of_an_article_is_no_noise():
+    text = "<article><h1>T</h1><p>One.</p></article>"
+    for wrap in ('div class="page no-sidebar"', 'div id="has-sidebar"', "div class='with-left-sidebar'", 'div class="widget"', 'section class="sidebar-left social"', 'x-app class="banner"', 'form id="f"', "div hidden"):
+        page = f"<body><nav>Menu</nav><{wrap}><div class='ad'>Buy</div>{text}<div class=comments><p>Nice.</p></div></{wrap.split()[0]}><p>After</p></body>"
+        assert h.main_text(page)[0] == "T\nOne.", wrap
+    page = f"<main><div class='menu-layout'>{text}</div></main>"
+    assert h.main_text(page)[0] == "T\nOne."
+
+
+def test_noise_stays_noise():
+    text = "<article><p>One.</p></article>"
+    reader = "<article><p>A long reply by a reader, longer than the article.</p></article>"
+    for wrap in ("section class=comments", "aside class=related", "div id=related-posts", "div class='comment-list has-avatars'"):
+        assert h.main_text(f"<body>{text}<{wrap}>{reader}</{wrap.split()[0]}></body>")[0] == "One.", wrap
+    form = f"<form id=f>{text}<section class=comments>{reader}</section></form>"
+    assert h.main_text(form)[0] == "One."
+    only = f"<section class=comments>{reader}</section>"
+    assert h.main_text(only)[0].startswith("A long reply")
+    ad = "<div class='no-ads sidebar'>Buy this and that</div>"
+    assert h.main_text(f"<article><p>One.</p>{ad}</article>")[0] == "One."
+    assert h.main_text("<article><p>One.</p><div class=no-sidebar>Two.</div></article>")[0] == "One.\nTwo."
