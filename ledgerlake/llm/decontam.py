@@ -14,7 +14,8 @@ line or sentence) and its answer (the rest) must each overlap by ``OVERLAP`` of
 n-grams (five words, fewer where a part is shorter).
 
 The index of the items is sent to all workers; its size is checked by the items' bytes. A larger
-benchmark is taken in as many parts, one after the other, against all documents.
+benchmark is taken in as many parts, one after the other, against all documents. Item count, mean
+length and the number of items with a term are those of the whole benchmark in every part.
 
 Null and empty texts hold no passage; items without words are never found. Words are lower-cased,
 parted at white space and stripped of marks at their ends. Repeated rows and items are treated
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, pieces
+from .common import ids_and_texts, pieces, settled
 from .packed import ranges
 
 PASSAGE = 128
@@ -75,20 +76,21 @@ def overlap(part: list[str], near: list[str]) -> float:
 
 
 class Index:
-    """Terms, block maxima and postings as flat arrays."""
+    """Terms, block maxima and postings as flat arrays. ``whole``: items with words, their words and the
+    number of items with each term, where ``items`` is a part of the benchmark."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
+    def __init__(self, items: list[tuple[int | None, str | None]], whole: tuple[int, int, dict[str, int]] | None = None):
         rows = [(i, t, words_of(t)) for i, t in items]
         self.items = [(i, *parts_of(t), len(w)) for i, t, w in rows if w]
         counts = [Counter(w) for _, _, w in rows if w]
         n = len(counts)
-        df = Counter(t for c in counts for t in c)
-        mean = sum(x[3] for x in self.items) / max(1, n)
+        all_n, all_words, df = whole or (n, sum(x[3] for x in self.items), Counter(t for c in counts for t in c))
+        mean = all_words / max(1, all_n)
         self.terms = {t: k for k, t in enumerate(sorted(df))}
         post: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         for item, c in enumerate(counts):
             size = self.items[item][3]
-            w = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean)) for t, f in c.items()}
+            w = {t: math.log(1 + (all_n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean)) for t, f in c.items()}
             own = SHARE * math.fsum(w.values()) * min(1.0, (PASSAGE // 2) / size)
             for t in sorted(w):
                 post[self.terms[t]].append((item, w[t] / own))
@@ -168,15 +170,38 @@ class Index:
         return out
 
 
+def _counts(items: DataFrame) -> DataFrame:
+    """(word, n, size): items with each word; in the row without a word, items with any and all their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            found: Counter = Counter()
+            n = size = 0
+            for text in batch.column(0).to_pylist():
+                w = words_of(text)
+                found.update(set(w))
+                n, size = n + (len(w) > 0), size + len(w)
+            yield pa.RecordBatch.from_arrays([pa.array([None, *found], pa.string()), pa.array([n, *found.values()], pa.int64()), pa.array([size, *[0] * len(found)], pa.int64())], names=["word", "n", "size"])
+
+    return items.select("text").mapInArrow(run, "word string, n long, size long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+
+
 def indexes(benchmark: DataFrame) -> Iterator:
     """Broadcast indexes over all items, each of bounded size."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     n = -(-size // INDEX_BYTES)
+    if n > 1:
+        counted = settled(_counts(items), "benchmark-words")
+        total = counted.filter("word is null").first()
     for k in range(n):
         part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         rows = sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
-        yield benchmark.sparkSession.sparkContext.broadcast(Index(rows))
+        whole = None
+        if n > 1:  # only the part's own words come to the driver
+            own = _counts(part).filter("word is not null").select("word").join(counted.select("word", "n"), "word").collect()
+            whole = (total.n, total.size, {r.word: r.n for r in own})
+        yield benchmark.sparkSession.sparkContext.broadcast(Index(rows, whole))
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -89,3 +89,14 @@ def test_long_item_and_words():
     assert dc.words_of(" A, b. -- (c)\n") == ["a", "b", "c"]
     assert dc.parts_of("One two. Three four.") == (["one", "two"], ["three", "four"])
     assert np.isclose(dc.overlap(["a", "b"], ["x", "a", "b"]), 1)
+
+
+def test_parts_score_as_one_index(spark, monkeypatch):
+    items, texts = make(5)
+    bench = spark.createDataFrame([*items, (None, None), (99, "")], "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = lambda: {(r.doc_id, r.item_id): (round(r.score, 9), r.question_overlap, r.answer_overlap, r.n_passages) for r in dc.find_leaks(docs, bench).collect()}
+    want = found()
+    monkeypatch.setattr(dc, "INDEX_BYTES", 2000)
+    assert len(list(dc.indexes(bench))) > 2
+    assert want and found() == want
