@@ -23,7 +23,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_hist.answers(token_hist.histogram(table(spark, sf_dir, "documents")))
+    return token_hist.report(token_hist.histogram(table(spark, sf_dir, "documents")))
 
 
 def op5_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, pieces
+from .common import ids_and_texts, pieces, settled
 from .tokens import encoder
 
 #: Lengths are dealt out in ranges of so many values.
 RANGE = 1024
 QUANTILES = (0.25, 0.5, 0.75, 0.9, 0.99)
+#: Context limits of the report.
+LIMITS = (512, 1024, 2048, 4096, 8192)
 
 
 def lengths(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -122,3 +124,14 @@ def truncated(answered: DataFrame, limits: list[int]) -> DataFrame:
         lost = m - d * F.lit(limit)
         rows.append(F.struct(F.lit(limit).cast("long").alias("limit"), d.alias("docs_over"), (F.col("t") - lost).alias("kept_tokens"), lost.alias("lost_tokens")))
     return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
+def report(hist: DataFrame, points: tuple[float, ...] = QUANTILES, limits: tuple[int, ...] = LIMITS) -> DataFrame:
+    """The answers, and on every row the quantiles (``quantile_50``, ...) and, for each limit, the documents
+    over it and the ids kept and lost there (``docs_over_512``, ``kept_at_512``, ``lost_at_512``, ...)."""
+    answered = answers(settled(hist, "token-histogram"))
+    q, t = quantiles(answered, points), truncated(answered, list(limits))
+    of = lambda c, key, v: F.max(F.when(F.col(key) == F.lit(v), F.col(c)))
+    one = q.agg(*[of("n_tokens", "quantile", p).alias(f"quantile_{p * 100:g}") for p in points])
+    two = t.agg(*[of(c, "limit", k).alias(f"{c.split('_')[0]}_{'over' if c == 'docs_over' else 'at'}_{k}") for k in limits for c in ("docs_over", "kept_tokens", "lost_tokens")])
+    return answered.crossJoin(F.broadcast(one)).crossJoin(F.broadcast(two))

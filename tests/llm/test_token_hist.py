@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 
 from ledgerlake.llm import token_hist, tokens
@@ -37,3 +39,19 @@ def test_answers(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert token_hist.answers(token_hist.histogram(docs)).count() == 0
+
+
+def test_query_has_quantiles_and_limits(spark, tmp_path):
+    from ledgerlake.llm import queries
+
+    texts = [" ".join(["word"] * k) for k in range(1, 1500, 7)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op4_token_counts(spark, str(tmp_path)).collect()
+    n = sorted(r.n_tokens for r in token_hist.lengths(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect())
+    assert len(rows) == len(set(n))
+    for r in rows:
+        assert (r.quantile_25, r.quantile_50, r.quantile_99) == tuple(n[math.ceil(p * len(n)) - 1] for p in (0.25, 0.5, 0.99))
+        for limit in (512, 1024, 8192):
+            assert r[f"docs_over_{limit}"] == sum(x > limit for x in n)
+            assert r[f"kept_at_{limit}"] == sum(min(x, limit) for x in n)
+            assert r[f"lost_at_{limit}"] == sum(max(0, x - limit) for x in n)
