@@ -11,6 +11,7 @@ class Settings:
     listing_paths: tuple[str, ...] = ("/list", "/top")
     item_path: str = "/view"
     key_param: str = "key"
+    key_field: str = "viewkey"
     class_param: str = "c"
     preferred_class: str = "visible"
     page_param: str = "page"
@@ -22,6 +23,9 @@ class Settings:
     default_extension: str = "mp4"
     safe_kinds: tuple[str, ...] = ("media_mismatch", "media_unavailable")
     mismatch_phrase: str = "does not match the listing"
+    unavailable_text: str = "media is not available"
+    signature_keys: tuple[str, ...] = ("st", "f", "e", "sig", "signature", "token")
+    playable_extensions: tuple[str, ...] = ("mp4", "m4v", "webm")
     challenge_marks: tuple[str, ...] = ("just a moment", "checking your browser", "captcha")
     score_weights: dict[str, int] = field(default_factory=lambda: {"consistent": 16, "preferred": 8, "title": 2, "thumbnail": 1, "duration": 1})
     stale_hours: float = 26.0

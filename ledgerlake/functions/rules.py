@@ -72,20 +72,25 @@ def run_result(crawl_exit: Column, download_exit: Column, listing_failures: Colu
 
 
 def repair_result(download_exit: Column, unresolved: Column, failed: Column) -> Column:
-    return F.when((download_exit == 0) & (unresolved == 0) & (failed == 0), F.lit("success")).otherwise(F.lit("attention"))
+    return F.when((download_exit == 0) & (unresolved == 0) & (failed == 0), F.lit("success")).otherwise(F.lit("failed"))
 
 
-def failure_kind(error: Column, settings: Settings = DEFAULT) -> Column:
-    """Kind of a recorded error text."""
-    e = F.lower(F.coalesce(error, F.lit("")))
-    return (
-        F.when(e.contains("challenge"), F.lit("auth_challenge"))
-        .when(e.contains(settings.mismatch_phrase.lower()), F.lit("media_mismatch"))
-        .when(e.contains("no media") | e.contains("unavailable"), F.lit("media_unavailable"))
-        .when(e.contains("timeout") | e.contains("http") | e.contains("connection"), F.lit("request_error"))
-        .when(e.contains("download"), F.lit("download_error"))
-        .otherwise(F.lit("resolve_error"))
-    )
+#: Kinds by the class of error that ended a download.
+CAUSES = {"challenge": "auth_challenge", "mismatch": "media_mismatch", "unavailable": "media_unavailable"}
+
+
+def failure_kind(cause: Column, error: Column, settings: Settings = DEFAULT) -> Column:
+    """Kind of a download's failure: by the class of its cause, else by the phrase of older texts."""
+    out = F.when(F.contains(F.coalesce(error, F.lit("")), F.lit(settings.mismatch_phrase)), F.lit("media_mismatch")).otherwise(F.lit("download_error"))
+    for name, kind in CAUSES.items():
+        out = F.when(cause == name, F.lit(kind)).otherwise(out)
+    return out
+
+
+def blocked_kind(kind: Column, error: Column, settings: Settings = DEFAULT) -> Column:
+    """Safe kind of a row: its own, else a mismatch by the text that older rows have, else null."""
+    by_text = F.coalesce(F.contains(error, F.lit(settings.mismatch_phrase)), F.lit(False))
+    return F.when(kind.isin(*settings.safe_kinds), kind).when(by_text, F.lit("media_mismatch"))
 
 
 def safe_block(kind: Column, error: Column, settings: Settings = DEFAULT) -> Column:
@@ -95,8 +100,8 @@ def safe_block(kind: Column, error: Column, settings: Settings = DEFAULT) -> Col
 
 def manifest_block_kind(status: Column, kind: Column, error: Column, settings: Settings = DEFAULT) -> Column:
     """Kind under which a manifest row blocks its key, else null: failed rows only for a mismatch."""
-    mismatch = (kind == "media_mismatch") | F.coalesce(error.contains(settings.mismatch_phrase), F.lit(False))
-    return F.when((status == "blocked") & kind.isin(*settings.safe_kinds), kind).when(status.isin("failed", "blocked") & mismatch, F.lit("media_mismatch"))
+    found = blocked_kind(kind, error, settings)
+    return F.when((status == "blocked") | ((status == "failed") & (found == "media_mismatch")), found)
 
 
 def challenge_page(html: Column, settings: Settings = DEFAULT) -> Column:
@@ -112,6 +117,11 @@ def identity_mismatch(expected: Column, observed: Column) -> Column:
     return ~blank(expected) & (F.size(observed) > 0) & ~F.array_contains(observed, expected)
 
 
+def blocked_only(failed: Column, blocked: Column, true_failures: Column) -> Column:
+    """Whether a repair left nothing behind but safe blocks."""
+    return (blocked > 0) & (true_failures == 0) & (failed <= blocked)
+
+
 def block_predates(confirmed_at: Column, credential_at: Column) -> Column:
     """Whether a block is older than the credential: an unknown block time counts as older, a blank credential as never."""
     return F.when(blank(credential_at) | epoch_of(credential_at).isNull(), F.lit(False)).otherwise(F.coalesce(epoch_of(confirmed_at) < epoch_of(credential_at), F.lit(True)))

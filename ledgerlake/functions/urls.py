@@ -116,6 +116,19 @@ def accepted_media(url: Column, settings: Settings = DEFAULT) -> Column:
     return F.lower(url).startswith("https://") & extension(url).isin(*settings.media_extensions) & public_host(host(url))
 
 
+def media_score(url: Column, settings: Settings = DEFAULT) -> Column:
+    """What makes an address the better one: how many signature parameters it has, then a playable extension."""
+    names = F.array_distinct(F.transform(pairs(url), lambda p: F.lower(_decoded(F.substring_index(p, "=", 1)))))
+    signed = F.size(F.array_intersect(names, F.array(*[F.lit(k) for k in settings.signature_keys])))
+    return F.struct(signed.alias("signed"), extension(url).isin(*settings.playable_extensions).cast("int").alias("playable"))
+
+
+def choose_media(urls: Column, settings: Settings = DEFAULT) -> Column:
+    """The first of the best addresses of an array; blank for none."""
+    ranked = F.transform(urls, lambda u, i: F.struct(media_score(u, settings).alias("score"), (-i).alias("place"), u.alias("url")))
+    return F.coalesce(F.array_max(ranked)["url"], F.lit(""))
+
+
 def listing_problem(url: Column, settings: Settings = DEFAULT) -> Column:
     """Why a listing URL is out of scope, null if it is in scope."""
     return (

@@ -89,6 +89,12 @@ def asset_owners(items: DataFrame, assets: DataFrame) -> DataFrame:
     return out.withColumn("is_duplicate", F.coalesce(F.col("owner") != F.col("key"), F.lit(False)))
 
 
+def adopted_assets(assets: DataFrame, adoptions: DataFrame) -> DataFrame:
+    """(asset, key) after adoptions (ord, asset, key): the last one of an asset gives its owner; blanks change nothing."""
+    last = adoptions.filter(~blank(F.col("asset")) & ~blank(F.col("key"))).groupBy("asset").agg(F.max(F.struct("ord", "key"))["key"].alias("new"))
+    return assets.join(last, "asset", "full_outer").select("asset", F.coalesce("new", "key").alias("key"))
+
+
 def asset_backfill(hashes: DataFrame, logged: DataFrame, assets: DataFrame) -> DataFrame:
     """New (asset, key): of logged assets whose key has one hash alone and that nobody owns; the first row wins."""
     single = hashes.groupBy("key").agg(F.count_distinct("hash").alias("n")).filter("n = 1").select("key")

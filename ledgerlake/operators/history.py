@@ -26,10 +26,11 @@ def latest(events: DataFrame, order: str = "line_no", by: list[str] | None = Non
 
 
 def latest_success_of_day(events: DataFrame, day: str) -> DataFrame:
-    """Last successful crawl that began or was written on a day."""
+    """Last run of a day that asked for downloads and ended well: both exit codes 0 and the result a success."""
     e = described(events)
-    when = F.to_date(timestamp_of(F.coalesce("timestamp", "startedAt")))
-    return latest(e.filter((F.col("task") == "crawl") & (F.col("result") == "success") & (when == F.to_date(F.lit(day)))))
+    when = F.to_date(timestamp_of(F.col("timestamp")))
+    ended = (F.col("crawlExitCode").try_cast("int") == 0) & (F.col("downloadExitCode").try_cast("int") == 0) & F.col("downloadRequested")
+    return latest(e.filter(ended & (F.col("result") == "success") & (when == F.to_date(F.lit(day)))))
 
 
 def latest_manual_crawl(events: DataFrame) -> DataFrame:

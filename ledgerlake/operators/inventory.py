@@ -5,18 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, percent
-from .queueing import flag
+from ..config import DEFAULT, Settings
+from ..functions.rules import blocked_kind
+from ..functions.text import blank
 
 STATES = ("completed", "ignored", "resolved", "unresolved", "blocked", "current_error", "backlog")
 
 
+def bit_flags(items: DataFrame, sets: list[tuple[DataFrame, str]]) -> DataFrame:
+    """``items`` with a boolean for each key set: the sets are united with a bit each, summed up by key and joined once."""
+    bits = [keys.select("key", F.lit(1 << k).alias("bit")) for k, (keys, _) in enumerate(sets)]
+    one = bits[0]
+    for other in bits[1:]:
+        one = one.unionByName(other)
+    mask = F.coalesce("_mask", F.lit(0))
+    out = items.join(one.groupBy("key").agg(F.bit_or("bit").alias("_mask")), "key", "left")
+    return out.withColumns({name: mask.bitwiseAND(F.lit(1 << k)) > 0 for k, (_, name) in enumerate(sets)}).drop("_mask")
+
+
 def states(items: DataFrame, success: DataFrame, files: DataFrame, ignored: DataFrame, resolver_blocked: DataFrame, manifest_blocked: DataFrame, attempted_now: DataFrame | None = None) -> DataFrame:
     """Items with a boolean for each set they are in."""
-    out = items
-    for keys, name in ((success, "in_success"), (files, "has_file"), (ignored, "is_ignored"), (resolver_blocked, "by_resolver"), (manifest_blocked, "by_manifest")):
-        out = flag(out, keys, name)
-    out = flag(out, attempted_now, "now") if attempted_now is not None else out.withColumn("now", F.lit(False))
+    sets = [(success, "in_success"), (files, "has_file"), (ignored, "is_ignored"), (resolver_blocked, "by_resolver"), (manifest_blocked, "by_manifest")]
+    out = bit_flags(items, sets + ([(attempted_now, "now")] if attempted_now is not None else []))
+    out = out if attempted_now is not None else out.withColumn("now", F.lit(False))
     c = F.col
     out = out.withColumn("completed", c("in_success") | c("has_file"))
     out = out.withColumn("resolved", (~blank(c("media_url")) | c("completed")) & ~c("is_ignored"))
@@ -52,17 +63,25 @@ def pending_list(partials: DataFrame, waiting: DataFrame, n: int, busy: bool = F
     return a.unionByName(b).orderBy("section", "ord", "key").limit(n)
 
 
-def active_downloads(partials: DataFrame, progress: DataFrame) -> DataFrame:
-    """Partial files and gauges by key, whichever side has it."""
+def active_downloads(partials: DataFrame, progress: DataFrame, active: bool = True) -> DataFrame:
+    """Partial files and gauges by key, whichever side has it, while a task is active; else no rows.
+
+    Bytes are the gauge's, or the file's where the gauge has none; without a total there is no share.
+    """
     p = partials.select("key", F.col("size_bytes").alias("partial_bytes"))
     g = progress.select("key", "bytes_done", "bytes_total")
-    out = p.join(g, "key", "full_outer")
-    done = F.greatest(F.coalesce("partial_bytes", F.lit(0)), F.coalesce("bytes_done", F.lit(0)))
-    return out.select("key", done.alias("bytes_done"), F.coalesce("bytes_total", F.lit(0)).alias("bytes_total"), F.least(F.lit(100.0), percent(done, F.col("bytes_total"))).alias("percent"))
+    out = p.join(g, "key", "full_outer").filter(F.lit(active))
+    done = F.coalesce(F.nullif("bytes_done", F.lit(0)), "partial_bytes", F.lit(0))
+    share = F.round(100.0 * done / F.nullif("bytes_total", F.lit(0)), 1)
+    return out.select("key", done.alias("bytes_done"), F.coalesce("bytes_total", F.lit(0)).alias("bytes_total"), share.alias("percent"))
+
 
+def blocked_kinds(failures: DataFrame, manifest_kinds: DataFrame, blocked: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Kind of each blocked key: the resolver's first safe one, else the manifest's last, else unclassified.
 
-def blocked_kinds(failures: DataFrame, manifest_kinds: DataFrame, blocked: DataFrame) -> DataFrame:
-    """Kind of each blocked key: the resolver's first, else the manifest's last, else unclassified."""
-    r = failures.filter("kind is not null").groupBy("key").agg(F.min(F.struct("ord", "kind"))["kind"].alias("rk"))
+    ``failures``: ord, key, kind, error; the phrase in a text stands for a mismatch.
+    """
+    safe = failures.withColumn("kind", blocked_kind(F.col("kind"), F.col("error"), settings))
+    r = safe.filter("kind is not null").groupBy("key").agg(F.min(F.struct("ord", "kind"))["kind"].alias("rk"))
     m = manifest_kinds.filter("kind is not null").groupBy("key").agg(F.max(F.struct("ord", "kind"))["kind"].alias("mk"))
     return blocked.select("key").join(r, "key", "left").join(m, "key", "left").select("key", F.coalesce("rk", "mk", F.lit("unclassified")).alias("kind"))

@@ -2,26 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import first_present
+from ..config import DEFAULT, Settings
+from ..functions.text import first_present, valid_key
+from ..functions.urls import asset_id
 from .ranking import first_by_aggregate
 
 
-def blocked_upsert(ledger: DataFrame, new: DataFrame) -> DataFrame:
-    """Blocks by key: the first time stays, the last time and the reason follow the newest row."""
+def blocked_upsert(ledger: DataFrame, items: DataFrame, failures: DataFrame, now: str, settings: Settings = DEFAULT) -> DataFrame:
+    """Blocks by key after safe failures of listed items: the first time stays, all else follows the last failure.
+
+    ``failures``: ord, key, kind, error. Other kinds, unlisted and invalid keys change nothing. The expected asset is
+    that of the item's thumbnail now, blank too.
+    """
+    safe = failures.filter(F.col("kind").isin(*settings.safe_kinds) & valid_key(F.col("key"), settings))
+    last = safe.groupBy("key").agg(F.max(F.struct("ord", "kind", "error")).alias("n"))
+    listed = items.select("key", asset_id(F.col("thumbnail_url")).alias("n_asset")).groupBy("key").agg(F.max("n_asset").alias("n_asset"))
+    new = last.join(listed, "key").select("key", "n_asset", first_present(F.col("n.error"), F.lit(settings.unavailable_text)).alias("n_error"), F.col("n.kind").alias("n_kind"), F.lit(True).alias("fresh"))
     old = ledger.select("key", *[F.col(c).alias(f"o_{c}") for c in ("expected_asset", "error", "kind", "first_seen_at", "last_seen_at")])
-    now = new.select("key", *[F.col(c).alias(f"n_{c}") for c in ("expected_asset", "error", "kind", "seen_at")])
-    out = old.join(now, "key", "full_outer")
-    return out.select(
-        "key",
-        first_present(F.col("n_expected_asset"), F.col("o_expected_asset")).alias("expected_asset"),
-        F.coalesce("n_error", "o_error").alias("error"),
-        F.coalesce("n_kind", "o_kind").alias("kind"),
-        F.coalesce("o_first_seen_at", "n_seen_at").alias("first_seen_at"),
-        F.coalesce("n_seen_at", "o_last_seen_at").alias("last_seen_at"),
-    )
+    out = old.join(new, "key", "full_outer")
+
+    def pick(n: Column, o: str) -> Column:
+        return F.when(F.col("fresh"), n).otherwise(F.col(f"o_{o}")).alias(o)
+
+    at = F.lit(now)
+    return out.select("key", pick(F.col("n_asset"), "expected_asset"), pick(F.col("n_error"), "error"), pick(F.col("n_kind"), "kind"), pick(first_present(F.col("o_first_seen_at"), at), "first_seen_at"), pick(at, "last_seen_at"))
 
 
 def history_upsert(archive: DataFrame, current: DataFrame, current_wins: bool = True) -> DataFrame:

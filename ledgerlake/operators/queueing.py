@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.rules import block_predates, queue_class, safe_block
-from ..functions.text import blank, first_present, valid_key
+from ..functions.text import blank, first_present
+from ..functions.urls import asset_id
+from .inventory import bit_flags
 from .ranking import first_per
 
 _BACKFILL = ("title", "thumbnail_url", "duration", "media_url", "resolved_at")
@@ -27,25 +29,33 @@ def backfilled(items: DataFrame, history: DataFrame) -> DataFrame:
 
 def classified(items: DataFrame, history: DataFrame, success: DataFrame, ignored: DataFrame, files: DataFrame | None, new_only: bool = False) -> DataFrame:
     """Items with ``queue_class``; ignored ones lose their media fields after the backfill."""
-    out = flag(flag(backfilled(items, history), ignored, "is_ignored"), success, "is_success")
-    out = flag(out, files, "has_file") if files is not None else out.withColumn("has_file", F.lit(False))
+    sets = [(ignored, "is_ignored"), (success, "is_success")]
+    out = bit_flags(backfilled(items, history), sets + ([(files, "has_file")] if files is not None else []))
+    out = out if files is not None else out.withColumn("has_file", F.lit(False))
     state = queue_class(F.col("is_ignored"), F.col("is_success"), F.col("seen"), ~blank(F.col("media_url")), F.col("has_file"), new_only, files is not None)
     cleared = {c: F.when(F.col("is_ignored"), F.lit("")).otherwise(F.col(c)) for c in ("media_url", "resolved_at")}
     return out.withColumn("queue_class", state).withColumns(cleared)
 
 
 def queue_counts(rows: DataFrame) -> DataFrame:
+    """Items by what happens to them; ignored ones also count as skipped."""
     c = F.col("queue_class")
-    return rows.agg(*[F.count_if(c == k).alias(n) for k, n in (("new", "n_new"), ("retry", "n_retry"), ("skip", "n_skipped"), ("ignored", "n_ignored"))])
+    return rows.agg(*[F.count_if(c.isin(*k)).alias(n) for k, n in ((("new",), "n_new"), (("retry",), "n_retry"), (("skip", "ignored"), "n_skipped"), (("ignored",), "n_ignored"))])
 
 
-def matching_blocks(items: DataFrame, blocked: DataFrame, success: DataFrame, credential_at: str = "") -> DataFrame:
-    """Blocks that still hold for listed items: same asset as far as known, not older than the credential, no success."""
+def matching_blocks(items: DataFrame, blocked: DataFrame, success: DataFrame, credential_at: str = "", settings: Settings = DEFAULT) -> DataFrame:
+    """Blocks that still hold for listed items: same asset as far as known, not older than the credential, no success.
+
+    The listed asset is that of the thumbnail; the time of a block is when it was last seen, or first.
+    Kinds that are not safe read as a mismatch, and blank texts as the usual one.
+    """
     b = blocked.alias("b")
-    i = items.select("key", F.col("asset_id").alias("listed_asset"))
+    i = items.select("key", asset_id(F.col("thumbnail_url")).alias("listed_asset"))
     differ = ~blank(F.col("listed_asset")) & ~blank(F.col("b.expected_asset")) & (F.col("listed_asset") != F.col("b.expected_asset"))
-    older = block_predates(F.col("b.last_seen_at"), F.lit(credential_at))
-    out = i.join(b, (i["key"] == F.col("b.key")) & ~differ & ~older).select("b.*", "listed_asset")
+    older = block_predates(first_present(F.col("b.last_seen_at"), F.col("b.first_seen_at")), F.lit(credential_at))
+    kind = F.when(F.col("b.kind").isin(*settings.safe_kinds), F.col("b.kind")).otherwise(F.lit("media_mismatch"))
+    named = {"kind": kind, "error": first_present(F.col("b.error"), F.lit(settings.unavailable_text))}
+    out = i.join(b, (i["key"] == F.col("b.key")) & ~differ & ~older).select(*[named.get(c, F.col(f"b.{c}")).alias(c) for c in blocked.columns], "listed_asset")
     return out.join(success.select("key"), "key", "left_anti")
 
 
@@ -53,10 +63,10 @@ def pruned_blocks(blocked: DataFrame, success: DataFrame) -> DataFrame:
     return blocked.join(success.select("key"), "key", "left_anti")
 
 
-def repair_candidates(items: DataFrame, completed: DataFrame, blocked: DataFrame, retryable: DataFrame, ignored: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Items without media that may be tried again, first row of each key."""
+def repair_candidates(items: DataFrame, completed: DataFrame, blocked: DataFrame, retryable: DataFrame, ignored: DataFrame) -> DataFrame:
+    """Items with a key that are not done, blocked for good or ignored, first row of each key."""
     shut = blocked.select("key").join(retryable.select("key"), "key", "left_anti")
-    out = items.filter(valid_key(F.col("key"), settings) & blank(F.col("media_url")))
+    out = items.filter(~blank(F.col("key")))
     for keys in (completed, shut, ignored):
         out = out.join(keys.select("key"), "key", "left_anti")
     return first_per(out, ["key"], ["ord"])

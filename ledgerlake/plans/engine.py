@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.urls import canonical_url
-from ..operators import dedupe, history, inventory, ledger, queueing
+from ..operators import dedupe, history, inventory, ledger, queueing, ranking
 from ..sources import pages as pages_
 from ..sources.ledgers import digest
+from . import runs
 from . import snapshot as snapshot_
 
 
@@ -32,19 +33,25 @@ class Engine:
         finished = history_.join(success, "key", "left_semi")
         same = dedupe.asset_duplicates(items, finished)
         done = success.select("key").union(same.select("key")).distinct()
-        held = queueing.matching_blocks(items, blocks, done, credential_at)
+        held = queueing.matching_blocks(items, blocks, done, credential_at, self.settings)
         free = items.join(held.select("key"), "key", "left_anti")
         return {"cards": cards, "items": items, "links": inventory.link_counts(cards), "blocked": held, "success": done, "queue": queueing.classified(free, history_, done, ignored, files, new_only)}
 
-    def apply_outcomes(self, items: DataFrame, results: DataFrame, failures: DataFrame, blocked: DataFrame, success: DataFrame, content: DataFrame) -> dict[str, DataFrame]:
+    def apply_outcomes(self, items: DataFrame, results: DataFrame, failures: DataFrame, blocked: DataFrame, success: DataFrame, content: DataFrame, now: str) -> dict[str, DataFrame]:
         """Outcomes into ledgers: content claims, blocks, successes, counters."""
         claims = dedupe.content_claims(results.filter("status = 'downloaded'").select("ord", "key", F.col("sha256").alias("hash")), content)
-        safe = queueing.safe_failures(failures, self.settings)
         good = results.filter(F.col("status").isin("downloaded", "skipped", "duplicate")).select("key")
-        return {"claims": claims, "blocked": ledger.blocked_upsert(blocked, safe), "success": success.select("key").union(good).distinct(), "counts": history.outcome_counts(results)}
+        return {"claims": claims, "blocked": ledger.blocked_upsert(blocked, items, failures, now, self.settings), "success": success.select("key").union(good).distinct(), "counts": history.outcome_counts(results)}
 
     def repair_candidates(self, items: DataFrame, completed: DataFrame, blocked: DataFrame, retryable: DataFrame, ignored: DataFrame) -> DataFrame:
-        return queueing.repair_candidates(items, completed, blocked, retryable, ignored, self.settings)
+        return queueing.repair_candidates(items, completed, blocked, retryable, ignored)
+
+    def summarise_run(self, run: runs.Run, manifest: DataFrame, failures: DataFrame, listing_failures: DataFrame) -> DataFrame:
+        return runs.summarise_run(run, manifest, failures, listing_failures, self.settings)
+
+    def retain(self, versions: DataFrame, *order) -> DataFrame:
+        """The versions that stay, newest first by ``order``."""
+        return ranking.retained(versions, self.settings.retained_backups, *order)
 
     def snapshot(self, facts: DataFrame) -> DataFrame:
         return snapshot_.snapshot(facts, self.settings)

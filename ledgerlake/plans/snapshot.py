@@ -13,7 +13,7 @@ FACTS = {
     "listing_failures": "long", "event_listing_failures": "long", "n_items": "long", "raw_links": "long", "n_resolved": "long", "n_downloaded": "long",
     "n_blocked": "long", "n_ignored": "long", "n_mismatch": "long", "n_unavailable": "long", "n_current_errors": "long", "n_backlog": "long",
     "n_partials": "long", "n_manifest_failures": "long", "event_raw_links": "long", "event_unique": "long", "event_new": "long", "event_retry": "long",
-    "event_blocked": "long", "event_failed": "long", "event_downloaded": "long", "event_present": "long", "no_work": "boolean", "today_success": "boolean",
+    "today_listing_failures": "long", "event_blocked": "long", "event_failed": "long", "event_downloaded": "long", "event_present": "long", "no_work": "boolean", "today_success": "boolean",
 }
 
 
@@ -28,8 +28,15 @@ def facts(df: DataFrame) -> DataFrame:
     return df.select(*cols, *[c for c in df.columns if c not in FACTS])
 
 
-def _alert(when: Column, ord_: int, level: str, scope: str, code: str, n: Column) -> Column:
-    return F.when(when, F.struct(F.lit(ord_).alias("ord"), F.lit(level).alias("level"), F.lit(scope).alias("scope"), F.lit(code).alias("code"), n.cast("long").alias("n")))
+def _alert(when: Column, ord_: int, level: str, scope: str, code: str, n: Column, detail: Column | None = None) -> Column:
+    fields = (F.lit(ord_).alias("ord"), F.lit(level).alias("level"), F.lit(scope).alias("scope"), F.lit(code).alias("code"), n.cast("long").alias("n"))
+    return F.when(when, F.struct(*fields, (F.lit("") if detail is None else detail).alias("detail")))
+
+
+def blocked_reasons() -> Column:
+    """How many blocks there are of each reason, the unclassified last; reasons without any are left out."""
+    counts = (("mismatch", F.col("n_mismatch")), ("unavailable", F.col("n_unavailable")), ("unclassified", unclassified()))
+    return F.array_join(F.array_compact(F.array(*[F.when(n > 0, F.concat(n.cast("string"), F.lit(f" {name}"))) for name, n in counts])), ", ")
 
 
 def alerts_of(settings: Settings = DEFAULT) -> Column:
@@ -41,7 +48,7 @@ def alerts_of(settings: Settings = DEFAULT) -> Column:
         _alert(~c("has_snapshot"), 2, "error", "run", "snapshot_missing", F.lit(0)),
         _alert(F.coalesce(stale, F.lit(False)), 3, "warning", "run", "snapshot_stale", F.floor(F.coalesce("age_hours", F.lit(0.0)))),
         _alert(c("listing_failures") > 0, 4, "warning", "run", "listing_failures", c("listing_failures")),
-        _alert(c("n_blocked") > 0, 5, "success", "run", "blocked_skipped", c("n_blocked")),
+        _alert(c("n_blocked") > 0, 5, "success", "run", "blocked_skipped", c("n_blocked"), blocked_reasons()),
         _alert(c("n_current_errors") > 0, 6, "warning", "task", "unresolved_now", c("n_current_errors")),
         _alert(c("n_backlog") > 0, 7, "info", "backlog", "backlog", c("n_backlog")),
         _alert(c("n_ignored") > 0, 8, "info", "backlog", "ignored", c("n_ignored")),
@@ -53,22 +60,23 @@ def alerts_of(settings: Settings = DEFAULT) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(clear)
 
 
-def unclassified(df: DataFrame) -> Column:
+def unclassified() -> Column:
     return F.greatest(F.lit(0), F.col("n_blocked") - F.col("n_mismatch") - F.col("n_unavailable"))
 
 
-def run_status(settings: Settings = DEFAULT) -> Column:
-    """active, ready or attention."""
+def run_status() -> Column:
+    """active, ready or attention; reads the column ``alerts``."""
     c = F.col
-    attention = F.exists(alerts_of(settings), lambda a: (a["scope"] != "backlog") & a["level"].isin("warning", "error"))
+    attention = F.exists(c("alerts"), lambda a: (a["scope"] != "backlog") & a["level"].isin("warning", "error"))
     handled = (c("n_items") == 0) | (c("n_downloaded") + c("n_blocked") + c("n_ignored") == c("n_items"))
     ready = ((c("event_task") == "crawl") & (c("event_result") == "success") & ~attention) | ((c("event_result") == "success") & ~attention & handled) | ((c("event_result") == "none") & (c("n_items") > 0) & handled & ~attention)
     return F.when(c("active"), F.lit("active")).when(ready, F.lit("ready")).otherwise(F.lit("attention"))
 
 
 def completed_today() -> Column:
+    """A property of today's successful run, not of the latest one: its own listing failures count."""
     c = F.col
-    return c("today_success") & ~c("active") & (c("n_partials") == 0) & (c("n_current_errors") == 0) & (c("n_manifest_failures") == 0)
+    return c("today_success") & (c("today_listing_failures") == 0) & ~c("active") & (c("n_partials") == 0) & (c("n_current_errors") == 0) & (c("n_manifest_failures") == 0)
 
 
 def _stage(ord_: int, name: str, status: Column | str, value: Column) -> Column:
@@ -111,7 +119,10 @@ def stages_of() -> Column:
 
 def snapshot(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Facts with ``alerts``, ``stages``, ``run_status`` and ``completed_today``."""
-    return facts(df).withColumns({"alerts": alerts_of(settings), "stages": stages_of(), "run_status": run_status(settings), "completed_today": completed_today()})
+    # Alerts are computed once; a generator keeps them from being repeated inside the status.
+    base = facts(df)
+    held = base.select(*base.columns, F.inline(F.array(F.struct(alerts_of(settings).alias("alerts")))))
+    return held.withColumns({"stages": stages_of(), "run_status": run_status(), "completed_today": completed_today()})
 
 
 def shown_progress(current: DataFrame, last: DataFrame) -> DataFrame:

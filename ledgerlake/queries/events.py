@@ -93,9 +93,14 @@ def latest_event_overall(t):
     return history.latest(t("events").select("event_id", "event_type", "user_id"), "event_id")
 
 
-@query("latest_success_of_day", "SELECT event_id, user_id FROM events WHERE event_type = 'purchase' AND CAST(ts AS DATE) = DATE '2024-01-15' ORDER BY event_id DESC LIMIT 1")
+@query("latest_success_of_day", "SELECT event_id, user_id FROM events WHERE event_type = 'purchase' AND CAST(ts AS DATE) = DATE '2024-01-15' AND event_id % 3 <> 0 AND event_id % 5 = 1 AND event_id % 7 <> 0 ORDER BY event_id DESC LIMIT 1")
 def latest_success_of_day(t):
-    e = t("events").select(F.col("event_id").alias("line_no"), F.col("ts").cast("string").alias("timestamp"), F.lit(None).cast("string").alias("startedAt"), F.lit("crawl").alias("taskType"), F.when(F.col("event_type") == "purchase", "success").otherwise("failed").alias("resultStatus"), F.lit("0").alias("crawlExitCode"), F.lit(None).cast("string").alias("downloadExitCode"), F.lit("0").alias("listingFailures"), "user_id")
+    """Downloads asked for (not each third), both exits 0 (or none, or 1), the result a success."""
+    n = F.col("event_id")
+    e = t("events").select(
+        n.alias("line_no"), F.col("ts").cast("string").alias("timestamp"), F.lit("2024-01-15").alias("startedAt"), F.when(n % 2 == 0, "crawl").alias("taskType"), F.when(F.col("event_type") == "purchase", "success").otherwise("attention").alias("resultStatus"),
+        F.when(n % 7 == 0, "1").otherwise("0").alias("crawlExitCode"), F.when(n % 5 == 1, "0").when(n % 5 == 2, "1").alias("downloadExitCode"), F.lit("0").alias("listingFailures"), (n % 3 != 0).alias("downloadRequested"), "user_id",
+    )
     return history.latest_success_of_day(e, "2024-01-15").select(F.col("line_no").alias("event_id"), "user_id")
 
 
@@ -107,7 +112,7 @@ def result_status_by_day(t):
     return day.select("day", rules.result_status(F.lit(None).cast("string"), (F.col("error") % 5).cast("string"), exit_, (F.col("signup") % 2).cast("string")).alias("result"))
 
 
-@query("run_result_by_day", """SELECT day, CASE WHEN e % 7 = 0 THEN 'failed' WHEN c % 2 > 0 OR s % 2 > 0 THEN 'attention' ELSE 'success' END AS result, CASE WHEN e % 2 = 0 AND c % 2 = 0 THEN 'success' ELSE 'attention' END AS repair FROM (
+@query("run_result_by_day", """SELECT day, CASE WHEN e % 7 = 0 THEN 'failed' WHEN c % 2 > 0 OR s % 2 > 0 THEN 'attention' ELSE 'success' END AS result, CASE WHEN e % 2 = 0 AND c % 2 = 0 THEN 'success' ELSE 'failed' END AS repair FROM (
 SELECT CAST(ts AS DATE) AS day, count(*) FILTER (WHERE event_type = 'error') AS e, count(*) FILTER (WHERE event_type = 'click') AS c, count(*) FILTER (WHERE event_type = 'signup') AS s FROM events GROUP BY 1)""")
 def run_result_by_day(t):
     day = t("events").groupBy(F.to_date("ts").alias("day")).agg(*[F.count_if(F.col("event_type") == k).alias(k) for k in ("error", "click", "signup")])
@@ -127,10 +132,12 @@ def failure_summary(t):
     return history.failure_counts(t("events").select(kind.alias("kind"), F.lit("").alias("error")))
 
 
-@query("failure_kinds", """SELECT event_id, CASE event_type WHEN 'error' THEN 'auth_challenge' WHEN 'signup' THEN 'media_mismatch' WHEN 'click' THEN 'media_unavailable' WHEN 'view' THEN 'request_error' ELSE 'resolve_error' END AS kind, event_type = 'signup' AS safe FROM events""")
+@query("failure_kinds", """SELECT event_id, CASE WHEN event_type = 'error' THEN 'auth_challenge' WHEN event_type = 'signup' THEN 'media_mismatch' WHEN event_type = 'click' THEN 'media_unavailable' WHEN event_id % 3 = 0 THEN 'media_mismatch' ELSE 'download_error' END AS kind, event_id % 3 = 0 AS safe FROM events""")
 def failure_kinds(t):
-    error = F.when(F.col("event_type") == "error", "Challenge page").when(F.col("event_type") == "signup", "x does not match the listing").when(F.col("event_type") == "click", "no media on page").when(F.col("event_type") == "view", "HTTP 503").otherwise("odd")
-    return t("events").select("event_id", rules.failure_kind(error).alias("kind"), rules.safe_block(F.lit(None).cast("string"), error).alias("safe"))
+    """Causes go before texts; what neither tells of is an error of the download."""
+    cause = F.when(F.col("event_type") == "error", "challenge").when(F.col("event_type") == "signup", "mismatch").when(F.col("event_type") == "click", "unavailable").when(F.col("event_type") == "view", "")
+    error = F.when(F.col("event_id") % 3 == 0, "page does not match the listing").when(F.col("event_id") % 3 == 1, "HTTP 503")
+    return t("events").select("event_id", rules.failure_kind(cause, error).alias("kind"), rules.safe_block(F.lit(None).cast("string"), error).alias("safe"))
 
 
 @query("blocked_distinct", "SELECT count(DISTINCT user_id) AS n FROM events WHERE event_type = 'signup' OR (event_type = 'error' AND event_id % 2 = 0)")
@@ -156,10 +163,11 @@ def newest_manifest(t):
 
 
 @query("manifest_block_kinds", """SELECT user_id AS key, kind FROM (SELECT user_id, kind, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM (
-SELECT user_id, event_id, CASE WHEN event_type = 'signup' THEN 'media_unavailable' WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'media_mismatch' END AS kind FROM events) WHERE kind IS NOT NULL) WHERE rn = 1""")
+SELECT user_id, event_id, CASE WHEN event_type NOT IN ('signup', 'error') THEN NULL WHEN event_id % 4 = 0 THEN CASE WHEN event_type = 'signup' THEN 'media_unavailable' END WHEN event_id % 4 = 1 THEN 'media_mismatch' WHEN event_id % 5 = 0 THEN 'media_mismatch' END AS kind FROM events) WHERE kind IS NOT NULL) WHERE rn = 1""")
 def manifest_block_kinds(t):
-    kind = F.when(F.col("event_type") == "signup", "media_unavailable").when(F.col("event_id") % 3 == 0, "media_mismatch").otherwise("media_unavailable")
-    k = rules.manifest_block_kind(status(), kind, F.lit(""))
+    """The row's own kind goes before the phrase in its text: a failed row that is merely unavailable blocks nothing."""
+    kind = F.when(F.col("event_id") % 4 == 0, "media_unavailable").when(F.col("event_id") % 4 == 1, "media_mismatch").when(F.col("event_id") % 4 == 2, "request_error")
+    k = rules.manifest_block_kind(status(), kind, F.when(F.col("event_id") % 5 == 0, "it does not match the listing").otherwise(""))
     return history.latest(t("events").select(F.col("user_id").alias("key"), k.alias("kind"), "event_id").filter("kind is not null"), "event_id", ["key"]).select("key", "kind")
 
 
@@ -199,32 +207,19 @@ def log_names(t):
     return t("events").select("event_id", rules.log_time(name).cast("timestamp_ntz").alias("logged_at"))
 
 
-@query("active_outer_join", """WITH p AS (SELECT user_id AS key, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS a FROM events WHERE event_type = 'error' AND event_id % 40 < 3 GROUP BY 1),
-g AS (SELECT user_id AS key, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS d, CAST(sum(CAST(floor(value) AS BIGINT)) * 2 AS BIGINT) AS t FROM events WHERE event_type = 'click' AND event_id % 40 < 3 GROUP BY 1)
-SELECT coalesce(p.key, g.key) AS key, greatest(coalesce(a, 0), coalesce(d, 0)) AS bytes_done, coalesce(t, 0) AS bytes_total,
-least(100.0, coalesce(round(100.0 * greatest(coalesce(a, 0), coalesce(d, 0)) / nullif(t, 0), 1), 0.0)) AS percent FROM p FULL JOIN g ON p.key = g.key""")
+@query("active_outer_join", f"""WITH p AS (SELECT {KEY} AS key, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS a FROM events WHERE event_type = 'error' GROUP BY 1),
+g AS (SELECT {KEY} AS key, CAST(sum(CASE WHEN event_id % 2 = 0 THEN CAST(floor(value) AS BIGINT) ELSE 0 END) AS BIGINT) AS d, CAST(sum(CASE WHEN event_id % 3 = 0 THEN 0 ELSE CAST(floor(value / 2) AS BIGINT) END) AS BIGINT) AS t FROM events WHERE event_type = 'click' GROUP BY 1),
+j AS (SELECT coalesce(p.key, g.key) AS key, CASE WHEN coalesce(d, 0) <> 0 THEN d ELSE coalesce(a, 0) END AS done, coalesce(t, 0) AS total FROM p FULL JOIN g ON p.key = g.key)
+SELECT key, done AS bytes_done, total AS bytes_total, CASE WHEN total <> 0 THEN round(100.0 * done / total, 1) END AS percent FROM j""")
 def active_outer_join(t):
-    from ..operators.inventory import active_downloads
-
-    e = t("events").filter("event_id % 40 < 3")
-    b = F.sum(F.floor("value").cast("long"))
-    p = e.filter("event_type = 'error'").groupBy(F.col("user_id").alias("key")).agg(b.alias("size_bytes"))
-    g = e.filter("event_type = 'click'").groupBy(F.col("user_id").alias("key")).agg(b.alias("bytes_done"), (b * 2).alias("bytes_total"))
-    return active_downloads(p, g)
-
-
-@query("active_outer_join_all", f"""WITH p AS (SELECT {KEY} AS key, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS a FROM events WHERE event_type = 'error' GROUP BY 1),
-g AS (SELECT {KEY} AS key, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS d, CAST(sum(CAST(floor(value) AS BIGINT)) * 2 AS BIGINT) AS t FROM events WHERE event_type = 'click' GROUP BY 1)
-SELECT coalesce(p.key, g.key) AS key, greatest(coalesce(a, 0), coalesce(d, 0)) AS bytes_done, coalesce(t, 0) AS bytes_total,
-least(100.0, coalesce(round(100.0 * greatest(coalesce(a, 0), coalesce(d, 0)) / nullif(t, 0), 1), 0.0)) AS percent FROM p FULL JOIN g ON p.key = g.key""")
-def active_outer_join_all(t):
-    """All errors and clicks, by user and props; some pairs are on one side only."""
+    """Errors stand for files and clicks for gauges, by user and props: some keys are on one side only, some gauges
+    have no bytes or no total, some have more bytes than their total."""
     from ..operators.inventory import active_downloads
 
     e = t("events").withColumn("key", by_user_and_props())
-    b = F.sum(F.floor("value").cast("long"))
-    p = e.filter("event_type = 'error'").groupBy("key").agg(b.alias("size_bytes"))
-    g = e.filter("event_type = 'click'").groupBy("key").agg(b.alias("bytes_done"), (b * 2).alias("bytes_total"))
+    whole, half = F.floor("value").cast("long"), F.floor(F.col("value") / 2).cast("long")
+    p = e.filter("event_type = 'error'").groupBy("key").agg(F.sum(whole).alias("size_bytes"))
+    g = e.filter("event_type = 'click'").groupBy("key").agg(F.sum(F.when(F.col("event_id") % 2 == 0, whole).otherwise(0)).alias("bytes_done"), F.sum(F.when(F.col("event_id") % 3 == 0, 0).otherwise(half)).alias("bytes_total"))
     return active_downloads(p, g)
 
 

@@ -21,7 +21,7 @@ def facts(t):
         "day", result.alias("event_result"), (c("e") % 5 > 0).alias("has_snapshot"), (c("c") % 40).cast("double").alias("age_hours"), F.when(c("c") % 2 == 0, "crawl").otherwise("repair").alias("event_task"),
         (c("e") % 4).alias("listing_failures"), (c("e") % 4).alias("event_listing_failures"), (c("s") % 3).alias("n_blocked"), (c("v") % 2).alias("n_current_errors"), (c("p") % 2).alias("n_backlog"), (c("s") % 2).alias("n_ignored"),
         (c("e") % 2).alias("n_partials"), (c("p") % 3).alias("n_manifest_failures"), c("n").alias("event_raw_links"), (c("n") - c("c")).alias("event_unique"), c("p").alias("event_new"), c("v").alias("event_retry"), c("s").alias("event_blocked"), c("e").alias("event_failed"),
-        c("p").alias("event_downloaded"), c("v").alias("event_present"), c("n").alias("n_items"), c("n").alias("raw_links"), (c("n") - c("s")).alias("n_resolved"), (c("n") - (c("s") % 3) - (c("s") % 2)).alias("n_downloaded"), F.lit(True).alias("today_success"),
+        c("p").alias("event_downloaded"), c("v").alias("event_present"), c("n").alias("n_items"), c("n").alias("raw_links"), (c("n") - c("s")).alias("n_resolved"), (c("n") - (c("s") % 3) - (c("s") % 2)).alias("n_downloaded"), (c("c") % 5 > 0).alias("today_success"), F.when(c("v") % 4 == 1, 1).otherwise(0).alias("today_listing_failures"), F.when(c("s") % 3 == 2, 1).otherwise(0).alias("n_mismatch"), F.when(c("c") % 7 == 0, 1).otherwise(0).alias("n_unavailable"),
     )
 
 
@@ -37,11 +37,14 @@ _RULES = [
     ("9", "warning", "run", "partials_left", "partials > 0", "partials"),
     ("10", "error", "run", "downloads_failed", "mf > 0", "mf"),
 ]
-_A = " UNION ALL ".join(f"SELECT day, CAST({o} AS INT) AS ord, '{lv}' AS level, '{sc}' AS scope, '{code}' AS code, CAST({n} AS BIGINT) AS n FROM f WHERE {when}" for o, lv, sc, code, when, n in _RULES)
+_MIS, _UN = "CASE WHEN s % 3 = 2 THEN 1 ELSE 0 END", "CASE WHEN c % 7 = 0 THEN 1 ELSE 0 END"
+_LEFT = f"greatest(0, blocked - ({_MIS}) - ({_UN}))"
+_WHY = f"concat_ws(', ', CASE WHEN ({_MIS}) > 0 THEN ({_MIS}) || ' mismatch' END, CASE WHEN ({_UN}) > 0 THEN ({_UN}) || ' unavailable' END, CASE WHEN {_LEFT} > 0 THEN {_LEFT} || ' unclassified' END)"
+_A = " UNION ALL ".join(f"SELECT day, CAST({o} AS INT) AS ord, '{lv}' AS level, '{sc}' AS scope, '{code}' AS code, CAST({n} AS BIGINT) AS n, {_WHY if o == '5' else chr(39) * 2} AS detail FROM f WHERE {when}" for o, lv, sc, code, when, n in _RULES)
 _CLEAR = " AND ".join(f"NOT ({when})" for *_, when, _n in _RULES)
 
 
-@query("alerts", f"WITH f AS ({_F}) {_A} UNION ALL SELECT day, CAST(11 AS INT), 'success', 'run', 'all_clear', CAST(0 AS BIGINT) FROM f WHERE {_CLEAR}")
+@query("alerts", f"WITH f AS ({_F}) {_A} UNION ALL SELECT day, CAST(11 AS INT), 'success', 'run', 'all_clear', CAST(0 AS BIGINT), '' FROM f WHERE {_CLEAR}")
 def alerts(t):
     return snapshot.snapshot(facts(t)).select("day", F.explode("alerts").alias("a")).select("day", "a.*")
 
@@ -49,7 +52,7 @@ def alerts(t):
 _ATT = "(result = 'failed' OR NOT has_snapshot OR (has_snapshot AND age > 26) OR lf > 0 OR cur > 0 OR partials > 0 OR mf > 0)"
 
 
-@query("run_status", f"SELECT day, CASE WHEN result = 'success' AND NOT {_ATT} THEN 'ready' ELSE 'attention' END AS run_status, partials = 0 AND cur = 0 AND mf = 0 AS completed_today FROM ({_F})")
+@query("run_status", f"SELECT day, CASE WHEN result = 'success' AND NOT {_ATT} THEN 'ready' ELSE 'attention' END AS run_status, c % 5 > 0 AND v % 4 <> 1 AND partials = 0 AND cur = 0 AND mf = 0 AS completed_today FROM ({_F})")
 def run_status(t):
     return snapshot.snapshot(facts(t)).select("day", "run_status", "completed_today")
 
@@ -63,7 +66,22 @@ def stages(t):
     return snapshot.snapshot(facts(t)).select("day", F.explode("stages").alias("s")).select("day", "s.*")
 
 
-@query("shown_progress", "SELECT 'complete' AS stage, count(*) AS total, 'last' AS shown FROM events")
+_GAUGE = "SELECT CASE event_type WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'cancelled' ELSE 'downloading' END AS stage, count(*) AS total FROM events WHERE CAST(ts AS DATE) = DATE '{}' GROUP BY 1"
+
+
+@query("shown_progress", f"SELECT stage, total, 'last' AS shown FROM ({_GAUGE.format('2024-01-05')}) WHERE stage <> 'downloading' ORDER BY total DESC, stage LIMIT 1")
 def shown_progress(t):
-    last = t("events").agg(F.lit("complete").alias("stage"), F.count(F.lit(1)).alias("total"))
-    return snapshot.shown_progress(last.limit(0), last)
+    """Nothing in work: the last archived gauge, here the largest of a day. Gauges that ended in no way are not archived."""
+    return snapshot.shown_progress(gauges(t, "2024-01-05").limit(0), gauges(t, "2024-01-05").filter("stage <> 'downloading'").orderBy(F.desc("total"), "stage").limit(1))
+
+
+@query("shown_progress_live", f"SELECT stage, total, 'current' AS shown FROM ({_GAUGE.format('2024-01-06')}) WHERE stage = 'downloading'")
+def shown_progress_live(t):
+    """A gauge in work goes before an archived one."""
+    return snapshot.shown_progress(gauges(t, "2024-01-06").filter("stage = 'downloading'"), gauges(t, "2024-01-05").filter("stage = 'complete'"))
+
+
+def gauges(t, day):
+    kind = F.col("event_type")
+    stage = F.when(kind == "purchase", "complete").when(kind == "error", "failed").when(kind == "view", "cancelled").otherwise("downloading")
+    return t("events").filter(F.to_date("ts") == F.to_date(F.lit(day))).groupBy(stage.alias("stage")).agg(F.count(F.lit(1)).alias("total"))

@@ -22,33 +22,40 @@ def _stream(spark: SparkSession, sf_dir: str):
     return spark.readStream.schema(schema).parquet(path)
 
 
-def _place(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="ledgerlake-")
+def shared_place(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share; a local one only where there is one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set")
+        folder = tempfile.mkdtemp(prefix="ledgerlake-")
     return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def stream_first_success(spark: SparkSession, sf_dir: str):
-    place = _place(spark)
+    place = shared_place(spark)
     e = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), status().alias("status"), F.lit("download.log").alias("file_name"), F.col("event_id").alias("line_no"), F.col("ts").alias("at"), F.floor("value").cast("long").cast("string").alias("bytes"))
     ledgers.first_success_stream(e, f"{place}/ledger", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{place}/ledger").select("key", "date", "bytes")
 
 
 def stream_daily(spark: SparkSession, sf_dir: str):
-    place = _place(spark)
+    """Counts go to a folder at each batch; the last batch has them whole."""
+    folder = shared_place(spark)
     daily = ledgers.daily_counts(_stream(spark, sf_dir).withColumn("status", status()), "ts")
-    name = f"daily_{uuid.uuid4().hex}"
-    q = daily.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", place).trigger(availableNow=True).start()
+    q = daily.writeStream.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")).option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    out = spark.read.parquet(f"{folder}/out")
+    return out.join(F.broadcast(out.agg(F.max("batch").alias("batch"))), "batch").drop("batch")  # one row
 
 
 def stream_progress(spark: SparkSession, sf_dir: str):
-    place = _place(spark)
+    """The last gauge of each key over all batches."""
+    folder = shared_place(spark)
     e = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("ord"), F.col("event_type").alias("state"), F.floor("value").cast("long").alias("bytes"))
-    q = ledgers.live_progress(e).writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{place}/out/batch={n}")).option("checkpointLocation", f"{place}/c").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{place}/out").drop("batch")
+    ledgers.progress_files(ledgers.live_progress(e), f"{folder}/out", f"{folder}/c").trigger(availableNow=True).start().awaitTermination()
+    return ledgers.last_progress(spark, f"{folder}/out")
 
 
 for _f, _sql in (

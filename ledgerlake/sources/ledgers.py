@@ -10,15 +10,36 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..config import DEFAULT, Settings
 from ..functions.text import blank, valid_key
-from ..functions.urls import extension, normalized_source, source_name
+from ..functions.urls import extension, host, normalized_source, public_host, source_name
 from ..functions.rules import LOG_NAME, log_time
 from ..operators.ranking import last_per
+from . import store
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, line_no, line) of text files. Whole files are read so that lines keep their numbers."""
-    text = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file_name"), "value")
-    return text.select("file_name", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).filter(F.trim("line") != "")
+    """(file_name, line_no, line) of text files, blank lines left out.
+
+    Files are read in splits; the lines of each split are counted first, and a line's number is that of its
+    place in the split after all splits before it in its file.
+    """
+    from pyspark.sql import Window
+
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    splits = raw.groupBy("file", "at").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = raw.join(splits.select("file", "at", (before - F.col("first")).alias("shift")), ["file", "at"])
+    return numbered.select(F.element_at(F.split("file", "/"), -1).alias("file_name"), (F.col("id") + F.col("shift")).alias("line_no"), "line").filter(F.trim("line") != "")
+
+
+def json_document(spark: SparkSession, path: str, default: dict | list | None = None):
+    """One small JSON document as Python values; the default where it is missing or broken."""
+    if not store.exists(spark, path):
+        return default
+    rows = _whole(spark, path).collect()  # one file
+    try:
+        return json.loads(rows[0][0])
+    except (IndexError, ValueError):
+        return default
 
 
 def tolerant_json(rows: DataFrame, schema, column: str = "line") -> DataFrame:
@@ -47,14 +68,62 @@ def _whole(spark: SparkSession, path: str) -> DataFrame:
 
 
 def snapshot_items(spark: SparkSession, path: str, settings: Settings = DEFAULT) -> DataFrame:
-    """Items of a snapshot or archive document: valid keys only, the last of a key wins; bad files raise."""
-    fields = "key STRING, canonical_url STRING, title STRING, thumbnail_url STRING, duration STRING, source_pages ARRAY<STRING>, media_url STRING, resolved_at STRING, asset_id STRING"
-    doc = _whole(spark, path).select(F.from_json("value", f"videos ARRAY<STRUCT<{fields.replace(' STRING', ': STRING').replace(' ARRAY', ': ARRAY')}>>", {"mode": "FAILFAST"}).alias("d"))
-    rows = doc.select(F.posexplode("d.videos").alias("ord", "v")).select(F.col("ord").cast("long").alias("ord"), "v.*")
-    rows = rows.filter(valid_key(F.col("key"), settings))
-    pages = F.array_compact(F.transform(F.coalesce("source_pages", F.array().cast("array<string>")), lambda p: p.try_cast("int")))
-    rows = rows.withColumn("source_pages", pages)
-    return last_per(rows, ["key"], ["ord"])
+    """Items of a snapshot or archive document: valid keys only, the last of a key wins.
+
+    Entries that are no objects are passed over, missing fields are blank, and of pages only whole numbers stay
+    (truth values count as 1 and 0). A missing file has no items; a file that is no JSON raises.
+    """
+    empty = spark.createDataFrame([], "ord long, " + ", ".join(f"{c} string" for c in _ITEM[:-1]) + ", source_pages array<int>")
+    if not store.exists(spark, path):
+        return empty
+    rows = _videos(spark, path).select("ord", *[_text("v", settings.key_field if c == "key" else c).alias(c) for c in _ITEM[:-1]], _ints("v", "source_pages").alias("source_pages"))
+    return last_per(rows.filter(valid_key(F.col("key"), settings)), ["key"], ["ord"])
+
+
+_ITEM = ("key", "canonical_url", "title", "thumbnail_url", "duration", "media_url", "resolved_at", "asset_id", "source_pages")
+
+
+def _videos(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, v) of the objects in the list ``videos`` of a document, as variants."""
+    doc = _whole(spark, path).select(F.parse_json("value").alias("d"))
+    listed = doc.select(F.try_variant_get("d", "$.videos", "array<variant>").alias("videos"))
+    rows = listed.select(F.posexplode("videos").alias("ord", "v")).select(F.col("ord").cast("long").alias("ord"), "v")
+    return rows.filter(F.schema_of_variant("v").startswith("OBJECT"))
+
+
+def _text(v: str, field: str) -> Column:
+    """A field as text; blank for missing, null and empty values."""
+    return F.coalesce(F.try_variant_get(v, f"$.{field}", "string"), F.lit(""))
+
+
+def _ints(v: str, field: str) -> Column:
+    found = F.coalesce(F.try_variant_get(v, f"$.{field}", "array<variant>"), F.array().cast("array<variant>"))
+    kinds = F.filter(found, lambda x: F.schema_of_variant(x).isin("BIGINT", "BOOLEAN"))
+    return F.transform(kinds, lambda x: F.coalesce(F.try_variant_get(x, "$", "int"), F.try_variant_get(x, "$", "boolean").cast("int")))
+
+
+def queue_items(spark: SparkSession, path: str, settings: Settings = DEFAULT) -> DataFrame:
+    """(ord, key, url, canonical_url, thumbnail_url, resolved_at) of a queue document, not yet deduplicated.
+
+    Rows without key or address are passed over. Keys with other signs or over 64 of them, addresses that are not
+    public https and item pages outside the settings' hosts raise, as does a document without a list.
+    """
+    doc = _whole(spark, path).select(F.parse_json("value").alias("d"))
+    if doc.filter(F.try_variant_get("d", "$.videos", "array<variant>").isNotNull()).isEmpty():
+        raise ValueError("a queue has a list of videos")
+    rows = _videos(spark, path).select("ord", _text("v", settings.key_field).alias("key"), _text("v", "media_url").alias("url"), *[_text("v", c).alias(c) for c in ("canonical_url", "thumbnail_url", "resolved_at")])
+    rows = rows.filter(~blank(F.col("key")) & ~blank(F.col("url")))
+    return rows.withColumn("key", F.when(queue_problem(settings).isNull(), F.col("key")).otherwise(F.raise_error(F.concat(F.lit("queue row "), F.col("ord").cast("string"), F.lit(": "), queue_problem(settings)))))
+
+
+def queue_problem(settings: Settings = DEFAULT) -> Column:
+    """Why a queue row can't be taken, else null. Reads key, url and canonical_url."""
+    page = F.col("canonical_url")
+    return (
+        F.when(~F.col("key").rlike(r"\A[\p{L}\p{N}_-]{1,64}\z"), F.lit("key"))
+        .when(~F.lower("url").startswith("https://") | ~public_host(host(F.col("url"))), F.lit("address"))
+        .when(~blank(page) & (~F.lower(page).startswith("https://") | ~host(page).isin(*settings.hosts)), F.lit("page"))
+    )
 
 
 def ledger_map(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
@@ -86,6 +155,14 @@ def content_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return hashes.filter(F.col("hash").rlike(r"\A[0-9a-f]{64}\z")), assets.filter(F.col("asset").rlike(r"\A\d+\z"))
 
 
+def content_from_logs(results: DataFrame) -> DataFrame:
+    """(hash, key, bytes, recorded_at) that result logs tell of, where there is no content document yet: the first
+    row of each whole hash, in order of file and line. ``results``: from :func:`result_log`."""
+    good = results.filter(F.col("sha256").rlike(r"\A[0-9a-f]{64}\z") & ~blank(F.col("viewkey")))
+    first = good.groupBy(F.col("sha256").alias("hash")).agg(F.min(F.struct("file_name", "line_no", "viewkey", "bytes", "raw")).alias("m"))
+    return first.select("hash", F.col("m.viewkey").alias("key"), F.coalesce(F.col("m.bytes").try_cast("long"), F.lit(0)).alias("bytes"), F.coalesce(F.get_json_object("m.raw", "$.recordedAt"), F.lit("")).alias("recorded_at"))
+
+
 def directory(spark: SparkSession, path: str, settings: Settings = DEFAULT, recursive: bool = True) -> DataFrame:
     """(path, size_bytes, modified_at, extension) of media files; contents are not read, empty files not listed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
@@ -151,8 +228,27 @@ def write_csv(items: DataFrame, path: str) -> None:
 
 
 def write_json(rows: DataFrame, path: str) -> None:
-    """One JSON object a row; the folder is swapped by the committer as a whole."""
-    rows.write.mode("overwrite").json(path)
+    """One JSON object a row, in a new folder that then takes the place of the old one."""
+    store.replace_with(rows, path)
+
+
+def snapshot_document(items: DataFrame, metadata: dict, settings: Settings = DEFAULT) -> DataFrame:
+    """One row with the snapshot document of an inventory of one deployment, in order of ``ord``. Large inventories
+    go by :func:`write_json`, row by row."""
+    entry = F.struct(F.col("key").alias(settings.key_field), *[F.coalesce(F.col(c), F.lit("")).alias(c) if c != "source_pages" else F.col(c) for c in _ITEM[1:]])
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ord", entry.alias("v")))), lambda x: x["v"])
+    meta = F.parse_json(F.lit(json.dumps(metadata)))
+    return items.agg(F.to_json(F.struct(meta.alias("metadata"), listed.alias("videos"))).alias("document"))
+
+
+def write_document(one: DataFrame, path: str) -> None:
+    """The document of a one-row table as one file, replaced as a whole."""
+    store.put(one.sparkSession, path, one.first()[0] + "\n")
+
+
+def write_ledger(rows: DataFrame, path: str) -> None:
+    """A ledger of any size: one JSON object a row, the folder replaced as a whole."""
+    store.replace_with(rows, path)
 
 
 def append_events(rows: DataFrame, path: str) -> None:
@@ -165,11 +261,11 @@ def merged_keys(known: DataFrame, new: DataFrame, settings: Settings = DEFAULT)
 
 
 def write_keys(keys: DataFrame, path: str) -> None:
-    keys.select("key").write.mode("overwrite").text(path)
+    store.replace_with(keys.select("key"), path, "text")
 
 
 def ledger_document(rows: DataFrame, key: str = "key", version: int = 1) -> DataFrame:
-    """One row with the JSON document of a small ledger."""
+    """One row with the JSON document of a small ledger, for exchange; large ones go by :func:`write_ledger`."""
     value = F.struct(*[c for c in rows.columns if c != key])
     entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(key), value))))
     return rows.agg(F.to_json(F.struct(F.lit(version).alias("version"), entries.alias("items"))).alias("document"))

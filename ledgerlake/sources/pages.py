@@ -3,30 +3,37 @@
 from __future__ import annotations
 
 import re
+from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import parse_qs, urljoin, urlsplit
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..config import DEFAULT, Settings
+from ..functions.urls import accepted_media
 
 CARD = StructType([StructField("card_ord", IntegerType()), *[StructField(n, StringType()) for n in ("key", "href", "tracking_class", "title", "thumbnail_url", "duration", "asset_id")]])
 
 
 class _Cards(HTMLParser):
-    """One card an item link. A new item link drops an open card; any link end closes it."""
+    """One card an item link. A new item link drops an open card; any link end closes it.
+
+    One text is taken at a time: a span of either class starts it anew, and it ends as many elements
+    later as were opened inside. Addresses are decoded once more than attributes are.
+    """
 
     def __init__(self, base: str, settings: Settings):
         super().__init__(convert_charrefs=True)
         self.base, self.s, self.found, self.card = base or "", settings, [], None
-        self.taking = {"title": 0, "duration": 0}
+        self.taking, self.depth = "", 0
         self.key_shape = re.compile(settings.key_pattern.replace(r"\z", r"\Z"))
 
     def _item(self, attrs: dict) -> dict | None:
         try:
-            href = urljoin(self.base, attrs.get("href") or "")
+            href = urljoin(self.base, unescape(attrs.get("href") or ""))
             parts = urlsplit(href)
         except ValueError:
             return None
@@ -39,40 +46,38 @@ class _Cards(HTMLParser):
     def handle_starttag(self, tag, attrs):
         attrs = {k: v or "" for k, v in attrs}
         if tag == "a" and (card := self._item(attrs)):
-            self.card, self.taking = card, {"title": 0, "duration": 0}
+            self.card, self.taking, self.depth = card, "", 0
             return
         if self.card is None:
             return
         if not self.card["asset_id"] and (m := re.search(self.s.overlay_pattern, attrs.get("id", ""))):
             self.card["asset_id"] = m[1]
-        if tag == "img" and self.card["thumbnail_url"] is None:
-            self.card["thumbnail_url"] = urljoin(self.base, attrs.get("src", ""))
-        for name, wanted in (("title", self.s.title_class), ("duration", self.s.duration_class)):
-            if self.taking[name]:
-                self.taking[name] += 1
-            elif tag == "span" and wanted in attrs.get("class", "").split():
-                self.taking[name] = 1
+        if tag == "img" and not self.card["thumbnail_url"]:
+            self.card["thumbnail_url"] = urljoin(self.base, unescape(attrs.get("src", "")))
+        classes = attrs.get("class", "").split() if tag == "span" else ()
+        if begun := [name for name, wanted in (("title", self.s.title_class), ("duration", self.s.duration_class)) if wanted in classes]:
+            self.taking, self.depth = begun[0], 1
+        elif self.taking:
+            self.depth += 1
 
     def handle_endtag(self, tag):
         if self.card is None:
             return
-        for name in self.taking:
-            self.taking[name] = max(0, self.taking[name] - 1)
         if tag == "a":
             self.found.append(self.card | {"thumbnail_url": self.card["thumbnail_url"] or ""})
-            self.card = None
+            self.card, self.taking = None, ""
+        elif self.taking:
+            self.depth -= 1
+            if not self.depth:
+                self.taking = ""
 
     def handle_data(self, data):
-        if self.card is not None:
-            for name, depth in self.taking.items():
-                if depth:
-                    self.card[name] += data
+        if self.card is not None and self.taking:
+            self.card[self.taking] += data
 
 
 def cards_of(page: str | None, base: str | None, settings: Settings = DEFAULT) -> list[dict]:
     """All closed cards of a page in document order, texts normalised."""
-    from html import unescape
-
     parser = _Cards(base or "", settings)
     parser.feed(page or "")
     for card in parser.found:
@@ -87,11 +92,10 @@ class _Media(HTMLParser):
         self.found: dict[tuple[str, str], None] = {}
 
     def handle_starttag(self, tag, attrs):
-        values = dict(attrs)
-        if tag in ("source", "video") and values.get("src"):
-            self.found.setdefault(("media", values["src"]))
-        if tag == "video" and values.get("poster"):
-            self.found.setdefault(("poster", values["poster"]))
+        values = {k: unescape(v or "").strip() for k, v in attrs}
+        for kind, name in (("media", "src"), ("poster", "poster")):
+            if values.get(name) and (tag == "video" or tag == "source" and kind == "media"):
+                self.found.setdefault((kind, values[name]))
 
 
 def media_of(page: str | None) -> list[tuple[str, str]]:
@@ -127,16 +131,15 @@ def scan_cards(pages: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     spark = pages.sparkSession
     spark.udtf.register("listing_cards", listing_cards(settings))
     likely = pages.filter(F.contains("html", F.lit(settings.item_path)))
-    likely.createOrReplaceTempView("_listing_pages")
-    return spark.sql("SELECT p.source_idx, p.page, p.base_url, c.* FROM _listing_pages p, LATERAL listing_cards(p.html, p.base_url) c")
+    return spark.sql("SELECT p.source_idx, p.page, p.base_url, c.* FROM {likely} p, LATERAL listing_cards(p.html, p.base_url) c", likely=likely)
 
 
 def scan_media(pages: DataFrame) -> DataFrame:
     """(page_id, kind, url) of media tags of ``pages`` (page_id, html)."""
     spark = pages.sparkSession
     spark.udtf.register("media_tags", media_tags())
-    pages.filter(F.col("html").rlike("(?i)<(source|video)")).createOrReplaceTempView("_media_pages")
-    return spark.sql("SELECT p.page_id, m.* FROM _media_pages p, LATERAL media_tags(p.html) m")
+    likely = pages.filter(F.col("html").rlike("(?i)<(source|video)"))
+    return spark.sql("SELECT p.page_id, m.* FROM {likely} p, LATERAL media_tags(p.html) m", likely=likely)
 
 
 ANCHOR = r'<a href="([^"]*)">([^<]*)</a>'
@@ -158,3 +161,28 @@ def media_urls(html):
     """Absolute media addresses anywhere in the text outside comments, distinct and sorted."""
     found = F.regexp_extract_all(without_comments(html), F.lit(r"https?://[^\s\"'<>\\]+?\.(?:mp4|webm|mov|m4v|mkv)"), F.lit(0))
     return F.array_sort(F.array_distinct(found))
+
+
+def player_media(pages: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """(page_id, media) of ``pages`` (page_id, html): accepted addresses of media tags in order; only where a page
+    has none, accepted addresses anywhere in its text outside comments, character references decoded."""
+    schema = "page_id long, place int, kind string, url string"
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for page, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                tags = [unescape(u).rstrip(");,]") for k, u in media_of(body) if k == "media"]
+                bare = _BARE.findall(unescape(_COMMENT.sub("", body or "")))
+                rows += [(page, k, "tag", u) for k, u in enumerate(tags)] + [(page, k, "text", unescape(u).rstrip(");,]")) for k, u in enumerate(bare)]
+            cols = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.string()))], names=["page_id", "place", "kind", "url"])
+
+    found = pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, schema).filter(accepted_media(F.col("url"), settings))
+    first = found.groupBy("page_id", "kind", "url").agg(F.min("place").alias("place"))
+    listed = first.groupBy("page_id").pivot("kind", ["tag", "text"]).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "url"))), lambda x: x["url"]))
+    return listed.select("page_id", F.when(F.size("tag") > 0, F.col("tag")).otherwise(F.col("text")).alias("media"))
+
+
+_COMMENT = re.compile(r"<!--.*?-->", re.S)
+_BARE = re.compile(r"https?://[^\"'<>\\\s]+")

@@ -69,6 +69,17 @@ def live_progress(updates: DataFrame) -> DataFrame:
     return updates.groupBy("key").applyInPandasWithState(step, "key string, ord long, state string, bytes long", "ord long, state string, bytes long", "update", GroupStateTimeout.NoTimeout)
 
 
+def progress_files(gauges: DataFrame, path: str, checkpoint: str):
+    """A query that writes the gauges of each batch; a repeated batch replaces what it wrote."""
+    return gauges.writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}")).option("checkpointLocation", checkpoint)
+
+
+def last_progress(spark, path: str) -> DataFrame:
+    """The last gauge of each key over all batches; of equal places the later batch."""
+    last = F.max(F.struct("ord", "batch", "state", "bytes")).alias("m")
+    return spark.read.parquet(path).groupBy("key").agg(last).select("key", "m.ord", "m.state", "m.bytes")
+
+
 def publish_changes(rows: DataFrame, write: Callable[[DataFrame], bool], checkpoint: str):
     """A query that hands every batch to ``write``, which may suppress unchanged content."""
     return rows.writeStream.outputMode("complete").foreachBatch(lambda df, _: write(df) and None).option("checkpointLocation", checkpoint)

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import dedupe, history, inventory, ledger, queueing, ranking
@@ -83,14 +84,59 @@ def test_assets_and_content(spark):
 
 
 def test_blocks(spark):
-    items = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", ""), ("d", "4")], "key string, asset_id string")
-    blocked = spark.createDataFrame([(k, a, "e", "media_mismatch", "t", s) for k, a, s in (("a", "1", "2024-01-05T00:00:00Z"), ("b", "9", "2024-01-05T00:00:00Z"), ("c", "3", "2024-01-01T00:00:00Z"), ("d", "4", "2024-01-05T00:00:00Z"))], "key string, expected_asset string, error string, kind string, first_seen_at string, last_seen_at string")
-    done = spark.createDataFrame([("d",)], "key string")
-    held = lambda at: {r.key for r in queueing.matching_blocks(items, blocked, done, at).collect()}
-    assert held("") == {"a", "c"} and held("2024-01-02T00:00:00Z") == {"a"} and held("2024-01-06T00:00:00Z") == set()
-    new = spark.createDataFrame([("a", "", "e2", "media_unavailable", "now"), ("x", "7", "e", "k", "now")], "key string, expected_asset string, error string, kind string, seen_at string")
-    up = {r.key: (r.expected_asset, r.kind, r.first_seen_at, r.last_seen_at) for r in ledger.blocked_upsert(blocked, new).collect()}
-    assert up["a"] == ("1", "media_unavailable", "t", "now") and up["x"] == ("7", "k", "now", "now") and up["b"][3] == "2024-01-05T00:00:00Z"
+    items = spark.createDataFrame([("aaaaaa", "https://t.example/1.jpg"), ("bbbbbb", "https://t.example/2.jpg"), ("cccccc", "https://t.example/x.jpg"), ("dddddd", "https://t.example/4.jpg")], "key string, thumbnail_url string")
+    rows = (("aaaaaa", "1", "", "2024-01-05T00:00:00Z"), ("bbbbbb", "9", "e", "2024-01-05T00:00:00Z"), ("cccccc", "3", "e", ""), ("dddddd", "4", "e", "2024-01-05T00:00:00Z"))
+    blocked = spark.createDataFrame([(k, a, e, "request_error", "2024-01-01T00:00:00Z", s) for k, a, e, s in rows], "key string, expected_asset string, error string, kind string, first_seen_at string, last_seen_at string")
+    done = spark.createDataFrame([("dddddd",)], "key string")
+    held = lambda at: {r.key: (r.kind, r.error) for r in queueing.matching_blocks(items, blocked, done, at).collect()}
+    assert held("") == {"aaaaaa": ("media_mismatch", "media is not available"), "cccccc": ("media_mismatch", "e")}
+    assert set(held("2024-01-02T00:00:00Z")) == {"aaaaaa"} and held("2024-01-06T00:00:00Z") == {} and set(held("odd")) == {"aaaaaa", "cccccc"}
+    new = spark.createDataFrame([(1, "cccccc", "media_mismatch", "e1"), (2, "cccccc", "media_unavailable", ""), (1, "unlisted", "media_mismatch", "e"), (1, "bbbbbb", "request_error", "e"), (1, "bad", "media_mismatch", "e")], "ord int, key string, kind string, error string")
+    up = {r.key: tuple(r)[1:] for r in ledger.blocked_upsert(blocked, items, new, "now").collect()}
+    assert up["cccccc"] == ("", "media is not available", "media_unavailable", "2024-01-01T00:00:00Z", "now") and len(up) == 4
+    assert up["bbbbbb"] == ("9", "e", "request_error", "2024-01-01T00:00:00Z", "2024-01-05T00:00:00Z")
+
+
+def test_repair_candidates(spark):
+    items = spark.createDataFrame([("completed", 1), ("blocked", 2), ("retry", 3), ("retry", 4), ("", 5), ("again", 6)], "key string, ord int")
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "key string")
+    got = queueing.repair_candidates(items, keys("completed"), keys("blocked", "again"), keys("again"), keys("other")).collect()
+    assert sorted((r.key, r.ord) for r in got) == [("again", 6), ("retry", 3)]
+
+
+def test_active_downloads(spark):
+    p = spark.createDataFrame([("file", 10), ("both", 10), ("zero", 10)], "key string, size_bytes long")
+    g = spark.createDataFrame([("both", 300, 200), ("zero", 0, 0), ("gauge", 5, 0)], "key string, bytes_done long, bytes_total long")
+    assert {r.key: tuple(r)[1:] for r in inventory.active_downloads(p, g).collect()} == {"file": (10, 0, None), "both": (300, 200, 150.0), "zero": (10, 0, None), "gauge": (5, 0, None)}
+    assert inventory.active_downloads(p, g, active=False).count() == 0
+
+
+def test_completed_today_and_reasons(spark):
+    def one(**facts):
+        return snapshot.snapshot(spark.range(1).select(*[F.lit(v).alias(k) for k, v in facts.items()])).first()
+
+    assert one(today_success=True).completed_today and not one(today_success=True, today_listing_failures=1).completed_today
+    assert not one().completed_today and not one(today_success=True, active=True).completed_today
+    blocked = next(a for a in one(n_blocked=6, n_mismatch=2, n_unavailable=1).alerts if a.code == "blocked_skipped")
+    assert blocked.detail == "2 mismatch, 1 unavailable, 3 unclassified"
+
+
+def test_summarise_run(spark):
+    from ledgerlake.plans.runs import Run, check_arguments
+
+    manifest = spark.createDataFrame([("a", "downloaded", "10", "2"), ("b", "skipped", "", "nope"), ("c", "blocked", None, None), ("d", "failed", "5", "1"), ("", "blocked", "", "")], "viewkey string, status string, bytes string, autoRetries string")
+    failures = spark.createDataFrame([("c", "media_mismatch", ""), ("e", "", "it does not match the listing"), ("f", "auth_challenge", "x"), ("", "media_mismatch", "")], "viewkey string, kind string, error string")
+    listing = spark.createDataFrame([("timeout",)], "kind string")
+    run = Run(0, 0, True, "manual", "2024-01-01T00:00:00Z", "2024-01-01T00:01:30Z", 2, 9, {"unique_videos": 7, "raw_detail_links": 9}, {"rawLinks": 1})
+    e = Engine().summarise_run(run, manifest, failures, listing).first()
+    assert (e.downloadedVideos, e.alreadyPresentVideos, e.blockedVideos, e.failedVideos, e.listingFailures, e.authChallenges, e.authFailure) == (1, 1, 2, 2, 1, 1, True)
+    assert (e.downloadedBytes, e.autoRetryAttempts, e.autoRetriedVideos, e.autoRecoveredVideos) == (10, 3, 2, 1) and (e.rawLinks, e.uniqueVideos, e.durationSeconds, e.resultStatus) == (9, 7, 90.0, "attention")
+    lost = Engine().summarise_run(Run(1, None, False, "daily", "2024-01-01T00:00:00Z", "2024-01-01T00:00:01Z", progress={"rawLinks": 4, "listingFailures": 18, "authFailure": True}), manifest.limit(0), failures.limit(0), listing).first()
+    assert (lost.resultStatus, lost.rawLinks, lost.listingFailures, lost.authFailure, lost.downloadExitCode) == ("failed", 4, 18, True, None)
+    check_arguments(pages=20, limit=0)
+    for bad in ({"pages": 21}, {"limit": -1}, {"delay": 0.1}):
+        with pytest.raises(ValueError):
+            check_arguments(**bad)
 
 
 def test_history(spark):

@@ -47,8 +47,72 @@ def test_ledgers(spark, tmp_path):
         assert [r.key for r in src.ignored_keys(spark, put(tmp_path / f"i{random.random()}", {"items": items})).collect()] == ["goodkey1"]
     hashes, assets = src.content_ledger(spark, put(tmp_path / "c", {"hashes": {"a" * 64: {"viewkey": "k", "bytes": "7"}, "zz": {"viewkey": "k"}}, "mediaAssets": {"12": "k", "x": "k"}}))
     assert [(r.key, r.bytes) for r in hashes.collect()] == [("k", 7)] and [tuple(r) for r in assets.collect()] == [("12", "k")]
-    videos = {"videos": [{"key": "goodkey1", "title": "old", "source_pages": ["1", "x"]}, {"key": "no"}, {"key": "goodkey1", "title": "new", "source_pages": ["2"]}]}
-    assert [(r.title, r.source_pages) for r in src.snapshot_items(spark, put(tmp_path / "s", videos)).collect()] == [("new", [2])]
+    videos = {"videos": [{"viewkey": "goodkey1", "title": "old", "source_pages": [1, "x"]}, {"viewkey": "no"}, "odd", {"key": "goodkey2"}, {"viewkey": "goodkey1", "title": "new", "source_pages": [2, "3", 4.5, True]}, {"viewkey": "goodkey3", "source_pages": "1"}]}
+    got = {r.key: (r.title, r.source_pages) for r in src.snapshot_items(spark, put(tmp_path / "s", videos)).collect()}
+    assert got == {"goodkey1": ("new", [2, 1]), "goodkey3": ("", [])}
+    assert src.snapshot_items(spark, str(tmp_path / "none")).count() == 0 and src.snapshot_items(spark, put(tmp_path / "l", {"videos": 1})).count() == 0
+    with pytest.raises(Exception, match="MALFORMED"):
+        src.snapshot_items(spark, put(tmp_path / "m", "{")).count()
+    assert src.json_document(spark, str(tmp_path / "none"), {}) == {} and src.json_document(spark, put(tmp_path / "m2", "{"), []) == [] and src.json_document(spark, put(tmp_path / "m3", {"a": 1})) == {"a": 1}
+
+
+def test_queue(spark, tmp_path):
+    good = {"viewkey": "k-1", "media_url": "https://m.example/1.mp4", "canonical_url": "https://lists.example/view?key=k-1"}
+    got = src.queue_items(spark, put(tmp_path / "q", {"videos": [good, {"viewkey": "x"}, 1, good | {"viewkey": "k_2", "canonical_url": ""}]})).orderBy("ord").collect()
+    assert [(r.ord, r.key, r.canonical_url) for r in got] == [(0, "k-1", good["canonical_url"]), (3, "k_2", "")]
+    for k, bad in enumerate((good | {"viewkey": "a b"}, good | {"viewkey": "k" * 65}, good | {"media_url": "http://m.example/1.mp4"}, good | {"media_url": "https://127.0.0.1/1.mp4"}, good | {"canonical_url": "https://other.example/"})):
+        with pytest.raises(Exception, match="queue row 0"):
+            src.queue_items(spark, put(tmp_path / f"b{k}", {"videos": [bad]})).collect()
+    with pytest.raises(ValueError):
+        src.queue_items(spark, put(tmp_path / "n", {}))
+
+
+def test_backup(spark, tmp_path):
+    from ledgerlake.sources import backup as bk
+
+    (tmp_path / "live").mkdir()
+    paths = {"success": put(tmp_path / "live/success.txt", "a\nb\n"), "empty": put(tmp_path / "live/empty.txt", ""), "gone": str(tmp_path / "live/none")}
+    src.write_ledger(spark.createDataFrame([("k1", 1)], "key string, n int"), str(tmp_path / "live/blocks"))
+    paths["blocks"] = str(tmp_path / "live/blocks")
+    folder = str(tmp_path / "kept")
+    assert bk.backup(spark, {"gone": paths["gone"]}, folder, "00") is None
+    assert bk.backup(spark, paths, folder, "01") == "01" and bk.backup(spark, paths, folder, "02") == "01"
+    for k in range(3, 12):
+        put(tmp_path / "live/success.txt", f"{k}\n")
+        bk.backup(spark, paths, folder, f"{k:02d}")
+    assert bk.versions(spark, folder) == [f"{k:02d}" for k in range(5, 12)]
+    targets = {n: str(tmp_path / "back" / n) for n in paths}
+    assert len(bk.restore(spark, folder, targets, "06")) >= 2 and (tmp_path / "back/success").read_text() == "6\n" and [tuple(r) for r in spark.read.schema("key string, n int").json(targets["blocks"]).collect()] == [("k1", 1)]
+    with pytest.raises(bk.Damaged):
+        bk.restore(spark, folder, {"success": targets["success"]})
+    rows = bk.version(spark, folder, "11").withColumn("content", F.when(F.col("name") == "success", F.lit(b"zz")).otherwise(F.col("content")))
+    rows.write.parquet(f"{folder}/version=12")
+    with pytest.raises(bk.Damaged, match="success"):
+        bk.restore(spark, folder, {n: str(tmp_path / "no" / n) for n in paths})
+    assert not (tmp_path / "no").exists()
+
+
+def test_player_media(spark):
+    rows = [(1, '<video src="https://m.example/a.mp4"><source src=" https://m.example/b.mp4?x=1 "></video> https://m.example/c.mp4'), (2, '<!-- https://m.example/no.mp4 --> "https://m.example/d.mp4?a=1&amp;b=2" http://m.example/e.mp4 https://m.example/f.txt'), (3, None), (4, '<source src="https://10.0.0.1/a.mp4">https://m.example/g.mp4')]
+    got = {r.page_id: r.media for r in pg.player_media(spark.createDataFrame(rows, "page_id long, html string")).collect()}
+    assert got == {1: ["https://m.example/a.mp4", "https://m.example/b.mp4?x=1"], 2: ["https://m.example/d.mp4?a=1&b=2"], 4: ["https://m.example/g.mp4"]}
+    urls_ = spark.createDataFrame([(["https://m/a", "https://m/b.mp4?sig=1", "https://m/c?sig=1&token=2", "https://m/d.MP4?sig=1"],), ([],)], "u array<string>")
+    from ledgerlake.functions.urls import choose_media
+
+    assert [r[0] for r in urls_.select(choose_media(F.col("u"))).collect()] == ["https://m/c?sig=1&token=2", ""]
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for name in "ab":
+        put(tmp_path / f"d/{name}.log", "".join(f"{name}{k}\n" + ("\n" if k % 7 == 0 else "") for k in range(500)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        got = sorted(map(tuple, src.lines(spark, str(tmp_path / "d")).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = [(f"{name}.log", k, x) for name in "ab" for k, x in enumerate((tmp_path / f"d/{name}.log").read_text().splitlines()) if x]
+    assert got == sorted(want)
 
 
 def test_logs(spark, tmp_path):
