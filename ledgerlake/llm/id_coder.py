@@ -1,19 +1,23 @@
 """Token ids in a binary file format, by an adaptive context-mixing range coder.
 
 Ids are cut into blocks of ``BLOCK``. Every block starts from reset models and carries the number
-of its ids and words and a checksum, so it can be read, checked and recovered by itself. Each id
-is coded by what three models of different order predict:
+of its ids and words and a checksum, so it can be read, checked and recovered by itself. Inside a
+block, ids go by the order of their first occurrence. Each is coded in one step with a mixture of
+what three models of different order predict:
 
-* order 2 and order 1: tables, by the last two ids and by the last one, of the id that followed
-  and of how often it has been right in a row (up to ``SURE``);
-* order 0: the id as four digits of four bits, each with adaptive counts in a context of the digits
-  before it.
+* order 0: a distribution over the ids seen so far, from their counts in the block, taken anew at
+  the steps of ``_renewals``; a share of it, by how many ids were new of late, is the escape;
+* order 1 and order 2: the id that followed the last id, and the last two, when they came last,
+  and how often it has been right in a row (up to ``SURE``).
 
-The models are mixed by adaptive counts: how sure the two tables are, and whether they agree,
-selects counts for three outcomes (the order-2 id, the order-1 id, neither), and these are the
-weights with which the interval is cut. Order 0 codes what neither foresaw. Blocks of a frame are
-coded in lockstep, one numpy lane a block, with a carry-less 64-bit range coder that puts out
-32-bit words.
+The models' probabilities are added up with weights: ``P(id) = w0 P0(id) + w1 [id = id1] + w2 [id = id2]``.
+The weights adapt after each id, in a context of how sure the orders 1 and 2 are. The interval of an
+id lies at its place in order 0, those of the other orders' ids widened by their weights; so the
+coder needs no escape between orders. After the escape, an id that is new since the last renewal is
+coded by its number among those, and an id that is new to the block as 16 plain bits.
+
+Blocks of a frame are coded in lockstep, one numpy lane a block, with a carry-less 64-bit range
+coder that puts out 32-bit words.
 
 A file row holds one frame: magic, block length, number of ids, a table of documents (doc_id, ids
 of them in this frame, whether the document goes on from the frame before), a table of blocks and
@@ -40,109 +44,168 @@ from .common import pieces, shared_dir
 from .packing import in_order
 from .tokens import END_ID, encoder
 
-BLOCK = 1024
+BLOCK = 2048
 #: Blocks of a frame at most.
-LANES = 3072
-MAGIC = b"LLCM1\0"
+LANES = 4096
+MAGIC = b"LLCM2\0"
 SURE = 3
-_ORDER1, _ORDER2 = 512, 1024  # slots of a block's tables
-_DIGIT_STEP, _DIGIT_TOP = 24, 1 << 13
-_FLAG_STEP, _FLAG_TOP = 24, 1 << 12
-_SMALL = np.uint64(1 << 20)
+_ORDER1, _ORDER2 = 1 << 9, 1 << 10  # slots of a block's tables
+_SLOTS = 1 << 12  # order 0 shares of an id are multiples of 1 / _SLOTS
+_WEIGHT = 1 << 12  # and weights of 1 / _WEIGHT
+_SHIFT, _TOTAL = 12, 24  # bits of the first, and of both
+_LEAST, _MOST, _RATE = 64, 3904, 5  # what a weight moves to after a miss, what a hit adds, and how fast
+_PENDING = 256  # share of an id that is new since the last renewal, against one of 16 plain bits
+_SMALL = np.uint64(1 << 28)
 _WORD = np.uint64(32)
 _LOW = np.uint64(0xFFFFFFFF)
-#: Contexts of the four digits: none, first, first two, and a hash of all three.
-_CONTEXTS = (1, 16, 256, 256)
 
 
-class _Models:
-    """Tables of all lanes."""
+def _renewals(block: int) -> set[int]:
+    """The steps before which order 0 is taken from the counts anew."""
+    return {k for k in (32, 128, 512) if k < block} | set(range(1024, block, 1024))
+
+
+class _Model:
+    """The mixed models of all lanes; ids are numbers by first occurrence, from 1 on; 0 is the escape."""
+
+    def __init__(self, lanes: int, block: int, decodes: bool):
+        if block > _SLOTS // 2:
+            raise ValueError("blocks are too long")
+        self.width = block + 1
+        at = np.arange(lanes)
+        self.at1, self.at2, self.at_w, self.at_n, self.at_slot = at * _ORDER1, at * _ORDER2, at * (SURE + 1) ** 2, at * self.width, at * _SLOTS
+        # Number of the id that came last, and how sure it is in the two low bits.
+        self.next1, self.next2 = np.zeros(lanes * _ORDER1, np.uint16), np.zeros(lanes * _ORDER2, np.uint16)
+        self.w1, self.w2 = (np.full(lanes * (SURE + 1) ** 2, _WEIGHT // 16, np.int16) for _ in range(2))
+        # Start and size of each number's share of order 0; numbers without a share lie at the end.
+        self.share = np.full((lanes, self.width), _SLOTS << 14, np.int32)
+        self.share[:, 0] = _SLOTS
+        self.slot = np.zeros((lanes, _SLOTS), np.uint16) if decodes else None
+        self.share_, self.slot_ = self.share.reshape(-1), self.slot.reshape(-1) if decodes else None
+        self.counts = np.zeros((lanes, self.width), np.int32)
+        self.known, self.seen, self.known16 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.uint16)
+        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+
+    def renew(self, numbers: np.ndarray) -> None:
+        """Order 0 from the counts, after the numbers (steps by lanes) coded since the last time."""
+        steps, n = numbers.shape
+        seen = self.seen[:n]
+        d = int(seen.max()) + 1
+        self.counts[:n, :d] += np.bincount((numbers + np.arange(n) * d).ravel(), minlength=n * d).reshape(n, d).astype(np.int32)
+        escape = 16 + _SLOTS // 2 * (seen - self.known[:n]) // steps
+        counts = self.counts[:n, :d]
+        room = (_SLOTS - escape - seen).astype(np.int32)[:, None]
+        size = counts * room // int(counts[0].sum()) + (counts > 0)
+        size[:, 0] = _SLOTS - size.sum(axis=1)
+        start = np.cumsum(size, axis=1) - size
+        self.share[:n, :d] = np.where(size > 0, start << 14 | size, _SLOTS << 14)
+        self.known[:n] = self.known16[:n] = seen
+        if self.slot is not None:
+            self.slot[:n] = np.repeat(np.broadcast_to(np.arange(d, dtype=np.uint16), (n, d)).ravel(), size.ravel()).reshape(n, _SLOTS)
+
+    def predict(self, n: int) -> None:
+        """For the first ``n`` lanes: the numbers that orders 1 and 2 predict, their shares and all weights."""
+        last, before = self.last[:n], self.before[:n]
+        self.i1 = self.at1[:n] + (last & (_ORDER1 - 1))
+        self.i2 = self.at2[:n] + ((last * 0x9E5 + before * 0x2C1B3 >> 4) & (_ORDER2 - 1))
+        self.e1, self.e2 = self.next1.take(self.i1), self.next2.take(self.i2)
+        self.s1, self.s2 = self.e1 & 3, self.e2 & 3
+        self.p1, self.p2 = self.e1 >> 2, self.e2 >> 2
+        self.i_w = self.at_w[:n] + ((self.s2 << 2) | self.s1)
+        w1, w2 = self.w1.take(self.i_w), self.w2.take(self.i_w)
+        self.w1_, self.w2_ = w1, w2
+        both = w1 + w2
+        self.w0 = (_WEIGHT - both).astype(np.int32)
+        # Where both predict one number, order 2 has the weight of both.
+        self.differ = self.p1 != self.p2
+        self.m1 = (w1 * self.differ).astype(np.int32) << _SHIFT
+        self.m2 = (both.astype(np.int32) << _SHIFT) - self.m1
+        at = self.at_n[:n]
+        self.h1, self.h2 = self.share_.take(at + self.p1), self.share_.take(at + self.p2)
+        self.b1, self.b2 = self.h1 >> 14, self.h2 >> 14
+
+    def interval(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of a number in the mixture; of what lies at the end, order 2's comes before order 1's."""
+        share = self.share_.take(self.at_n[: len(y)] + y)
+        b, z = share >> 14, share & 16383
+        self.hit2 = y == self.p2
+        self.hit1 = y == self.p1
+        start = self.w0 * b + self.m2 * ((self.b2 <= b) & ~self.hit2) + self.m1 * (self.b1 < b)
+        size = self.w0 * z + self.m2 * self.hit2 + self.m1 * self.hit1
+        return start.astype(np.uint64), size.astype(np.uint64)
+
+    def find(self, t: np.ndarray) -> np.ndarray:
+        """The number whose interval ``t`` lies in."""
+        n = len(t)
+        first = self.b1 < self.b2
+        a2 = t - (self.w0 * self.b2 + self.m1 * first)
+        a1 = t - (self.w0 * self.b1 + self.m2 * (self.differ & ~first))
+        in2 = a2.view(np.uint32) < (self.w0 * (self.h2 & 16383) + self.m2).view(np.uint32)
+        in1 = a1.view(np.uint32) < (self.w0 * (self.h1 & 16383) + self.m1).view(np.uint32)
+        rest = t - self.m2 * (a2 >= 0) - self.m1 * (a1 >= 0)
+        # Quotients of such small numbers are exact; inside the two intervals what comes out does not matter.
+        other = self.slot_.take(self.at_slot[:n] + (rest / self.w0).astype(np.int64), mode="clip")
+        return np.where(in2, self.p2, np.where(in1, self.p1, other))
+
+    def learn(self, x: np.ndarray) -> None:
+        """The weights after the coded number, and the tables after the id's own number ``x``."""
+        n, w1, w2 = len(x), self.w1_, self.w2_
+        self.w2[self.i_w] = w2 + ((self.hit2 * np.int16(_MOST) + np.int16(_LEAST) - w2) >> _RATE)
+        self.w1[self.i_w] = w1 + (((self.hit1 & ~self.hit2) * np.int16(_MOST) + np.int16(_LEAST) - w1) >> _RATE)
+        new = x << 2
+        for table, i, e, sure, p in ((self.next1, self.i1, self.e1, self.s1, self.p1), (self.next2, self.i2, self.e2, self.s2, self.p2)):
+            table[i] = np.where(p == x, e + (sure < SURE), np.where(sure > 1, e - 2, new))
+        self.before[:n] = self.last[:n]
+        self.last[:n] = x
+
+
+class _Coder:
+    """Interval of each lane; what is settled of it moves out at the top, 32 bits at a time."""
 
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.ids = [np.zeros((lanes, n), np.uint16) for n in (_ORDER1, _ORDER2)]
-        self.sure = [np.zeros((lanes, n), np.uint8) for n in (_ORDER1, _ORDER2)]
-        # Cumulated counts: 0, then after each outcome.
-        self.flags = np.tile(np.array([0, 8, 12, 24], np.int32), (lanes, 2 * (SURE + 1) ** 2, 1))
-        self.digits = [np.tile(np.arange(17, dtype=np.uint16) * 8, (lanes, c, 1)) for c in _CONTEXTS]
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
-        self.more_flags = np.array([[_FLAG_STEP * (k > s) for k in range(4)] for s in range(3)], np.int32)
-        self.more_digits = np.array([[_DIGIT_STEP * (k > s) for k in range(17)] for s in range(16)], np.uint16)
-
-    def slots(self, lane: np.ndarray):
-        last, before = self.last[lane], self.before[lane]
-        one = (last * 0x9E37 >> 4) % _ORDER1
-        two = ((last * 0x2C1B3 + before * 0x9E3779B1) >> 7) % _ORDER2
-        return one, two
-
-    def predict(self, lane: np.ndarray):
-        """Predicted ids of order 1 and 2, their slots, and the context of the mixing counts."""
-        one, two = self.slots(lane)
-        p1, p2 = self.ids[0][lane, one], self.ids[1][lane, two]
-        s1, s2 = self.sure[0][lane, one], self.sure[1][lane, two]
-        ctx = (s2.astype(np.int64) * (SURE + 1) + s1) * 2 + (p1 == p2)
-        return p1, p2, one, two, s1, s2, ctx
-
-    def count_flag(self, lane, ctx, rows, flag):
-        rows = rows + self.more_flags[flag]
-        high = rows[:, 3] > _FLAG_TOP
-        if high.any():
-            rows[high] = (rows[high] >> 1) + np.arange(4)
-        self.flags[lane, ctx] = rows
-
-    def count_digit(self, k, lane, ctx, rows, digit):
-        rows = rows + self.more_digits[digit]
-        high = rows[:, 16] > _DIGIT_TOP
-        if high.any():
-            rows[high] = (rows[high] >> 1) + np.arange(17, dtype=np.uint16)
-        self.digits[k][lane, ctx] = rows
-
-    def learn(self, lane, ids, p1, p2, one, two, s1, s2):
-        for table, sure, slot, p, s in ((self.ids[0], self.sure[0], one, p1, s1), (self.ids[1], self.sure[1], two, p2, s2)):
-            hit = p == ids
-            sure[lane, slot] = np.where(hit, np.minimum(s + 1, SURE), s >> 1)
-            table[lane, slot] = np.where(hit | (s > 1), p, ids)
-        self.before[lane] = self.last[lane]
-        self.last[lane] = ids
-
-
-def _digit_context(k: int, digits: list[np.ndarray]):
-    if k == 0:
-        return 0
-    if k == 1:
-        return digits[0]
-    if k == 2:
-        return digits[0] * 16 + digits[1]
-    return (digits[0] * 37 + digits[1] * 101 + digits[2] * 16) & 255
-
-
-class _Out:
     def __init__(self, lanes: int):
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, (1 << 64) - 1, np.uint64)
+
+    def _narrow(self, low, rng, part, start, size):
+        """The interval's part; the lanes whose top word is settled, shifted by it; and the words."""
+        low += part * start
+        np.multiply(part, size, out=rng)
+        ready = (low ^ (low + rng)) <= _LOW
+        tight = rng < _SMALL
+        if tight.any():  # ranges too small before their top word is settled are cut so that it is
+            cut = np.flatnonzero(tight & ~ready)
+            rng[cut] = (np.uint64(0) - low[cut]) & (_SMALL - np.uint64(1))
+            ready[cut] = True
+        lane = np.flatnonzero(ready)
+        top = (low[lane] >> _WORD).astype(np.uint32)
+        shift = ready.astype(np.uint64) << np.uint64(5)
+        low <<= shift
+        rng <<= shift
+        return lane, top
+
+
+class _Out(_Coder):
+    def __init__(self, lanes: int):
+        super().__init__(lanes)
         self.words = np.zeros((lanes, 64), np.uint32)
         self.n = np.zeros(lanes, np.int64)
 
     def _put(self, lane, words):
-        if len(lane) and int(self.n[lane].max()) >= self.words.shape[1]:
+        at = self.n[lane]
+        if len(lane) and int(at.max()) >= self.words.shape[1]:
             self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
-        self.words[lane, self.n[lane]] = words
-        self.n[lane] += 1
-
-    def code(self, lane, start, size, total):
-        part = self.range[lane] // total.astype(np.uint64)
-        low = self.low[lane] + part * start.astype(np.uint64)
-        rng = part * size.astype(np.uint64)
-        settled = ((low ^ (low + rng)) >> _WORD) == 0
-        tight = ~settled & (rng < _SMALL)
-        ready = np.flatnonzero(settled | tight)
-        if len(ready):
-            t = np.flatnonzero(tight)
-            rng[t] = (np.uint64(0) - low[t]) & (_SMALL - np.uint64(1))
-            self._put(lane[ready], (low[ready] >> _WORD).astype(np.uint32))
-            low[ready] <<= _WORD
-            rng[ready] <<= _WORD
+        self.words[lane, at] = words
+        self.n[lane] = at + 1
+
+    def code(self, n: int, start, size) -> None:
+        """A step of the first ``n`` lanes, of a total of ``1 << _TOTAL``."""
+        low, rng = self.low[:n], self.range[:n]
+        self._put(*self._narrow(low, rng, rng >> np.uint64(_TOTAL), start, size))
+
+    def code_some(self, lane, start, size, total) -> None:
+        low, rng = self.low[lane], self.range[lane]
+        at, words = self._narrow(low, rng, rng // total.astype(np.uint64), start.astype(np.uint64), size.astype(np.uint64))
+        self._put(lane[at], words)
         self.low[lane], self.range[lane] = low, rng
 
     def close(self):
@@ -151,44 +214,53 @@ class _Out:
         self._put(lane, (self.low & _LOW).astype(np.uint32))
 
 
-class _In:
+class _In(_Coder):
     def __init__(self, words: np.ndarray, start: np.ndarray, n: np.ndarray):
-        self.words, self.at, self.end = np.r_[words, np.zeros(2, np.uint32)].astype(np.uint64), start.copy(), start + n
-        lanes = len(start)
-        self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, (1 << 64) - 1, np.uint64)
-        self.value = np.zeros(lanes, np.uint64)
-        for _ in range(2):
-            self.value = (self.value << _WORD) | self._next(np.arange(lanes))
+        super().__init__(len(start))
+        self.words, self.at = np.r_[words, np.zeros(2, np.uint32)].astype(np.uint64), start + 2
+        self.value = (self.words[start] << _WORD) | self.words[start + 1]
 
-    def _next(self, lane):
+    def _more(self, lane) -> None:
+        """The next words of some lanes; whole blocks never ask for more than they have."""
         at = self.at[lane]
+        self.value[lane] = (self.value[lane] << _WORD) | self.words.take(at, mode="clip")
         self.at[lane] = at + 1
-        return np.where(at < self.end[lane], self.words[np.minimum(at, len(self.words) - 1)], np.uint64(0))
 
-    def target(self, lane, total):
-        self.part = self.range[lane] // total.astype(np.uint64)
-        return np.minimum((self.value[lane] - self.low[lane]) // np.maximum(self.part, np.uint64(1)), total.astype(np.uint64) - np.uint64(1)).astype(np.int64)
-
-    def take(self, lane, start, size):
-        low = self.low[lane] + self.part * start.astype(np.uint64)
-        rng = self.part * size.astype(np.uint64)
-        settled = ((low ^ (low + rng)) >> _WORD) == 0
-        tight = ~settled & (rng < _SMALL)
-        ready = np.flatnonzero(settled | tight)
-        if len(ready):
-            t = np.flatnonzero(tight)
-            rng[t] = (np.uint64(0) - low[t]) & (_SMALL - np.uint64(1))
-            low[ready] <<= _WORD
-            rng[ready] <<= _WORD
-            self.value[lane[ready]] = (self.value[lane[ready]] << _WORD) | self._next(lane[ready])
-        self.low[lane], self.range[lane] = low, rng
+    def target(self, n: int) -> np.ndarray:
+        self.part = self.range[:n] >> np.uint64(_TOTAL)
+        return np.minimum((self.value[:n] - self.low[:n]) // self.part, np.uint64((1 << _TOTAL) - 1)).astype(np.int32)
 
+    def take(self, n: int, start, size) -> None:
+        self._more(self._narrow(self.low[:n], self.range[:n], self.part, start, size)[0])
 
-def _pick(rows: np.ndarray, symbol: np.ndarray):
-    k = np.arange(len(rows))
-    start = rows[k, symbol].astype(np.int64)
-    return start, rows[k, symbol + 1].astype(np.int64) - start
+    def target_some(self, lane, total) -> np.ndarray:
+        self.part = self.range[lane] // total.astype(np.uint64)
+        return np.minimum((self.value[lane] - self.low[lane]) // self.part, (total - 1).astype(np.uint64)).astype(np.int64)
+
+    def take_some(self, lane, start, size) -> None:
+        low, rng = self.low[lane], self.range[lane]
+        at, _ = self._narrow(low, rng, self.part, start.astype(np.uint64), size.astype(np.uint64))
+        self.low[lane], self.range[lane] = low, rng
+        self._more(lane[at])
+
+
+def _numbered(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ids (lanes by steps): each id's number by first occurrence in its lane, and whether it is the first."""
+    lanes, block = grid.shape
+    number, first = np.empty((lanes, block), np.uint16), np.empty((lanes, block), bool)
+    step = min(lanes, 64)
+    place = np.empty(step << 16, np.int32)
+    order = np.arange(block, dtype=np.int32)
+    for at in range(0, lanes, step):
+        part = grid[at : at + step]
+        key = part + (np.arange(len(part), dtype=np.int32) << 16)[:, None]
+        # Of equal keys the value assigned last stays: the first step, as they come from the back.
+        place[np.ascontiguousarray(key[:, ::-1]).ravel()] = np.ascontiguousarray(np.broadcast_to(order[::-1], part.shape)).ravel()
+        where = place.take(key)
+        new = where == order
+        number[at : at + step] = np.take_along_axis(np.cumsum(new, axis=1, dtype=np.uint16), where, axis=1)
+        first[at : at + step] = new
+    return number, first
 
 
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,62 +270,65 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
     size[-1] = len(ids) - (lanes - 1) * block
     grid = np.zeros(lanes * block, np.uint16)
     grid[: len(ids)] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
-    m, out = _Models(lanes), _Out(lanes)
+    grid = grid.reshape(lanes, block)
+    number, first = (np.ascontiguousarray(x.T) for x in _numbered(grid))
+    m, out = _Model(lanes, block, False), _Out(lanes)
+    renewals, done = _renewals(block), 0
     for step in range(block):
-        lane = m.lane if step < size[-1] else m.lane[:-1]
-        if not len(lane):
+        n = lanes if step < size[-1] else lanes - 1
+        if not n:
             break
-        now = grid[step, : len(lane)]
-        p1, p2, one, two, s1, s2, ctx = m.predict(lane)
-        flag = np.where(now == p2, 0, np.where(now == p1, 1, 2))
-        rows = m.flags[lane, ctx]
-        out.code(lane, *_pick(rows, flag), rows[:, 3])
-        m.count_flag(lane, ctx, rows, flag)
-        miss = lane[flag == 2]
-        if len(miss):
-            value = now[miss].astype(np.int64)
-            digits = [(value >> s) & 15 for s in (12, 8, 4, 0)]
-            for k in range(4):
-                c = _digit_context(k, digits)
-                rows = m.digits[k][miss, c]
-                out.code(miss, *_pick(rows, digits[k]), rows[:, 16])
-                m.count_digit(k, miss, c, rows, digits[k])
-        m.learn(lane, now, p1, p2, one, two, s1, s2)
+        if step in renewals:
+            m.renew(number[done:step, :n])
+            done = step
+        x = number[step, :n]
+        m.predict(n)
+        lane = np.flatnonzero((x > m.known16[:n]) & (x != m.p1) & (x != m.p2))
+        y = x.copy()
+        y[lane] = 0
+        out.code(n, *m.interval(y))
+        if len(lane):
+            new = first[step, lane]
+            pending = m.seen[lane] - m.known[lane]
+            start = np.where(new, pending * _PENDING + grid[lane, step], (x[lane].astype(np.int64) - m.known[lane] - 1) * _PENDING)
+            out.code_some(lane, start, np.where(new, 1, _PENDING), pending * _PENDING + 65536)
+            m.seen[lane] += new
+        m.learn(x)
     out.close()
-    return size, out.n, np.concatenate([out.words[k, :n] for k, n in enumerate(out.n.tolist())])
+    keep = np.arange(out.words.shape[1]) < out.n[:, None]
+    return size, out.n, out.words[keep]
 
 
 def decode_blocks(size: np.ndarray, n_words: np.ndarray, words: np.ndarray) -> np.ndarray:
     """The ids that :func:`encode_blocks` was given; blocks may be any subset, longest first."""
     lanes, block = len(size), int(size.max())
-    grid = np.zeros((block, lanes), np.uint16)
-    m, source = _Models(lanes), _In(words, np.cumsum(n_words) - n_words, n_words)
+    number = np.zeros((block, lanes), np.uint16)
+    m, source = _Model(lanes, block, True), _In(words, np.cumsum(n_words) - n_words, n_words)
+    named = np.zeros((lanes, block + 1), np.uint16)  # ids by number
+    renewals, done = _renewals(block), 0
+    active = np.searchsorted(-size, -np.arange(block), "left")
     for step in range(block):
-        lane = m.lane[size > step]
-        p1, p2, one, two, s1, s2, ctx = m.predict(lane)
-        rows = m.flags[lane, ctx]
-        t = source.target(lane, rows[:, 3])
-        flag = (t >= rows[:, 1]).astype(np.int64) + (t >= rows[:, 2])
-        source.take(lane, *_pick(rows, flag))
-        m.count_flag(lane, ctx, rows, flag)
-        now = np.where(flag == 0, p2, p1)
-        where = np.flatnonzero(flag == 2)
-        if len(where):
-            miss, digits = lane[where], []
-            for k in range(4):
-                c = _digit_context(k, digits)
-                rows = m.digits[k][miss, c]
-                t = source.target(miss, rows[:, 16])
-                digit = (rows[:, 1:16] <= t[:, None]).sum(axis=1)
-                source.take(miss, *_pick(rows, digit))
-                m.count_digit(k, miss, c, rows, digit)
-                digits.append(digit)
-            now[where] = (digits[0] << 12) | (digits[1] << 8) | (digits[2] << 4) | digits[3]
-        grid[step, lane] = now
-        m.learn(lane, now, p1, p2, one, two, s1, s2)
-    keep = (np.arange(block)[:, None] < size[None, :]).T
-    return grid.T[keep]
+        n = int(active[step])
+        if step in renewals:
+            m.renew(number[done:step, :n])
+            done = step
+        m.predict(n)
+        x = m.find(source.target(n))
+        source.take(n, *m.interval(x))
+        lane = np.flatnonzero(x == 0)
+        if len(lane):
+            pending = (m.seen[lane] - m.known[lane]) * _PENDING
+            t = source.target_some(lane, pending + 65536)
+            new = t >= pending
+            old = t // _PENDING
+            source.take_some(lane, np.where(new, t, old * _PENDING), np.where(new, 1, _PENDING))
+            m.seen[lane] += new
+            x[lane] = np.where(new, m.seen[lane], m.known[lane] + 1 + old)
+            named[lane[new], m.seen[lane[new]]] = (t - pending)[new]
+        number[step, :n] = x
+        m.learn(x)
+    keep = np.arange(block) < size[:, None]
+    return np.take_along_axis(named, number.T, axis=1)[keep]
 
 
 _HEAD = struct.Struct("<6sIQII")

@@ -16,6 +16,54 @@ def test_round_trip(n):
         assert (ic.decode_blocks(size, words_n, words) == ids).all()
 
 
+def test_intervals_are_a_mixture():
+    """After any history, the intervals of all numbers are disjoint, cover the total and have the mixed sizes."""
+    rng = np.random.default_rng(3)
+    m, lanes, history = ic._Model(5, 256, True), 5, []
+    for step in range(200):
+        if step in (8, 40, 150):
+            m.renew(np.array(history[-(step - {8: 0, 40: 8, 150: 40}[step]) :], np.uint16))
+        m.predict(lanes)
+        if step % 20 == 19:
+            of = np.arange(257, dtype=np.uint16)
+            found = [m.interval(np.full(lanes, k, np.uint16)) for k in of]
+            start, size = (np.array([f[j] for f in found]).astype(np.int64) for j in (0, 1))
+            share = (m.share[:, :257] & 16383).T
+            same, w1, w2 = m.p1 == m.p2, m.w1_.astype(int), m.w2_.astype(int)
+            want = share * m.w0 + ((of[:, None] == m.p1) * w1 + (of[:, None] == m.p2) * w2 << ic._SHIFT)
+            assert (size == want).all() and (size.sum(0) == 1 << ic._TOTAL).all() and step > 0
+            for lane in range(lanes):
+                used = np.flatnonzero(size[:, lane])
+                order = used[np.argsort(start[used, lane])]
+                ends = start[order, lane] + size[order, lane]
+                assert start[order[0], lane] == 0 and (start[order[1:], lane] == ends[:-1]).all()
+                for k in order:
+                    for t in (start[k, lane], start[k, lane] + size[k, lane] - 1):
+                        assert m.find(np.full(lanes, t, np.int32))[lane] == k
+            m.predict(lanes)
+        # numbers by first occurrence: an old one, or the next
+        x = np.array([rng.integers(1, s + 2) if s < 250 else 1 for s in m.seen], np.uint16) if step % 3 else np.minimum(m.seen, 1 + step % 4).clip(1).astype(np.uint16)
+        m.seen = np.maximum(m.seen, x)
+        m.interval(np.where((x <= m.known) | (x == m.p1) | (x == m.p2), x, 0).astype(np.uint16))
+        m.learn(x)
+        history.append(x)
+
+
+def test_orders_add_to_each_other():
+    """Ids that follow the last two are cheap, ids that follow the last one less so, others by how common they are."""
+    rng = np.random.default_rng(5)
+    bits = lambda x: 32 * len(ic.encode_blocks(np.asarray(x, np.uint16), 2048)[2]) / len(x)
+    flat = rng.integers(0, 64, 8192)
+    skewed = np.minimum(rng.geometric(0.2, 8192), 63)
+    chain = [0]
+    for _ in range(8191):  # the next id depends on the last one, nine times in ten
+        chain.append((chain[-1] * 5 + 1) % 64 if rng.random() < 0.9 else int(rng.integers(0, 64)))
+    pair = [0, 1]
+    for _ in range(8190):
+        pair.append((pair[-1] * 5 + pair[-2] * 3 + 1) % 16 if rng.random() < 0.95 else int(rng.integers(0, 16)))
+    assert bits(chain) < 3 < bits(skewed) < 4.5 < bits(flat) < 8 and bits(pair) < 2 < bits(rng.integers(0, 16, 8192))
+
+
 def test_compresses():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 40000, 50)
