@@ -2,17 +2,20 @@
 
 Each document gives four transformed statistics: log of the mean word length, symbols a word,
 repeated lines a word, and the share of words in repeated three-word windows. Per language and
-source, centre and covariance are estimated by a minimum-covariance-determinant search: start
-from the coordinatewise medians, then repeat concentration steps, each of which keeps the
-``CORE`` share of documents nearest by Mahalanobis distance and takes their mean and covariance.
-The covariance is corrected for the cut core and gets a fixed ridge, as most statistics of clean
-prose are constant. A document is rejected when its squared distance exceeds the chi-square
-quantile ``1 - TAIL``.
+source, centre and covariance are the minimum-covariance-determinant estimate: from each of three
+fixed starts (medians with the ridge alone, medians with quartile spreads, mean and covariance of
+all documents) concentration steps follow, each of which keeps the ``CORE`` share of documents
+nearest by Mahalanobis distance and takes their mean and covariance. A start goes on as long as
+its determinant falls; of all starts, the estimate with the smallest determinant is used. The
+covariance is corrected for the cut core and gets a fixed ridge (the regularized form of the
+estimate), as most statistics of clean prose are constant. A document is rejected when its squared
+distance exceeds the chi-square quantile ``1 - TAIL``.
 
 All sums are over fixed-point integers and all cuts lie on borders of histogram bins, so the
 result does not depend on how rows are dealt out. Histograms and sums are partial aggregates:
-a hot source moves no more rows than any other. Groups of fewer than ``MIN_GROUP`` documents use
-the estimate of their language, and small languages that of all documents.
+a hot source moves no more rows than any other. Groups of fewer than ``MIN_GROUP`` documents (ten
+for each statistic; a covariance of fewer says little) use the estimate of their language, and
+small languages that of all documents.
 
 Documents that fail the base rule (fewer than 50 words, or more than half of the words in
 repeated windows) are rejected before and take no part in the estimates. Null and empty texts
@@ -30,7 +33,8 @@ from pyspark.sql import functions as F
 from .common import settled
 
 CORE = 0.7
-STEPS = 3
+#: A step has to lower the logarithm of the determinant by so much to be followed by another.
+FALL = 1e-3
 TAIL = 1e-4
 MIN_GROUP = 40
 #: Standard deviations that are added, as what no document should be rejected for.
@@ -39,8 +43,12 @@ RIDGE = (0.06, 0.20, 0.50, 0.08)
 SCALE = 1 << 16
 #: Bins an octave of squared distance, and bins a unit for medians.
 D_BINS, X_BINS = 8, 64
+#: Standard deviations of a normal distribution in the distance of its quartiles.
+NORMAL_QUARTILES = 0.7413
 
 D = len(RIDGE)
+#: Centre and Cholesky factor.
+PARAMS = [f"m{i}" for i in range(D)] + [f"l{i}{j}" for i in range(D) for j in range(i + 1)]
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -131,13 +139,12 @@ def _keyed(df: DataFrame) -> DataFrame:
     return df.withColumns({f"{_P}lang": F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("")), f"{_P}source": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))})
 
 
-def _threshold(rows: DataFrame, bins: list[str], share: float) -> DataFrame:
-    """Per group, the least bin up to which ``share`` of the group's rows lie."""
-    counted = rows.groupBy("key", *bins).agg(F.count(F.lit(1)).alias("n"))
-    cols = bins[:-1]
-    w = Window.partitionBy("key", *cols)
-    run = counted.withColumns({"upto": F.sum("n").over(w.orderBy(bins[-1])), "all": F.sum("n").over(w)})
-    return run.filter(F.col("upto") >= F.ceil(F.lit(share) * F.col("all"))).groupBy("key", *cols).agg(F.min(bins[-1]).alias("cut"), F.first("all").alias("size"))
+def _quantiles(rows: DataFrame, shares: tuple[float, ...]) -> DataFrame:
+    """(key, axis, q0, q1, ...): per group and axis the least bins up to which these shares of the rows lie."""
+    counted = rows.groupBy("key", "axis", "bin").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("key", "axis")
+    run = counted.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "all": F.sum("n").over(w)})
+    return run.groupBy("key", "axis").agg(*[F.min(F.when(F.col("upto") >= F.ceil(F.lit(share) * F.col("all")), F.col("bin"))).alias(f"q{k}") for k, share in enumerate(shares)])
 
 
 def _distance(x: str = "x", p: str = "") -> Column:
@@ -154,25 +161,61 @@ def _distance(x: str = "x", p: str = "") -> Column:
     return total
 
 
-def _with_factor(moments: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor from counts and sums; the ridge keeps the matrix positive."""
+def _sums() -> list[Column]:
+    """Exact sums of the values and of their products."""
+    x = [F.col(f"x{i}") for i in range(D)]
+    sums = [F.sum(x[i].cast("decimal(20,0)")).alias(f"s{i}") for i in range(D)]
+    return [F.count(F.lit(1)).alias("n"), *sums, *[F.sum((x[i] * x[j]).cast("decimal(20,0)")).alias(f"s{i}{j}") for i in range(D) for j in range(i, D)]]
+
+
+def _with_factor(moments: DataFrame, consistency: float = CONSISTENCY) -> DataFrame:
+    """Mean, Cholesky factor and log determinant (``ld``) from counts and sums; the ridge keeps the matrix positive."""
     n = F.col("n").cast("double")
     out = moments.withColumns({f"m{i}": F.col(f"s{i}").cast("double") / n / SCALE for i in range(D)})
     for i in range(D):
         for j in range(i + 1):
-            cov = (F.col(f"s{j}{i}").cast("double") / n / (SCALE * SCALE) - F.col(f"m{i}") * F.col(f"m{j}")) * CONSISTENCY
+            cov = (F.col(f"s{j}{i}").cast("double") / n / (SCALE * SCALE) - F.col(f"m{i}") * F.col(f"m{j}")) * consistency
             value = (F.greatest(cov, F.lit(0.0)) + RIDGE[i] ** 2) if i == j else cov
             for k in range(j):
                 value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             # A rounding error can't make a pivot fall below a part of the ridge.
             out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(0.01 * RIDGE[i] ** 2))) if i == j else value / F.col(f"l{j}{j}"))
-    return out.select("key", "size", *[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i in range(D) for j in range(i + 1)])
+    ld = F.lit(0.0)
+    for i in range(D):
+        ld = ld + 2 * F.log(F.col(f"l{i}{i}"))
+    return out.select("key", "start", "size", ld.alias("ld"), *PARAMS)
 
 
 def _d_bin(d2: Column) -> Column:
     return F.floor(D_BINS * F.log2(d2 + 1e-6)).cast("int")
 
 
+def _starts(leveled: DataFrame) -> DataFrame:
+    """(key, start, active, size, ld, parameters) of the three starts; ``ld`` is not known yet."""
+    x = [f"x{i}" for i in range(D)]
+    each = leveled.select("key", F.posexplode(F.array(*[F.floor(F.col(c) * X_BINS / SCALE).cast("int") for c in x])).alias("axis", "bin"))
+    wide = _quantiles(each, (0.25, 0.5, 0.75)).groupBy("key").pivot("axis", list(range(D))).agg(F.first(F.struct("q0", "q1", "q2")))
+    spread = [F.sqrt(F.pow(F.lit(NORMAL_QUARTILES) * (F.col(f"`{i}`.q2") - F.col(f"`{i}`.q0")) / X_BINS, 2) + RIDGE[i] ** 2) for i in range(D)]
+    diagonal = [[F.lit(RIDGE[i]) for i in range(D)], spread]
+    centre = [((F.col(f"`{i}`.q1") + 0.5) / X_BINS).alias(f"m{i}") for i in range(D)]
+    known = [F.lit(True).alias("active"), F.lit(None).cast("long").alias("size"), F.lit(None).cast("double").alias("ld")]
+    out = _with_factor(leveled.groupBy("key").agg(*_sums()).withColumns({"size": F.col("n"), "start": F.lit(len(diagonal))}), 1.0).select("key", "start", *known, *PARAMS)
+    for k, scale in enumerate(diagonal):
+        out = out.unionByName(wide.select("key", F.lit(k).alias("start"), *known, *centre, *[(scale[i] if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(D) for j in range(i + 1)]))
+    return out
+
+
+def _concentrated(leveled: DataFrame, params: DataFrame) -> DataFrame:
+    """One concentration step of every start: mean and factor of the ``CORE`` share of its group that lies nearest."""
+    near = leveled.join(params.select("key", "start", *PARAMS), "key").withColumn("bin", _d_bin(_distance()))
+    counted = near.groupBy("key", "start", "bin").agg(*_sums())
+    w = Window.partitionBy("key", "start")
+    run = counted.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "size": F.sum("n").over(w)})
+    core = run.filter(F.col("upto") - F.col("n") < F.ceil(F.lit(CORE) * F.col("size")))
+    sums = [c for c in counted.columns if c not in ("key", "start", "bin")]
+    return _with_factor(core.groupBy("key", "start").agg(F.first("size").alias("size"), *[F.sum(c).alias(c) for c in sums]))
+
+
 def fit(stats: DataFrame) -> DataFrame:
     """One row for each (language, source) with what :func:`judge` needs. ``stats``: from :func:`with_stats`.
 
@@ -185,20 +228,18 @@ def fit(stats: DataFrame) -> DataFrame:
     x = [f"x{i}" for i in range(D)]
     leveled = rows.select(F.explode(keys).alias("key"), *x)
 
-    each = leveled.select("key", F.posexplode(F.array(*[F.floor(F.col(c) * X_BINS / SCALE).cast("int") for c in x])).alias("axis", "bin"))
-    median = _threshold(each, ["axis", "bin"], 0.5).groupBy("key").pivot("axis", list(range(D))).agg(F.first("cut"))
-    start = median.select("key", *[((F.col(str(i)) + 0.5) / X_BINS).alias(f"m{i}") for i in range(D)], *[F.lit(RIDGE[i] if i == j else 0.0).alias(f"l{i}{j}") for i in range(D) for j in range(i + 1)])
-    params = settled(start, "quality-step")
-    for _ in range(STEPS):
-        near = leveled.join(params, "key").select("key", *x, _d_bin(_distance()).alias("bin"))
-        cuts = _threshold(near, ["bin"], CORE)
-        sums = [F.sum(F.col(c).cast("decimal(20,0)")).alias(f"s{i}") for i, c in enumerate(x)]
-        sums += [F.sum((F.col(x[i]) * F.col(x[j])).cast("decimal(20,0)")).alias(f"s{i}{j}") for i in range(D) for j in range(i, D)]
-        byb = near.groupBy("key", "bin").agg(F.count(F.lit(1)).alias("n"), *sums)
-        core = byb.join(cuts, "key").filter(F.col("bin") <= F.col("cut")).groupBy("key").agg(F.first("size").alias("size"), F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in byb.columns[3:]])
-        params = settled(_with_factor(core), "quality-step")
+    params = settled(_starts(leveled), "quality-step")
+    while True:
+        new = _concentrated(leveled, params.filter("active")).select("key", "start", F.struct("size", "ld", *PARAMS).alias("new"))
+        joined = params.join(new, ["key", "start"], "left")
+        falls = F.coalesce(F.col("new.ld") < F.col("ld") - FALL, F.col("new").isNotNull() & F.col("ld").isNull())
+        params = settled(joined.select("key", "start", falls.alias("active"), *[F.when(falls, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in ("size", "ld", *PARAMS)]), "quality-step")
+        if params.filter("active").isEmpty():
+            break
+    least = F.min(F.struct("ld", "start", "size", *PARAMS)).alias("best")
+    params = params.groupBy("key").agg(least).select("key", "best.*").drop("start")
     level = {k: params.filter(F.col("key.level") == k) for k in range(3)}
-    values = [c for c in params.columns if c not in ("key", "size")]
+    values = PARAMS
     groups = rows.select(lang, source).distinct()
 
     def of(k: int) -> DataFrame:
@@ -229,6 +270,14 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns. Texts are read twice and never written."""
-    narrow = with_stats(docs.select("text", "lang", "source")).drop("text")
-    return judge(with_stats(docs), fit(narrow)).filter(f"{_P}kept").select(*docs.columns)
+    """The rows of ``docs`` that are kept, with their columns. Texts are read twice and never written.
+
+    Null and empty texts go, as they fail the base rule; repeated rows and ties are judged alike;
+    an empty table stays empty; any other columns, also ones named like statistics, pass through.
+    """
+    narrow = settled(with_stats(docs.select(*[F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")])).drop("text"), "quality-all")
+    stats = with_stats(docs)
+    own = [c for c in stats.columns if c not in docs.columns]
+    # The filter refers to columns of a generator, so the optimizer can't move the statistics into it and repeat them.
+    held = stats.select(*[F.col(f"`{c}`") for c in docs.columns], F.inline(F.array(F.struct(*own))))
+    return judge(held, fit(narrow)).filter(f"{_P}kept").select(*[F.col(f"`{c}`") for c in docs.columns])

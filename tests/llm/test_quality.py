@@ -1,4 +1,5 @@
 import collections
+import itertools
 import math
 import random
 import re
@@ -24,20 +25,45 @@ def brute_stats(text):
     return len(w), sum(map(len, w)), sum(c in q.SYMBOLS for c in text), len(lines) - len(set(lines)), len(cover)
 
 
+def values(rows):
+    return np.array([[round(v * q.SCALE) for v in (math.log(max(wc / n, 1)), math.log1p(10 * sy / n), math.log1p(100 * dl / n), rw / n)] for n, wc, sy, dl, rw in rows]) / q.SCALE
+
+
+def estimate(core, consistency=q.CONSISTENCY):
+    mean = core.mean(0)
+    return mean, consistency * ((core.T @ core) / len(core) - np.outer(mean, mean)) + np.diag(np.square(q.RIDGE))
+
+
+def distances(v, mean, cov):
+    return np.einsum("ij,jk,ik->i", v - mean, np.linalg.inv(cov), v - mean)
+
+
+def brute_search(v):
+    """(log determinant, mean, covariance) of each start, followed as long as the determinant falls."""
+    need = math.ceil(q.CORE * len(v))
+    bins = np.sort(np.floor(np.round(v * q.SCALE) * q.X_BINS / q.SCALE), axis=0)
+    low, mid, high = (bins[math.ceil(s * len(v)) - 1] for s in (0.25, 0.5, 0.75))
+    centre = (mid + 0.5) / q.X_BINS
+    spread = np.square(q.NORMAL_QUARTILES * (high - low) / q.X_BINS) + np.square(q.RIDGE)
+    out = []
+    for mean, cov in ((centre, np.diag(np.square(q.RIDGE))), (centre, np.diag(spread)), estimate(v, 1.0)):
+        best = math.inf
+        while True:
+            d = np.floor(q.D_BINS * np.log2(distances(v, mean, cov) + 1e-6))
+            new = estimate(v[d <= np.sort(d)[need - 1]])
+            ld = np.linalg.slogdet(new[1])[1]
+            if not ld < best - q.FALL:
+                break
+            best, (mean, cov) = ld, new
+        out.append((best, mean, cov))
+    return out
+
+
 def brute_verdict(rows):
     """The same search in numpy over all rows of one group: squared distances."""
-    x = np.array([[round(v * q.SCALE) for v in (math.log(max(wc / n, 1)), math.log1p(10 * sy / n), math.log1p(100 * dl / n), rw / n)] for n, wc, sy, dl, rw in rows])
-    need = math.ceil(q.CORE * len(x))
-    mean = np.array([(sorted(np.floor(x[:, i] * q.X_BINS / q.SCALE))[math.ceil(0.5 * len(x)) - 1] + 0.5) / q.X_BINS for i in range(q.D)])
-    cov = np.diag(np.square(q.RIDGE))
-    v = x / q.SCALE
-    for _ in range(q.STEPS):
-        d = np.einsum("ij,jk,ik->i", v - mean, np.linalg.inv(cov), v - mean)
-        bins = np.floor(q.D_BINS * np.log2(d + 1e-6))
-        core = v[bins <= sorted(bins)[need - 1]]
-        mean = core.mean(0)
-        cov = q.CONSISTENCY * ((core.T @ core) / len(core) - np.outer(mean, mean)) + np.diag(np.square(q.RIDGE))
-    return np.einsum("ij,jk,ik->i", v - mean, np.linalg.inv(cov), v - mean)
+    v = values(rows)
+    _, mean, cov = min(brute_search(v), key=lambda x: x[0])
+    return distances(v, mean, cov)
 
 
 def texts(rng, n):
@@ -65,6 +91,19 @@ def test_group_equals_numpy(spark):
     assert {k for k in got if not got[k].kept} == set(range(0, 120, 9))
 
 
+def test_least_determinant_of_all_subsets(spark, monkeypatch):
+    """A masked group of outliers: the smallest determinant over all subsets gives the same verdicts."""
+    monkeypatch.setattr(q, "MIN_GROUP", 4)
+    rng = random.Random(11)
+    rows = [(k, " ".join("".join(rng.choice("aeiourst") for _ in range(rng.randint(3, 7))) + ("#%|" if k % 5 == 0 else "") for _ in range(80)), "en", "a") for k in range(13)]
+    got = {r.doc_id: r.kept for r in q.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    v = values([brute_stats(t) for _, t, _, _ in rows])
+    subsets = (v[list(c)] for c in itertools.combinations(range(len(v)), math.ceil(q.CORE * len(v))))
+    mean, cov = min((estimate(c) for c in subsets), key=lambda e: np.linalg.slogdet(e[1])[1])
+    assert [got[k] for k in range(13)] == (distances(v, mean, cov) <= q.CUTOFF).tolist()
+    assert sum(got.values()) == 10
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.text(alphabet="ab \n\t|é\x0b", max_size=40), min_size=1, max_size=20))
 def test_stats_equal_brute(spark, found):
