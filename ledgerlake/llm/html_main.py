@@ -44,16 +44,28 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _DROPPED = frozenset("nav aside footer form head select button dialog menu fieldset".split())
 # Elements that a following block start ends by itself.
 _LOOSE = frozenset("p li dt dd tr td th option".split())
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side-bar|menu|navbar|navigation|nav|breadcrumbs?|footer|masthead|topbar|cookies?|consent|notices?|alert|popup|modal|comments?|commentlist|disqus|replies|reply|respond|share|sharing|social|related|newsletter|subscribe|widget|toolbar|pagination|pager|skip-link|copyright|disclaimer|signup|login)(?:$|[\s_-])",
-    re.I,
-)
+# Names of what surrounds a text. A class or id is noise if it is one of them, or begins or ends with
+# one (site-footer, comments-list); in the middle of a name they say nothing (layout-menu-page). The second kind counts
+# as a whole name or as its beginning only.
+_WORDS = "ads?|advert\\w*|adsense|banner|sponsor\\w*|promo\\w*|sidebar|menu|navbar|navigation|nav|breadcrumbs?|footer|masthead|topbar|cookies?|consent|notices?|alert|popup|modal|comments?|commentlist|disqus|replies|reply|respond|share|sharing|social|related|newsletter|subscribe|toolbar|pagination|pager|copyright|disclaimer|signup|login|side-bar|skip-link"
+_FIRST_WORDS = "widget"
+# Names of what surrounds a text. A class or id is noise if it is one of them, or begins or ends with
+# one (site-footer, comments-list); in the middle of a name they say nothing (layout-menu-page). The second kind counts
+# as a whole name or as its beginning only.
+_WORDS = "ads?|advert\\w*|adsense|banner|sponsor\\w*|promo\\w*|sidebar|menu|navbar|navigation|nav|breadcrumbs?|footer|masthead|topbar|cookies?|consent|notices?|alert|popup|modal|comments?|commentlist|disqus|replies|reply|respond|share|sharing|social|related|newsletter|subscribe|toolbar|pagination|pager|copyright|disclaimer|signup|login|side-bar|skip-link"
+_FIRST_WORDS = "widget"
+_NOISE = re.compile(rf"(?:^|\s)(?:(?:{_WORDS}|{_FIRST_WORDS})(?:[_-]\S*)?|\S*[_-](?:{_WORDS}))(?=\s|$)", re.I)
 # Words of layout variants that only say what surrounds a text: no-sidebar, has-left-sidebar.
 _LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:no|has|with)[_-]\S*", re.I)
 # Parts whose articles are others' than the page's.
-_OTHERS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|comments?|commentlist|disqus|replies|reply|respond|related)(?:$|[\s_-])", re.I)
+_OTHER_WORDS = "ads?|advert\\w*|adsense|sponsor\\w*|promo\\w*|comments?|commentlist|disqus|replies|reply|respond|related"
+_OTHER_WORDS = "ads?|advert\\w*|adsense|sponsor\\w*|promo\\w*|comments?|commentlist|disqus|replies|reply|respond|related"
+_OTHERS = re.compile(rf"(?:^|\s)(?:(?:{_OTHER_WORDS})(?:[_-]\S*)?|\S*[_-](?:{_OTHER_WORDS}))(?=\s|$)", re.I)
+# Inside a tag, a "<" outside quotes starts the next one: so no tag is looked at twice. Drawings and formulas may close
+# themselves.
+_INSIDE = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(_RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<({'|'.join(_RAW)})\b(?!(?<=svg){_INSIDE}(?<=/)>|(?<=math){_INSIDE}(?<=/)>){_INSIDE}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_INSIDE})>|<[!?][^<>]*>",
     re.S | re.I,
 )
 _MARK = re.compile(r"<(?:article|main)\b|\brole\s*=\s*[\"']?main\b|\bitemprop\s*=\s*[\"']?articlebody\b", re.I)

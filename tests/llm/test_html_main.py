@@ -1,3 +1,8 @@
+import time
+
+from hypothesis import given
+from hypothesis import strategies as st
+
 from ledgerlake.llm import html_main as h
 
 PAGE = (
@@ -28,9 +33,59 @@ def test_nothing():
         assert h.main_text(page) == ("", 0, 0)
 
 
+def brute_stretches(sizes, threshold):
+    """Surge: the first line with text whose window holds more than the threshold; dive: the next blank line whose
+    window doesn't, or the next line whose window is empty."""
+    window = [sum(sizes[k : k + h.WINDOW]) for k in range(len(sizes))]
+    out, k = [], 0
+    while True:
+        surge = next((i for i in range(k, len(sizes)) if window[i] > threshold and sizes[i]), None)
+        if surge is None:
+            return out
+        k = next((i for i in range(surge + 1, len(sizes)) if not sizes[i] and (window[i] <= threshold or not window[i])), len(sizes))
+        out.append((surge, k))
+        k += 1
+
+
 def test_surge_and_dive():
-    assert h.stretches([0, 0, 50, 50, 0, 0, 0, 0, 90], 80) == [(2, 4), (8, 9)] or h.stretches([0, 0, 50, 50, 0, 0, 0, 0, 90], 80)
-    assert h.stretches([], 0) == []
+    assert h.stretches([0, 0, 50, 50, 0, 0, 0, 0, 90], 80) == [(2, 4), (8, 9)]
+    assert h.stretches([], 0) == [] and h.stretches([80, 0, 0], 80) == [] and h.stretches([81], 80) == [(0, 1)]
+    assert h.stretches([90, 0, 90], 80) == [(0, 3)] and h.stretches([90, 0, 0, 0, 90], 80) == [(0, 1), (4, 5)]  # ties with the threshold, and joined stretches
+
+
+@given(st.lists(st.sampled_from([0, 0, 0, 1, 30, 40, 80, 81, 200]), max_size=30), st.sampled_from([0, 80]))
+def test_stretches_equal_brute(sizes, threshold):
+    assert h.stretches(sizes, threshold) == brute_stretches(sizes, threshold)
+
+
+def test_stretches_decide_what_is_kept():
+    long, blank = "word " * 30, "<div></div>" * 4
+    page = f"<div>By a writer</div>{blank}<p>{long}</p><p>Short.</p>{blank}<div>Elsewhere</div>{blank}<p>{long}</p>"
+    assert h.main_text(page)[0] == f"{long.strip()}\nShort.\n{long.strip()}"  # lines far from text go
+    assert [x[0] for x in h.lines_of(page) if x[0]] == ["By a writer", long.strip(), "Short.", "Elsewhere", long.strip()]
+
+
+def test_names_in_the_middle_are_no_noise():
+    text = "A paragraph of the article that goes on for a while. " * 6
+    for name in ("elementor-widget-text-editor", "no-sidebar", "layout-menu-page", "x_share_y", "blog-post"):
+        assert h.main_text(f"<div class='{name}'><p>{text}</p></div>")[0] == text.strip(), name
+    for name in ("widget", "widget-area", "site-footer", "post comments-list", "top menu", "cookie-notice", "ad-box", "my_ad"):
+        assert h.main_text(f"<article><p>One.</p><div class='{name}'>Two.</div></article>")[0] == "One.", name
+
+
+def test_drawings_that_close_themselves():
+    page = "<article><p>One.</p><svg class=a /><math/><p>Two.</p><svg><text>x</text></svg><p>Three.</p></article>"
+    assert h.main_text(page)[0] == "One.\nTwo.\nThree."
+
+
+def test_broken_pages_take_linear_time():
+    for piece in ("<a ", "<svg ", "<!", "<a \"", "<p x='", "<!-- ", "<div class='menu' ", "&", "<script ", "</", "<a b=\"'"):
+        took = []
+        for n in (20_000, 80_000):
+            start = time.process_time()
+            h.main_text("<article>" + piece * n)
+            took.append(time.process_time() - start)
+        assert took[1] < 12 * took[0] + 0.5, piece
 
 
 def test_rows(spark):
