@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import content, events, inventory, pages, snapshot, streams  # noqa: F401  (they register)
+from . import content, events, files, inventory, pages, snapshot, streams  # noqa: F401  (they register)
 from .registry import QUERIES, SQL
 
 
