@@ -155,14 +155,23 @@ def _block(ids: list[int], texts: list[bytes], n: int, m: int) -> list[tuple]:
     """Blobs of one block: units to send on, and repeats inside the block."""
     found: list[list[np.ndarray]] = [[], [], [], [], []]
     at = 0
+
+    def add(some: list[bytes], first: int, shift: int = 0):
+        for into, values in zip(found, units(some)):
+            into.append(values)
+        found[2][-1] = found[2][-1] + first
+        found[3][-1] = found[3][-1] + shift
+
     while at < len(texts):
         end, size = at, 0
         while end < len(texts) and (end == at or size + len(texts[end]) <= PASS):
             size += len(texts[end])
             end += 1
-        for into, values in zip(found, units(texts[at:end])):
-            into.append(values)
-        found[2][-1] = found[2][-1] + at
+        if size <= 2 * PASS:
+            add(texts[at:end], at)
+        else:  # one very long text: its starts are taken in parts, which at most cuts a unit in two
+            for shift in range(0, len(texts[at]) - SPAN + 1, PASS):
+                add([texts[at][shift : shift + PASS + SPAN - 1]], at, shift)
         at = end
     mark, unit, text, start, runs = (np.concatenate(x) for x in found)
     doc = np.array(ids, np.int64)
@@ -268,8 +277,9 @@ def _with_docs(docs: DataFrame, blobs: DataFrame, n: int, width: int) -> DataFra
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in pieces(batches):
             ids = batch.column(0).to_pylist()
-            bucket = _doc_bucket(np.array([i or 0 for i in ids], np.int64), n)
             texts = [squeeze((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
+            # Documents without an id meet no blobs; they are dealt out by their texts.
+            bucket = _doc_bucket(np.array([xxhash.xxh3_64_intdigest(t) >> 1 if i is None else i for i, t in zip(ids, texts)], np.int64), n)
             yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([9] * len(ids), pa.int32()), pa.array(texts, pa.binary()), batch.column(0)], names=["bucket", "kind", "blob", "doc_id"])
 
     both = docs.mapInArrow(zipped, _BLOBS + ", doc_id long").unionByName(blobs.withColumn("doc_id", F.lit(None).cast("long")))

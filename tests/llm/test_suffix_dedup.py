@@ -87,5 +87,32 @@ def test_collision_repeats_sort(monkeypatch):
     assert sd._sorted_repeats([blob], 4) == [] and calls[:2] == [0, 1]
 
 
+def test_very_long_texts_are_taken_in_parts(monkeypatch):
+    """Every start of a long text is in one unit, and equal units of two long texts still meet."""
+    from ledgerlake.llm.packed import unpack
+
+    rng = random.Random(9)
+    a = "".join(rng.choice("abcdef ") for _ in range(5000)).encode()
+    b = a[1000:4000] + bytes(reversed(a[:2000]))
+
+    def taken(size):
+        monkeypatch.setattr(sd, "PASS", size)
+        starts, gone = {1: [], 2: []}, []
+        for _, kind, blob in sd._block([1, 2], [a, b], 1, 1):
+            cols = unpack(blob)
+            if kind == sd._UNITS:
+                for t, s, n in zip(*(c.tolist() for c in cols[5:8])):
+                    starts[int(cols[0][t])] += range(s, s + n)
+            else:
+                gone += [(d, k) for d, s, e in zip(cols[0].tolist(), cols[2].tolist(), cols[3].tolist()) for k in range(s, e - sd.SPAN + 1)]
+        return starts, gone
+
+    for size in (1 << 20, 700):
+        starts, gone = taken(size)
+        assert sorted(starts[1]) == list(range(len(a) - sd.SPAN + 1))
+        assert sorted(starts[2] + [k for _, k in gone]) == list(range(len(b) - sd.SPAN + 1))
+        assert {d for d, _ in gone} == {2} and len(gone) > 2500
+
+
 def test_empty(spark):
     assert sd.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
