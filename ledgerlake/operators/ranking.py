@@ -41,8 +41,15 @@ def retained(df: DataFrame, n: int, *order: Column) -> DataFrame:
 
 
 def ema(df: DataFrame, keys: list[str], order: str, value: str, seconds: str, alpha: float = 0.25, least: float = 0.5) -> DataFrame:
-    """(keys..., ema): exponential mean of the samples in order, the first one as it is; short samples don't count."""
-    samples = F.transform(F.array_sort(F.collect_list(F.when(F.col(seconds) >= least, F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v"))))), lambda s: s["v"])
-    start = F.lit(None).cast("double")
-    out = F.aggregate(samples, start, lambda acc, v: F.when(acc.isNull(), v).otherwise(alpha * v + (1 - alpha) * acc))
-    return df.groupBy(*keys).agg(out.alias("ema"))
+    """(keys..., ema): exponential mean of the samples in order, the first one as it is; short samples don't count.
+
+    A sample's weight follows from how many come after it, so the mean is a sum over rows: a key with many samples
+    is sorted, but never held as one value.
+    """
+    good = F.col(seconds) >= least
+    w = Window.partitionBy(*keys, good.alias("_good"))
+    after = F.row_number().over(w.orderBy(F.col(order).desc())) - 1
+    first = F.row_number().over(w.orderBy(F.col(order).asc())) == 1
+    ranked = df.select(*keys, F.col(value).cast("double").alias("_v"), F.coalesce(good, F.lit(False)).alias("_use"), after.alias("_after"), first.alias("_first"))
+    weight = F.pow(F.lit(1 - alpha), F.col("_after")) * F.when(F.col("_first"), 1.0).otherwise(alpha)
+    return ranked.groupBy(*keys).agg(F.sum(F.when(F.col("_use"), F.col("_v") * weight)).alias("ema"))

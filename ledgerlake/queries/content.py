@@ -61,7 +61,12 @@ def asset_backfill(t):
     return dedupe.asset_backfill(hashes, logged, owned)
 
 
-@query("queue_greedy_dedupe")
+_QUEUE = "SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id AS ord, 'key-' || (n_chars % 701) AS key, 'u' || (doc_id % 509) AS url FROM documents WHERE n_chars % 701 >= 10"
+
+
+@query("queue_greedy_dedupe", f"""WITH RECURSIVE q AS ({_QUEUE}), g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS ks, CAST([] AS VARCHAR[]) AS us, false AS ok
+UNION ALL SELECT q.i, CASE WHEN list_contains(ks, key) OR list_contains(us, url) THEN ks ELSE list_append(ks, key) END, CASE WHEN list_contains(ks, key) OR list_contains(us, url) THEN us ELSE list_append(us, url) END, NOT (list_contains(ks, key) OR list_contains(us, url)) FROM g JOIN q ON q.i = g.i + 1)
+SELECT q.ord, q.key, q.url FROM g JOIN q ON q.i = g.i WHERE g.ok""")
 def queue_greedy_dedupe(t):
     """Rows accepted in order unless an accepted one has their key or address; tests hold it against a loop."""
     from ..operators.fixpoint import settled_in_shared_folder

@@ -180,10 +180,10 @@ def progress_metrics(t):
     return g.select("user_id", "n", "done", text.percent(F.col("done"), F.col("n")).alias("percent"), "bytes", rate.alias("speed"), text.eta((F.col("n") - F.col("done")) * 1000.0, rate, F.lit(0), F.lit(0)).alias("eta"))
 
 
-@query("ema_speed")
+@query("ema_speed", "SELECT user_id, round(list_reduce(list(value ORDER BY event_id) FILTER (WHERE value >= 0.5), lambda a, v: 0.25 * v + 0.75 * a), 6) AS ema FROM events GROUP BY user_id")
 def ema_speed(t):
     """Exponential mean of values a user, in order."""
-    return ranking.ema(t("events"), ["user_id"], "event_id", "value", "value")
+    return ranking.ema(t("events"), ["user_id"], "event_id", "value", "value").withColumn("ema", F.round("ema", 6))
 
 
 @query("progress_coercion", """SELECT user_id, CASE WHEN e > 0 AND e <= s THEN 'complete' WHEN e > 0 THEN 'failed' ELSE 'downloading' END AS stage, CAST(CASE WHEN e > 0 AND e <= s THEN 0 ELSE e END AS BIGINT) AS failed FROM (
