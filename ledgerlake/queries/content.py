@@ -124,3 +124,12 @@ def snapshot_update(t):
     old = i.filter("doc_id % 2 = 0").select(F.col("key").alias("viewkey"), F.lit("stale").alias("error"))
     new = i.filter("doc_id % 8 = 0").select(F.col("key").alias("viewkey"), F.lit("fresh").alias("error"))
     return ledger.updated_snapshot(i, i.filter("doc_id % 4 = 0"), old, new)[1]
+
+
+@query("snapshot_update_items", "SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN '' WHEN doc_id % 4 = 0 THEN 'fresh' ELSE 'm' END AS media_url, CASE WHEN doc_id % 4 = 0 THEN 'u' ELSE 't' END AS resolved_at FROM documents")
+def snapshot_update_items(t):
+    """Fields of attempted items are replaced, blanks included."""
+    i = t("documents").select("doc_id", F.col("doc_id").cast("string").alias("key"), F.lit("m").alias("media_url"), F.lit("t").alias("resolved_at"))
+    tried = i.filter("doc_id % 4 = 0").select("key", F.when(F.col("doc_id") % 8 == 0, "").otherwise("fresh").alias("media_url"), F.lit("u").alias("resolved_at"))
+    none = i.limit(0).select(F.col("key").alias("viewkey"), F.lit("").alias("error"))
+    return ledger.updated_snapshot(i, tried, none, none)[0].select("doc_id", "media_url", "resolved_at")

@@ -41,6 +41,18 @@ def best_card_per_key(t):
     return ranking.best_per(a.withColumn("score", score), ["source", "href"], "score", ["page_id", "card_ord"]).select("source", "href", "title", "page_id", F.col("card_ord").cast("long").alias("card_ord"))
 
 
+_SCORED = f"""SELECT page_id, href, title, CAST(card_ord AS BIGINT) AS card_ord, 16 * CAST(length(title) % 4 = page_id % 4 AS INT) + 8 * CAST(length(title) > 5 AS INT) + 2 * CAST(title <> '' AS INT) + 1 AS score FROM ({ANCHORS})"""
+
+
+@query("best_cards_of_pages", f"SELECT page_id, href AS key, title, CAST(score AS INT) AS score, card_ord, first_ord FROM (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY score DESC, card_ord) AS rn, min(card_ord) OVER (PARTITION BY page_id, href) AS first_ord FROM ({_SCORED})) WHERE rn = 1")
+def best_cards_of_pages(t):
+    """The best card of each key on a page: a consistent asset first, then the preferred class, then texts."""
+    a = anchors(t)
+    number = lambda c: (c % 4).cast("string")
+    cards = a.select(F.lit(0).alias("source_idx"), F.col("page_id").alias("page"), F.col("href").alias("key"), "card_ord", F.when(F.length("title") > 5, "visible").otherwise("decoy").alias("tracking_class"), "title", number(F.length("title")).alias("asset_id"), F.concat(F.lit("https://t.example/"), number(F.col("page_id")), F.lit(".jpg")).alias("thumbnail_url"), F.lit("").alias("duration"))
+    return dedupe.best_cards(cards).select(F.col("page").alias("page_id"), "key", "title", F.col("score").cast("int").alias("score"), F.col("card_ord").cast("long").alias("card_ord"), F.col("first_ord").cast("long").alias("first_ord"))
+
+
 @query("merge_source_pages", f"SELECT href AS key, string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY page_id) AS pages, min(page_id) AS first_page FROM (SELECT DISTINCT href, page_id FROM ({ANCHORS})) GROUP BY href")
 def merge_source_pages(t):
     pages = F.array_sort(F.collect_set("page_id"))
