@@ -13,27 +13,47 @@ from ledgerlake.llm.common import settled, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the robust outlier rules keep."""
+    """Documents that the robust outlier rules keep.
+
+    Null and empty texts go, as they fail the base rule; null languages and sources are groups of their own. Repeated
+    rows and documents with equal statistics are judged alike. No documents give none; extra columns stay as they are.
+    """
     return quality.keep_clean(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest ``doc_id`` of each group linked by five-word shingles at 0.8."""
+    """The document with the smallest ``doc_id`` of each group linked by five-word shingles at 0.8.
+
+    Documents without words and those without a ``doc_id`` are linked with nothing and stay. Repeated rows of the
+    smallest ``doc_id`` all stay, as none of them is smaller. No documents give none; extra columns stay.
+    """
     return jaccard_join.keep_one(docs, words=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a verified passage of the benchmark."""
+    """Documents without a verified passage of the benchmark.
+
+    Null and empty texts hold no passage and stay; items without words are in no document. Repeated rows go or stay
+    alike; a score that just reaches its threshold counts as found. No documents or no items take nothing away.
+    """
     return decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts masked."""
+    """All documents, personal data in their texts masked.
+
+    Null texts stay null and empty ones empty; of overlapping spans the text is masked once. Every row stays, also
+    repeated ones; all columns but the text are untouched. No documents give none.
+    """
     return pii.mask(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 ids at most."""
+    """Pieces of documents in sequences of 2048 ids at most.
+
+    A null or empty text is its end id. Repeated rows are packed one by one, next to each other; a null ``doc_id`` comes
+    first. Of cuts that cost the same the latest start wins. No documents give no pieces; extra columns are not read.
+    """
     return packing.pack(docs)
 
 
