@@ -2,23 +2,31 @@
 
 Documents whose ``crc32(doc_id as text) mod 10`` is not 0 are learned from; all are scored.
 
-1. Words of all training documents are counted (per block first, then by word). The counts give
-   the base score, and, as ids of a text are the ids of its words, the exact counts of all ids.
-2. Ids are put in classes: the most frequent ones each in their own, the rest in bins of equal
-   mass. ``P(id | context) = P(class | context) * P(id | class)``; the second part is exact.
-3. Each task trains the attention model for ``P(class | context)`` on the windows of all its
-   training documents, the same that score them, starting from the same weights; the weights
-   are averaged by windows.
+1. Every text is encoded once; texts and ids are kept in the shared folder. Words of all training
+   documents are counted (per block first, then by word); they give the base score. All their ids
+   are counted too.
+2. Ids are put in classes of equal mass: ``P(id | context) = P(class | context) * P(id | class)``;
+   the second part is exact. All ids have input vectors: the most frequent ones their own, the
+   others share ``HASHED`` by number.
+3. The attention model for ``P(class | context)`` is trained on the ids of all training documents,
+   cut into windows of ``T``; the first id of a window sees the true id before it. Ids are dealt
+   out in shards by a hash of the document, the number of shards by the number of ids. Each shard
+   is trained from the same first weights, in a fixed order of documents; the weights are averaged
+   by windows in the order of shards. The model does not depend on how rows were dealt out.
 4. All texts are scored in overlapping windows of ``T`` ids: batched masked attention over many
    windows at once; each id counts once, in the window where it has at least ``OVERLAP`` ids of
    context (or all there are).
 
-Base: counts of the most frequent words, ``TOP`` at most, go to all workers. Rarer words
-travel by hash (64 bits) to where their counts are, and sums come back by row.
+What the model knows of a context comes through attention alone: it has no path around it and no
+table of pairs. Each window position attends to the inputs up to its own, by content and distance.
+
+Base: counts of the most frequent words, ``TOP`` at most and of ``TOP_BYTES`` bytes at most, go to
+all workers. Other words travel by hash (64 bits) to where their counts are, and sums come back by
+row.
 
 Null and empty texts are one end token. A null ``doc_id`` counts as a training document. Repeated
-rows are counted and scored one by one. Without training tokens the counts are 0 and the classes
-uniform. Other columns are not read.
+rows are counted and scored one by one. Very long texts are scored in pieces of windows. Without
+training tokens the counts are 0 and the classes uniform. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,19 +47,22 @@ from .common import cluster_width, ids_and_texts, pieces, settled
 from .packed import by_bucket, dealt, pack, unpack
 from .tokens import END_ID, encoder
 
-T, OVERLAP = 32, 8
-WIDTH = 16
-SINGLE, BINS = 96, 32
-CLASSES = SINGLE + BINS
-INPUTS = 1024  # the most frequent ids have own input vectors; INPUTS is the start, INPUTS + 1 any other
-BATCH, RATE = 32, 0.05
-TOP = 250_000
+T, OVERLAP = 32, 4
+WIDTH, KEYS = 16, 8  # of values, and of queries and keys
+CLASSES = 48
+#: Input vectors: the most frequent ids have their own, all others share the hashed ones; then the start.
+OWN, HASHED = 2048, 2048
+START = OWN + HASHED
+BATCH, RATE = 128, 0.05
+#: Ids of one shard, about.
+SHARD = 4_000_000
+TOP, TOP_BYTES = 250_000, 64
 SMOOTH = 0.1
 SPREAD = 4
-BLOCK = 12 << 20
-HOLD = 2_000_000  # ids trained on at once
+BLOCK = 32 << 20
 PASS = 256 << 10
-
+TURN = 4096  # windows of a long text that are held at once
+FAN = 64  # rows that one sum takes in
 
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 == 0
@@ -98,22 +109,14 @@ def _word_blobs(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, words binary, counts binary")
 
 
-def count_words(docs: DataFrame, vocabulary: str | None, n: int, width: int) -> DataFrame:
-    """Settled rows: (bucket, word, c) of each training word, and one (bucket, ids) of counts of ids a bucket."""
+def count_words(docs: DataFrame, n: int, width: int) -> DataFrame:
+    """Settled rows (bucket, word, c) of each training word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, vocab = encoder(vocabulary).encode, encoder(vocabulary).vocab_size
-        total = np.zeros(vocab + 1, np.int64)
         now, counts = None, {}
 
         def flush():
-            words = list(counts)
-            c = np.array([counts[w] for w in words], np.int64)
-            packed = [np.frombuffer(encode(w.decode("utf-8", "surrogatepass")), "<u4") for w in words]
-            size = np.array([len(p) for p in packed])
-            if len(packed):
-                np.add.at(total, np.concatenate(packed).astype(np.int64), np.repeat(c, size))
-            return pa.RecordBatch.from_arrays([pa.array([now] * len(words), pa.int32()), pa.array(words, pa.binary()), pa.array(c), pa.nulls(len(words), pa.binary())], names=["bucket", "word", "c", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(counts), pa.int32()), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["bucket", "word", "c"])
 
         for batch in batches:
             for bucket, words, c in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -126,30 +129,78 @@ def count_words(docs: DataFrame, vocabulary: str | None, n: int, width: int) ->
                     counts[w] = get(w, 0) + k
         if counts:
             yield flush()
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([pack(total)], pa.binary())], names=["bucket", "word", "c", "ids"])
 
     sent = _word_blobs(docs, n).repartition(width, "bucket").sortWithinPartitions("bucket")
-    return settled(sent.mapInArrow(run, "bucket int, word binary, c long, ids binary"), "lm-words")
+    return settled(sent.mapInArrow(run, "bucket int, word binary, c long"), "lm-words")
+
+
+# ---- ids
+
+
+def encoded(docs: DataFrame, vocabulary: str | None) -> DataFrame:
+    """Settled rows (doc_id, text, held, n, ids) of all documents: each text with its ids, the end id last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end = encoder(vocabulary).encode, np.array([END_ID], "<u4").tobytes()
+        wide = encoder(vocabulary).vocab_size > 1 << 16
+        for batch in pieces(batches):
+            ids = [np.frombuffer(encode(t) + end, "<u4") for t in batch.column(1).to_pylist()]
+            raw = [(i if wide else i.astype("<u2")).tobytes() for i in ids]
+            held = pa.array([held_out(d) for d in batch.column(0).to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), held, pa.array([len(i) for i in ids], pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "text", "held", "n", "ids"])
 
+    return settled(docs.mapInArrow(run, "doc_id long, text string, held boolean, n long, ids binary"), "lm-ids")
 
-def _sum_ids(counted: DataFrame, vocab: int) -> np.ndarray:
-    """Counts of all ids; partial sums of a fixed length are added pairwise on executors first."""
+
+def _ids(raw: list[bytes], vocab: int) -> list[np.ndarray]:
+    kind = "<u4" if vocab > 1 << 16 else "<u2"
+    return [np.frombuffer(r, kind) for r in raw]
+
+
+def sums(rows: DataFrame, name: str) -> list[np.ndarray] | None:
+    """Sums of packed arrays over all rows (k, blob), ``FAN`` rows at a time in the order of ``k``; None without rows."""
 
     def add(batches):
-        total = None
+        now, total = None, None
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                v = unpack(blob)[0]
-                total = v if total is None else total + v
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if k // FAN != now:
+                    if total is not None:
+                        yield row(now, total)
+                    now, total = k // FAN, None
+                v = unpack(blob)
+                total = v if total is None else [x + y for x, y in zip(total, v)]
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([pack(total)], pa.binary())], names=["ids"])
+            yield row(now, total)
 
-    parts = counted.filter("ids is not null").select("ids").coalesce(8).mapInArrow(add, "ids binary").collect()
-    out = np.zeros(vocab + 1, np.int64)
-    for r in parts:
-        out += unpack(bytes(r.ids))[0]
-    return out
+    def row(k, total):
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([pack(*total)], pa.binary())], names=["k", "blob"])
+
+    rows, kind = settled(rows, name), "k long, blob binary"
+    while (n := rows.count()) > FAN:
+        width = min(cluster_width(rows.sparkSession), -(-n // FAN))
+        dealt_ = rows.repartition(width, F.floor(F.col("k") / FAN)).sortWithinPartitions("k")
+        rows = settled(dealt_.mapInArrow(add, kind), name)
+    total = None
+    for r in sorted(rows.collect(), key=lambda r: r.k):  # FAN rows at most
+        v = unpack(bytes(r.blob))
+        total = v if total is None else [x + y for x, y in zip(total, v)]
+    return total
+
+
+def count_ids(rows: DataFrame, vocab: int) -> np.ndarray:
+    """How often each id occurs in training documents."""
+
+    def run(batches):
+        total = np.zeros(vocab + 1, np.int64)
+        for batch in batches:
+            raw = batch.column(0).to_pylist()
+            if raw:
+                total += np.bincount(_ids([b"".join(raw)], vocab)[0], minlength=vocab + 1)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([pack(total)], pa.binary())], names=["k", "blob"])
+
+    found = sums(rows.filter("not held").select("ids").mapInArrow(run, "k long, blob binary"), "lm-id-counts")
+    return np.zeros(vocab + 1, np.int64) if found is None else found[0]
 
 
 class Classes:
@@ -157,13 +208,11 @@ class Classes:
 
     def __init__(self, counts: np.ndarray):
         rank = np.lexsort((np.arange(len(counts)), -counts))
+        mass = np.cumsum(counts[rank] + SMOOTH)
         self.cls = np.empty(len(counts), np.int64)
-        self.cls[rank[:SINGLE]] = np.arange(SINGLE)
-        rest = rank[SINGLE:]
-        mass = np.cumsum(counts[rest] + SMOOTH)
-        self.cls[rest] = SINGLE + np.minimum(BINS - 1, (mass - (counts[rest] + SMOOTH) / 2) * BINS // mass[-1]).astype(np.int64)
-        self.input = np.full(len(counts), INPUTS + 1, np.int64)
-        self.input[rank[:INPUTS]] = np.arange(min(INPUTS, len(rank)))
+        self.cls[rank] = np.minimum(CLASSES - 1, (mass - (counts[rank] + SMOOTH) / 2) * CLASSES // mass[-1]).astype(np.int64)
+        self.input = (OWN + np.arange(len(counts)) % HASHED).astype(np.uint16)
+        self.input[rank[:OWN]] = np.arange(min(OWN, len(rank)))
         in_class = np.bincount(self.cls, counts + SMOOTH, CLASSES)
         self.inside = np.log10((counts + SMOOTH) / in_class[self.cls])
         self.prior = np.log(np.maximum(in_class, 1e-9) / in_class.sum()).astype(np.float32)
@@ -172,109 +221,112 @@ class Classes:
 # ---- model
 
 
+_DISTANCE = np.arange(T)[:, None] - np.arange(T)
+_SHOWN = (_DISTANCE >= 0).astype(np.float32)
+#: Scores are kept within these bounds, so that their exponentials stay finite.
+_BOUND = np.float32(40)
+_SCALE = np.float32(1 / math.sqrt(KEYS))
+
+
 def first_weights() -> dict[str, np.ndarray]:
+    """``embed``: input vectors; ``qkv``: to queries, keys and values; ``near``: by distance; ``out``: to classes."""
     rng = np.random.default_rng(7)
-    scale = 1 / math.sqrt(WIDTH)
-    shapes = {"embed": (INPUTS + 2, WIDTH), "place": (T, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH), "u": (WIDTH, CLASSES)}
-    out = {k: (rng.standard_normal(s) * (scale if k not in ("embed", "place") else 0.3)).astype(np.float32) for k, s in shapes.items()}
-    out["u"] *= 0.1
-    out["pair"] = np.zeros((CLASSES + 1, CLASSES), np.float32)
+    shapes = {"embed": ((START + 1, WIDTH), 0.5), "qkv": ((WIDTH, 2 * KEYS + WIDTH), 0.25), "near": ((T,), 0.0), "out": ((WIDTH, CLASSES), 0.05)}
+    out = {k: (rng.standard_normal(s) * scale).astype(np.float32) for k, (s, scale) in shapes.items()}
+    out["near"] -= np.minimum(np.arange(T, dtype=np.float32), 8) / 2  # near inputs weigh more from the start
     return out
 
 
-_HIDE = np.triu(np.full((T, T), -1e9, np.float32), 1)
-
-
 def attend(w: dict, x: np.ndarray) -> tuple:
-    """Hidden vectors of windows of input numbers, each seeing itself and what is before it."""
-    e = w["embed"][x] + w["place"][: x.shape[1]]
-    q, k, v = e @ w["q"], e @ w["k"], e @ w["v"]
-    a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(1 / math.sqrt(WIDTH))
-    a += _HIDE[: x.shape[1], : x.shape[1]]
-    a -= a.max(axis=2, keepdims=True)
+    """What each place of windows of input numbers attends to: vectors, queries, keys, values, weights, and their mean."""
+    n, t = x.shape
+    e = w["embed"].take(x.ravel(), axis=0)
+    z = (e @ w["qkv"]).reshape(n, t, -1)
+    q, k, v = z[:, :, :KEYS], z[:, :, KEYS : 2 * KEYS], z[:, :, 2 * KEYS :]
+    a = (q * _SCALE) @ k.transpose(0, 2, 1)
+    a += w["near"][np.maximum(_DISTANCE[:t, :t], 0)]
+    np.clip(a, -_BOUND, _BOUND, out=a)
     np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    mixed = a @ v
-    return e, q, k, v, a, mixed, mixed @ w["o"] + e
-
-
-def _sums(to: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of ``rows`` by their numbers ``to`` below ``n``."""
-    out = np.zeros((n, rows.shape[1]), np.float32)
-    if len(to):
-        order = np.argsort(to, kind="stable")
-        to = to[order]
-        first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-        out[to[first]] = np.add.reduceat(rows[order], first)
-    return out
-
-
-def train(w: dict, prior: np.ndarray, x: np.ndarray, last: np.ndarray, y: np.ndarray, keep: np.ndarray) -> dict:
-    """One pass over windows with adaptive steps. ``x``: input numbers, ``last``: their classes (CLASSES for
-    the start), ``y``: classes that follow, ``keep``: which places count."""
-    w = {k: v.copy() for k, v in w.items()}
-    pairs = np.zeros((CLASSES + 1, CLASSES), np.float32)
-    np.add.at(pairs, (last[keep], y[keep]), 1)
-    p = np.exp(prior)
-    w["pair"] = np.log((pairs + 20 * p) / (pairs.sum(1, keepdims=True) + 20)) - prior
-    seen = {k: np.full_like(v, 1e-4) for k, v in w.items()}
-    scale = np.float32(1 / math.sqrt(WIDTH))
+    a *= _SHOWN[:t, :t]
+    a /= (a @ np.ones(t, np.float32))[:, :, None]
+    return e, q, k, v, a, a @ v
+
+
+def class_odds(w: dict, prior: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unscaled probabilities of the classes after each of the vectors ``h``, and what to divide them by."""
+    g = h @ w["out"]
+    g += prior
+    np.clip(g, -_BOUND, _BOUND, out=g)
+    np.exp(g, out=g)
+    return g, g @ np.ones(CLASSES, np.float32)
+
+
+def _sums(to: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers ``to`` and the sums of ``rows`` by them."""
+    order = np.argsort(to, kind="stable")
+    to = to[order]
+    first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+    return to[first], np.add.reduceat(rows[order], first)
+
+
+def gradients(w: dict, prior: np.ndarray, x: np.ndarray, y: np.ndarray, keep: np.ndarray) -> tuple[dict, np.ndarray]:
+    """Gradients of the mean log loss by weight; those of input vectors only for the numbers returned beside them."""
+    n, t = x.shape
+    e, q, k, v, a, h = attend(w, x)
+    flat = lambda z: z.reshape(-1, z.shape[-1])
+    g, total = class_odds(w, prior, flat(h))
+    used = keep.ravel().astype(np.float32) / np.float32(max(1, keep.sum()))
+    g *= (used / total)[:, None]
+    g[np.arange(len(g)), y.ravel()] -= used
+    grad = {"out": flat(h).T @ g}
+    dh = (g @ w["out"].T).reshape(n, t, WIDTH)
+    da = dh @ v.transpose(0, 2, 1)
+    da -= np.einsum("bij,bij->bi", da, a)[:, :, None]
+    da *= a
+    near = da.sum(axis=0)
+    grad["near"] = np.bincount(np.maximum(_DISTANCE[:t, :t], 0).ravel(), (near * (_DISTANCE[:t, :t] >= 0)).ravel(), T).astype(np.float32)
+    dz = np.concatenate([da @ k * _SCALE, da.transpose(0, 2, 1) @ q * _SCALE, a.transpose(0, 2, 1) @ dh], axis=2)
+    grad["qkv"] = e.T @ flat(dz)
+    to, grad["embed"] = _sums(x.ravel(), flat(dz) @ w["qkv"].T)
+    return grad, to
+
+
+def train(w: dict, prior: np.ndarray, x: np.ndarray, y: np.ndarray, keep: np.ndarray, seen: dict | None = None) -> tuple[dict, dict]:
+    """Weights after one pass over windows with adaptive steps, and the state of the steps to go on from.
+    ``x``: input numbers, ``y``: classes that follow, ``keep``: which places count."""
+    w = {k: v.copy() for k, v in w.items()} if seen is None else w
+    seen = {k: np.full_like(v, 1e-8) for k, v in w.items()} if seen is None else seen
     for at in range(0, len(x), BATCH):
-        xb, lb, yb, kb = x[at : at + BATCH], last[at : at + BATCH], y[at : at + BATCH], keep[at : at + BATCH]
-        e, q, k, v, a, mixed, h = attend(w, xb)
-        logits = h @ w["u"] + w["pair"][lb] + prior
-        logits -= logits.max(axis=2, keepdims=True)
-        g = np.exp(logits)
-        g /= g.sum(axis=2, keepdims=True)
-        b, t = np.nonzero(kb)
-        g *= kb[:, :, None]
-        g[b, t, yb[b, t]] -= 1
-        g /= np.float32(max(1, len(b)))
-        grad = {}
-        flat = lambda z: z.reshape(-1, z.shape[-1])
-        grad["u"] = flat(h).T @ flat(g)
-        grad["pair"] = _sums(lb[b, t], g[b, t], len(w["pair"]))
-        gh = g @ w["u"].T
-        grad["o"] = flat(mixed).T @ flat(gh)
-        gm = gh @ w["o"].T
-        ga = gm @ v.transpose(0, 2, 1)
-        gv = a.transpose(0, 2, 1) @ gm
-        gs = a * (ga - (ga * a).sum(axis=2, keepdims=True)) * scale
-        gq, gk = gs @ k, gs.transpose(0, 2, 1) @ q
-        grad["q"], grad["k"], grad["v"] = flat(e).T @ flat(gq), flat(e).T @ flat(gk), flat(e).T @ flat(gv)
-        ge = gh + gq @ w["q"].T + gk @ w["k"].T + gv @ w["v"].T
-        grad["place"] = np.zeros_like(w["place"])
-        grad["place"][: xb.shape[1]] = ge.sum(axis=0)
-        grad["embed"] = _sums(xb.ravel(), flat(ge), len(w["embed"]))
+        grad, to = gradients(w, prior, x[at : at + BATCH], y[at : at + BATCH], keep[at : at + BATCH])
         for name, d in grad.items():
-            seen[name] += d * d
-            w[name] -= np.float32(RATE) * d / np.sqrt(seen[name])
-    return w
+            rows = to if name == "embed" else slice(None)
+            total = seen[name][rows] + d * d
+            seen[name][rows] = total
+            w[name][rows] -= np.float32(RATE) * d / np.sqrt(total)
+    return w, seen
 
 
-def windows_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows_of(lengths: np.ndarray, overlap: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, first place, places that don't count) of the windows over sequences of these lengths."""
-    n = 1 + np.maximum(0, -(-(lengths - T) // (T - OVERLAP)))
+    n = 1 + np.maximum(0, -(-(lengths - T) // (T - overlap)))
     doc = np.repeat(np.arange(len(lengths)), n)
     k = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
-    return doc, k * (T - OVERLAP), np.where(k > 0, OVERLAP, 0)
+    return doc, k * (T - overlap), np.where(k > 0, overlap, 0)
 
 
-def _grid(ids: list[np.ndarray], c: Classes):
-    """Windows over documents: input numbers, classes of inputs, ids to score, which places count, document."""
+def grid(ids: list[np.ndarray], c: Classes, overlap: int = OVERLAP):
+    """Windows over documents: input numbers, ids to predict, which places count, document."""
     lengths = np.array([len(i) for i in ids])
     flat = np.concatenate(ids).astype(np.int64)
     first = np.cumsum(lengths) - lengths
-    doc, start, skip = windows_of(lengths)
+    doc, start, skip = windows_of(lengths, overlap)
     place = start[:, None] + np.arange(T)
     inside = place < lengths[doc][:, None]
     at = np.minimum(first[doc][:, None] + place, len(flat) - 1)
-    y = flat[at]
-    before = flat[np.maximum(at - 1, 0)]
-    x = np.where(place == 0, INPUTS, c.input[before])
-    last = np.where(place == 0, CLASSES, c.cls[before])
-    return x, last, y, inside & (np.arange(T) >= skip[:, None]), doc
+    shown = c.input[flat]
+    shown = np.r_[shown[:1], shown[:-1]]
+    shown[first] = START
+    return shown[at], flat[at], inside & (np.arange(T) >= skip[:, None]), doc
 
 
 def score(w: dict, c: Classes, ids: list[np.ndarray]) -> np.ndarray:
@@ -282,71 +334,77 @@ def score(w: dict, c: Classes, ids: list[np.ndarray]) -> np.ndarray:
     out = np.zeros(len(ids))
     if not ids:
         return out
-    x, last, y, keep, doc = _grid(ids, c)
-    step = 512
+    # A very long sequence is scored in parts of whole windows.
+    turn = (T - OVERLAP) * TURN
+    if max(map(len, ids)) > turn + OVERLAP:
+        for k, i in enumerate(ids):
+            out[k] = sum(_score(w, c, [i[at : at + turn + OVERLAP]], i[at - 1] if at else None)[0] for at in range(0, max(1, len(i) - OVERLAP), turn))
+        return out
+    return _score(w, c, ids)
+
+
+def _score(w: dict, c: Classes, ids: list[np.ndarray], before: int | None = None) -> np.ndarray:
+    """The same; a part that goes on after the id ``before`` starts with ``OVERLAP`` ids that don't count."""
+    out = np.zeros(len(ids))
+    x, y, keep, doc = grid(ids, c)
+    if before is not None:
+        x[0, 0] = c.input[before]
+        keep[0, :OVERLAP] = False
+    step = 256
     for at in range(0, len(x), step):
         k = keep[at : at + step]
-        h = attend(w, x[at : at + step])[-1][k]
-        cls = c.cls[y[at : at + step][k]]
-        logits = h @ w["u"]
-        logits += w["pair"][last[at : at + step][k]]
-        logits += c.prior
-        top = logits.max(axis=1)
-        logp = logits[np.arange(len(cls)), cls] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
-        total = logp.astype(np.float64) / math.log(10) + c.inside[y[at : at + step][k]]
-        out += np.bincount(np.repeat(doc[at : at + step], k.sum(axis=1)), total, len(ids))
+        now = y[at : at + step][k]
+        g, total = class_odds(w, c.prior, attend(w, x[at : at + step])[-1][k])
+        own = np.log10((g[np.arange(len(now)), c.cls[now]] / total).astype(np.float64)) + c.inside[now]
+        out += np.bincount(np.repeat(doc[at : at + step], k.sum(axis=1)), own, len(ids))
     return out
 
 
-def fit(docs: DataFrame, classes, vocabulary: str | None) -> dict:
-    """Weights averaged over all tasks; each trains on all windows of its training documents."""
+def fit(rows: DataFrame, classes, vocab: int, n_ids: int) -> dict:
+    """Weights averaged over all shards of training documents. ``rows``: from :func:`encoded`."""
+    shards = max(1, -(-n_ids // SHARD))
+    spark = rows.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, encode = classes.value, encoder(vocabulary).encode
-        end = np.array([END_ID], "<u4")
-        w, n = None, 0
+        encoder.cache_clear()  # the worker may have encoded before; here it only trains
+        c = classes.value
+        now, state, n = None, None, 0
         hold: list[np.ndarray] = []
         size = 0
 
         def learn():
-            nonlocal w, n
-            x, last, y, keep, _ = _grid(hold, c)
-            new = train(first_weights(), c.prior, x, last, c.cls[y], keep)
-            w = new if w is None else {k: (w[k] * n + new[k] * len(x)) / (n + len(x)) for k in w}
-            n += len(x)
+            nonlocal state, n, hold, size
+            x, y, keep, _ = grid(hold, c, 0)
+            state = train(*(state[:1] if state else [first_weights()]), c.prior, x, c.cls[y], keep, state[1] if state else None)
+            n, hold, size = n + len(x), [], 0
+
+        def done():
+            if hold:
+                learn()
+            w = state[0]
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([pack(np.array([n], np.float64), *(w[k].ravel().astype(np.float64) * n for k in sorted(w)))], pa.binary())], names=["k", "blob"])
 
-        for batch in pieces(batches):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if held_out(doc):
-                    continue
-                hold.append(np.r_[np.frombuffer(encode(text), "<u4"), end])
-                size += len(hold[-1])
-                if size >= HOLD:
-                    learn()
-                    hold, size = [], 0
-        if hold:
-            learn()
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([pack(*(w[k].ravel() for k in sorted(w)))], pa.binary())], names=["n", "w"])
-
-    def average(batches):
-        total, n = None, 0
         for batch in batches:
-            for m, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                v = [x.astype(np.float64) * m for x in unpack(blob)]
-                total, n = v if total is None else [a + b for a, b in zip(total, v)], n + m
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([pack(*(v / n for v in total))], pa.binary())], names=["n", "w"])
-
-    kind = "n long, w binary"
-    trained = settled(docs.mapInArrow(run, kind), "lm-weights")
-    parts = trained.repartition(min(8, cluster_width(docs.sparkSession))).mapInArrow(average, kind).collect()
+            for shard, ids in zip(batch.column(0).to_pylist(), _ids(batch.column(1).to_pylist(), vocab)):
+                if shard != now:
+                    if now is not None:
+                        yield done()
+                    now, state, n = shard, None, 0
+                for at in range(0, len(ids), T * TURN):  # a very long text is learned from in several turns
+                    hold.append(ids[at : at + T * TURN])
+                    size += len(hold[-1])
+                    if size >= T * TURN:
+                        learn()
+        if now is not None:
+            yield done()
+
+    shard = F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards))
+    dealt_ = rows.filter("not held").select(shard.alias("shard"), "doc_id", "ids")
+    ordered = dealt_.repartition(min(shards, 4 * cluster_width(spark)), "shard").sortWithinPartitions("shard", "doc_id", "ids").select("shard", "ids")
+    total = sums(ordered.mapInArrow(run, "k long, blob binary"), "lm-weights")
     w = first_weights()
-    n = sum(p.n for p in parts)
-    if n:
-        sums = [unpack(bytes(p.w)) for p in sorted(parts, key=lambda p: p.n)]
-        for j, k in enumerate(sorted(w)):
-            w[k] = (sum(s[j] * p.n for s, p in zip(sums, sorted(parts, key=lambda p: p.n))) / n).astype(np.float32).reshape(w[k].shape)
+    if total is not None:
+        w = {k: (v / total[0][0]).astype(np.float32).reshape(w[k].shape) for k, v in zip(sorted(w), total[1:])}
     return w
 
 
@@ -354,7 +412,9 @@ def fit(docs: DataFrame, classes, vocabulary: str | None) -> dict:
 
 
 def _frequent(words: DataFrame) -> dict[bytes, int]:
-    """Counts of the most frequent words, ``TOP`` at most: all words from some eighth of an octave of counts on."""
+    """Counts of the most frequent words, ``TOP`` at most: all words from some eighth of an octave of counts on,
+    but those of more than ``TOP_BYTES`` bytes."""
+    words = words.filter(F.octet_length("word") <= TOP_BYTES)
     step = F.floor(8 * F.log2("c")).cast("int")
     sizes = {r.step: r.n for r in words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a few hundred
     least, total = max(sizes, default=0) + 1, 0
@@ -372,26 +432,24 @@ def score_all(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     width = cluster_width(spark)
     n = SPREAD * width
-    counted = count_words(docs, vocabulary, n, width)
-    words = counted.filter("word is not null")
+    vocab = encoder(vocabulary).vocab_size
+    rows = encoded(docs, vocabulary)
+    words = count_words(docs, n, width)
     totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    crc_free = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10))
-    n_train = docs.filter(F.coalesce(crc_free != 0, F.lit(True))).count()
+    n_train = rows.filter("not held").count()
     all_tokens, distinct = totals.n + n_train, totals.v + (n_train > 0)
-    vocab = encoder(vocabulary).vocab_size
-    id_counts = _sum_ids(counted, vocab)
-    id_counts[END_ID] += n_train
+    id_counts = count_ids(rows, vocab)
     classes = spark.sparkContext.broadcast(Classes(id_counts))
-    weights = spark.sparkContext.broadcast(fit(docs, classes, vocabulary))
+    weights = spark.sparkContext.broadcast(fit(rows, classes, vocab, int(id_counts.sum())))
     top = spark.sparkContext.broadcast(_frequent(words))
     shift = math.log10(all_tokens + SMOOTH * (distinct + 1)) if all_tokens else math.log10(SMOOTH)
 
     kind = "key long, doc_id long, held_out boolean, n_tokens long, known long, part double, score double, bucket int, blob binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, c, w, encode = top.value.get, classes.value, weights.value, encoder(vocabulary).encode
+        encoder.cache_clear()
+        get, c, w = top.value.get, classes.value, weights.value
         key = TaskContext.get().partitionId() << 40
-        end = np.array([END_ID], "<u4")
         logs = {}
         rare_h: list[int] = []
         rare_k: list[int] = []
@@ -415,7 +473,7 @@ def score_all(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             for at in range(0, big.num_rows, step):
                 batch = big.slice(at, step)
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                scores = score(w, c, [np.r_[np.frombuffer(encode(t), "<u4"), end] for t in texts])
+                scores = score(w, c, _ids(batch.column(2).to_pylist(), vocab))
                 rows = []
                 for doc, text, s in zip(ids, texts, scores.tolist()):
                     ws = words_of(text)
@@ -439,7 +497,7 @@ def score_all(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         if rare_h:
             yield flush()
 
-    done = settled(docs.mapInArrow(run, kind), "lm-rows")
+    done = settled(rows.select("doc_id", "text", "ids").mapInArrow(run, kind), "lm-rows")
 
     def table_blobs(batches):
         """Counts by hash of word, packed per bucket."""
