@@ -1,4 +1,4 @@
-"""Stored HTML pages as rows: cards and media tags by table functions, and a pure SQL form for plain anchors."""
+"""Stored HTML pages as rows: cards and media tags, in Arrow batches or as table functions for SQL, and a pure SQL form for plain anchors."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from ..config import DEFAULT, Settings
 from ..functions.urls import accepted_media
 
 CARD = StructType([StructField("card_ord", IntegerType()), *[StructField(n, StringType()) for n in ("key", "href", "tracking_class", "title", "thumbnail_url", "duration", "asset_id")]])
+MEDIA = StructType([StructField("kind", StringType()), StructField("url", StringType())])
 
 
 class _Cards(HTMLParser):
@@ -123,23 +124,42 @@ def media_tags():
         def eval(self, page: str):
             yield from media_of(page)
 
-    return F.udtf(Media, returnType=StructType([StructField("kind", StringType()), StructField("url", StringType())]))
+    return F.udtf(Media, returnType=MEDIA)
+
+
+def _per_page(pages: DataFrame, keep: list[str], read: list[str], fields: StructType, rows_of) -> DataFrame:
+    """(keep..., fields...) of what ``rows_of`` finds in the columns ``read`` of each page; pages go by Arrow batches."""
+    kinds = [pa.int32() if isinstance(f.dataType, IntegerType) else pa.string() for f in fields]
+    schema = StructType([*(pages.schema[c] for c in keep), *fields])
+    names = schema.names
+
+    def run(batches):
+        for batch in batches:
+            owner, found = [], []
+            for k, args in enumerate(zip(*(batch.column(len(keep) + j).to_pylist() for j in range(len(read))))):
+                rows = rows_of(*args)
+                owner += [k] * len(rows)
+                found += rows
+            at = pa.array(owner, pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(j).take(at) for j in range(len(keep))), *(pa.array([r[j] for r in found], kind) for j, kind in enumerate(kinds))], names=names)
+
+    return pages.select(*keep, *[F.col(c).alias(f"_{c}") for c in read]).mapInArrow(run, schema)
 
 
 def scan_cards(pages: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Cards of ``pages`` (source_idx, page, base_url, html). Pages without an item link skip the parser."""
-    spark = pages.sparkSession
-    spark.udtf.register("listing_cards", listing_cards(settings))
+
+    def rows(html: str, base: str) -> list[tuple]:
+        return [(k, *(c[n] for n in CARD.names[1:])) for k, c in enumerate(cards_of(html, base, settings))]
+
     likely = pages.filter(F.contains("html", F.lit(settings.item_path)))
-    return spark.sql("SELECT p.source_idx, p.page, p.base_url, c.* FROM {likely} p, LATERAL listing_cards(p.html, p.base_url) c", likely=likely)
+    return _per_page(likely, ["source_idx", "page", "base_url"], ["html", "base_url"], CARD, rows)
 
 
 def scan_media(pages: DataFrame) -> DataFrame:
     """(page_id, kind, url) of media tags of ``pages`` (page_id, html)."""
-    spark = pages.sparkSession
-    spark.udtf.register("media_tags", media_tags())
     likely = pages.filter(F.col("html").rlike("(?i)<(source|video)"))
-    return spark.sql("SELECT p.page_id, m.* FROM {likely} p, LATERAL media_tags(p.html) m", likely=likely)
+    return _per_page(likely, ["page_id"], ["html"], MEDIA, media_of)
 
 
 ANCHOR = r'<a href="([^"]*)">([^<]*)</a>'

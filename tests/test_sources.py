@@ -34,6 +34,17 @@ def test_scan_cards(spark):
     assert sorted((r.source_idx, r.page, r.card_ord, r.key) for r in got.collect()) == [(0, 1, 0, "xyz98765"), (0, 1, 1, "abc98765")]
 
 
+def test_table_functions(spark):
+    """The same cards and tags, called from SQL."""
+    spark.udtf.register("listing_cards", pg.listing_cards())
+    spark.udtf.register("media_tags", pg.media_tags())
+    html = card("xyz98765") + card("abc98765") + '<video src="/a.mp4">'
+    rows = spark.createDataFrame([(BASE, html)], "base string, html string")
+    assert [r.key for r in spark.sql("SELECT c.* FROM {rows} p, LATERAL listing_cards(p.html, p.base) c", rows=rows).collect()] == ["xyz98765", "abc98765"]
+    assert [tuple(r) for r in spark.sql("SELECT m.* FROM {rows} p, LATERAL media_tags(p.html) m", rows=rows).collect()] == [("media", "/a.mp4")]
+    assert [tuple(r) for r in pg.scan_media(rows.selectExpr("1L as page_id", "html")).collect()] == [(1, "media", "/a.mp4")]
+
+
 def put(path, value):
     path.write_text(value if isinstance(value, str) else json.dumps(value))
     return str(path)
