@@ -58,3 +58,17 @@ def test_stages(spark, tmp_path):
     assert sum(r.length for r in pieces) == sum(map(len, want.values()))
     assert all(r.ids_crc32 == zlib.crc32(want[r.doc_id][r.start : r.start + r.length].tobytes()) for r in pieces)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(pieces)
+
+
+def test_empty_tables_and_clashing_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node long, bucket int, kept boolean, start long"
+    empty = spark.createDataFrame([], schema)
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    some = spark.createDataFrame([(None, None, None, None, None, 1, 1, True, 1), (5, "", "en", "s", 0, 1, 1, True, 1), (5, "", "en", "s", 0, 2, 1, True, 1)], schema)
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        kept = stage(spark, some, str(tmp_path))
+        assert kept.columns == some.columns and sorted(r.node for r in kept.collect()) == [1, 1, 2], name
+    assert corpus_pipeline.STAGES[0][1](spark, some, str(tmp_path)).count() == 0
+    assert sorted((r.doc_id or 0, r.length) for r in corpus_pipeline.STAGES[4][1](spark, some, str(tmp_path)).collect()) == [(0, 1), (5, 1), (5, 1)]
