@@ -6,7 +6,9 @@ set must meet is sent, cut into buckets. For counting, the order of n-gram hashe
 ``FRAGMENTS``: each set falls into segments, the overlap of a pair is counted in each fragment
 by itself, and the partial counts are summed per pair and held against the threshold.
 
-Equal sets are one node (a 64-bit hash of the set), so copies cost one row each. Links matter
+Equal sets are one node (a 64-bit hash of the set; a second one beside it tells whether two sets
+share a node by chance, and then all is done again with other constants), so copies cost one row
+each. Links matter
 here up to connection: in a small group that shares a prefix n-gram all pairs that pass the size
 and position bounds are counted; in a large one, members are first compared with a few pivots of
 the group's largest component, and only then are pairs counted that no link joins yet. No pair
@@ -35,8 +37,8 @@ from .suffix_dedup import PrefixHashes
 
 #: Slots of the table of counts (its levels, a byte each, go to every worker), and parts it is summed in.
 SLOTS, PARTS = 1 << 22, 64
-#: Bits of the table of documents to take up again.
-BITS = 1 << 25
+#: Least and most bits of the table of documents to take up again; eight for each of them in between.
+BITS = (1 << 25, 1 << 30)
 FRAGMENTS = 4
 #: Groups of so many members are compared in full; larger ones by pivots first.
 SMALL = 64
@@ -46,7 +48,7 @@ PASS = 1 << 20
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
-_FOLD = np.uint64(0x9FB21C651E98DF25)
+_FOLD, _OTHER = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,22 +125,25 @@ def count_levels(docs: DataFrame, words: int) -> np.ndarray:
     return out
 
 
-def _nodes(t: np.ndarray, h: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Set size and node of each text; size 0 where there is no set."""
+def _nodes(t: np.ndarray, h: np.ndarray, n_texts: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set size, node and a second hash of each text's set; size 0 where there is none."""
     size = np.bincount(t, minlength=n_texts)
-    node = np.zeros(n_texts, np.uint64)
+    node, check = np.zeros(n_texts, np.uint64), np.zeros(n_texts, np.uint64)
     has = np.flatnonzero(size)
     if len(has):
-        node[has] = mixed(np.add.reduceat(mixed(h ^ _FOLD), (np.cumsum(size) - size)[has]) + size[has].astype(np.uint64))
-    return size, node.view(np.int64)
+        first = (np.cumsum(size) - size)[has]
+        for into, fold in ((node, _FOLD + np.uint64(2 * seed)), (check, _OTHER + np.uint64(2 * seed))):
+            into[has] = mixed(np.add.reduceat(mixed(h ^ fold), first) + size[has].astype(np.uint64))
+    return size, node.view(np.int64), check.view(np.int64)
 
 
 def _prefix(size: np.ndarray, percent: int) -> np.ndarray:
     return size - -(-percent * size // 100) + 1
 
 
-def _scan(docs: DataFrame, words: int, percent: int, levels, n: int) -> DataFrame:
-    """Rows (doc_id, node, size), and blobs of prefix n-grams, each with a bucket."""
+def _scan(docs: DataFrame, words: int, percent: int, levels, n: int, seed: int) -> DataFrame:
+    """Rows (doc_id, node, size, second hash), and blobs of prefix n-grams, each with a bucket."""
+    names = ["doc_id", "node", "size", "bucket", "blob", "second"]
 
     def run(batches):
         table = np.frombuffer(levels.value, np.uint8)
@@ -150,13 +155,15 @@ def _scan(docs: DataFrame, words: int, percent: int, levels, n: int) -> DataFram
             cols = [np.concatenate(x) for x in hold]
             rows = [(b, pack(*c)) for b, c in by_bucket(dealt(mixed(cols[0]), n), *cols)]
             k = len(rows)
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["doc_id", "node", "size", "bucket", "blob"])
+            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.nulls(k, pa.int64())], names=names)
 
         for ids, texts in _passes(batches):
             t, h = sets(texts, words)
-            size, node = _nodes(t, h, len(texts))
+            size, node, second = _nodes(t, h, len(texts), seed)
             k = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(node), pa.array(size.astype(np.int64)), pa.array(dealt(mixed(node.view(np.uint64)), n), pa.int32()), pa.nulls(k, pa.binary())], names=["doc_id", "node", "size", "bucket", "blob"])
+            # Documents only pass through: any bucket will do, and one for each of them deals copies out too.
+            some = dealt(mixed(np.arange(k, dtype=np.uint64) + node.view(np.uint64)), n)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(node), pa.array(size.astype(np.int64)), pa.array(some, pa.int32()), pa.nulls(k, pa.binary()), pa.array(second)], names=names)
             level = table[_slot(h)]
             order = np.lexsort((h, level, t))
             t, h = t[order], h[order]
@@ -175,7 +182,7 @@ def _scan(docs: DataFrame, words: int, percent: int, levels, n: int) -> DataFram
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "doc_id long, node long, size long, bucket int, blob binary")
+    return docs.mapInArrow(run, "doc_id long, node long, size long, bucket int, blob binary, second long")
 
 
 def need(size_a, size_b, percent: int):
@@ -217,7 +224,7 @@ _CANDIDATES = "kind int, grp long, a long, b long, size long, size_b long, n lon
 
 
 def _candidates(scan: DataFrame, percent: int, width: int, small: int) -> DataFrame:
-    """Settled rows of three kinds. Documents: (b: doc_id, a: node, size). Pairs: (a, b, size, size_b, n: shared
+    """Settled rows of three kinds. Documents: (b: doc_id, a: node, size, n: second hash). Pairs: (a, b, size, size_b, n: shared
     n-grams in one bucket). Members of large groups: (grp, a, size, n: place in the set's order)."""
 
     def rows(kind, grp, a, b, size, size_b, n):
@@ -236,7 +243,7 @@ def _candidates(scan: DataFrame, percent: int, width: int, small: int) -> DataFr
         for batch in batches:
             docs = batch.filter(batch.column(4).is_null())
             if docs.num_rows:
-                yield rows(_DOC, None, docs.column(1), docs.column(0), docs.column(2), None, None)
+                yield rows(_DOC, None, docs.column(1), docs.column(0), docs.column(2), None, docs.column(5))
             for bucket, blob in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                 if blob is None:
                     continue
@@ -252,52 +259,51 @@ def _candidates(scan: DataFrame, percent: int, width: int, small: int) -> DataFr
     return settled(sent.mapInArrow(run, _CANDIDATES), "jaccard-candidates")
 
 
-def _bits(wanted: DataFrame) -> np.ndarray:
-    """A bit table of fixed size that holds the wanted documents' ids, and a few others by chance."""
+def _bits(wanted: DataFrame) -> tuple[bytes, int]:
+    """A bit table of bounded size that holds the wanted documents' ids, and a few others by chance; its bits.
 
-    def mark(batches):
-        table = np.zeros(BITS, bool)
-        for batch in batches:
-            table[_bit(np.asarray(batch.column(0)))] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table).tobytes()], pa.binary())], names=["bits"])
-
-    out = np.zeros(BITS // 8, np.uint8)
-    for r in wanted.select("doc_id").coalesce(8).mapInArrow(mark, "bits binary").collect():
-        out |= np.frombuffer(bytes(r.bits), np.uint8)
-    return np.unpackbits(out).astype(bool)
-
-
-def _bit(ids: np.ndarray) -> np.ndarray:
-    return (mixed(ids.astype(np.int64).view(np.uint64)) >> np.uint64(20)).astype(np.int64) % BITS
-
-
-def _segments(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    Bits are joined to words of 64 by partial aggregates, so that what comes to the driver is no larger than the table.
+    """
+    n = BITS[0]
+    count = wanted.count()
+    while n < min(BITS[1], 8 * count):
+        n *= 2
+    found = wanted.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("bit")).selectExpr("shiftright(bit, 6) as word", "shiftleft(1L, cast(bit % 64 as int)) as mask")
+    words = np.zeros(n // 64, np.int64)
+    table = found.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    words[np.asarray(table.column("word"))] = np.asarray(table.column("mask"))
+    return words.astype("<i8").tobytes(), n
+
+
+def _segments(docs: DataFrame, wanted: DataFrame, words: int, seed: int) -> DataFrame:
     """(node, frag, size, blob) of each wanted set, and of a few more. ``wanted``: doc_id of a document with it.
 
     Texts stay where they are: a bit table says which of them to take up again.
     """
     cut = np.uint64((1 << 64) // FRAGMENTS)
-    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(_bits(wanted)).tobytes())
+    table, n_bits = _bits(wanted)
+    bits = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
-        table = np.unpackbits(np.frombuffer(bits.value, np.uint8)).astype(bool)
+        table = np.frombuffer(bits.value, np.uint8)
         names = ["node", "frag", "size", "blob"]
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
         for batch in pieces(batches):
-            batch = batch.filter(batch.column(0).is_valid())
-            batch = batch.filter(pa.array(table[_bit(np.asarray(batch.column(0)))]))
+            bit = np.asarray(batch.column(2)).astype(np.int64)
+            batch = batch.filter(pa.array((table[bit >> 3] >> (bit & 7) & 1).astype(bool)))
             step = max(1, int(batch.num_rows * PASS / max(1, batch.nbytes)))
             for at in range(0, batch.num_rows, step):
                 texts = batch.column(1).slice(at, step).to_pylist()
                 t, h = sets(texts, words)
-                size, node = _nodes(t, h, len(texts))
+                size, node, _ = _nodes(t, h, len(texts), seed)
                 frag = (h // cut).astype(np.int64)
                 edge = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (frag[1:] != frag[:-1])]) if len(t) else np.empty(0, int)
                 rows = [(int(node[t[s]]), int(frag[s]), int(size[t[s]]), pack(np.r_[h[s : s + 1], np.diff(h[s:e])])) for s, e in zip(edge.tolist(), np.r_[edge[1:], len(t)].tolist())]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return settled(docs.mapInArrow(run, "node long, frag int, size long, blob binary"), "jaccard-segments")
+    marked = docs.filter("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n_bits)).alias("bit"))
+    return settled(marked.mapInArrow(run, "node long, frag int, size long, blob binary"), "jaccard-segments")
 
 
 def verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -378,23 +384,32 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85, small: int = SMALL,
     spark = docs.sparkSession
     width = cluster_width(spark)
     levels = spark.sparkContext.broadcast(count_levels(docs, words).tobytes())
-    found = _candidates(_scan(docs, words, percent, levels, SPREAD * width), percent, width, small)
-    rows = found.filter(F.col("kind") == _DOC).select(F.col("b").alias("doc_id"), F.col("a").alias("node"), "size")
+    for seed in range(64):
+        found = _candidates(_scan(docs, words, percent, levels, SPREAD * width, seed), percent, width, small)
+        rows = found.filter(F.col("kind") == _DOC).select(F.col("b").alias("doc_id"), F.col("a").alias("node"), "size", F.col("n").alias("second"))
+        # One row a set: its documents are counted up before they travel.
+        reps = settled(rows.filter("size > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("second").alias("low"), F.max("second").alias("high")), "jaccard-sets")
+        if reps.filter("low <> high").isEmpty():
+            break
+    else:
+        raise RuntimeError("hashes kept colliding")
     member = found.filter(F.col("kind") == _MEMBER).select("grp", "a", "size", F.col("n").alias("at"))
     degree = settled(member.groupBy("a").agg(F.count(F.lit(1)).alias("deg")), "jaccard-degrees")
     groups = settled(member.join(degree, "a"), "jaccard-groups")
     pairs = settled(_possible(found.filter(F.col("kind") == _PAIR), degree, percent), "jaccard-pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(degree.select("a")).distinct()
-    reps = rows.filter("size > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    segments = _segments(docs, wanted.join(reps, "node"), words)
+    segments = _segments(docs, settled(wanted.join(reps, "node").select("doc_id"), "jaccard-wanted"), words, seed)
     links = settled(verified(pairs, segments, percent).select("a", "b"), "jaccard-links")
     if not groups.isEmpty():
         links = _large(groups, links, segments, percent, pivots)
-    labels = components(links)
-    linked = rows.join(labels, "node", "left").select("doc_id", "size", "node", F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.coalesce("root", "node")).alias("root"))
-    linked = settled(linked, "jaccard-rows")
-    least = linked.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return linked.join(least, "root", "left").select("doc_id", F.col("size").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # Components are named by their least document on rows of sets; only sets that are linked are in ``labels``.
+    rooted = settled(reps.join(components(links), "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")), "jaccard-roots")
+    least = settled(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "jaccard-least")
+    named = settled(rooted.join(least, "root").select("node", "component_id"), "jaccard-named")
+    # Both sides of this join are plain files, so a set with very many copies is split by the adaptive planner.
+    linked = rows.filter("size > 0 and doc_id is not null").join(named, "node")
+    alone = rows.filter("not (size > 0 and doc_id is not null)").withColumn("component_id", F.col("doc_id"))
+    return linked.unionByName(alone).select("doc_id", F.col("size").alias("n_shingles"), "node", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
