@@ -11,10 +11,10 @@ from ..config import DEFAULT, Settings
 from ..functions.rules import run_result, safe_block
 from ..functions.text import blank, tolerant_int
 
-#: Least and greatest value of each argument.
+# Least and greatest value of each argument.
 BOUNDS = {
     "pages": (1, 20), "delay": (0.5, 60), "timeout": (1, 120), "listing_concurrency": (1, 5), "resolve_concurrency": (1, 16), "media_rechecks": (1, 3), "retries": (0, 10),
-    "limit": (0, None), "download_delay": (0, 60), "max_bytes": (1 << 20, None), "concurrency": (1, 16), "refresh_retries": (0, 3), "route_probe_bytes": (64 << 10, 16 << 20), "route_probe_timeout": (1, 30),
+    "limit": (0, None), "download_delay": (0, 60), "max_bytes": (1 << 20, None), "concurrency": (1, 16), "refresh_retries": (0, 5), "route_probe_bytes": (64 << 10, 16 << 20), "route_probe_timeout": (1, 30),
 }
 
 
