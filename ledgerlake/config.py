@@ -28,6 +28,7 @@ class Settings:
     playable_extensions: tuple[str, ...] = ("mp4", "m4v", "webm")
     challenge_marks: tuple[str, ...] = ("just a moment", "checking your browser", "captcha")
     score_weights: dict[str, int] = field(default_factory=lambda: {"consistent": 16, "preferred": 8, "title": 2, "thumbnail": 1, "duration": 1})
+    detector_version: int = 3
     stale_hours: float = 26.0
     history_days: int = 14
     recent_files: int = 12

@@ -92,7 +92,7 @@ def summarise_run(run: Run, manifest: DataFrame, failures: DataFrame, listing_fa
     seconds = F.round(F.to_timestamp(F.lit(run.finished_at)).cast("double") - F.to_timestamp(F.lit(run.started_at)).cast("double"), 1)
     return counted.select(
         F.lit(run.finished_at).alias("timestamp"), F.lit(run.started_at).alias("startedAt"), seconds.alias("durationSeconds"), F.lit("crawl").alias("taskType"), F.lit(run.trigger).alias("trigger"),
-        auth.alias("authFailure"), "authChallenges", status.alias("resultStatus"), F.lit(run.crawl_exit).alias("crawlExitCode"), F.lit(run.download_exit).cast("int").alias("downloadExitCode"), F.lit(run.download_requested).alias("downloadRequested"),
+        auth.alias("authFailure"), "authChallenges", F.lit(settings.detector_version).alias("authDetectorVersion"), status.alias("resultStatus"), F.lit(run.crawl_exit).alias("crawlExitCode"), F.lit(run.download_exit).cast("int").alias("downloadExitCode"), F.lit(run.download_requested).alias("downloadRequested"),
         F.lit(run.pages).alias("pages"), F.lit(run.sources).alias("sources"), listing.alias("listingFailures"),
         number("raw_detail_links", "rawLinks").alias("rawLinks"), number("unique_videos", "uniqueVideos").alias("uniqueVideos"), number("known_videos_skipped", "skippedVideos").alias("skippedVideos"),
         number("new_videos").alias("newVideos"), number("retry_videos").alias("retryVideos"), number("detail_pages_requested").alias("detailPagesRequested"), number("ignored_videos").alias("ignoredVideos"),

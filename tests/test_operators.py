@@ -132,7 +132,7 @@ def test_summarise_run(spark):
     assert (e.downloadedVideos, e.alreadyPresentVideos, e.blockedVideos, e.failedVideos, e.listingFailures, e.authChallenges, e.authFailure) == (1, 1, 2, 2, 1, 1, True)
     assert (e.downloadedBytes, e.autoRetryAttempts, e.autoRetriedVideos, e.autoRecoveredVideos) == (10, 3, 2, 1) and (e.rawLinks, e.uniqueVideos, e.durationSeconds, e.resultStatus) == (9, 7, 90.0, "attention")
     lost = Engine().summarise_run(Run(1, None, False, "daily", "2024-01-01T00:00:00Z", "2024-01-01T00:00:01Z", progress={"rawLinks": 4, "listingFailures": 18, "authFailure": True}), manifest.limit(0), failures.limit(0), listing).first()
-    assert (lost.resultStatus, lost.rawLinks, lost.listingFailures, lost.authFailure, lost.downloadExitCode) == ("failed", 4, 18, True, None)
+    assert lost.authDetectorVersion == 3 and (lost.resultStatus, lost.rawLinks, lost.listingFailures, lost.authFailure, lost.downloadExitCode) == ("failed", 4, 18, True, None)
     check_arguments(pages=20, limit=0)
     for bad in ({"pages": 21}, {"limit": -1}, {"delay": 0.1}):
         with pytest.raises(ValueError):
