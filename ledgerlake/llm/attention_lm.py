@@ -35,6 +35,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,8 @@ START = OWN + HASHED
 BATCH, RATE = 128, 0.05
 #: Ids of one shard, about.
 SHARD = 4_000_000
+#: Tasks that shards are dealt out to at most, on a cluster that does not ask for more.
+MOST_TASKS = 4096
 TOP, TOP_BYTES = 250_000, 64
 SMOOTH = 0.1
 SPREAD = 4
@@ -400,7 +403,9 @@ def fit(rows: DataFrame, classes, vocab: int, n_ids: int) -> dict:
 
     shard = F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards))
     dealt_ = rows.filter("not held").select(shard.alias("shard"), "doc_id", "ids")
-    ordered = dealt_.repartition(min(shards, 4 * cluster_width(spark)), "shard").sortWithinPartitions("shard", "doc_id", "ids").select("shard", "ids")
+    # A task for each shard, or for every so many of very many: each number has its own partition.
+    tasks = min(shards, max(4 * cluster_width(spark), MOST_TASKS))
+    ordered = dealt_.repartitionById(tasks, F.pmod(F.col("shard"), F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "doc_id", "ids").select("shard", "ids")
     total = sums(ordered.mapInArrow(run, "k long, blob binary"), "lm-weights")
     w = first_weights()
     if total is not None:
@@ -450,17 +455,10 @@ def score_all(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         encoder.cache_clear()
         get, c, w = top.value.get, classes.value, weights.value
         key = TaskContext.get().partitionId() << 40
-        logs = {}
+        ended = math.log10(n_train + SMOOTH) - shift
         rare_h: list[int] = []
         rare_k: list[int] = []
 
-        def log_of(k):
-            if k not in logs:
-                if len(logs) > 200_000:
-                    logs.clear()
-                logs[k] = math.log10(k + SMOOTH)
-            return logs[k]
-
         def flush():
             cols = by_bucket(dealt(np.array(rare_h, np.uint64), n), np.array(rare_h, np.uint64), np.array(rare_k, np.int64))
             rows = [(b, pack(h, k)) for b, (h, k) in cols]
@@ -474,22 +472,21 @@ def score_all(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 batch = big.slice(at, step)
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 scores = score(w, c, _ids(batch.column(2).to_pylist(), vocab))
-                rows = []
-                for doc, text, s in zip(ids, texts, scores.tolist()):
-                    ws = words_of(text)
-                    found = Counter(map(get, ws))
-                    missing = found.pop(None, 0)
-                    if missing:
-                        rare = [x for x in ws if get(x) is None]
-                        rare_h.extend(map(xxhash.xxh3_64_intdigest, rare))
-                        rare_k.extend([key] * missing)
-                    ended = log_of(n_train) - shift
-                    part = math.fsum(log_of(k) * m for k, m in found.items()) - shift * len(ws) + ended
-                    rows.append((key, doc, held_out(doc), len(ws) + 1, len(ws) - missing + (n_train > 0), part, s))
-                    key += 1
-                cols = list(zip(*rows))
+                words_ = [words_of(t) for t in texts]
+                sizes = np.array([len(x) for x in words_], np.int64)
+                flat = list(chain.from_iterable(words_))
+                owner = np.repeat(np.arange(len(texts)), sizes)
+                found = np.fromiter(map(get, flat, repeat(0)), np.int64, len(flat))
+                rare = np.flatnonzero(found == 0)
+                rare_h.extend(xxhash.xxh3_64_intdigest(flat[i]) for i in rare.tolist())
+                rare_k.extend((key + owner[rare]).tolist())
+                missing = np.bincount(owner[rare], minlength=len(texts))
+                part = np.bincount(owner, np.where(found > 0, np.log10(found + SMOOTH), 0.0), len(texts)) - shift * sizes + ended
+                cols = (np.arange(key, key + len(texts)), batch.column(0), [held_out(d) for d in ids], sizes + 1, sizes - missing + (n_train > 0), part, scores)
+                key += len(texts)
                 kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([*(pa.array(v, t) for v, t in zip(cols, kinds)), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], names=[x.split()[0] for x in kind.split(", ")])
+                none = (pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.binary()))
+                yield pa.RecordBatch.from_arrays([*(v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(cols, kinds)), *none], names=[x.split()[0] for x in kind.split(", ")])
                 if len(rare_h) >= 1_000_000:
                     yield flush()
                     rare_h.clear()
