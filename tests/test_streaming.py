@@ -38,3 +38,14 @@ def test_progress_and_days(spark, tmp_path):
     q = ledgers.daily_counts(s, "at").writeStream.outputMode("complete").format("memory").queryName("days").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((str(r.day), r.status, r.n) for r in spark.table("days").collect()) == [("2024-01-01", "work", 1), ("2024-01-02", "work", 1), ("2024-01-03", "done", 1)]
+
+
+def test_last_progress_over_batches(spark, tmp_path):
+    """A key that is in several batches has one row, its last gauge."""
+    put(tmp_path / "in", "a.json", [("x", "work", "1"), ("y", "work", "2")])
+    put(tmp_path / "in", "b.json", [("z", "work", "5"), ("z", "work", "6"), ("x", "work", "7"), ("y", "work", "8")])
+    s = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    gauges = ledgers.live_progress(s.select("key", F.col("line_no").alias("ord"), F.col("status").alias("state"), F.col("bytes").cast("long").alias("bytes")))
+    ledgers.progress_files(gauges, str(tmp_path / "out"), str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    assert len([f for f in (tmp_path / "out").iterdir() if f.name.startswith("batch=")]) >= 2
+    assert sorted((r.key, r.ord, r.bytes) for r in ledgers.last_progress(spark, str(tmp_path / "out")).collect()) == [("x", 2, 7), ("y", 3, 8), ("z", 1, 6)]
