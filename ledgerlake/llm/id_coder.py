@@ -46,7 +46,7 @@ from .tokens import END_ID, encoder
 
 BLOCK = 2048
 #: Blocks of a frame at most.
-LANES = 4096
+LANES = 3072
 MAGIC = b"LLCM2\0"
 SURE = 3
 _ORDER1, _ORDER2 = 1 << 9, 1 << 10  # slots of a block's tables
@@ -82,7 +82,7 @@ class _Model:
         self.share[:, 0] = _SLOTS
         self.slot = np.zeros((lanes, _SLOTS), np.uint16) if decodes else None
         self.share_, self.slot_ = self.share.reshape(-1), self.slot.reshape(-1) if decodes else None
-        self.counts = np.zeros((lanes, self.width), np.int32)
+        self.counts = np.zeros((lanes, self.width), np.uint16)
         self.known, self.seen, self.known16 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.uint16)
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
@@ -91,11 +91,11 @@ class _Model:
         steps, n = numbers.shape
         seen = self.seen[:n]
         d = int(seen.max()) + 1
-        self.counts[:n, :d] += np.bincount((numbers + np.arange(n) * d).ravel(), minlength=n * d).reshape(n, d).astype(np.int32)
+        self.counts[:n, :d] += np.bincount((numbers + np.arange(n) * d).ravel(), minlength=n * d).reshape(n, d).astype(np.uint16)
         escape = 16 + _SLOTS // 2 * (seen - self.known[:n]) // steps
         counts = self.counts[:n, :d]
         room = (_SLOTS - escape - seen).astype(np.int32)[:, None]
-        size = counts * room // int(counts[0].sum()) + (counts > 0)
+        size = counts * room // np.int32(counts[0].sum()) + (counts > 0)
         size[:, 0] = _SLOTS - size.sum(axis=1)
         start = np.cumsum(size, axis=1) - size
         self.share[:n, :d] = np.where(size > 0, start << 14 | size, _SLOTS << 14)
@@ -420,21 +420,31 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, block: int
     in_order(docs).mapInArrow(run, "part int, frame int, n_ids long, data binary").write.parquet(path)
 
 
+_STRETCH = "part int, frame int, place int, doc_id long, goes_on boolean"
+
+
+def _frames(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("part int, frame int, n_ids long, data binary").parquet(path).select("part", "frame", "data")
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]):
+    """For each frame of the files: the columns of ``_STRETCH``, all ids, and where each stretch begins in them."""
+    for batch in batches:
+        for part, frame, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            ids, docs = read_frame(data)
+            n = len(docs)
+            cols = [pa.array([part] * n, pa.int32()), pa.array([frame] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([d for d, _, _ in docs], pa.int64()), pa.array([g for _, _, g in docs], pa.bool_())]
+            yield cols, ids, np.r_[0, np.cumsum([s for _, s, _ in docs], dtype=np.int64)]
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(part, frame, place, doc_id, goes_on, ids) of each document's stretch in each frame, from the files."""
 
     def run(batches):
-        for batch in batches:
-            for part, frame, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                ids, docs = read_frame(data)
-                n = len(docs)
-                offsets = pa.array(np.r_[0, np.cumsum([s for _, s, _ in docs])], pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * n, pa.int32()), pa.array([frame] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([d for d, _, _ in docs], pa.int64()), pa.array([g for _, _, g in docs]), pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))],
-                    names=["part", "frame", "place", "doc_id", "goes_on", "ids"],
-                )
+        for cols, ids, at in _stretches(batches):
+            yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))], names=[*(c.split()[0] for c in _STRETCH.split(", ")), "ids"])
 
-    return spark.read.schema("part int, frame int, n_ids long, data binary").parquet(path).select("part", "frame", "data").mapInArrow(run, "part int, frame int, place int, doc_id long, goes_on boolean, ids array<int>")
+    return _frames(spark, path).mapInArrow(run, f"{_STRETCH}, ids array<int>")
 
 
 def _crc_joined(a: int, b: int, n: int) -> int:
@@ -469,16 +479,12 @@ def digest(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     write(docs, path, vocabulary)
 
     def run(batches):
-        for batch in batches:
-            ids = batch.column(5)
-            flat = np.asarray(ids.flatten()).astype("<u4")
-            off = np.asarray(ids.offsets).astype(np.int64)
-            off = off - off[0]
-            raw = flat.tobytes()
-            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(np.diff(off)), pa.array(crc, pa.int64())], names=["part", "frame", "place", "doc_id", "goes_on", "n", "crc"])
-
-    stretch = read(spark, path).mapInArrow(run, "part int, frame int, place int, doc_id long, goes_on boolean, n long, crc long")
+        for cols, ids, at in _stretches(batches):
+            raw, bounds = ids.astype("<u4").tobytes(), (4 * at).tolist()
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(at)), pa.array(crc, pa.int64())], names=[*(c.split()[0] for c in _STRETCH.split(", ")), "n", "crc"])
+
+    stretch = _frames(spark, path).mapInArrow(run, f"{_STRETCH}, n long, crc long")
 
     def whole(batches):
         """Stretches of a part in order; documents that span frames are joined."""

@@ -2,13 +2,13 @@
 
 The vocabulary file splits a text at white space and at letter, digit and symbol
 borders, and encodes each piece on its own. So a text's ids are the ids of its
-pieces one after the other, and each distinct piece needs to be encoded once per
-worker. Texts outside Latin-1, and texts with characters on whose class two
-libraries might differ, go through the library's whole pipeline, piece by piece
-between blanks.
+pieces one after the other. Each distinct piece is encoded once per worker, and
+each distinct string between blanks put together once out of its pieces. Texts
+outside Latin-1, and texts with characters on whose class two libraries might
+differ, go through the library's whole pipeline, piece by piece between blanks.
 
-Null and empty texts have no ids. The cache is bounded by ``CACHE_PIECES``; a
-full one is emptied, which changes speed but never ids.
+Null and empty texts have no ids. Each cache is bounded in entries,
+which changes speed but never ids.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import struct
 from functools import lru_cache
 
 
-CACHE_PIECES = 800_000
+CACHE_WORDS, CACHE_PIECES = 400_000, 200_000
 LONG_PIECE = 64
 END_ID = 1
 
@@ -51,14 +51,19 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Cache(dict):
-    def __init__(self, encode):
+    """Ids of strings, ``most`` at once and as many older ones: what is asked for again moves up, the rest goes."""
+
+    def __init__(self, encode, most: int):
         super().__init__()
-        self._encode = encode
+        self._encode, self._most, self._old = encode, most, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self._encode(piece)
+        ids = self._old.pop(piece, None)
+        if ids is None:
+            ids = self._encode(piece)
         if len(piece) <= LONG_PIECE:
-            if len(self) >= CACHE_PIECES:
+            if len(self) >= self._most:
+                self._old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -80,8 +85,9 @@ class Encoder:
         split = shape.get("pre_tokenizer") or {}
         self._fast = shape["model"].get("end_of_word_suffix") == "</w>" and split.get("type") == "Sequence"
         self._letters = _byte_letters()
-        self._pieces = _Cache(self._piece)
-        self._odd = _Cache(self._full)
+        self._pieces = _Cache(self._piece, CACHE_PIECES)
+        self._words = _Cache(self._word, CACHE_WORDS)
+        self._odd = _Cache(self._full, CACHE_PIECES)
 
     def _piece(self, piece: str) -> bytes:
         if not piece.isascii():
@@ -89,6 +95,9 @@ class Encoder:
         ids = [t.id for t in self._model.tokenize(piece)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _word(self, word: str) -> bytes:
+        return b"".join(map(self._pieces.__getitem__, _PIECES.findall(word)))
+
     def _full(self, chunk: str) -> bytes:
         ids = self._whole.encode(chunk, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -106,7 +115,7 @@ class Encoder:
             except UnicodeEncodeError:
                 plain = False
         if plain:
-            return b"".join(map(self._pieces.__getitem__, _PIECES.findall(text.lower())))
+            return b"".join(map(self._words.__getitem__, text.lower().split()))
         return b"".join(map(self._odd.__getitem__, _BLANKS.split(text)))
 
 

@@ -16,6 +16,7 @@ def test_encoder_equals_library():
 
 def test_small_cache(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_PIECES", 2)
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 2)
     e = tokens.Encoder()
     assert np.frombuffer(e.encode("one two three one"), "<u4").tolist() == e._whole.encode("one two three one", add_special_tokens=False).ids
 
