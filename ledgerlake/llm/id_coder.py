@@ -46,7 +46,7 @@ from .tokens import END_ID, encoder
 
 BLOCK = 2048
 #: Blocks of a frame at most.
-LANES = 3072
+LANES = 4096
 MAGIC = b"LLCM2\0"
 SURE = 3
 _ORDER1, _ORDER2 = 1 << 9, 1 << 10  # slots of a block's tables
