@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attention_lm, decontam, divergence, html_main, id_coder, jaccard_join, packing, pii, quality, suffix_dedup, token_hist
+from . import attention_lm, decontam, divergence, html_main, id_coder, jaccard_join, packing, pii, prefix_trie, quality, suffix_dedup, token_hist
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id", "node")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rollups(table(spark, sf_dir, "conversations"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -59,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_source_divergence": divergence.SQL}
+    return {"op12_prefix_trie": prefix_trie.SQL, "op13_source_divergence": divergence.SQL}
