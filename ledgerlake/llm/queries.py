@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attention_lm, decontam, divergence, html_main, id_coder, jaccard_join, packing, pii, prefix_trie, quality, suffix_dedup, token_hist
+from . import attention_lm, decontam, divergence, html_main, id_coder, jaccard_join, packing, pii, prefix_trie, quality, secret_cnn, suffix_dedup, token_hist
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id", "node")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_cnn.digest(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.rollups(table(spark, sf_dir, "conversations"))
 
