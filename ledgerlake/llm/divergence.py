@@ -45,10 +45,15 @@ def _duck():
     import duckdb
 
     con = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": "", "preserve_insertion_order": False})
-    con.execute("SET enable_progress_bar = false")
+    _done(con, "SET enable_progress_bar = false")
     return con
 
 
+def _done(con, text: str) -> list:
+    """A statement run to its end; the connection then takes the next."""
+    return con.execute(text).fetchall()
+
+
 def _rows(result, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in result.to_arrow_reader(1 << 16):
         if batch.num_rows:
@@ -69,25 +74,26 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con = _duck()
-        con.execute("CREATE TABLE held (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, docs BIGINT)")
+        _done(con, "CREATE TABLE held (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, docs BIGINT)")
         held = 0
         for batch in pieces(batches):
             con.register("given", pa.Table.from_batches([batch]))
-            held += con.execute(
+            held += _done(
+                con,
                 f"""INSERT INTO held
                 SELECT lang, source, term, sum(n), count(*) FROM (
                   SELECT i, lang, source, term, count(*) AS n FROM (
                     SELECT row_number() OVER () AS i, lang, source, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '{TERM}')) AS term FROM given)
                   GROUP BY i, lang, source, term)
-                GROUP BY lang, source, term"""
-            ).fetchone()[0]
+                GROUP BY lang, source, term""",
+            )[0][0]
             con.unregister("given")
             if held >= HOLD:
-                con.execute("CREATE OR REPLACE TABLE held AS SELECT lang, source, term, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM held GROUP BY ALL")
-                held = con.execute("SELECT count(*) FROM held").fetchone()[0]
+                _done(con, "CREATE OR REPLACE TABLE held AS SELECT lang, source, term, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM held GROUP BY ALL")
+                held = _done(con, "SELECT count(*) FROM held")[0][0]
                 if held >= HOLD // 2:
                     yield from _rows(con.execute("SELECT * FROM held"), _COUNTED)
-                    con.execute("DELETE FROM held")
+                    _done(con, "DELETE FROM held")
                     held = 0
         yield from _rows(con.execute("SELECT lang, source, term, sum(n), sum(docs) FROM held GROUP BY ALL"), _COUNTED)
         con.close()
@@ -100,16 +106,16 @@ def kept_terms(counts: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con = _duck()
-        con.execute("CREATE TABLE held (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, docs BIGINT)")
+        _done(con, "CREATE TABLE held (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, docs BIGINT)")
         fresh, whole = 0, 0
         for batch in batches:
             con.register("given", pa.Table.from_batches([batch]))
-            con.execute("INSERT INTO held SELECT * FROM given")
+            _done(con, "INSERT INTO held SELECT * FROM given")
             con.unregister("given")
             fresh += batch.num_rows
             if fresh >= max(HOLD, whole):  # one row a key again
-                con.execute("CREATE OR REPLACE TABLE held AS SELECT lang, source, term, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM held GROUP BY ALL")
-                fresh, whole = 0, con.execute("SELECT count(*) FROM held").fetchone()[0]
+                _done(con, "CREATE OR REPLACE TABLE held AS SELECT lang, source, term, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM held GROUP BY ALL")
+                fresh, whole = 0, _done(con, "SELECT count(*) FROM held")[0][0]
         found = con.execute(
             f"""WITH one AS (SELECT lang, source, term, sum(n) AS n, sum(docs) AS docs FROM held GROUP BY ALL),
             kept AS (SELECT lang, term, min(source) AS least FROM one GROUP BY ALL HAVING sum(docs) >= {int(least)})
@@ -130,15 +136,15 @@ def _parts(rows: DataFrame, alpha: int, scale: int, top: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con = _duck()
-        con.execute("CREATE TABLE counts (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT)")
-        con.execute("CREATE TABLE given_groups (lang VARCHAR, source VARCHAR, total BIGINT, whole BIGINT, v BIGINT)")
+        _done(con, "CREATE TABLE counts (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT)")
+        _done(con, "CREATE TABLE given_groups (lang VARCHAR, source VARCHAR, total BIGINT, whole BIGINT, v BIGINT)")
         for batch in batches:
             con.register("given", pa.Table.from_batches([batch]))
-            con.execute("INSERT INTO counts SELECT lang, source, term, n FROM given WHERE term IS NOT NULL")
-            con.execute("INSERT INTO given_groups SELECT lang, source, total, whole, v FROM given WHERE term IS NULL")
+            _done(con, "INSERT INTO counts SELECT lang, source, term, n FROM given WHERE term IS NOT NULL")
+            _done(con, "INSERT INTO given_groups SELECT lang, source, total, whole, v FROM given WHERE term IS NULL")
             con.unregister("given")
-        con.execute(f"CREATE TABLE groups AS SELECT DISTINCT *, CASE WHEN v > 0 THEN {share('0', 'total')} END AS none FROM given_groups")
-        con.execute(f"CREATE TABLE shares AS SELECT lang, source, term, n, {share('n', 'total')} AS p, whole, v FROM counts JOIN groups USING (lang, source)")
+        _done(con, f"CREATE TABLE groups AS SELECT DISTINCT *, CASE WHEN v > 0 THEN {share('0', 'total')} END AS none FROM given_groups")
+        _done(con, f"CREATE TABLE shares AS SELECT lang, source, term, n, {share('n', 'total')} AS p, whole, v FROM counts JOIN groups USING (lang, source)")
         pairs = """SELECT 'pair', a.lang, a.source, b.source, sum(abs(a.p - coalesce(x.p, b.none))),
               coalesce(sum(abs(a.p - b.none)) FILTER (WHERE x.p IS NULL), 0), count(*) FILTER (WHERE x.p IS NULL), count(*)
             FROM shares a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
