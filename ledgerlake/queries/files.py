@@ -12,6 +12,7 @@ from ..operators.fixpoint import settled_in_shared_folder
 from ..plans import runs
 from ..plans.engine import Engine
 from ..sources import backup as backup_
+from ..sources import documents
 from ..sources import ledgers as src
 from ..sources import pages as pages_
 from ..sources import store
@@ -88,6 +89,16 @@ def ledger_rows_file(t):
     return spark.read.schema("key string, n int").json(f"{folder}/rows")
 
 
+@query("ledger_entries_file", "SELECT 'item-key-' || o_orderkey AS key, CAST(row_number() OVER (ORDER BY 'item-key-' || o_orderkey) - 1 AS BIGINT) AS ord, CAST(o_custkey AS BIGINT) AS n, o_orderpriority || ', {\"' AS note FROM orders")
+def ledger_entries_file(t):
+    """A document read entry by entry, as large ones are: places, names and values, whatever commas and brackets the texts hold."""
+    o = t("orders").select(F.concat(F.lit("item-key-"), text_of("o_orderkey")).alias("key"), F.col("o_custkey").cast("long").alias("n"), F.concat("o_orderpriority", F.lit(', {"')).alias("note"))
+    spark, folder = place(o)
+    src.write_document(src.ledger_document(o), f"{folder}/ledger.json")
+    rows = documents.entries(spark, f"{folder}/ledger.json", "items")
+    return rows.select(F.col("name").alias("key"), "ord", F.from_json("value", "n long, note string").alias("v")).select("key", "ord", "v.*")
+
+
 @query("key_list_file", "SELECT DISTINCT 'item-key-' || (c_custkey % 700) AS key FROM customer")
 def key_list_file(t):
     """Keys with blanks around them, blank lines and repeats."""
@@ -436,19 +447,19 @@ def current_manifest(t):
     return out
 
 
-@query("latest_manual_crawl", "SELECT max(event_id) AS event_id FROM events WHERE user_id % 2 = 0 AND event_type <> 'view' AND (event_id % 7 = 0 OR (event_id % 3 = 0 AND event_id % 5 IN (1, 2)))")
+@query("latest_manual_crawl", "SELECT max(event_id) AS event_id FROM events WHERE user_id % 2 = 0 AND event_type <> 'view' AND event_id % 4 <> 0 AND (event_id % 7 = 0 OR (event_id % 3 = 0 AND event_id % 5 IN (1, 2)))")
 def latest_manual_crawl(t):
     """The last manual crawl that tells of the credential: a clean exit, or a failure that a detector of version 2 on
-    saw; versions that are texts or truth values don't count."""
+    saw; versions and exit codes that are texts don't count, nor do truth values as versions, fields of inner objects
+    and events without a timestamp."""
     n = F.col("event_id")
     version = F.when(n % 5 == 0, "1").when(n % 5 == 1, "2").when(n % 5 == 2, "3").when(n % 5 == 3, '"2"').otherwise("true")
     raw = F.concat(
         F.lit('{"trigger":"'), F.when(F.col("user_id") % 2 == 0, "manual").otherwise("daily"), F.lit('","taskType":'), F.when(F.col("event_type") == "view", '"repair"').otherwise("null"),
-        F.lit(',"crawlExitCode":"'), F.when(n % 7 == 0, "0").otherwise("1"), F.lit('","authFailure":'), F.when(n % 3 == 0, "true").otherwise("false"), F.lit(',"authDetectorVersion":'), version, F.lit("}"),
+        F.lit(',"crawlExitCode":'), F.when(n % 7 == 0, "0").when(n % 7 == 1, '"0"').otherwise("1"), F.lit(',"inner":{"crawlExitCode":0,"authDetectorVersion":"2"}'),
+        F.when(n % 4 == 0, "").otherwise(',"timestamp":"2024-01-01T00:00:00Z"'), F.lit(',"authFailure":'), F.when(n % 3 == 0, "true").otherwise("false"), F.lit(',"authDetectorVersion":'), version, F.lit("}"),
     )
-    from ..schemas import RUN_EVENTS
-
-    e = t("events").select(n.alias("line_no"), raw.alias("raw")).withColumn("row", F.from_json("raw", RUN_EVENTS)).select("line_no", "raw", "row.*")
+    e = src.run_events(t("events").select(n.alias("line_no"), raw.alias("line")))
     return history.latest_manual_crawl(e).select(F.col("line_no").alias("event_id"))
 
 

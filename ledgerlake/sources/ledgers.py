@@ -13,7 +13,10 @@ from ..functions.text import blank, valid_key
 from ..functions.urls import extension, host, normalized_source, public_host, source_name
 from ..functions.rules import LOG_NAME, log_time
 from ..operators.ranking import last_per
-from . import store
+from . import documents, store
+
+#: Documents of more bytes than this are read entry by entry, by many tasks; smaller ones in one row.
+LARGE = 64 << 20
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -56,7 +59,15 @@ def result_log(spark: SparkSession, path: str) -> DataFrame:
 
 def run_history(spark: SparkSession, path: str) -> DataFrame:
     """Run events with their line numbers and raw lines; broken lines are left out."""
-    return tolerant_json(lines(spark, path), schemas.RUN_EVENTS).select("line_no", F.col("line").alias("raw"), "row.*")
+    return run_events(lines(spark, path))
+
+
+def run_events(rows: DataFrame) -> DataFrame:
+    """Run events of ``rows`` (line_no, line). Fields whose type matters stay JSON text: 0 and "0" differ, null is null."""
+    whole = F.try_parse_json("line")
+    typed = {c: F.nullif(F.to_json(F.try_variant_get(whole, f"$.{c}", "variant")), F.lit("null")) for c in schemas.JSON_TEXT}
+    events = tolerant_json(rows, schemas.RUN_EVENTS).select("line_no", "line", "row.*").withColumns(typed)
+    return events.select("line_no", F.col("line").alias("raw"), *schemas.RUN_EVENTS.names)
 
 
 def key_list(spark: SparkSession, path: str) -> DataFrame:
@@ -85,6 +96,9 @@ _ITEM = ("key", "canonical_url", "title", "thumbnail_url", "duration", "media_ur
 
 def _videos(spark: SparkSession, path: str) -> DataFrame:
     """(ord, v) of the objects in the list ``videos`` of a document, as variants."""
+    if store.size(spark, path) > LARGE:
+        rows = documents.entries(spark, path, "videos").select("ord", F.parse_json("value").alias("v"))
+        return rows.filter(F.schema_of_variant("v").startswith("OBJECT"))
     doc = _whole(spark, path).select(F.parse_json("value").alias("d"))
     listed = doc.select(F.try_variant_get("d", "$.videos", "array<variant>").alias("videos"))
     rows = listed.select(F.posexplode("videos").alias("ord", "v")).select(F.col("ord").cast("long").alias("ord"), "v")
@@ -128,10 +142,19 @@ def queue_problem(settings: Settings = DEFAULT) -> Column:
 
 def ledger_map(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
     """(key, fields...) of a ``{"items": {key: {...}}}`` document."""
+    if store.size(spark, path) > LARGE:
+        return _members(spark, path, "items", value_schema, "key")
     doc = _whole(spark, path).select(F.from_json("value", f"items MAP<STRING, STRUCT<{value_schema}>>").alias("d"))
     return doc.select(F.explode("d.items").alias("key", "v")).select("key", "v.*")
 
 
+def _members(spark: SparkSession, path: str, member: str, value_schema: str, key: str) -> DataFrame:
+    """(key, fields...) of a container of a large document; of repeated names the last counts."""
+    named = documents.entries(spark, path, member).filter("name is not null")
+    last = named.groupBy("name").agg(F.max(F.struct("ord", "value"))["value"].alias("value"))
+    return last.select(F.col("name").alias(key), F.from_json("value", f"STRUCT<{value_schema}>").alias("v")).select(key, "v.*")
+
+
 def blocked_ledger(spark: SparkSession, path: str, settings: Settings = DEFAULT) -> DataFrame:
     rows = ledger_map(spark, path, "expectedAsset: STRING, error: STRING, kind: STRING, firstSeenAt: STRING, lastSeenAt: STRING")
     named = rows.toDF("key", "expected_asset", "error", "kind", "first_seen_at", "last_seen_at")
@@ -140,6 +163,10 @@ def blocked_ledger(spark: SparkSession, path: str, settings: Settings = DEFAULT)
 
 def ignored_keys(spark: SparkSession, path: str, settings: Settings = DEFAULT) -> DataFrame:
     """Keys of either form: a map by key, or a list of keys or of objects with ``viewkey``."""
+    if store.size(spark, path) > LARGE:
+        rows = documents.entries(spark, path, "items").withColumn("v", F.parse_json("value"))
+        listed = F.coalesce(F.try_variant_get("v", "$.viewkey", "string"), F.try_variant_get("v", "$", "string"))
+        return rows.select(F.coalesce("name", listed).alias("key")).filter(valid_key(F.col("key"), settings)).distinct()
     raw = _whole(spark, path).select(F.get_json_object("value", "$.items").alias("items"))
     as_map = raw.filter(F.ltrim("items").startswith("{")).select(F.explode(F.json_object_keys("items")).alias("key"))
     listed = raw.filter(F.ltrim("items").startswith("[")).select(F.explode(F.from_json("items", "array<string>")).alias("x"))
@@ -149,9 +176,15 @@ def ignored_keys(spark: SparkSession, path: str, settings: Settings = DEFAULT) -
 
 def content_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(hashes, assets) of a content document; only 64-digit hashes and numeric assets count."""
-    doc = _whole(spark, path).select(F.from_json("value", "hashes MAP<STRING, STRUCT<viewkey: STRING, bytes: STRING, recordedAt: STRING>>, mediaAssets MAP<STRING, STRING>").alias("d"))
-    hashes = doc.select(F.explode("d.hashes").alias("hash", "v")).select("hash", F.col("v.viewkey").alias("key"), F.coalesce(F.col("v.bytes").try_cast("long"), F.lit(0)).alias("bytes"), F.col("v.recordedAt").alias("recorded_at"))
-    assets = doc.select(F.explode("d.mediaAssets").alias("asset", "key"))
+    if store.size(spark, path) > LARGE:
+        rows = _members(spark, path, "hashes", "viewkey: STRING, bytes: STRING, recordedAt: STRING", "hash")
+        assets = documents.entries(spark, path, "mediaAssets").groupBy(F.col("name").alias("asset")).agg(F.max(F.struct("ord", "value"))["value"].alias("value"))
+        assets = assets.select("asset", F.try_variant_get(F.parse_json("value"), "$", "string").alias("key"))
+    else:
+        doc = _whole(spark, path).select(F.from_json("value", "hashes MAP<STRING, STRUCT<viewkey: STRING, bytes: STRING, recordedAt: STRING>>, mediaAssets MAP<STRING, STRING>").alias("d"))
+        rows = doc.select(F.explode("d.hashes").alias("hash", "v")).select("hash", "v.*")
+        assets = doc.select(F.explode("d.mediaAssets").alias("asset", "key"))
+    hashes = rows.select("hash", F.col("viewkey").alias("key"), F.coalesce(F.col("bytes").try_cast("long"), F.lit(0)).alias("bytes"), F.col("recordedAt").alias("recorded_at"))
     return hashes.filter(F.col("hash").rlike(r"\A[0-9a-f]{64}\z")), assets.filter(F.col("asset").rlike(r"\A\d+\z"))
 
 

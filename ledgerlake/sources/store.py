@@ -17,6 +17,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or of all files of a folder; 0 where there is none."""
+    fs, p = _path(spark, path)
+    return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+
+
 def put(spark: SparkSession, path: str, content: str | bytes) -> None:
     """Writes one small file as a whole: to a name of its own first, then moved to its place."""
     raw = content.encode("utf-8") if isinstance(content, str) else content
