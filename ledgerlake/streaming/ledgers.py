@@ -1,42 +1,32 @@
 """Ledgers kept by streams: first successes, daily counts, live progress, suppressed publication.
 
-Keys never expire, as in the batch ledgers, so first successes use no watermark: state grows
-with the number of keys (use the RocksDB state store).
+Keys of first successes never expire, as in the batch ledgers: their state grows with the number of keys
+and lies in RocksDB.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.ledger import first_success
+from .state import first_values, progress
 
 
-def first_success_stream(results: DataFrame, path: str, checkpoint: str):
+def first_success_stream(results: DataFrame, path: str, checkpoint: str, known: DataFrame | None = None):
     """A query that adds each batch's new first successes to the ledger at ``path``.
 
-    A batch writes to its own folder, so a repeated batch replaces what it wrote; keys of earlier
-    batches win. Equal to the batch ledger where files arrive in name order.
+    Keyed state knows which keys have succeeded, so a batch costs what it brings and never reads the ledger; a
+    file that comes late never changes what is there. A batch writes to its own folder, so a repeated batch
+    replaces what it wrote. Equal to the batch ledger where files arrive in name order. ``known``: a ledger
+    from before, for a query that starts without a checkpoint.
     """
-
-    def add(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = first_success(batch)
-        try:
-            old = spark.read.parquet(path).filter(F.col("batch") < number)
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-            old = None
-        if old is not None:
-            new = new.join(old.select("key"), "key", "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return results.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    good = results.filter("status = 'downloaded'").select("key", "file_name", "line_no", "at", "bytes")
+    new = first_values(good, "key", ["file_name", "line_no"], known)
+    size = F.greatest(F.lit(0).cast("long"), F.coalesce(F.col("bytes").try_cast("long"), F.lit(0)))
+    ledger = new.select("key", F.to_date("at").alias("date"), "at", size.alias("bytes"))
+    return ledger.writeStream.outputMode("append").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}")).option("checkpointLocation", checkpoint)
 
 
 def first_rows(results: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
@@ -52,21 +42,8 @@ def daily_counts(results: DataFrame, at: str, late: str = "1 day", status: str =
 
 
 def live_progress(updates: DataFrame) -> DataFrame:
-    """Last gauge of each key in work; a finished key's state is dropped. ``updates``: key, ord, state, bytes."""
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
-        last = state.get if state.exists else (-1, "", 0)
-        for frame in frames:
-            for r in frame.itertuples():
-                if r.ord > last[0]:
-                    last = (int(r.ord), str(r.state), int(r.bytes))
-        if last[1] == "done":
-            state.remove()
-        else:
-            state.update(last)
-        yield pd.DataFrame([{"key": key[0], "ord": last[0], "state": last[1], "bytes": last[2]}])
-
-    return updates.groupBy("key").applyInPandasWithState(step, "key string, ord long, state string, bytes long", "ord long, state string, bytes long", "update", GroupStateTimeout.NoTimeout)
+    """Changes of the last gauge of each key; a finished key stays finished. ``updates``: key, ord, state, bytes."""
+    return progress(updates)
 
 
 def progress_files(gauges: DataFrame, path: str, checkpoint: str):
