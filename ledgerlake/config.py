@@ -26,6 +26,7 @@ class Settings:
     unavailable_text: str = "media is not available"
     signature_keys: tuple[str, ...] = ("st", "f", "e", "sig", "signature", "token")
     playable_extensions: tuple[str, ...] = ("mp4", "m4v", "webm")
+    fragment_calls: tuple[str, ...] = ("strencode2", "strencode")
     challenge_marks: tuple[str, ...] = ("just a moment", "checking your browser", "captcha")
     score_weights: dict[str, int] = field(default_factory=lambda: {"consistent": 16, "preferred": 8, "title": 2, "thumbnail": 1, "duration": 1})
     detector_version: int = 3

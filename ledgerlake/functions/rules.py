@@ -35,7 +35,8 @@ def epoch_of(text: Column) -> Column:
 
 def hours_since(text: Column, now: Column) -> Column:
     """Age in hours, not below 0; null for bad times."""
-    return F.greatest(F.lit(0.0), (F.unix_timestamp(now) - epoch_of(text)) / 3600.0)
+    hours = (F.unix_timestamp(now) - epoch_of(text)) / 3600.0
+    return F.when(hours.isNotNull(), F.greatest(F.lit(0.0), hours))
 
 
 def stale(text: Column, now: Column, max_seconds: Column) -> Column:
@@ -58,10 +59,16 @@ def task_type(explicit: Column) -> Column:
     return F.when(explicit.isin("crawl", "repair"), explicit).otherwise(F.lit("crawl"))
 
 
+def json_zero(x: Column) -> Column:
+    """Whether a value given as JSON text equals 0: a number or ``false``, not a text of digits."""
+    number = x.rlike(r"\A-?\d") & (x.try_cast("double") == 0)
+    return F.coalesce(number | (x == "false"), F.lit(False))
+
+
 def result_status(explicit: Column, crawl_exit: Column, download_exit: Column, listing_failures: Column) -> Column:
-    """Explicit status, else by exit codes: failures of pages leave a good run as attention."""
-    fine = (crawl_exit.try_cast("int") == 0) & (download_exit.isNull() | (download_exit.try_cast("int") == 0))
-    derived = F.when(F.coalesce(fine, F.lit(False)), F.when(tolerant_int(listing_failures) > 0, F.lit("attention")).otherwise(F.lit("success"))).otherwise(F.lit("failed"))
+    """Explicit status, else by exit codes, given as JSON text: failures of pages leave a good run as attention."""
+    fine = json_zero(crawl_exit) & (download_exit.isNull() | json_zero(download_exit))
+    derived = F.when(fine, F.when(tolerant_int(listing_failures) > 0, F.lit("attention")).otherwise(F.lit("success"))).otherwise(F.lit("failed"))
     return F.when(explicit.isin("success", "attention", "failed"), explicit).otherwise(derived)
 
 

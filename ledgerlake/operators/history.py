@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-from ..functions.rules import result_status, safe_block, task_type, timestamp_of
+from ..functions.rules import json_zero, result_status, safe_block, task_type, timestamp_of
 from ..functions.text import blank, tolerant_int
 
 _OUTCOMES = (("downloaded", "n_downloaded"), ("skipped", "n_present"), ("duplicate", "n_duplicate"), ("blocked", "n_blocked"), ("failed", "n_failed"))
@@ -25,22 +25,33 @@ def latest(events: DataFrame, order: str = "line_no", by: list[str] | None = Non
     return one.select(*(by or []), "m.*").select(*events.columns)
 
 
+def latest_task_event(events: DataFrame, task: str | None = None, results: tuple[str, ...] | None = None) -> DataFrame:
+    """The last event with a timestamp, of one task and with one of some results where they are given."""
+    e = described(events).filter(~blank(F.col("timestamp")))
+    e = e if task is None else e.filter(F.col("task") == task)
+    return latest(e if results is None else e.filter(F.col("result").isin(*results)))
+
+
+def good_day(day: Column) -> Column:
+    """Whether a described event is a run of ``day`` that asked for downloads and ended well: both exit codes 0 and the result a success."""
+    ended = json_zero(F.col("crawlExitCode")) & json_zero(F.col("downloadExitCode")) & F.coalesce(F.col("downloadRequested"), F.lit(False))
+    return ended & (F.col("result") == "success") & F.coalesce(F.to_date(timestamp_of(F.col("timestamp"))) == day, F.lit(False))
+
+
 def latest_success_of_day(events: DataFrame, day: str) -> DataFrame:
-    """Last run of a day that asked for downloads and ended well: both exit codes 0 and the result a success."""
-    e = described(events)
-    when = F.to_date(timestamp_of(F.col("timestamp")))
-    ended = (F.col("crawlExitCode").try_cast("int") == 0) & (F.col("downloadExitCode").try_cast("int") == 0) & F.col("downloadRequested")
-    return latest(e.filter(ended & (F.col("result") == "success") & (when == F.to_date(F.lit(day)))))
+    return latest(described(events).filter(good_day(F.to_date(F.lit(day)))))
 
 
 def latest_manual_crawl(events: DataFrame) -> DataFrame:
-    """Last manual crawl that tells about the credential: a clean exit, or a failure seen by a detector of version 2 on."""
-    kind = F.schema_of_variant(F.try_parse_json("raw"))
-    version = F.get_json_object("raw", "$.authDetectorVersion")
-    whole = version.rlike(r"\A\d+\z") & ~F.col("raw").rlike(r'"authDetectorVersion"\s*:\s*"') & kind.isNotNull()
-    seen = F.coalesce(F.col("authFailure"), F.lit(False)) & F.coalesce(whole & (version.try_cast("int") >= 2), F.lit(False))
-    e = described(events)
-    return latest(e.filter((F.col("task") == "crawl") & (F.col("trigger") == "manual") & ((F.col("crawlExitCode").try_cast("int") == 0) | seen)))
+    """Last manual crawl that tells about the credential: a clean exit, or a failure seen by a detector of version 2 on.
+
+    Exit codes and versions count as numbers only; events without a timestamp are passed over.
+    """
+    version = F.col("authDetectorVersion")
+    new = F.coalesce(version.rlike(r"\A-?\d+\z") & (version.try_cast("decimal(38,0)") >= 2), F.lit(False))
+    seen = F.coalesce(F.col("authFailure"), F.lit(False)) & new
+    e = described(events).filter(~blank(F.col("timestamp")))
+    return latest(e.filter((F.col("task") == "crawl") & (F.col("trigger") == "manual") & (json_zero(F.col("crawlExitCode")) | seen)))
 
 
 def outcome_counts(results: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def bit_flags(items: DataFrame, sets: list[tuple[DataFrame, str]]) -> DataFrame:
 
 
 def states(items: DataFrame, success: DataFrame, files: DataFrame, ignored: DataFrame, resolver_blocked: DataFrame, manifest_blocked: DataFrame, attempted_now: DataFrame | None = None) -> DataFrame:
-    """Items with a boolean for each set they are in."""
+    """Items with a boolean for each set they are in; blocked ones that were not tried now are still backlog."""
     sets = [(success, "in_success"), (files, "has_file"), (ignored, "is_ignored"), (resolver_blocked, "by_resolver"), (manifest_blocked, "by_manifest")]
     out = bit_flags(items, sets + ([(attempted_now, "now")] if attempted_now is not None else []))
     out = out if attempted_now is not None else out.withColumn("now", F.lit(False))
@@ -34,7 +34,7 @@ def states(items: DataFrame, success: DataFrame, files: DataFrame, ignored: Data
     out = out.withColumn("unresolved", ~c("resolved") & ~c("is_ignored"))
     out = out.withColumn("blocked", (c("unresolved") & c("by_resolver")) | (c("by_manifest") & ~c("is_ignored")))
     open_ = c("unresolved") & ~c("blocked")
-    return out.withColumns({"current_error": open_ & c("now"), "backlog": open_ & ~c("now"), "ignored": c("is_ignored")})
+    return out.withColumns({"current_error": open_ & c("now"), "backlog": c("unresolved") & ~c("now"), "ignored": c("is_ignored")})
 
 
 def overview(marked: DataFrame) -> DataFrame:

@@ -15,11 +15,12 @@ def blocked_upsert(ledger: DataFrame, items: DataFrame, failures: DataFrame, now
     """Blocks by key after safe failures of listed items: the first time stays, all else follows the last failure.
 
     ``failures``: ord, key, kind, error. Other kinds, unlisted and invalid keys change nothing. The expected asset is
-    that of the item's thumbnail now, blank too.
+    that of the item's thumbnail now, blank too; of a key listed twice the last row by ``ord`` counts.
     """
     safe = failures.filter(F.col("kind").isin(*settings.safe_kinds) & valid_key(F.col("key"), settings))
     last = safe.groupBy("key").agg(F.max(F.struct("ord", "kind", "error")).alias("n"))
-    listed = items.select("key", asset_id(F.col("thumbnail_url")).alias("n_asset")).groupBy("key").agg(F.max("n_asset").alias("n_asset"))
+    place = F.col("ord") if "ord" in items.columns else F.lit(0)
+    listed = items.select("key", F.struct(place.alias("ord"), asset_id(F.col("thumbnail_url")).alias("asset")).alias("m")).groupBy("key").agg(F.max("m")["asset"].alias("n_asset"))
     new = last.join(listed, "key").select("key", "n_asset", first_present(F.col("n.error"), F.lit(settings.unavailable_text)).alias("n_error"), F.col("n.kind").alias("n_kind"), F.lit(True).alias("fresh"))
     old = ledger.select("key", *[F.col(c).alias(f"o_{c}") for c in ("expected_asset", "error", "kind", "first_seen_at", "last_seen_at")])
     out = old.join(new, "key", "full_outer")

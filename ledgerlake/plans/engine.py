@@ -12,7 +12,7 @@ from ..functions.urls import canonical_url
 from ..operators import dedupe, history, inventory, ledger, queueing, ranking
 from ..sources import pages as pages_
 from ..sources.ledgers import digest
-from . import runs
+from . import ledger_snapshot, runs
 from . import snapshot as snapshot_
 
 
@@ -56,5 +56,13 @@ class Engine:
     def snapshot(self, facts: DataFrame) -> DataFrame:
         return snapshot_.snapshot(facts, self.settings)
 
+    def snapshot_of(self, ledgers: ledger_snapshot.Ledgers, now: str) -> dict[str, DataFrame]:
+        """The status snapshot at ``now`` straight from ledgers: its row (facts, alerts, stages, status) and its lists."""
+        return ledger_snapshot.snapshot_of(ledgers, now, self.settings)
+
+    def repair_event(self, run: runs.Run, attempted: DataFrame, manifest: DataFrame, failures: DataFrame, items: DataFrame, ignored: DataFrame) -> DataFrame:
+        """The event of a repair from what it left behind."""
+        return runs.repair_event(run, attempted, manifest, failures, items, ignored, self.settings)
+
     def identity(self, table: DataFrame, *without: str) -> DataFrame:
         return digest(table, *without)

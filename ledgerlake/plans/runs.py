@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
-from ..functions.rules import run_result, safe_block
+from ..functions.rules import repair_result, run_result, safe_block
 from ..functions.text import blank, tolerant_int
+from .ledger_snapshot import beside
 
 # Least and greatest value of each argument.
 BOUNDS = {
@@ -99,3 +100,26 @@ def summarise_run(run: Run, manifest: DataFrame, failures: DataFrame, listing_fa
         "downloadedVideos", "alreadyPresentVideos", "duplicateVideos", "blockedVideos", (F.col("manifest_failed") + F.col("resolver_failed")).alias("failedVideos"),
         "downloadedBytes", "autoRetryAttempts", "autoRetriedVideos", "autoRecoveredVideos",
     )
+
+
+def repair_event(run: Run, attempted: DataFrame, manifest: DataFrame, failures: DataFrame, items: DataFrame, ignored: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """One event row of a repair: candidates tried, what became of them, and whether anything but safe blocks is left.
+
+    ``attempted``: key; ``manifest``: viewkey, status, bytes, autoRetries; ``failures``: viewkey, kind, error;
+    ``items`` and ``ignored``: key. Resolver failures that may be skipped for good and blocked downloads count as
+    keys, all other failures as rows.
+    """
+    said = summarise_run(run, manifest, failures, failures.limit(0).select("kind"), settings)
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    tried, passed = count(attempted, "n_tried"), count(items.select("key").join(ignored.select("key").distinct(), "key", "left_semi"), "n_ignored")
+    left = failures.agg(F.count_if(~safe_block(F.col("kind"), F.col("error"), settings)).alias("n_unresolved"))
+    failed = manifest.agg(F.count_if(F.col("status") == "failed").alias("n_failed"))
+    row = beside(said, tried, passed, left, failed)
+    exit_code = F.lit(run.download_exit).cast("int")
+    result = repair_result(F.coalesce(exit_code, F.lit(-1)), F.col("n_unresolved"), F.col("n_failed"))
+    zero = F.lit(0).cast("long")
+    return row.select(
+        "timestamp", "startedAt", "durationSeconds", F.lit("repair").alias("taskType"), result.alias("resultStatus"), F.when(result == "success", 0).otherwise(1).alias("crawlExitCode"), exit_code.alias("downloadExitCode"), F.lit(False).alias("downloadRequested"),
+        F.col("n_tried").alias("rawLinks"), F.col("n_tried").alias("uniqueVideos"), F.col("n_ignored").alias("skippedVideos"), F.col("n_ignored").alias("ignoredVideos"), zero.alias("newVideos"), F.col("n_tried").alias("retryVideos"),
+        "downloadedVideos", "alreadyPresentVideos", "duplicateVideos", "blockedVideos", "failedVideos", "downloadedBytes", "autoRetryAttempts", "autoRetriedVideos", "autoRecoveredVideos",
+    )

@@ -93,23 +93,40 @@ def latest_event_overall(t):
     return history.latest(t("events").select("event_id", "event_type", "user_id"), "event_id")
 
 
-@query("latest_success_of_day", "SELECT event_id, user_id FROM events WHERE event_type = 'purchase' AND CAST(ts AS DATE) = DATE '2024-01-15' AND event_id % 3 <> 0 AND event_id % 5 = 1 AND event_id % 7 <> 0 ORDER BY event_id DESC LIMIT 1")
+@query("latest_task_events", """WITH e AS (SELECT event_id, CASE WHEN event_type = 'view' THEN 'repair' ELSE 'crawl' END AS task, CASE event_id % 4 WHEN 0 THEN 'success' WHEN 1 THEN 'attention' ELSE 'failed' END AS result FROM events WHERE event_id % 3 = 1)
+SELECT 'any' AS of, max(event_id) AS event_id FROM e UNION ALL SELECT 'crawl', max(event_id) FROM e WHERE task = 'crawl' UNION ALL SELECT 'repair', max(event_id) FROM e WHERE task = 'repair'
+UNION ALL SELECT 'complete', max(event_id) FROM e WHERE task = 'crawl' AND result <> 'failed'""")
+def latest_task_events(t):
+    """The last events of each kind; those without a timestamp (null or blank) are passed over."""
+    n = F.col("event_id")
+    e = t("events").select(
+        n.alias("line_no"), F.when(n % 3 == 1, F.col("ts").cast("string")).when(n % 3 == 2, "").alias("timestamp"), F.when(F.col("event_type") == "view", "repair").alias("taskType"),
+        F.when(n % 4 == 0, "success").when(n % 4 == 1, "attention").when(n % 4 == 2, "failed").alias("resultStatus"), F.lit("1").alias("crawlExitCode"), F.lit(None).cast("string").alias("downloadExitCode"), F.lit("0").alias("listingFailures"),
+    )
+    found = {"any": (), "crawl": ("crawl",), "repair": ("repair",), "complete": ("crawl", ("success", "attention"))}
+    parts = [history.latest_task_event(e, *args).select(F.lit(name).alias("of"), F.col("line_no").alias("event_id")) for name, args in found.items()]
+    return history.union_of(*parts)
+
+
+@query("latest_success_of_day", "SELECT event_id, user_id FROM events WHERE event_type = 'purchase' AND CAST(ts AS DATE) = DATE '2024-01-15' AND event_id % 3 <> 0 AND event_id % 5 = 1 AND event_id % 7 <> 0 AND event_id % 11 <> 1 ORDER BY event_id DESC LIMIT 1")
 def latest_success_of_day(t):
-    """Downloads asked for (not each third), both exits 0 (or none, or 1), the result a success."""
+    """Downloads asked for (not each third), both exits 0 (or none, 1, or the text "0"), the result a success."""
     n = F.col("event_id")
     e = t("events").select(
         n.alias("line_no"), F.col("ts").cast("string").alias("timestamp"), F.lit("2024-01-15").alias("startedAt"), F.when(n % 2 == 0, "crawl").alias("taskType"), F.when(F.col("event_type") == "purchase", "success").otherwise("attention").alias("resultStatus"),
-        F.when(n % 7 == 0, "1").otherwise("0").alias("crawlExitCode"), F.when(n % 5 == 1, "0").when(n % 5 == 2, "1").alias("downloadExitCode"), F.lit("0").alias("listingFailures"), (n % 3 != 0).alias("downloadRequested"), "user_id",
+        F.when(n % 7 == 0, "1").when(n % 11 == 1, '"0"').otherwise("0").alias("crawlExitCode"), F.when(n % 5 == 1, "0").when(n % 5 == 2, "1").alias("downloadExitCode"), F.lit("0").alias("listingFailures"), (n % 3 != 0).alias("downloadRequested"), "user_id",
     )
     return history.latest_success_of_day(e, "2024-01-15").select(F.col("line_no").alias("event_id"), "user_id")
 
 
-@query("result_status_by_day", """SELECT day, CASE WHEN errors % 5 = 0 AND clicks % 3 <> 1 THEN CASE WHEN signups % 2 > 0 THEN 'attention' ELSE 'success' END ELSE 'failed' END AS result FROM (
+@query("result_status_by_day", """SELECT day, CASE WHEN errors % 5 IN (0, 2, 3) AND clicks % 3 <> 1 AND signups % 5 <> 3 THEN CASE WHEN signups % 2 > 0 THEN 'attention' ELSE 'success' END ELSE 'failed' END AS result FROM (
 SELECT CAST(ts AS DATE) AS day, count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*) FILTER (WHERE event_type = 'signup') AS signups FROM events GROUP BY 1)""")
 def result_status_by_day(t):
+    """Exit codes as JSON text: numbers end well where they are 0, texts never do."""
     day = t("events").groupBy(F.to_date("ts").alias("day")).agg(*[F.count_if(F.col("event_type") == k).alias(k) for k in ("error", "click", "signup")])
-    exit_ = F.when(F.col("click") % 3 == 1, "1").when(F.col("click") % 3 == 2, "0")
-    return day.select("day", rules.result_status(F.lit(None).cast("string"), (F.col("error") % 5).cast("string"), exit_, (F.col("signup") % 2).cast("string")).alias("result"))
+    exit_ = F.when(F.col("signup") % 5 == 3, '"0"').when(F.col("click") % 3 == 1, "1").when(F.col("click") % 3 == 2, "0")
+    crawl = F.element_at(F.array(*[F.lit(x) for x in ("0", '"0"', "0.0", "false", "1")]), (F.col("error") % 5 + 1).cast("int"))
+    return day.select("day", rules.result_status(F.lit(None).cast("string"), crawl, exit_, (F.col("signup") % 2).cast("string")).alias("result"))
 
 
 @query("run_result_by_day", """SELECT day, CASE WHEN e % 7 = 0 THEN 'failed' WHEN c % 2 > 0 OR s % 2 > 0 THEN 'attention' ELSE 'success' END AS result, CASE WHEN e % 2 = 0 AND c % 2 = 0 THEN 'success' ELSE 'failed' END AS repair FROM (

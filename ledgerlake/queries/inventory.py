@@ -88,12 +88,13 @@ SELECT coalesce(o.key, f.key) AS key, CASE WHEN f.key IS NULL THEN '7' WHEN doc_
 coalesce(f.kind, 'media_mismatch') AS kind, CASE WHEN f.key IS NULL THEN first WHEN coalesce(first, '') = '' THEN 'now' ELSE first END AS first_seen_at, CASE WHEN f.key IS NULL THEN first ELSE 'now' END AS last_seen_at FROM o FULL JOIN f ON f.key = o.key""")
 def blocked_upsert(t):
     """Failures of unsafe kinds and of unlisted keys change nothing; a blank asset replaces the old one; of two
-    failures of a key the last counts."""
+    failures of a key the last counts, of two listed rows too: earlier ones show a greater asset."""
     key = F.concat(F.lit("item-"), F.col("doc_id").cast("string")).alias("key")
     first = F.when(F.col("quality") == 1, "old").otherwise("")
     old = t("labels").select(key, F.lit("7").alias("expected_asset"), F.lit("e").alias("error"), F.lit("media_mismatch").alias("kind"), first.alias("first_seen_at"), first.alias("last_seen_at"))
     n = F.col("doc_id")
-    listed = t("documents").filter("doc_id % 8 <> 1").select(key, F.when(n % 9 == 0, "").otherwise(F.concat(F.lit("https://t.example/"), n.cast("string"), F.lit(".jpg"))).alias("thumbnail_url"))
+    listed = t("documents").filter("doc_id % 8 <> 1").select(key, F.when(n % 9 == 0, "").otherwise(F.concat(F.lit("https://t.example/"), n.cast("string"), F.lit(".jpg"))).alias("thumbnail_url"), F.lit(2).alias("ord"))
+    listed = listed.unionByName(listed.select("key", F.lit("https://t.example/99999999999.jpg").alias("thumbnail_url"), F.lit(1).alias("ord")))
     failed = t("documents").filter("doc_id % 3 = 0")
     last = failed.select(F.lit(2).alias("ord"), key, F.when(n % 4 == 2, "request_error").when(n % 12 == 0, "media_unavailable").otherwise("media_mismatch").alias("kind"), F.when(n % 5 == 0, "").otherwise("new").alias("error"))
     before = failed.filter("doc_id % 4 <> 2").select(F.lit(1).alias("ord"), key, F.lit("media_unavailable").alias("kind"), F.lit("earlier").alias("error"))
@@ -133,14 +134,14 @@ _S = f"""SELECT *, NOT resolved AND NOT ignored AS unresolved, (NOT resolved AND
 SELECT doc_id, success OR doc_id % 5 = 0 AS completed, ignored, (media OR success OR doc_id % 5 = 0) AND NOT ignored AS resolved FROM ({_I}))"""
 
 
-@query("inventory_set_algebra", f"SELECT doc_id, completed, ignored, resolved, unresolved, blocked, unresolved AND NOT blocked AND doc_id % 2 = 0 AS current_error, unresolved AND NOT blocked AND doc_id % 2 <> 0 AS backlog FROM ({_S})")
+@query("inventory_set_algebra", f"SELECT doc_id, completed, ignored, resolved, unresolved, blocked, unresolved AND NOT blocked AND doc_id % 2 = 0 AS current_error, unresolved AND doc_id % 2 <> 0 AS backlog FROM ({_S})")
 def inventory_set_algebra(t):
     return marked(t).select("doc_id", *inventory.STATES)
 
 
 @query("inventory_overview", f"""SELECT n_items, n_downloaded, n_ignored, n_resolved, n_unresolved, n_blocked, n_current_error, n_backlog, greatest(0, n_items - n_downloaded - n_blocked - n_ignored) AS n_pending, CAST(round(100.0 * n_downloaded / greatest(1, n_items - n_ignored), 1) AS DOUBLE) AS percent FROM (
 SELECT count(*) AS n_items, count(*) FILTER (WHERE completed AND NOT ignored) AS n_downloaded, count(*) FILTER (WHERE ignored) AS n_ignored, count(*) FILTER (WHERE resolved) AS n_resolved, count(*) FILTER (WHERE unresolved) AS n_unresolved, count(*) FILTER (WHERE blocked) AS n_blocked,
-count(*) FILTER (WHERE unresolved AND NOT blocked AND doc_id % 2 = 0) AS n_current_error, count(*) FILTER (WHERE unresolved AND NOT blocked AND doc_id % 2 <> 0) AS n_backlog FROM ({_S}))""")
+count(*) FILTER (WHERE unresolved AND NOT blocked AND doc_id % 2 = 0) AS n_current_error, count(*) FILTER (WHERE unresolved AND doc_id % 2 <> 0) AS n_backlog FROM ({_S}))""")
 def inventory_overview(t):
     return inventory.overview(marked(t))
 

@@ -21,6 +21,8 @@ ASSETS = _of("asset STRING, key STRING")
 FIRST_SUCCESS = _of("key STRING, date DATE, downloaded_at TIMESTAMP, bytes LONG")
 RESULTS = _of("viewkey STRING, status STRING, bytes STRING, sha256 STRING, path STRING, kind STRING, error STRING, duplicate_of STRING, mediaAsset STRING, autoRetries STRING")
 COUNTERS = ("rawLinks", "uniqueVideos", "skippedVideos", "newVideos", "retryVideos", "downloadedVideos", "alreadyPresentVideos", "duplicateVideos", "blockedVideos", "ignoredVideos", "failedVideos", "listingFailures", "downloadedBytes", "autoRetryAttempts", "autoRetriedVideos", "autoRecoveredVideos")
+#: Fields of run events that are kept as JSON text.
+JSON_TEXT = ("crawlExitCode", "downloadExitCode", "authDetectorVersion")
 RUN_EVENTS = _of("timestamp STRING, startedAt STRING, durationSeconds DOUBLE, taskType STRING, trigger STRING, resultStatus STRING, authFailure BOOLEAN, authDetectorVersion STRING, crawlExitCode STRING, downloadExitCode STRING, downloadRequested BOOLEAN, " + ", ".join(f"{c} STRING" for c in COUNTERS))
 FAILURES = _of("source INT, page INT, url STRING, viewkey STRING, error STRING, kind STRING")
 FILES = _of("path STRING, size_bytes LONG, modified_at TIMESTAMP, extension STRING")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from html import unescape
 from html.parser import HTMLParser
-from urllib.parse import parse_qs, urljoin, urlsplit
+from urllib.parse import parse_qs, unquote, urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -184,24 +184,31 @@ def media_urls(html):
 
 
 def player_media(pages: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """(page_id, media) of ``pages`` (page_id, html): accepted addresses of media tags in order; only where a page
-    has none, accepted addresses anywhere in its text outside comments, character references decoded."""
+    """(page_id, media, posters) of ``pages`` (page_id, html): accepted addresses of media tags in order; only where a
+    page has none, accepted addresses anywhere in its text outside comments, character references decoded.
+
+    Tags and text that a page's script holds percent-encoded in calls of ``settings.fragment_calls`` count after the
+    page's own. Posters are those of all tags, accepted or not.
+    """
+    call = re.compile(rf"""(?:{"|".join(map(re.escape, settings.fragment_calls))})\(\s*["']([^"']+)["']""", re.IGNORECASE)
     schema = "page_id long, place int, kind string, url string"
 
     def run(batches):
         for batch in batches:
             rows = []
             for page, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tags = [unescape(u).rstrip(");,]") for k, u in media_of(body) if k == "media"]
-                bare = _BARE.findall(unescape(_COMMENT.sub("", body or "")))
-                rows += [(page, k, "tag", u) for k, u in enumerate(tags)] + [(page, k, "text", unescape(u).rstrip(");,]")) for k, u in enumerate(bare)]
+                hidden = [unquote(x) for x in call.findall(body or "")]
+                tags = [(kind, unescape(u)) for part in (body, *hidden) for kind, u in media_of(part)]
+                bare = _BARE.findall(unescape("\n".join([_COMMENT.sub("", body or ""), *hidden])))
+                rows += [(page, k, "tag", u.rstrip(");,]")) if kind == "media" else (page, k, "poster", u.strip()) for k, (kind, u) in enumerate(tags)]
+                rows += [(page, k, "text", unescape(u).rstrip(");,]")) for k, u in enumerate(bare)]
             cols = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.string()))], names=["page_id", "place", "kind", "url"])
 
-    found = pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, schema).filter(accepted_media(F.col("url"), settings))
+    found = pages.select(F.col("page_id").cast("long"), "html").mapInArrow(run, schema).filter((F.col("kind") == "poster") | accepted_media(F.col("url"), settings)).filter("url <> ''")
     first = found.groupBy("page_id", "kind", "url").agg(F.min("place").alias("place"))
-    listed = first.groupBy("page_id").pivot("kind", ["tag", "text"]).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "url"))), lambda x: x["url"]))
-    return listed.select("page_id", F.when(F.size("tag") > 0, F.col("tag")).otherwise(F.col("text")).alias("media"))
+    listed = first.groupBy("page_id").pivot("kind", ["tag", "text", "poster"]).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "url"))), lambda x: x["url"]))
+    return listed.select("page_id", F.when(F.size("tag") > 0, F.col("tag")).otherwise(F.col("text")).alias("media"), F.col("poster").alias("posters"))
 
 
 _COMMENT = re.compile(r"<!--.*?-->", re.S)

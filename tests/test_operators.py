@@ -140,14 +140,27 @@ def test_summarise_run(spark):
 
 
 def test_history(spark):
-    raw = ['{"taskType":"crawl","trigger":"manual","crawlExitCode":"1","authFailure":true,"authDetectorVersion":2}', '{"trigger":"manual","crawlExitCode":"0"}', '{"trigger":"manual","crawlExitCode":"1","authFailure":true,"authDetectorVersion":"2"}', '{"taskType":"repair","crawlExitCode":"0"}']
-    from ledgerlake.schemas import RUN_EVENTS
-
-    df = spark.createDataFrame(list(enumerate(raw)), "line_no int, raw string").withColumn("row", F.from_json("raw", RUN_EVENTS)).select("line_no", "raw", "row.*")
+    from ledgerlake.sources.ledgers import run_events
+
+    at = '"timestamp":"2024-01-0%dT10:00:00Z"'
+    raw = [
+        '{%s,"taskType":"crawl","trigger":"manual","crawlExitCode":1,"authFailure":true,"authDetectorVersion":2}' % (at % 1),
+        '{%s,"trigger":"manual","crawlExitCode":0}' % (at % 2),
+        '{%s,"trigger":"manual","crawlExitCode":1,"authFailure":true,"authDetectorVersion":"2"}' % (at % 3),
+        '{%s,"trigger":"manual","crawlExitCode":"0","inner":{"crawlExitCode":0}}' % (at % 4),
+        '{%s,"taskType":"repair","crawlExitCode":0,"downloadExitCode":"0"}' % (at % 5),
+        '{"trigger":"manual","crawlExitCode":0}',
+    ]
+    df = run_events(spark.createDataFrame(list(enumerate(raw)), "line_no int, line string"))
+    assert [r.crawlExitCode for r in df.orderBy("line_no").collect()] == ["1", "0", "1", '"0"', "0", "0"]
     assert history.latest_manual_crawl(df).first().line_no == 1
     assert history.latest_manual_crawl(df.filter("line_no <> 1")).first().line_no == 0
-    assert history.latest(df).first().line_no == 3 and history.latest(df.limit(0)).count() == 0
-    assert {r.task: r.line_no for r in history.latest(history.described(df), "line_no", ["task"]).collect()} == {"crawl": 2, "repair": 3}
+    assert history.latest(df).first().line_no == 5 and history.latest(df.limit(0)).count() == 0
+    assert {r.task: r.line_no for r in history.latest(history.described(df), "line_no", ["task"]).collect()} == {"crawl": 5, "repair": 4}
+    assert history.latest_task_event(df).first().line_no == 4 and history.latest_task_event(df, "crawl").first().line_no == 3
+    assert history.latest_task_event(df, "crawl", ("success",)).first().line_no == 1 and history.latest_task_event(df, "repair").first().result == "failed"
+    day = run_events(spark.createDataFrame([(0, '{%s,"crawlExitCode":0,"downloadExitCode":%s,"downloadRequested":%s}' % (at % 1, d, q)) for d, q in (("0", "true"),)] + [(k, '{%s,"crawlExitCode":0,"downloadExitCode":%s,"downloadRequested":%s}' % (at % 1, d, q)) for k, (d, q) in enumerate((('"0"', "true"), ("null", "true"), ("0", "null"), ("0", '"true"')), 1)], "line_no int, line string"))
+    assert history.latest_success_of_day(day, "2024-01-01").first().line_no == 0 and history.latest_success_of_day(day, "2024-01-02").count() == 0
 
 
 def test_ema(spark):
@@ -169,6 +182,35 @@ def test_snapshot_invariants(spark):
     assert [a.code for a in failed.alerts] == ["run_failed", "snapshot_missing"] and failed.run_status == "attention" and [s.status for s in failed.stages] == ["attention", "waiting", "waiting", "waiting"]
 
 
+def test_snapshot_of_ledgers(spark):
+    """A failed run over an old inventory: its counters stay, the run's are its own; then a run that had nothing to do."""
+    from ledgerlake.plans.ledger_snapshot import Ledgers
+    from ledgerlake.sources.ledgers import run_events
+
+    def made(line, **more):
+        table = lambda rows, schema: spark.createDataFrame(rows, schema)
+        given = dict(
+            items=table([(0, "done0000", "A &amp; B", ""), (1, "media000", "", "m"), (2, "lost0000", "c", ""), (3, "block000", "d", ""), (4, "ignored0", "e", "m")], "ord long, key string, title string, media_url string"),
+            success=table([("done0000",), ("unlisted",)], "key string"), ignored=table([("ignored0",)], "key string"), files=table([("/x/done0000.mp4", 7, "2024-01-05 01:00:00"), ("/x/other.webm", 5, "2024-01-04 01:00:00")], "path string, size_bytes long, modified_at string").withColumn("modified_at", F.col("modified_at").cast("timestamp")),
+            partials=table([], "path string, size_bytes long"), history=run_events(table([(0, line)] if line else [], "line_no long, line string")), downloads=table([("done0000", "2024-01-05", 7)], "key string, date string, bytes long").withColumn("date", F.col("date").cast("date")),
+            failures=table([(0, "block000", "media_unavailable", ""), (1, "lost0000", "request_error", "")], "ord long, viewkey string, kind string, error string"), listing_failures=table([], "kind string"),
+            manifests=((2.0, table([(0, "unlisted", "failed", "", "x")], "ord long, viewkey string, status string, kind string, error string")), (1.0, table([(0, "media000", "failed", "media_mismatch", "")], "ord long, viewkey string, status string, kind string, error string"))),
+        )
+        return Engine().snapshot_of(Ledgers(**(given | more)), "2024-01-05T12:00:00Z")
+
+    out = made('{"timestamp":"2024-01-05T11:00:00Z","resultStatus":"failed","rawLinks":0,"listingFailures":18}')
+    s = out["snapshot"].first()
+    assert (s.n_items, s.n_resolved, s.n_downloaded, s.n_blocked, s.n_ignored, s.n_pending, s.n_backlog, s.n_current_errors) == (5, 2, 1, 2, 1, 1, 2, 0)
+    assert (s.n_mismatch, s.n_unavailable, s.n_manifest_failures, s.event_raw_links, s.event_unique, s.event_listing_failures) == (1, 1, 1, 0, 5, 18)
+    assert [a.code for a in s.alerts] == ["run_failed", "blocked_skipped", "backlog", "ignored", "downloads_failed"] and s.run_status == "attention" and s.age_hours is None
+    assert [x.status for x in s.stages] == ["attention", "waiting", "waiting", "waiting"] and (s.n_files, s.n_files_today, s.file_bytes, s.ingested_bytes_today) == (2, 1, 12, 7)
+    assert [r.name for r in out["recent"].orderBy(F.desc("modified_at")).collect()] == ["A & B", "other.webm"] and [r.name for r in out["pending"].collect()] == ["untitled"]
+    idle = made('{"timestamp":"2024-01-05T11:00:00Z","resultStatus":"success","newVideos":0,"retryVideos":0}', manifests=((1.0, spark.createDataFrame([], "ord long, viewkey string, status string, kind string, error string")),)).pop("snapshot").first()
+    assert idle.no_work and idle.run_status == "attention" and idle.event_ignored == 1 and (idle.n_current_errors, idle.n_backlog, idle.n_manifest_failures) == (1, 0, 0) and [x.value for x in idle.stages] == [5, 5, 0, 0]
+    never = made("", has_snapshot=False, active=True, phase="listing").pop("snapshot").first()
+    assert never.event_result == "none" and "snapshot_missing" in [a.code for a in never.alerts] and never.run_status == "active" and never.progress.stage == "listing" and not never.today_success
+
+
 def test_engine(spark):
     from tests.test_sources import BASE, card
 
