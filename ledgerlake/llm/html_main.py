@@ -5,14 +5,16 @@ menus, headers, footers, sidebars, notices, adverts, forms and reader comments c
 An element with the class or id of such a part is kept all the same if it holds a marked article,
 and so is any other such element where the page has no marked text without it.
 Where a page marks its article (``article``, ``main``, ``role=main``, ``itemprop=articleBody``),
-lines outside it are blank; lines mostly made of links are blank elsewhere. The text lengths are
-then summed over sliding windows of lines: a sum that rises over the threshold is a surge, one
-that falls to it again is a dive. The text between a surge and its dive is kept: for every stretch
-in page order, or, where an article is marked, for the one with the most text.
+lines outside it are blank, and so is a whole window of lines in it that are mostly made of links;
+elsewhere every such line is. The text lengths are then summed over sliding windows of lines: a sum
+that rises over the threshold is a surge, one that falls to it again is a dive. The text between a
+surge and its dive is kept for every stretch in page order; where several articles are marked, for
+those in the one that has the stretch with the most text.
 
-Inside a marked article every line counts, so the threshold is zero there and short paragraphs
-and headings stay. Elsewhere a stretch needs windows of more than ``SURGE`` characters.
-The surge and dive lines of a page are those of the first and the last stretch kept.
+Inside a marked article the threshold is zero, so short paragraphs and headings stay. Elsewhere a
+stretch needs windows of more than ``SURGE`` characters; a page without any such window keeps all
+its lines, as it is a short one. The surge and dive lines of a page are those of the first and the
+last stretch kept.
 
 White space inside a block becomes one space; a line break element counts as white space;
 character references are decoded once. Null, empty and text-less pages give an empty text.
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,23 +47,14 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _DROPPED = frozenset("nav aside footer form head select button dialog menu fieldset".split())
 # Elements that a following block start ends by itself.
 _LOOSE = frozenset("p li dt dd tr td th option".split())
-# Names of what surrounds a text. A class or id is noise if it is one of them, or begins or ends with
-# one (site-footer, comments-list); in the middle of a name they say nothing (layout-menu-page). The second kind counts
-# as a whole name or as its beginning only.
-_WORDS = "ads?|advert\\w*|adsense|banner|sponsor\\w*|promo\\w*|sidebar|menu|navbar|navigation|nav|breadcrumbs?|footer|masthead|topbar|cookies?|consent|notices?|alert|popup|modal|comments?|commentlist|disqus|replies|reply|respond|share|sharing|social|related|newsletter|subscribe|toolbar|pagination|pager|copyright|disclaimer|signup|login|side-bar|skip-link"
-_FIRST_WORDS = "widget"
-# Names of what surrounds a text. A class or id is noise if it is one of them, or begins or ends with
-# one (site-footer, comments-list); in the middle of a name they say nothing (layout-menu-page). The second kind counts
-# as a whole name or as its beginning only.
-_WORDS = "ads?|advert\\w*|adsense|banner|sponsor\\w*|promo\\w*|sidebar|menu|navbar|navigation|nav|breadcrumbs?|footer|masthead|topbar|cookies?|consent|notices?|alert|popup|modal|comments?|commentlist|disqus|replies|reply|respond|share|sharing|social|related|newsletter|subscribe|toolbar|pagination|pager|copyright|disclaimer|signup|login|side-bar|skip-link"
-_FIRST_WORDS = "widget"
-_NOISE = re.compile(rf"(?:^|\s)(?:(?:{_WORDS}|{_FIRST_WORDS})(?:[_-]\S*)?|\S*[_-](?:{_WORDS}))(?=\s|$)", re.I)
-# Words of layout variants that only say what surrounds a text: no-sidebar, has-left-sidebar.
-_LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:no|has|with)[_-]\S*", re.I)
+# Names of what surrounds a text. A class or id is noise if it is made of them, places and shapes aside
+# (site-footer, comments-list); with any other word beside it, it names what a text is about (copyright-law, post-share).
+_WORDS = r"ads?|advert\w*|adsense|banners?|sponsor\w*|promo\w*|sidebar|menus?|navbar|navigation|nav|breadcrumbs?|footer|masthead|topbar|cookies?|consent|notices?|alerts?|popup|modal|comments?|commentlist|disqus|replies|reply|respond|share|sharing|social|related|newsletter|subscribe|toolbar|pagination|pager|copyright|disclaimer|signup|login|widgets?"
 # Parts whose articles are others' than the page's.
-_OTHER_WORDS = "ads?|advert\\w*|adsense|sponsor\\w*|promo\\w*|comments?|commentlist|disqus|replies|reply|respond|related"
-_OTHER_WORDS = "ads?|advert\\w*|adsense|sponsor\\w*|promo\\w*|comments?|commentlist|disqus|replies|reply|respond|related"
-_OTHERS = re.compile(rf"(?:^|\s)(?:(?:{_OTHER_WORDS})(?:[_-]\S*)?|\S*[_-](?:{_OTHER_WORDS}))(?=\s|$)", re.I)
+_OTHER_WORDS = r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|comments?|commentlist|disqus|replies|reply|respond|related"
+_PLACES = r"areas?|bar|blocks?|body|bottom|box|boxes|buttons?|columns?|container|content|cookie|count|desktop|form|global|group|header|holder|icons?|inner|items?|left|links?|lists?|main|mobile|my|outer|page|panel|posts|primary|right|row|secondary|section|site|slot|sticky|top|unit|wrap|wrapper|zone|\d*"
+_NOISE, _OTHERS, _AROUND = (re.compile(w) for w in (_WORDS, _OTHER_WORDS, f"{_WORDS}|{_PLACES}"))
+_WHOLE = frozenset(("side-bar", "skip-link"))
 # Inside a tag, a "<" outside quotes starts the next one: so no tag is looked at twice. Drawings and formulas may close
 # themselves.
 _INSIDE = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+"
@@ -110,9 +104,12 @@ def lines_of(page: str, spare: int = 0) -> list[tuple[str, int, bool]]:
             return True
         if spare < 1 and (name in _DROPPED or name == "header" or _is_hidden(raw)) or spare < 2 and _named(raw, _OTHERS):
             return True
-        return not _holds_article(page, begin, name)
+        if not articles:
+            articles.append(_Articles(page))
+        return not articles[0].inside(begin)
 
     has_mark = bool(_MARK.search(page))
+    articles: list[_Articles] = []  # found when first asked for
     at = 0
     for m in _TOKEN.finditer(page):
         take(page[at : m.start()])
@@ -171,10 +168,18 @@ def _attrs(raw: str) -> dict[str, str]:
     return {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTR.findall(raw)}
 
 
+def _noisy(value: str, words: re.Pattern) -> bool:
+    """Whether one of the names of a class or id has one of the words and none but them, places and shapes."""
+    for name in value.lower().split():
+        parts = re.split("[-_]+", name)
+        if name in _WHOLE and words is _NOISE or any(map(words.fullmatch, parts)) and all(map(_AROUND.fullmatch, parts)):
+            return True
+    return False
+
+
 def _named(raw: str, words: re.Pattern) -> bool:
-    """Whether class or id has one of the words, layout variants aside."""
     found = _attrs(raw)
-    return any(words.search(_LAYOUT.sub("", found.get(k, ""))) for k in ("class", "id"))
+    return any(_noisy(found.get(k, ""), words) for k in ("class", "id"))
 
 
 def _is_hidden(raw: str) -> bool:
@@ -185,22 +190,33 @@ def _is_hidden(raw: str) -> bool:
 def _is_noise(name: str, raw: str, inside: bool) -> bool:
     if name in ("html", "body", "main", "article"):
         found = _attrs(raw)
-        return name == "article" and bool(_NOISE.search(_LAYOUT.sub("", found.get("class", "")))) and inside
+        return name == "article" and _noisy(found.get("class", ""), _NOISE) and inside
     return _is_hidden(raw) or _named(raw, _NOISE)
 
 
-def _holds_article(page: str, at: int, name: str) -> bool:
-    """Whether the element of this name whose content starts at ``at`` has a marked article that is no noise itself."""
-    depth = 1
-    for m in _TOKEN.finditer(page, at):
-        found = (m[3] or "").lower()
-        if found and not m[2] and (found == "main" or found == "article" and not _named(m[4] or "", _NOISE) or m[4] and _marks_article(m[4])):
-            return True
-        if found == name:
-            depth += -1 if m[2] else 1
-            if not depth:
-                return False
-    return False
+class _Articles:
+    """Where a page's marked articles that are no noise themselves begin, and where its elements end: one pass."""
+
+    def __init__(self, page: str):
+        self.begins: list[int] = []
+        self.ends: dict[int, int] = {}  # from behind a start tag to its end tag, by depth of that name
+        opened: dict[str, list[int]] = {}
+        for m in _TOKEN.finditer(page):
+            name = (m[3] or "").lower()
+            if not name:
+                continue
+            if m[2]:
+                if opened.get(name):
+                    self.ends[opened[name].pop()] = m.start()
+                continue
+            if name == "main" or name == "article" and not _named(m[4] or "", _NOISE) or m[4] and _marks_article(m[4]):
+                self.begins.append(m.start())
+            opened.setdefault(name, []).append(m.end())
+
+    def inside(self, begin: int) -> bool:
+        """Whether the element whose content starts at ``begin`` holds one."""
+        k = bisect_left(self.begins, begin)
+        return k < len(self.begins) and self.begins[k] < self.ends.get(begin, self.begins[k] + 1)
 
 
 def _marks_article(raw: str) -> bool:
@@ -226,6 +242,23 @@ def stretches(sizes: list[int], threshold: int, window: int = WINDOW) -> list[tu
     return out
 
 
+def link_runs(lines: list[tuple[str, int, bool]], marked: bool) -> list[bool]:
+    """Lines that are menus: mostly made of links; inside a marked article only where a whole window of them follows
+    one another, blank lines aside."""
+    linked = [2 * n > len(t) for t, n, _ in lines]
+    if not marked:
+        return linked
+    out, run = [False] * len(lines), []
+    for k, (text, _, _) in enumerate([*lines, ("x", 0, False)]):
+        if k < len(lines) and linked[k]:
+            run.append(k)
+        elif text:
+            for x in run if len(run) >= WINDOW else ():
+                out[x] = True
+            run = []
+    return out
+
+
 def main_text(page: str | None) -> tuple[str, int, int]:
     """The main text, and the first and end line of the stretches that it was taken from."""
     if not page:
@@ -238,11 +271,8 @@ def main_text(page: str | None) -> tuple[str, int, int]:
             if any(x[2] and x[0] for x in found):
                 lines, marked = found, True
                 break
-    if marked:
-        sizes, threshold = [len(t) if inside else 0 for t, _, inside in lines], 0
-    else:
-        sizes, threshold = [0 if 2 * linked > len(t) else len(t) for t, linked, _ in lines], SURGE
-    found = stretches(sizes, threshold)
+    sizes = [0 if menu or marked and not inside else len(t) for (t, _, inside), menu in zip(lines, link_runs(lines, marked))]
+    found = stretches(sizes, 0 if marked else SURGE) or stretches(sizes, 0)
     if not found:
         return "", 0, 0
     if not marked:

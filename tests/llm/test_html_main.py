@@ -1,5 +1,9 @@
+import random
 import time
+from html import escape
+from html.parser import HTMLParser
 
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -125,3 +129,92 @@ def test_noise_stays_noise():
     ad = "<div class='no-ads sidebar'>Buy this and that</div>"
     assert h.main_text(f"<article><p>One.</p>{ad}</article>")[0] == "One."
     assert h.main_text("<article><p>One.</p><div class=no-sidebar>Two.</div></article>")[0] == "One.\nTwo."
+
+
+def test_names_of_what_a_text_is_about():
+    text = "A paragraph of some length that stands in a part of an article and has to stay there. " * 3
+    for part in ('div class="widget-text"', 'div class="post-share"', 'p class="alert-free"', 'section class="copyright-law"', 'section id="social-sciences"', 'section id="navigation-systems"'):
+        for page in (f"<article><h1>T</h1><{part}>{text}</{part.split()[0]}></article>", f"<body><h1>T</h1><{part}>{text}</{part.split()[0]}></body>"):
+            assert h.main_text(page)[0] == f"T\n{text.strip()}", page
+
+
+def test_short_pages_are_not_lost():
+    assert h.main_text("<body><p>Short page text.</p></body>")[0] == "Short page text."
+    assert h.main_text("<body><nav><a href=x>Menu</a></nav><h1>T</h1><p>x</p><div><a href=y>More of it</a></div></body>")[0] == "T\nx"
+
+
+def test_runs_of_links_in_an_article_are_menus():
+    """Surge and dive decide inside a marked article as well: three lines of links make a dive, one or two don't."""
+    links = "".join(f"<li><a href=/{k}>Another page of this site {k}</a></li>" for k in range(4))
+    page = f"<article><h1>T</h1><p>One.</p><ul>{links}</ul><p>See <a href=x>this</a>.</p><p><a href=y>A source of it</a></p><p>End.</p><ul>{links}</ul></article>"
+    assert h.main_text(page)[0] == "T\nOne.\nSee this.\nA source of it\nEnd."
+    assert h.main_text("<article><p>One.</p><p><a href=y>A source</a></p><p><a href=z>Another</a></p></article>")[0] == "One.\nA source\nAnother"
+
+
+def test_nested_wrappers_take_linear_time():
+    took = []
+    for n in (5_000, 20_000):
+        start = time.process_time()
+        assert h.main_text("<div class='menu'>" * n + "<article><p>One.</p></article>" + "</div>" * n)[0] == "One."
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0] + 0.5
+
+
+def test_long_pages_are_whole():
+    words = "word " * 400_000
+    assert h.main_text(f"<article><p>{words}</p>" + "<p>x</p>" * 50_000 + "</article>")[0] == words.strip() + "\nx" * 50_000
+
+
+class Tree(HTMLParser):
+    """A plain version for well-formed pages with one marked article: its blocks, noisy elements left out."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.skip, self.blocks, self.stack = 0, 0, [""], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.blocks[-1] += " "
+            return
+        noisy = tag in ("nav", "aside", "footer", "form", "script", "style") or dict(attrs).get("class") in ("ad", "comments", "site-footer", "cookie-notice")
+        self.stack.append((tag, noisy))
+        self.skip += noisy
+        self.inside += tag == "article"
+        if tag not in ("b", "a", "i"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        if tag == "br":
+            return
+        found, noisy = self.stack.pop()
+        self.skip -= noisy
+        if tag not in ("b", "a", "i"):
+            self.blocks.append("")
+        self.inside -= found == "article"
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.blocks[-1] += data
+
+
+@pytest.mark.parametrize("seed", range(150))
+def test_marked_pages_equal_a_plain_parser(seed):
+    r = random.Random(seed)
+
+    def words():
+        return escape(" ".join(r.choice(["word", "ä  é", "a<b", "x&y", "\n", "end."]) for _ in range(r.randint(1, 6))))
+
+    def part(depth=0):
+        kind = r.random()
+        if depth > 3 or kind < 0.5:
+            return f"<p>{words()}<b>{words()}</b><br>{words()}</p>"
+        if kind < 0.8:
+            tag = r.choice(["div", "section", "blockquote", "ul"])
+            return f"<{tag} class='{r.choice(['x', 'ad-hoc', 'lead', 'related-work', 'post'])}'>" + "".join(part(depth + 1) for _ in range(r.randint(0, 3))) + f"</{tag}>"
+        tag, name = r.choice([("div", "ad"), ("section", "comments"), ("nav", ""), ("aside", "x"), ("form", ""), ("div", "site-footer"), ("div", "cookie-notice"), ("script", "")])
+        return f"<{tag} class='{name}'>{'' if tag == 'script' else part(9)}</{tag}>"
+
+    page = f"<html><body><nav><ul><li><a href=x>{words()}</a></li></ul></nav>{part()}<article><h1>{words()}</h1>{''.join(part() for _ in range(5))}</article>{part()}<footer>{words()}</footer></body></html>"
+    tree = Tree()
+    tree.feed(page)
+    assert h.main_text(page)[0] == "\n".join(x for x in (" ".join(b.split()) for b in tree.blocks) if x)
