@@ -6,9 +6,9 @@ set must meet is sent, cut into buckets. For counting, the order of n-gram hashe
 ``FRAGMENTS``: each set falls into segments, the overlap of a pair is counted in each fragment
 by itself, and the partial counts are summed per pair and held against the threshold.
 
-Equal sets are one node (a 64-bit hash of the set; a second one beside it tells whether two sets
-share a node by chance, and then all is done again with other constants), so copies cost one row
-each. Links matter
+Words are hashed with a key drawn for each run. Equal sets are one node (a 64-bit hash of the set; a
+second one beside it, over second hashes of the words, tells whether two sets share a node by chance,
+and then all is done again with another key), so copies cost one row each. Links matter
 here up to connection: in a small group that shares a prefix n-gram all pairs that pass the size
 and position bounds are counted; in a large one, members are first compared with a few pivots of
 the group's largest component, and only then are pairs counted that no link joins yet. No pair
@@ -23,6 +23,7 @@ component. Repeated rows are copies. Other columns are not read.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import cluster_width, ids_and_texts, pieces, settled
 from .components import components
-from .packed import by_bucket, dealt, mixed, pack, ranges, unpack
-from .suffix_dedup import PrefixHashes
+from .packed import by_bucket, dealt, keyed, mixed, pack, ranges, unpack
 
 #: Slots of the table of counts (its levels, a byte each, go to every worker), and parts it is summed in.
 SLOTS, PARTS = 1 << 22, 64
@@ -51,33 +51,36 @@ _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _FOLD, _OTHER = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, n-gram hash), sorted and distinct, of all texts; one hash for texts of fewer words."""
+def sets(texts: list[str | None], words: int, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, n-gram hash, second hash of it), sorted and distinct, of all texts; one hash for texts of fewer words."""
     data = np.frombuffer((" ".join(t or "" for t in texts) + " ").encode("utf-8", "surrogatepass").lower(), np.uint8)
     sizes = np.array([len((t or "").encode("utf-8", "surrogatepass")) + 1 for t in texts], np.int64)
     blank = _BLANK[data]
     edge = np.flatnonzero(np.diff(np.r_[True, blank].astype(np.int8)))
     start, end = edge[0::2], edge[1::2]
     if not len(start):
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
     text = np.searchsorted(np.cumsum(sizes), start, "right")
-    w = mixed(PrefixHashes(data).part(start, end))
+    both = keyed(data, start, end, key)
     n = np.bincount(text, minlength=len(texts))
     first = np.cumsum(n) - n
     here = np.flatnonzero(np.r_[text[words - 1 :] == text[: len(text) - words + 1], np.zeros(min(words - 1, len(text)), bool)]) if len(text) >= words else np.empty(0, int)
-    h = np.zeros(len(here), np.uint64)
-    for k in range(words):
-        h = mixed(h * _FOLD + w[here + k])
     short = np.flatnonzero((n > 0) & (n < words))
-    g = np.zeros(len(short), np.uint64)
-    for k in range(words - 1):
-        more = n[short] > k
-        g[more] = mixed(g[more] * _FOLD + w[first[short[more]] + k])
-    t, h = np.r_[text[here], short], np.r_[h, g + np.uint64(1)]
+    hashes = []
+    for w, fold in zip(both, (_FOLD, _OTHER)):
+        h = np.zeros(len(here), np.uint64)
+        for k in range(words):
+            h = mixed(h * fold + w[here + k])
+        g = np.zeros(len(short), np.uint64)
+        for k in range(words - 1):
+            more = n[short] > k
+            g[more] = mixed(g[more] * fold + w[first[short[more]] + k])
+        hashes.append(np.r_[h, g + np.uint64(1)])
+    t, (h, second) = np.r_[text[here], short], hashes
     order = np.lexsort((h, t))
-    t, h = t[order], h[order]
+    t, h, second = t[order], h[order], second[order]
     keep = np.r_[True, (t[1:] != t[:-1]) | (h[1:] != h[:-1])]
-    return t[keep], h[keep]
+    return t[keep], h[keep], second[keep]
 
 
 def _passes(batches: Iterator[pa.RecordBatch]):
@@ -99,14 +102,14 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return (mixed(h + np.uint64(7)) >> np.uint64(40)).astype(np.int64) % SLOTS
 
 
-def count_levels(docs: DataFrame, words: int) -> np.ndarray:
+def count_levels(docs: DataFrame, words: int, key: int) -> np.ndarray:
     """For each slot the logarithm of how often documents have an n-gram of it; of fixed size."""
     step = SLOTS // PARTS
 
     def count(batches):
         total = np.zeros(SLOTS, np.uint32)
         for _, texts in _passes(batches):
-            total += np.bincount(_slot(sets(texts, words)[1]), minlength=SLOTS).astype(np.uint32)
+            total += np.bincount(_slot(sets(texts, words, key)[1]), minlength=SLOTS).astype(np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([pack(total[k * step : (k + 1) * step]) for k in range(PARTS)], pa.binary())], names=["part", "blob"])
 
     def add(batches):
@@ -125,15 +128,15 @@ def count_levels(docs: DataFrame, words: int) -> np.ndarray:
     return out
 
 
-def _nodes(t: np.ndarray, h: np.ndarray, n_texts: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _nodes(t: np.ndarray, h: np.ndarray, second: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Set size, node and a second hash of each text's set; size 0 where there is none."""
     size = np.bincount(t, minlength=n_texts)
     node, check = np.zeros(n_texts, np.uint64), np.zeros(n_texts, np.uint64)
     has = np.flatnonzero(size)
     if len(has):
         first = (np.cumsum(size) - size)[has]
-        for into, fold in ((node, _FOLD + np.uint64(2 * seed)), (check, _OTHER + np.uint64(2 * seed))):
-            into[has] = mixed(np.add.reduceat(mixed(h ^ fold), first) + size[has].astype(np.uint64))
+        for into, values, fold in ((node, h, _FOLD), (check, second, _OTHER)):
+            into[has] = mixed(np.add.reduceat(mixed(values ^ fold), first) + size[has].astype(np.uint64))
     return size, node.view(np.int64), check.view(np.int64)
 
 
@@ -141,7 +144,7 @@ def _prefix(size: np.ndarray, percent: int) -> np.ndarray:
     return size - -(-percent * size // 100) + 1
 
 
-def _scan(docs: DataFrame, words: int, percent: int, levels, n: int, seed: int) -> DataFrame:
+def _scan(docs: DataFrame, words: int, percent: int, levels, n: int, key: int) -> DataFrame:
     """Rows (doc_id, node, size, second hash), and blobs of prefix n-grams, each with a bucket."""
     names = ["doc_id", "node", "size", "bucket", "blob", "second"]
 
@@ -158,8 +161,8 @@ def _scan(docs: DataFrame, words: int, percent: int, levels, n: int, seed: int)
             return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.nulls(k, pa.int64())], names=names)
 
         for ids, texts in _passes(batches):
-            t, h = sets(texts, words)
-            size, node, second = _nodes(t, h, len(texts), seed)
+            t, h, other = sets(texts, words, key)
+            size, node, second = _nodes(t, h, other, len(texts))
             k = len(ids)
             # Documents only pass through: any bucket will do, and one for each of them deals copies out too.
             some = dealt(mixed(np.arange(k, dtype=np.uint64) + node.view(np.uint64)), n)
@@ -275,7 +278,7 @@ def _bits(wanted: DataFrame) -> tuple[bytes, int]:
     return words.astype("<i8").tobytes(), n
 
 
-def _segments(docs: DataFrame, wanted: DataFrame, words: int, seed: int) -> DataFrame:
+def _segments(docs: DataFrame, wanted: DataFrame, words: int, key: int) -> DataFrame:
     """(node, frag, size, blob) of each wanted set, and of a few more. ``wanted``: doc_id of a document with it.
 
     Texts stay where they are: a bit table says which of them to take up again.
@@ -294,8 +297,8 @@ def _segments(docs: DataFrame, wanted: DataFrame, words: int, seed: int) -> Data
             step = max(1, int(batch.num_rows * PASS / max(1, batch.nbytes)))
             for at in range(0, batch.num_rows, step):
                 texts = batch.column(1).slice(at, step).to_pylist()
-                t, h = sets(texts, words)
-                size, node, _ = _nodes(t, h, len(texts), seed)
+                t, h, other = sets(texts, words, key)
+                size, node, _ = _nodes(t, h, other, len(texts))
                 frag = (h // cut).astype(np.int64)
                 edge = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (frag[1:] != frag[:-1])]) if len(t) else np.empty(0, int)
                 rows = [(int(node[t[s]]), int(frag[s]), int(size[t[s]]), pack(np.r_[h[s : s + 1], np.diff(h[s:e])])) for s, e in zip(edge.tolist(), np.r_[edge[1:], len(t)].tolist())]
@@ -383,9 +386,10 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85, small: int = SMALL,
     docs = ids_and_texts(docs)
     spark = docs.sparkSession
     width = cluster_width(spark)
-    levels = spark.sparkContext.broadcast(count_levels(docs, words).tobytes())
-    for seed in range(64):
-        found = _candidates(_scan(docs, words, percent, levels, SPREAD * width, seed), percent, width, small)
+    for _ in range(8):
+        key = secrets.randbits(63)
+        levels = spark.sparkContext.broadcast(count_levels(docs, words, key).tobytes())
+        found = _candidates(_scan(docs, words, percent, levels, SPREAD * width, key), percent, width, small)
         rows = found.filter(F.col("kind") == _DOC).select(F.col("b").alias("doc_id"), F.col("a").alias("node"), "size", F.col("n").alias("second"))
         # One row a set: its documents are counted up before they travel.
         reps = settled(rows.filter("size > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("second").alias("low"), F.max("second").alias("high")), "jaccard-sets")
@@ -398,7 +402,7 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85, small: int = SMALL,
     groups = settled(member.join(degree, "a"), "jaccard-groups")
     pairs = settled(_possible(found.filter(F.col("kind") == _PAIR), degree, percent), "jaccard-pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(degree.select("a")).distinct()
-    segments = _segments(docs, settled(wanted.join(reps, "node").select("doc_id"), "jaccard-wanted"), words, seed)
+    segments = _segments(docs, settled(wanted.join(reps, "node").select("doc_id"), "jaccard-wanted"), words, key)
     links = settled(verified(pairs, segments, percent).select("a", "b"), "jaccard-links")
     if not groups.isEmpty():
         links = _large(groups, links, segments, percent, pivots)
@@ -421,3 +425,19 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     losers = out.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("_j_id")).distinct()
     left = docs.join(losers, F.col("doc_id").cast("long") == F.col("_j_id"), "left_anti")
     return left.select(*docs.columns)
+
+
+#: Links at four words and 85 percent by plain SQL: shared shingles counted by pairs, components by all that links reach.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS i, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT i, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' ')) END) AS g FROM w),
+x AS (SELECT i, len(g) AS n, unnest(g) AS g FROM s WHERE doc_id IS NOT NULL),
+p AS (SELECT a.i AS a, b.i AS b FROM x a JOIN x b ON a.g = b.g AND a.i <> b.i GROUP BY a.i, b.i HAVING 100 * count(*) >= 85 * (min(a.n) + min(b.n) - count(*))),
+r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+least_of AS (SELECT r.a, min(s.doc_id) AS least FROM r JOIN s ON s.i = r.b GROUP BY r.a)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, CASE WHEN s.doc_id IS NOT NULL THEN least(s.doc_id, coalesce(l.least, s.doc_id)) END AS component_id
+FROM s LEFT JOIN least_of l ON l.a = s.i
+"""

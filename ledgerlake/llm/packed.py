@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import xxhash
 import zstandard
 
 _ZIP = zstandard.ZstdCompressor(level=1)
@@ -46,6 +47,37 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Longer parts are hashed one by one.
+_LONG = 512
+
+
+def keyed(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of 64 bits of the bytes [start, end) of each part, independent of each other.
+
+    Eight bytes at a time are mixed into two states that begin with the part's length and ``key``. With a key drawn
+    for each run, no two texts that meet in a hash can be written down beforehand.
+    """
+    size = (end - start).astype(np.int64)
+    k0, k1 = (np.uint64((key * m + 0x9E3779B97F4A7C15 * m) % (1 << 64)) for m in (1, 0xD1342543DE82EF95))
+    h, g = mixed(size.astype(np.uint64) + k0), mixed(size.astype(np.uint64) ^ k1)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    keep = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+    live = np.flatnonzero((size > 0) & (size <= _LONG))
+    at, left = start[live], size[live]
+    while len(live):
+        part = words[at] & keep[np.minimum(left, 8)]
+        h[live] = mixed(h[live] + part)
+        turned = (g[live] ^ part) * np.uint64(0xA0761D6478BD642F)
+        g[live] = turned ^ (turned >> np.uint64(29))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > _LONG).tolist():
+        both = xxhash.xxh3_128_intdigest(data[start[k] : end[k]].tobytes(), key & ((1 << 64) - 1))
+        h[k], g[k] = both >> 64, both & ((1 << 64) - 1)
+    return h, mixed(g)
+
+
 def dealt(x: np.ndarray, n: int) -> np.ndarray:
     """A bucket below ``n`` for each scrambled number, by its high bits."""
     return ((x >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)

@@ -47,7 +47,7 @@ def op9_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id", "node")
+    return jaccard_join.join(table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_prefix_trie": prefix_trie.SQL, "op13_source_divergence": divergence.SQL}
+    return {"op10_jaccard_join": jaccard_join.SQL, "op12_prefix_trie": prefix_trie.SQL, "op13_source_divergence": divergence.SQL}

@@ -6,7 +6,7 @@ by content: each start of a ``SPAN``-byte string belongs to the least scrambled
 ``GRAM``-byte strings inside it (its mark). Equal strings have equal marks, and neighbouring
 starts mostly share one, so they travel as units: runs of starts with one mark.
 
-1. Units of a block of documents are hashed by prefix polynomial hashes. Of equal units in a
+1. Units of a block of documents are hashed, with a key drawn for each run. Of equal units in a
    block, only those of the smallest document are sent on, by mark; the others are repeats.
 2. Where units of one mark meet, equal units of larger documents are repeats. First owners of
    units with one mark but different bytes may share shorter strings: their bytes are asked for.
@@ -15,8 +15,8 @@ starts mostly share one, so they travel as units: runs of starts with one mark.
    in that order that agree over ``SPAN`` bytes, checked byte by byte, form groups; all but those
    of the smallest document are repeats. A hash collision repeats the sort with other constants.
 
-Whole units are compared by 112 bits (mark and unit hash), suffixes by their bytes. First owners
-suffice in step 3: the smallest document with a string has it in a unit that no smaller one has.
+Whole units are compared by 96 bits of two independent hashes of their bytes, suffixes by their bytes.
+First owners suffice in step 3: the smallest document with a string has it in a unit that no smaller one has.
 
 Nulls: a null text is empty; a document with a null ``doc_id`` neither takes nor gives. Rows with
 one ``doc_id`` don't remove from each other, and each is judged by its own text. Texts under
@@ -26,6 +26,7 @@ share of the corpus; lineage is cut in the shared folder between the steps.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cluster_width, ids_and_texts, pieces, settled
-from .packed import by_bucket, dealt, mixed, pack, ranges, unpack
+from .packed import by_bucket, dealt, keyed, mixed, pack, ranges, unpack
 
 SPAN = 50
 GRAM = 16
@@ -97,13 +98,13 @@ def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - rest], h[rest:]) if rest else h
 
 
-def units(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of each unit: mark, hash, text number, first start inside the text, number of starts."""
+def units(texts: list[bytes], key: int) -> tuple[np.ndarray, ...]:
+    """Of each unit: mark, hash, 32 bits of a second one, text number, first start inside the text, number of starts."""
     size = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < SPAN:
         none = np.empty(0, np.int64)
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint32), none, none, none
     end = np.cumsum(size)
     marks = _sliding_min(_gram_hashes(data), SPAN - GRAM + 1)
     text = np.repeat(np.arange(len(size)), size)[: len(marks)]
@@ -115,9 +116,9 @@ def units(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         parts = -(-runs // RUN)
         k, owner = ranges(np.zeros(len(runs), np.int64), parts)
         start, runs = start[owner] + k * RUN, np.minimum(RUN, runs[owner] - k * RUN)
-    hashes = PrefixHashes(data).part(start, start + runs + SPAN - 1)
+    unit, check = keyed(data, start, start + runs + SPAN - 1, key)
     t = text[start]
-    return marks[start], hashes & np.uint64((1 << 48) - 1), t, start - (end - size)[t], runs
+    return marks[start], unit, check.astype(np.uint32), t, start - (end - size)[t], runs
 
 
 def _groups(*keys: np.ndarray) -> np.ndarray:
@@ -151,16 +152,16 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 _UNITS, _REPEATS, _ASKED, _BYTES = range(4)
 
 
-def _block(ids: list[int], texts: list[bytes], n: int, m: int) -> list[tuple]:
+def _block(ids: list[int], texts: list[bytes], n: int, m: int, key: int = 0) -> list[tuple]:
     """Blobs of one block: units to send on, and repeats inside the block."""
-    found: list[list[np.ndarray]] = [[], [], [], [], []]
+    found: list[list[np.ndarray]] = [[], [], [], [], [], []]
     at = 0
 
     def add(some: list[bytes], first: int, shift: int = 0):
-        for into, values in zip(found, units(some)):
+        for into, values in zip(found, units(some, key)):
             into.append(values)
-        found[2][-1] = found[2][-1] + first
-        found[3][-1] = found[3][-1] + shift
+        found[3][-1] = found[3][-1] + first
+        found[4][-1] = found[4][-1] + shift
 
     while at < len(texts):
         end, size = at, 0
@@ -173,30 +174,29 @@ def _block(ids: list[int], texts: list[bytes], n: int, m: int) -> list[tuple]:
             for shift in range(0, len(texts[at]) - SPAN + 1, PASS):
                 add([texts[at][shift : shift + PASS + SPAN - 1]], at, shift)
         at = end
-    mark, unit, text, start, runs = (np.concatenate(x) for x in found)
+    mark, unit, check, text, start, runs = (np.concatenate(x) for x in found)
     doc = np.array(ids, np.int64)
-    order = np.lexsort((doc[text], unit, mark))
-    mark, unit, text, start, runs = (x[order] for x in (mark, unit, text, start, runs))
+    order = np.lexsort((doc[text], check, unit, mark))
+    mark, unit, check, text, start, runs = (x[order] for x in (mark, unit, check, text, start, runs))
     owner = doc[text]
-    heads = _groups(mark, unit)
+    heads = _groups(mark, unit, check)
     repeat = owner > _spread_first(owner, heads, len(mark))
     sign = np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64)
     rows = [(b, _REPEATS, blob) for b, blob in _intervals(owner[repeat], sign[text[repeat]], start[repeat], start[repeat] + runs[repeat] + SPAN - 1, m)]
     sent = ~repeat
-    for b, (k, u, t, s, r) in by_bucket(dealt(mixed(mark[sent]), n), mark[sent], unit[sent], text[sent], start[sent], runs[sent]):
+    for b, (k, u, c, t, s, r) in by_bucket(dealt(mixed(mark[sent]), n), mark[sent], unit[sent], check[sent], text[sent], start[sent], runs[sent]):
         used, t = np.unique(t, return_inverse=True)
         step = np.r_[k[:1], k[1:] - k[:-1]]
-        half = [(u >> np.uint64(32)).astype(np.uint16), u.astype(np.uint32)]
-        rows.append((b, _UNITS, pack(doc[used], sign[used], step, *half, t.astype(np.uint32), s.astype(np.uint32), r.astype(np.uint8))))
+        rows.append((b, _UNITS, pack(doc[used], sign[used], step, u, c, t.astype(np.uint32), s.astype(np.uint32), r.astype(np.uint8))))
     return rows
 
 
-def _to_units(docs: DataFrame, n: int, m: int) -> DataFrame:
+def _to_units(docs: DataFrame, n: int, m: int, key: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size = [], [], 0
 
         def flush():
-            return _batch(_block(ids, texts, n, m))
+            return _batch(_block(ids, texts, n, m, key))
 
         for batch in pieces(batches):
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -239,15 +239,14 @@ def _meet(blobs: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Repeats among whole units of one bucket, and which units' bytes are asked for."""
     cols: list[list[np.ndarray]] = [[] for _ in range(7)]
     for blob in blobs:
-        ids, sign, step, high, low, t, s, r = unpack(blob)
-        u = (high.astype(np.uint64) << np.uint64(32)) | low
-        for into, v in zip(cols, (np.cumsum(step), u, ids[t], sign[t], s, r)):
+        ids, sign, step, u, c, t, s, r = unpack(blob)
+        for into, v in zip(cols, (np.cumsum(step), u, c, ids[t], sign[t], s, r)):
             into.append(v)
-    mark, unit, doc, sign, start, runs = (np.concatenate(c) for c in cols[:6])
-    order = np.lexsort((doc, unit, mark))
-    mark, unit, doc, sign, start, runs = (x[order] for x in (mark, unit, doc, sign, start, runs))
+    mark, unit, check, doc, sign, start, runs = (np.concatenate(c) for c in cols)
+    order = np.lexsort((doc, check, unit, mark))
+    mark, unit, check, doc, sign, start, runs = (x[order] for x in (mark, unit, check, doc, sign, start, runs))
     size = len(mark)
-    whole = _groups(mark, unit)
+    whole = _groups(mark, unit, check)
     repeat = doc > _spread_first(doc, whole, size)
     marks = _groups(mark)
     span = np.diff(np.r_[marks, size])
@@ -473,7 +472,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, int, int]:
     docs = ids_and_texts(docs)
     width = cluster_width(docs.sparkSession)
     n, m = SPREAD * width, width
-    sent = _by_bucket(_to_units(docs, n, m), width)
+    sent = _by_bucket(_to_units(docs, n, m, secrets.randbits(63)), width)
 
     def meet(batches):
         # Repeats found inside a block come by the same exchange and pass through.

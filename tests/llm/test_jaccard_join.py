@@ -1,6 +1,9 @@
 import random
 import re
 
+import duckdb
+import numpy as np
+
 from ledgerlake.llm import jaccard_join as jj
 from ledgerlake.llm.components import components
 
@@ -81,3 +84,43 @@ def test_keep_one_and_empty(spark):
     assert out.columns == docs.columns
     assert sorted(str(r.doc_id) for r in out.collect()) == ["2", "4", "7", "None"]
     assert jj.join(docs.limit(0)).count() == 0
+
+
+def thue_morse(n, flip):
+    return "".join("ab"[(bin(k).count("1") + flip) % 2] for k in range(n))
+
+
+def test_words_that_meet_in_polynomial_hashes(spark):
+    rows = [(k, f"one two three {thue_morse(1024, k)}") for k in range(2)] + [(5, thue_morse(2048, 0)), (6, thue_morse(2048, 1)), (7, "x " + "é" * 300_000), (8, "x " + "é" * 299_999 + "e")]
+    check(spark, rows, 4, 85)
+
+
+def test_second_hash_tells_sets_apart():
+    """Sets whose n-grams meet in the first hash have one node, and their second hashes differ."""
+    t, h = np.array([0, 0, 1, 1]), np.array([5, 9, 5, 9], np.uint64)
+    _, node, second = jj._nodes(t, h, np.array([1, 2, 1, 3], np.uint64), 2)
+    assert node[0] == node[1] and second[0] != second[1]
+    _, node, second = jj._nodes(t, h, np.array([1, 2, 1, 2], np.uint64), 2)
+    assert node[0] == node[1] and second[0] == second[1]
+
+
+def test_key_does_not_matter():
+    texts = ["a b c d e", "A b\tc d e f", None, "", "x y", "w" * 2000]
+    for words in (2, 4):
+        got = [[len(np.unique(h[t == k])) for k in range(len(texts))] for t, h, _ in (jj.sets(texts, words, key) for key in (0, 1, (1 << 63) - 1))]
+        assert got[0] == got[1] == got[2] == [len(shingles(x, words)) for x in texts]
+
+
+def test_sql_says_the_same():
+    rows = corpus(1)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(con.execute(jj.SQL).fetchall(), key=str) == brute(rows, 4, 85)
+
+
+def test_long_text(spark):
+    long = " ".join(f"w{k}" for k in range(60_000))
+    rows = [(1, long), (2, long + " end"), (3, "w0 w1 w2 w3 w4"), (4, None)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jj.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 59_997, 1), (2, 59_998, 1), (3, 2, 3), (4, 0, 4)]

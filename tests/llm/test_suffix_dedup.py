@@ -114,5 +114,66 @@ def test_very_long_texts_are_taken_in_parts(monkeypatch):
         assert {d for d, _ in gone} == {2} and len(gone) > 2500
 
 
+def blocks(rows):
+    """Repeats that one block and one meeting of buckets find, as byte sets by document."""
+    from ledgerlake.llm.packed import unpack
+
+    gone = {doc: set() for doc, _ in rows}
+    sent = []
+    for doc, text in rows:  # each document is a block of its own
+        sent += [blob for _, kind, blob in sd._block([doc], [text], 1, 1, 77) if kind == sd._UNITS]
+    for kind, blobs in ((0, [blob for _, k, blob in sd._block([d for d, _ in rows], [t for _, t in rows], 1, 1, 77) if k == sd._REPEATS]), (1, sent)):
+        cols = [unpack(x) for x in blobs] if kind == 0 else [sd._meet(blobs)[0]]
+        for doc, _, start, end in (c[:4] for c in cols):
+            for d, s, e in zip(doc.tolist(), start.tolist(), end.tolist()):
+                gone[d].update(range(s, e))
+    return gone
+
+
+def thue_morse(n, flip):
+    return bytes(b"ab"[(bin(k).count("1") + flip) % 2] for k in range(n))
+
+
+def test_units_that_meet_in_polynomial_hashes():
+    """Texts without a common string of 50 bytes lose nothing, though any polynomial modulo 2**64 gives them one hash."""
+    mark = b"zzzzzzzzzzzzzzzz"
+    rows = [(1, mark + thue_morse(2048, 0)), (2, mark + thue_morse(2048, 1))]
+    assert blocks(rows)[2] <= set(np.flatnonzero([rows[0][1].find(rows[1][1][k : k + sd.SPAN]) >= 0 for k in range(len(rows[1][1]))]).tolist()) | {k + x for k in range(len(rows[1][1]) - sd.SPAN + 1) if rows[1][1][k : k + sd.SPAN] in rows[0][1] for x in range(sd.SPAN)}
+    a, b = (mark + bytes(random.Random(s).choices(b"abcdef", k=256)) for s in (1, 2))
+    assert blocks([(1, a), (2, b)]) == {1: set(), 2: set()} and blocks([(1, a), (2, a)])[2] == set(range(len(a)))
+
+
+def test_few_bits_of_the_first_hash_are_no_repeat(monkeypatch):
+    """Where the first hash says nothing, the second still keeps units apart."""
+    real = sd.keyed
+    monkeypatch.setattr(sd, "keyed", lambda *a: (real(*a)[0] & np.uint64(3), real(*a)[1]))
+    rows = [(k, (t or "").encode()) for k, (_, t) in enumerate(corpus(3, 40)) if t]
+    found = blocks(rows)
+    for doc, text in rows:
+        want = set()
+        for k in range(len(text) - sd.SPAN + 1):
+            if any(text[k : k + sd.SPAN] in other for d, other in rows if d < doc):
+                want.update(range(k, k + sd.SPAN))
+        assert found[doc] <= want
+    assert sum(map(len, found.values())) > 1000
+
+
+def test_keyed_hashes_see_every_byte():
+    from ledgerlake.llm.packed import keyed
+
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 3, 5000).astype(np.uint8)
+    start = rng.integers(0, 4000, 3000)
+    end = start + rng.integers(0, 40, 3000)
+    start, end = np.r_[start, 100, 100], np.r_[end, 900, 901]
+    for key in (0, 5, (1 << 63) - 1):
+        h, g = keyed(data, start, end, key)
+        by = {}
+        for s, e, x, y in zip(start.tolist(), end.tolist(), h.tolist(), g.tolist()):
+            assert by.setdefault(data[s:e].tobytes(), (x, y)) == (x, y)
+        assert len({x for x, _ in by.values()}) == len({y for _, y in by.values()}) == len(by)
+    assert not np.array_equal(keyed(data, start, end, 1)[0], keyed(data, start, end, 2)[0])
+
+
 def test_empty(spark):
     assert sd.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
