@@ -11,8 +11,6 @@ from ..functions.text import blank, valid_key
 from ..functions.urls import asset_id
 from .ranking import best_per, first_by_aggregate
 
-_FILL = ("title", "thumbnail_url", "duration", "media_url", "resolved_at")
-
 
 def best_cards(cards: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """One card a page and key; ``first_ord`` is where the key appeared first."""
@@ -28,41 +26,42 @@ def _blank(x: Column) -> Column:
     return F.coalesce(x, F.lit("")) == ""
 
 
-def _fill(to: Column, other: Column) -> Column:
-    return F.when(_blank(to), F.coalesce(other, F.lit(""))).otherwise(to)
-
-
 _STATE = ("canonical_url", "title", "thumbnail_url", "duration", "media_url", "resolved_at", "asset_id")
 
 
-def _step(acc: Column, x: Column) -> Column:
-    """Current record and the next one: a consistent one replaces one that is not; blanks are filled."""
-    pages = F.array_sort(F.array_union(acc["source_pages"], x["source_pages"]))
-
-    def consistent(r: Column) -> Column:
-        return consistent_asset(r["asset_id"], r["thumbnail_url"])
+def _folded(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The fold of a key's records in order, from a fixed number of partial minima a key.
 
-    replace = acc["empty"] | (consistent(x) & ~consistent(acc))
-    fields = []
-    for name in _STATE:
-        kept = _fill(acc[name], x[name]) if name in _FILL or name == "asset_id" else acc[name]
-        newer = F.when(acc["empty"], F.coalesce(x[name], F.lit(""))).otherwise(_fill(x[name], acc[name]) if name in _FILL else F.coalesce(x[name], F.lit("")))
-        fields.append(F.when(replace, newer).otherwise(kept).alias(name))
-    return F.struct(F.lit(False).alias("empty"), *fields, pages.alias("source_pages"))
+    Read one after the other, the current record is replaced by the first consistent one unless it is consistent
+    itself by then; blanks are filled from the other side. So the outcome hangs on few records: the first, the
+    first with each field, and the first consistent one. What was filled together before that is consistent or not
+    by the first asset and the first thumbnail; if it is, nothing is replaced. No list of a key's records is made.
+    """
+    one = F.struct(*[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in _STATE], F.coalesce("source_pages", F.array().cast("array<int>")).alias("source_pages"))
+    seen = rows.select(*keys, *order, one.alias("_r")).withColumn("_ok", consistent_asset(F.col("_r.asset_id"), F.col("_r.thumbnail_url")))
+    found = [F.min(F.when(~_blank(F.col(f"_r.{c}")), F.col("_r"))).alias(f"_f_{c}") for c in _STATE if c != "canonical_url"]
+    ends = [F.min("_r").alias("_first"), F.min(F.when(F.col("_ok"), F.col("_r"))).alias("_whole"), F.collect_set("_r.source_pages").alias("_pages"), F.min(F.struct(*order)).alias("_at")]
+    summed = seen.groupBy(*keys).agg(*found, *ends)
+    whole, asset, thumb = F.col("_whole"), F.col("_f_asset_id"), F.col("_f_thumbnail_url")
+    filled_first = (asset < whole) & (thumb < whole) & consistent_asset(asset["asset_id"], thumb["thumbnail_url"])
+    replaced = whole.isNotNull() & ~F.coalesce(filled_first, F.lit(False))
 
+    def outcome(c: str) -> Column:
+        if c == "canonical_url":
+            return F.when(F.col("_new"), whole[c]).otherwise(F.col("_first")[c])
+        first = F.coalesce(F.col(f"_f_{c}")[c], F.lit(""))
+        return F.when(F.col("_new") & ~_blank(whole[c]), whole[c]).otherwise(first)
 
-def _folded(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    start = F.struct(F.lit(True).alias("empty"), *[F.lit("").alias(c) for c in _STATE], F.array().cast("array<int>").alias("source_pages"))
-    one = F.struct(*[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in _STATE], F.col("source_pages"))
-    folded = rows.groupBy(*keys).agg(F.aggregate(F.array_sort(F.collect_list(one)), start, _step).alias("r"), F.min(F.struct(*order)).alias("first"))
-    return folded.select(*keys, *[F.col(f"r.{c}").alias(c) for c in (*_STATE, "source_pages")], *[F.col(f"first.{c}").alias(c) for c in order])
+    pages = F.array_sort(F.array_distinct(F.flatten("_pages"))).alias("source_pages")
+    return summed.withColumn("_new", replaced).select(*keys, *[outcome(c).alias(c) for c in _STATE], pages, *[F.col(f"_at.{c}").alias(c) for c in order])
 
 
 def merge_items(videos: DataFrame) -> DataFrame:
     """Items by key: folded in page order inside each source, then over the sources in order.
 
-    ``videos``: source_idx, page, first_ord, key, the item's fields, source_pages. A key is on few
-    pages, so the folded lists are short. The order columns of the result are the key's first place.
+    ``videos``: source_idx, page, first_ord, key, the item's fields, source_pages. A hot key moves a few records a
+    task and its distinct pages, not its appearances. Null fields are blank, null pages none; records of one place
+    go by their fields. The order columns of the result are the key's first place.
     """
     inside = _folded(videos, ["source_idx", "key"], ["page", "first_ord"])
     return _folded(inside, ["key"], ["source_idx", "page", "first_ord"])

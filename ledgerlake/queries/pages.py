@@ -59,9 +59,26 @@ def merge_source_pages(t):
     return anchors(t).groupBy(F.col("href").alias("key")).agg(F.array_join(F.transform(pages, lambda p: p.cast("string")), ",").alias("pages"), F.min("page_id").alias("first_page"))
 
 
-@query("merge_fold_exact")
+# One step of the ordered merge over structs: the current record, the next one.
+_FILLED = ("title", "thumbnail_url", "duration", "media_url", "resolved_at")
+_WHOLE = "({0}.asset_id <> '' AND {0}.asset_id = regexp_extract({0}.thumbnail_url, '/([0-9]+)[.]jpg$', 1))"
+_NEW = f"({_WHOLE.format('x')} AND NOT {_WHOLE.format('c')})"
+_MERGED = "lambda c, x: {" + ", ".join((
+    f"'canonical_url': CASE WHEN {_NEW} THEN x.canonical_url ELSE c.canonical_url END",
+    *[f"'{f}': CASE WHEN {_NEW} THEN coalesce(nullif(x.{f}, ''), c.{f}) ELSE coalesce(nullif(c.{f}, ''), x.{f}) END" for f in _FILLED],
+    f"'asset_id': CASE WHEN {_NEW} THEN x.asset_id ELSE coalesce(nullif(c.asset_id, ''), x.asset_id) END",
+    "'source_pages': list_sort(list_distinct(list_concat(c.source_pages, x.source_pages)))",
+)) + "}"
+
+
+@query("merge_fold_exact", f"""WITH v AS (SELECT CAST(page_id % 3 AS INT) AS source_idx, CAST(page_id AS INT) AS page, card_ord AS first_ord, href AS key, {{'canonical_url': href, 'title': CASE WHEN page_id % 3 > 0 THEN title ELSE '' END,
+'thumbnail_url': CASE WHEN page_id % 2 = 0 THEN 'https://x.example/' || page_id || '.jpg' ELSE '' END, 'duration': CASE WHEN card_ord = 0 THEN '1:00' ELSE '' END, 'media_url': '', 'resolved_at': '',
+'asset_id': CASE WHEN page_id % 4 < 3 THEN CAST(page_id AS VARCHAR) ELSE '' END, 'source_pages': [CAST(page_id AS INT)]}} AS r FROM ({ANCHORS})),
+s AS (SELECT source_idx, key, list_reduce(list(r ORDER BY page, first_ord), {_MERGED}) AS r, min({{'page': page, 'first_ord': first_ord}}) AS f FROM v GROUP BY source_idx, key),
+i AS (SELECT key, list_reduce(list(r ORDER BY source_idx), {_MERGED}) AS r, min({{'source_idx': source_idx, 'page': f.page, 'first_ord': f.first_ord}}) AS f FROM s GROUP BY key)
+SELECT key, {', '.join(f'r.{f} AS {f}' for f in ('canonical_url', *_FILLED, 'asset_id'))}, array_to_string(r.source_pages, ',') AS source_pages, f.source_idx AS source_idx, f.page AS page, CAST(f.first_ord AS INT) AS first_ord FROM i""")
 def merge_fold_exact(t):
-    """The two-level ordered merge over anchors; tests hold it against a plain loop."""
+    """The two-level ordered merge over anchors; its SQL folds lists, tests hold it against a plain loop."""
     a = anchors(t)
     blank = F.lit("")
     v = a.select((F.col("page_id") % 3).cast("int").alias("source_idx"), F.col("page_id").cast("int").alias("page"), F.col("card_ord").alias("first_ord"), F.col("href").alias("key"), F.col("href").alias("canonical_url"), F.when(F.col("page_id") % 3 > 0, F.col("title")).otherwise(blank).alias("title"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://x.example/"), F.col("page_id").cast("string"), F.lit(".jpg"))).otherwise(blank).alias("thumbnail_url"), F.when(F.col("card_ord") == 0, "1:00").otherwise("").alias("duration"), blank.alias("media_url"), blank.alias("resolved_at"), F.when(F.col("page_id") % 4 < 3, F.col("page_id").cast("string")).otherwise(blank).alias("asset_id"), F.array(F.col("page_id").cast("int")).alias("source_pages"))

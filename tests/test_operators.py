@@ -56,6 +56,26 @@ def test_merge_equals_loop_in_any_row_order(spark):
         assert {r.key: tuple(r[c] for c in FIELDS) + (r.source_pages,) for r in dedupe.merge_items(df).collect()} == want
 
 
+def test_merge_of_a_hot_key_keeps_few_records(spark):
+    """All rows under one key; assets and thumbnails that fit only once they are filled together; nulls and ties."""
+    rows = []
+    for k in range(60000):
+        asset, thumb = ("", "https://x/7.jpg") if k < 300 else ("8", "") if k < 600 else ("8", "https://x/8.jpg")
+        rows.append((k % 2, k // 100, k, "hot", f"u{k}", "", thumb if k % 2 else "", "" if k < 500 else f"d{k}", "", "", asset, [k % 5]))
+    schema = "source_idx int, page int, first_ord int, key string, " + ", ".join(f"{c} string" for c in FIELDS) + ", source_pages array<int>"
+    df = spark.createDataFrame(rows, schema).repartition(8)
+    merged = dedupe.merge_items(df)
+    assert "collect_list" not in merged._jdf.queryExecution().toString()
+    want = loop_merge([dict(zip(df.columns, r)) for r in rows])
+    assert {r.key: tuple(r[c] for c in FIELDS) + (r.source_pages,) for r in merged.collect()} == want
+
+    mixed = [(0, 1, 1, "k", "u1", "", "", None, None, "", "5", [1]), (0, 1, 2, "k", "u2", None, "https://x/5.jpg", "", "", "", "9", None), (0, 1, 3, "k", "u3", "t", "https://x/6.jpg", "", "", "", "6", [2, 1]), (0, 1, 3, "k", "u3", "s", "https://x/6.jpg", "", "", "", "6", [2, 1])]
+    for order in (mixed, mixed[::-1]):
+        (r,) = dedupe.merge_items(spark.createDataFrame(order, schema)).collect()
+        assert (r.canonical_url, r.title, r.thumbnail_url, r.asset_id, r.duration, r.source_pages, r.first_ord) == ("u1", "s", "https://x/5.jpg", "5", "", [1, 2], 1)
+    assert dedupe.merge_items(spark.createDataFrame([], schema)).collect() == []
+
+
 def test_best_cards(spark):
     rows = [(0, 1, 0, "k", "decoy", "9", "x", ""), (0, 1, 1, "k", "visible", "", "", ""), (0, 1, 2, "k", "decoy", "1", "https://x/1.jpg", ""), (0, 1, 3, "j", "", "", "", ""), (0, 1, 4, "j", "", "", "", "")]
     df = spark.createDataFrame([(s, p, o, k, c, "", a, t, d) for s, p, o, k, c, a, t, d in rows], "source_idx int, page int, card_ord int, key string, tracking_class string, title string, asset_id string, thumbnail_url string, duration string")
