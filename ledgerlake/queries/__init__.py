@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import content, events, files, inventory, ledger_snapshots, pages, snapshot, streams, temporal  # noqa: F401  (they register)
+from . import content, events, files, inventory, ledger_snapshots, pages, sketched, snapshot, streams, temporal, versioned  # noqa: F401  (they register)
 from .registry import QUERIES, SQL
 
 

@@ -36,6 +36,46 @@ def put(spark: SparkSession, path: str, content: str | bytes) -> None:
     move(spark, temporary, path)
 
 
+def put_new(spark: SparkSession, path: str, content: str) -> bool:
+    """Writes one small file unless the name is taken, and says whether it did. Of several writers one does.
+
+    The whole content appears at once: a link on a local disk, elsewhere a rename that replaces nothing. Stores
+    without such a rename (plain object stores) do not keep writers apart.
+    """
+    from py4j.protocol import Py4JJavaError
+
+    temporary = f"{path}.{uuid.uuid4().hex}.tmp"
+    put(spark, temporary, content)
+    fs, t = _path(spark, temporary)
+    _, p = _path(spark, path)
+    jvm = spark._jvm
+    try:
+        if fs.getUri().getScheme() == "file":
+            of = lambda x: jvm.java.io.File(x.toUri().getPath()).toPath()
+            jvm.java.nio.file.Files.createLink(of(p), of(t))
+        else:
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+            plain = spark._sc._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+            context.rename(fs.makeQualified(t), fs.makeQualified(p), plain)
+        return True
+    except Py4JJavaError as error:
+        if error.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+            raise
+        return False
+    finally:
+        fs.delete(t, False)
+
+
+def get(spark: SparkSession, path: str) -> str:
+    """The text of one small file."""
+    fs, p = _path(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
+    finally:
+        stream.close()
+
+
 def move(spark: SparkSession, source: str, target: str) -> None:
     """A file or folder to another name; what was there is put aside first and goes once the new one is in place."""
     fs, s = _path(spark, source)
