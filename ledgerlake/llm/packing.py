@@ -7,9 +7,11 @@ long stretches without either, every ``HARD_STEP`` ids (``HARD_CUT``). The cost
 padding, none where its length is a power of two; the cost of a cut is its penalty. With
 ``best[j] = penalty[j] + WINDOW - c[j] + min(best[i] + c[i])`` over the cuts ``i`` not more than
 ``WINDOW`` back, a monotone queue gives each minimum in constant time; power-of-two lengths are
-looked up besides. The stream is solved in chunks: all windows but the open last ones are fixed,
-and the rest moves on to the next chunk, so memory is bounded. What is left at the end of a range
-is split into powers of two where that costs less than its padding.
+looked up besides. The queue and the costs go on through the whole stream, so its windows are those
+of one solve: a window is given out once the cheapest ways to all cuts that a later window may still
+begin at run through its end. Until then ids are held; ways meet after some windows as a rule, though
+no bound is proven. What is left at the end of a range is split into powers of two where that costs
+less than its padding.
 
 Null and empty texts are the end id alone. Repeated rows are packed one by one, ordered by text
 among equal ids; a null ``doc_id`` comes first. Other columns are not read. Ranges are cut by
@@ -20,9 +22,11 @@ count inside it.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +39,8 @@ from .tokens import END_ID, encoder
 WINDOW = 2048
 SENTENCE_CUT, HARD_CUT = 8, 48
 HARD_STEP = 128
-#: Ids of one chunk that is solved at once, and of its end that is solved again with the next.
-CHUNK, OPEN = 64 * WINDOW, 8 * WINDOW
+#: Ids that are gathered before costs go on; the windows do not depend on it.
+CHUNK = 64 * WINDOW
 
 
 @lru_cache(maxsize=4)
@@ -67,33 +71,71 @@ def cuts_of(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray) -> tuple[np
     return at, penalty[at]
 
 
+class Solver:
+    """The cheapest windows of a stream whose cuts come bit by bit."""
+
+    def __init__(self, start: int = 0):
+        self.cuts, self.best, self.back = [start], [0], [0]
+        self.index = {start: 0}
+        self.queue: deque[tuple[int, int]] = deque()  # (best + cut, index), values ascending
+
+    def add(self, cuts: list[int], penalty: list[int]) -> None:
+        c, best, back, index, queue = self.cuts, self.best, self.back, self.index, self.queue
+        powers = [1 << k for k in range(WINDOW.bit_length())]
+        for j, (at, pen) in enumerate(zip(cuts, penalty), len(c)):
+            value = best[j - 1] + c[j - 1]
+            while queue and queue[-1][0] >= value:
+                queue.pop()
+            queue.append((value, j - 1))
+            floor = at - WINDOW
+            while c[queue[0][1]] < floor:
+                queue.popleft()
+            cost, i = queue[0]
+            cost += WINDOW - at
+            for p in powers:
+                k = index.get(at - p)
+                if k is not None and best[k] < cost:
+                    cost, i = best[k], k
+            index[at] = j
+            c.append(at)
+            best.append(cost + pen)
+            back.append(i)
+
+    def path(self, j: int | None = None) -> list[int]:
+        """Ends of the windows up to a cut, the last one by default."""
+        j, out = len(self.cuts) - 1 if j is None else j, []
+        while j:
+            out.append(self.cuts[j])
+            j = self.back[j]
+        return out[::-1]
+
+    def settled(self) -> list[int]:
+        """Ends of the windows that no later cut can change; the stream goes on from the last of them."""
+        open_ = bisect_left(self.cuts, self.cuts[-1] - WINDOW)
+        heap = [-k for k in range(len(self.cuts) - 1, open_ - 1, -1)]
+        heapify(heap)
+        held = set(heap)
+        while len(heap) > 1:  # the latest one steps back until all are one
+            way = -self.back[-heappop(heap)]
+            if way not in held:
+                held.add(way)
+                heappush(heap, way)
+        a = -heap[0]
+        out = self.path(a)
+        if a:
+            self.cuts, self.best = self.cuts[a:], self.best[a:]
+            self.back = [max(0, k - a) for k in self.back[a:]]  # ways that start before it lead nowhere any more
+            self.back[0] = 0
+            self.index = {v: k for k, v in enumerate(self.cuts)}
+            self.queue = deque((v, k - a) for v, k in self.queue if k >= a)
+        return out
+
+
 def windows(cuts: np.ndarray, penalty: np.ndarray) -> list[int]:
     """Ends of the cheapest windows over ``cuts``, the first of which is where the stream starts."""
-    c, pen = cuts.tolist(), penalty.tolist()
-    index = {v: k for k, v in enumerate(c)}
-    powers = [1 << k for k in range(WINDOW.bit_length())]
-    best, back = [0] * len(c), [0] * len(c)
-    queue: deque[tuple[int, int]] = deque()  # (best + cut, index), values ascending
-    for j in range(1, len(c)):
-        value = best[j - 1] + c[j - 1]
-        while queue and queue[-1][0] >= value:
-            queue.pop()
-        queue.append((value, j - 1))
-        floor = c[j] - WINDOW
-        while c[queue[0][1]] < floor:
-            queue.popleft()
-        cost, i = queue[0]
-        cost += WINDOW - c[j]
-        for p in powers:
-            k = index.get(c[j] - p)
-            if k is not None and best[k] < cost:
-                cost, i = best[k], k
-        best[j], back[j] = cost + pen[j], i
-    out, j = [], len(c) - 1
-    while j:
-        out.append(c[j])
-        j = back[j]
-    return out[::-1]
+    solver = Solver(int(cuts[0]))
+    solver.add(cuts[1:].tolist(), penalty[1:].tolist())
+    return solver.path()
 
 
 def _tail(length: int) -> list[int]:
@@ -107,38 +149,54 @@ class Packer:
 
     def __init__(self, vocabulary: str | None = None):
         self.ends = sentence_ends(vocabulary)
-        self.ids: list[np.ndarray] = []
+        self.solver = Solver()
+        self.ids: list[np.ndarray] = []  # from the end of the last window on
+        self.fresh: list[np.ndarray] = []  # documents whose cuts are not known yet
         self.docs: deque[list] = deque()  # [key, total, ids given out]
-        self.size = self.sequence = 0
+        self.base = self.total = self.size = self.sequence = 0
 
     def add(self, key, ids: np.ndarray) -> list[tuple]:
-        self.ids.append(ids)
+        self.fresh.append(ids)
         self.docs.append([key, len(ids), 0])
         self.size += len(ids)
-        return self._solve(False) if self.size >= CHUNK else []
+        if self.size < CHUNK:
+            return []
+        self._know()
+        return self._given(self.solver.settled())
 
     def end(self) -> list[tuple]:
-        return self._solve(True) if self.size else []
+        if self.fresh:
+            self._know()
+        found = self.solver.path()
+        if not found:
+            return []
+        start = found[-2] if len(found) > 1 else self.base
+        found.pop()
+        for part in _tail(self.total - start):
+            start += part
+            found.append(start)
+        return self._given(found)
+
+    def _know(self) -> None:
+        """Goes on with the documents at hand; each one's cuts depend on itself alone."""
+        ids = np.concatenate(self.fresh)
+        cuts, penalty = cuts_of(ids, np.cumsum([len(x) for x in self.fresh]), self.ends)
+        self.solver.add((cuts[1:] + self.total).tolist(), penalty[1:].tolist())
+        self.ids.append(ids)
+        self.total += len(ids)
+        self.fresh, self.size = [], 0
 
-    def _solve(self, last: bool) -> list[tuple]:
+    def _given(self, found: list[int]) -> list[tuple]:
+        if not found:
+            return []
         ids = np.concatenate(self.ids)
-        left = np.array([d[1] - d[2] for d in self.docs], np.int64)
-        found = windows(*cuts_of(ids, np.minimum(np.cumsum(left), len(ids)), self.ends))
-        if last:
-            start = found[-2] if len(found) > 1 else 0
-            found = found[:-1]
-            for part in _tail(len(ids) - start):
-                start += part
-                found.append(start)
-        else:
-            found = [x for x in found if x <= len(ids) - OPEN]
-        raw = ids.astype("<u4").tobytes()
+        raw = ids[: found[-1] - self.base].astype("<u4").tobytes()
         out, at = [], 0
         for end in found:
             offset = 0
-            while at < end:
+            while at < end - self.base:
                 doc = self.docs[0]
-                n = min(end - at, doc[1] - doc[2])
+                n = min(end - self.base - at, doc[1] - doc[2])
                 out.append((doc[0], doc[2], n, zlib.crc32(raw[4 * at : 4 * (at + n)]), doc[1], self.sequence, offset))
                 doc[2] += n
                 offset += n
@@ -146,7 +204,7 @@ class Packer:
                 if doc[2] == doc[1]:
                     self.docs.popleft()
             self.sequence += 1
-        self.ids, self.size = ([ids[at:]], len(ids) - at) if at < len(ids) else ([], 0)
+        self.ids, self.base = [ids[at:]], found[-1]
         return out
 
 

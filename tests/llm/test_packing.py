@@ -34,6 +34,41 @@ def test_windows_are_cheapest():
         assert found[-1] == cuts[-1] and cost(cuts, penalty, found) == best[-1]
 
 
+def stream_cost(packer_pieces):
+    lengths = defaultdict(int)
+    for p in packer_pieces:
+        lengths[p[5]] += p[2]
+    return [lengths[k] for k in sorted(lengths)]
+
+
+def test_chunks_do_not_change_the_windows(monkeypatch):
+    """Costs go on over chunks: the windows of a stream taken bit by bit are those of one solve over all of it."""
+    rng = np.random.default_rng(6)
+    for case in range(12):
+        sizes = rng.choice([1, 3, 90, 400, 2049, 9000, 30000], 200, p=[0.1, 0.2, 0.3, 0.2, 0.1, 0.08, 0.02])
+        stop = np.flatnonzero(pk.sentence_ends(None))
+        docs = []
+        for n in sizes:
+            ids = rng.integers(2, 40000, n).astype("<u4")
+            if case % 2:  # else the ids' own sentence ends, and hard cuts
+                ids[rng.random(n) < 0.02] = stop[0]
+            ids[-1] = 1
+            docs.append(ids)
+        got = []
+        for chunk in (1, 5000, 64 * 2048, 10**9):
+            monkeypatch.setattr(pk, "CHUNK", chunk)
+            packer = pk.Packer()
+            pieces = [p for k, d in enumerate(docs) for p in packer.add(k, d)]
+            if chunk == 5000:
+                assert len(pieces) > 200 and sum(map(len, packer.ids)) < 200_000  # windows are given out on the way
+            got.append(pieces + packer.end())
+        assert got[0] == got[1] == got[2] == got[3]
+        whole = np.concatenate(docs)
+        cuts, penalty = pk.cuts_of(whole, np.cumsum(sizes), pk.sentence_ends(None))
+        one, ends = pk.windows(cuts, penalty), np.cumsum(stream_cost(got[0])).tolist()
+        assert ends[: len(one) - 1] == one[:-1] and ends[-1] == one[-1]
+
+
 def test_pieces(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choice(["one", "two.", "Three", "fôur!"]) for _ in range(rng.choice([0, 3, 50, 900, 9000]))) for _ in range(70)]
