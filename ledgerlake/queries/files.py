@@ -94,7 +94,7 @@ def ledger_entries_file(t):
     """A document read entry by entry, as large ones are: places, names and values, whatever commas and brackets the texts hold."""
     o = t("orders").select(F.concat(F.lit("item-key-"), text_of("o_orderkey")).alias("key"), F.col("o_custkey").cast("long").alias("n"), F.concat("o_orderpriority", F.lit(', {"')).alias("note"))
     spark, folder = place(o)
-    src.write_document(src.ledger_document(o), f"{folder}/ledger.json")
+    src.write_ledger_document(o, f"{folder}/ledger.json")
     rows = documents.entries(spark, f"{folder}/ledger.json", "items")
     return rows.select(F.col("name").alias("key"), "ord", F.from_json("value", "n long, note string").alias("v")).select("key", "ord", "v.*")
 

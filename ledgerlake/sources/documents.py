@@ -7,6 +7,9 @@ splits; then every split knows where it begins, and a second pass puts the piece
 An entry that runs over the end of a split comes in fragments, which are joined by where the entry began.
 No task holds more than an entry.
 
+A document may be a folder of files ``part-0``, ``part-1``, ... that are the text one behind the other; each
+file begins where an entry of a container begins or ends, perhaps with the comma before it.
+
 An entry is a member or element of a container that is itself a member of the document: of
 ``{"version": 1, "items": {"a": {...}}}`` the container ``items`` has one entry, named ``a``.
 """
@@ -25,7 +28,10 @@ from ..operators.fixpoint import settled_in_shared_folder
 
 State = tuple[bool, bool, int]  # inside a string, behind a backslash in it, open brackets
 
-_BRACKETS = re.compile(rb'["{}\[\]]')
+# A string up to its end or that of the text: the quote that closes it, or the backslash that nothing follows.
+_STRING = rb'"[^"\\]*+(?:\\.[^"\\]*+)*+("?)(\\?)'
+_STRINGS = re.compile(_STRING, re.S)
+_BRACKETS = re.compile(_STRING + rb"|[{}\[\]]", re.S)
 _NAME = re.compile(rb'\s*("(?:[^"\\]|\\.)*")\s*:', re.S)
 _STARTS: tuple[State, ...] = ((False, False, 0), (True, False, 0), (True, True, 0))
 
@@ -33,33 +39,32 @@ _STARTS: tuple[State, ...] = ((False, False, 0), (True, False, 0), (True, True,
 def brackets(text: bytes, state: State) -> tuple[list[tuple[int, int]], State]:
     """(place, depth behind it) of the brackets outside strings, and the state behind the text."""
     string, escape, depth = state
-    found, at, size = [], 0, len(text)
-    if escape and size:
-        at, escape = 1, False
-    while at < size:
-        if string:
-            end = text.find(b'"', at)
-            stop = size if end < 0 else end
-            last = stop
-            while last > at and text[last - 1] == 0x5C:
-                last -= 1
-            odd = (stop - last) % 2 == 1
-            if end < 0:
-                return found, (True, odd, depth)
-            at, string = end + 1, odd
-            continue
-        m = _BRACKETS.search(text, at)
-        if m is None:
-            break
-        at = m.end()
-        if text[m.start()] == 0x22:
-            string = True
+    found, shift = [], 0
+    if string:  # as if the string began here
+        text, shift = (b'"\\' if escape else b'"') + text, 2 if escape else 1
+    string = escape = False
+    for m in _BRACKETS.finditer(text):
+        at = m.start()
+        if text[at] == 0x22:
+            string, escape = not m[1], bool(m[2]) and not m[1]
         else:
-            depth += 1 if text[m.start()] in b"{[" else -1
-            found.append((m.start(), depth))
+            depth += 1 if text[at] in b"{[" else -1
+            found.append((at - shift, depth))
     return found, (string, escape, depth)
 
 
+def behind(text: bytes, state: State) -> State:
+    """The state behind the text alone."""
+    string, escape, depth = state
+    if string:
+        text = (b'"\\' if escape else b'"') + text
+    plain, strings = _STRINGS.subn(rb"\1", text)
+    open_ = strings > plain.count(b'"')  # only the last one can be
+    slashes = len(text) - len(text.rstrip(b"\\"))
+    change = sum(plain.count(c) for c in (b"{", b"[")) - sum(plain.count(c) for c in (b"}", b"]"))
+    return open_, open_ and slashes % 2 == 1, depth + change
+
+
 def folded(effects: list[tuple[int, list[State]]]) -> dict[int, State]:
     """The state in which each split begins, from (its place, states behind it by the state before) in any order."""
     state, out = _STARTS[0], {}
@@ -154,7 +159,7 @@ def _effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     done: dict[int, list[State]] = {}
     for split, texts in _pieces(batches):
         text = b",".join(texts) + b","
-        done[split] = [brackets(text, s)[1] for s in done.get(split, _STARTS)]
+        done[split] = [behind(text, s) for s in done.get(split, _STARTS)]
     rows = [(split, *(x for s in states for x in (int(s[0]), int(s[1]), s[2]))) for split, states in done.items()]
     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(10)], names=["split", *(f"x{k}" for k in range(9))])
 
@@ -164,7 +169,9 @@ _ROWS = "split long, kind string, seq long, inherited boolean, container string,
 
 def entries(spark: SparkSession, path: str, member: str) -> DataFrame:
     """(ord, name, value) of the entries of the container ``member``: places from 0, names (null in lists), JSON texts."""
-    rows = spark.read.option("lineSep", ",").text(path).select(F.col("_metadata.file_block_start").alias("split"), "value")
+    part = F.coalesce(F.regexp_extract(F.col("_metadata.file_name"), r"\Apart-(\d+)", 1).try_cast("long"), F.lit(0))
+    split = F.shiftleft(part, 40) + F.col("_metadata.file_block_start")  # files in order, then places in a file
+    rows = spark.read.option("lineSep", ",").text(path).select(split.alias("split"), "value")
     states = ", ".join(f"x{k} long" for k in range(9))
     told = rows.mapInArrow(_effects, f"split long, {states}").collect()  # ten numbers a split
     begins = folded([(r.split, [(bool(r[3 * k + 1]), bool(r[3 * k + 2]), r[3 * k + 3]) for k in range(3)]) for r in told])

@@ -304,6 +304,22 @@ def ledger_document(rows: DataFrame, key: str = "key", version: int = 1) -> Data
     return rows.agg(F.to_json(F.struct(F.lit(version).alias("version"), entries.alias("items"))).alias("document"))
 
 
+def write_ledger_document(rows: DataFrame, path: str, key: str = "key", version: int = 1) -> None:
+    """The document of :func:`ledger_document` for a ledger of any size, the folder replaced as a whole.
+
+    Its part files, one behind the other, are the document; many tasks write them, an entry a line, in order of keys
+    (a key that comes twice has two entries, in order of their values). :mod:`.documents` reads it.
+    """
+    member = F.to_json(F.create_map(F.col(key), F.struct(*[c for c in rows.columns if c != key])))
+    entry = rows.select(F.lit(False).alias("last"), F.col(key).alias("key"), F.substring(member, F.lit(2), F.char_length(member) - 2).alias("text"))
+    end = rows.sparkSession.range(1).select(F.lit(True).alias("last"), F.lit("").alias("key"), F.lit("}}").alias("text"))
+    order = ("last", "key", "text")
+    ordered = entry.unionByName(end).repartitionByRange(*order).sortWithinPartitions(*order)
+    first = F.monotonically_increasing_id() == 0
+    before = F.when(first, F.lit(f'{{"version":{version},"items":{{')).when(F.col("last"), "").otherwise(",")
+    store.replace_with(ordered.select(F.concat(before, "text").alias("value")), path, "text")
+
+
 def manifest(results: DataFrame) -> DataFrame:
     """Results in the order of the queue."""
     return results.orderBy("ord")

@@ -83,6 +83,33 @@ def test_read_by_many_tasks(small_splits, tmp_path):
     assert docs.entries(spark, str(path), "none").count() == docs.entries(spark, str(path), "absent").count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 700])
+def test_document_of_many_files(small_splits, tmp_path, n):
+    """Written by many tasks, joined by Spark's own order of names: the same JSON as the document in one row, and the same entries."""
+    spark = small_splits
+    text = F.concat(F.lit('x,{["\\ "'), F.repeat(F.lit(",\n"), (F.col("id") % 90).cast("int")))
+    rows = spark.range(n).select(F.concat(F.lit('k", {'), F.col("id").cast("string")).alias("key"), F.col("id").alias("n"), F.when(F.col("id") % 3 > 0, text).alias("note"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        src.write_ledger_document(rows, str(tmp_path / "ledger"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "ledger").glob("part-*"))
+    want = json.loads(src.ledger_document(rows).first()[0]) if n else {"version": 1, "items": {}}
+    assert json.loads("".join(p.read_text() for p in parts)) == want and (n < 9 or len(parts) > 2)
+    got = docs.entries(spark, str(tmp_path / "ledger"), "items").orderBy("ord").collect()
+    assert [r.ord for r in got] == list(range(n)) and [(r.name, json.loads(r.value)) for r in got] == sorted(want["items"].items())
+
+
+def test_entries_query_writes_by_many_tasks(spark, tmp_path, monkeypatch):
+    """The ledger is not gathered in one row."""
+    from ledgerlake.queries import queries
+
+    monkeypatch.setattr(src, "ledger_document", None)
+    spark.range(500).selectExpr("id o_orderkey", "id o_custkey", "'F' o_orderpriority").write.parquet(str(tmp_path / "orders.parquet"))
+    assert queries()["ledger_entries_file"](spark, str(tmp_path)).count() == 500
+
+
 def test_large_ledgers_equal_the_document_readers(small_splits, tmp_path, monkeypatch):
     spark = small_splits
     rng = random.Random(9)
