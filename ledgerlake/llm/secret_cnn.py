@@ -7,13 +7,14 @@ right side are embedded, convolved and pooled by side. Values longer than its wi
 overlapping windows, the highest logit counts. A candidate that no base finding overlaps becomes a span of
 kind ``model`` where its calibrated probability reaches the threshold of its shape.
 
-The model learns from labelled findings. No table of them is given, so :func:`labelled` takes a bounded
-sample from the corpus (base findings are secrets; runs of digits only and parts of addresses are none; other candidates get no
-label) and :func:`made` writes findings of public formats and look-alikes into the corpus's own
-surroundings. The sample is that of the least hashes, so it doesn't depend on how rows are dealt; its
-size is a parameter. A fifth is held out: logits are calibrated on it (Platt), and thresholds are the
-highest that keep ``recall`` of the held-out secrets of a shape. What the model is applied to is
-everything: whole texts, all candidates.
+The model learns from labelled findings. No table of them is given, so :func:`labelled` takes those of the
+corpus (base findings are secrets; runs of digits only and parts of addresses are none; other candidates get no
+label) and :func:`made` writes findings of public formats and look-alikes into surroundings of the corpus, one
+for every document. All distinct rows count: they are dealt by hash into shards, each round trains every shard
+from the same weights, and the next one starts from the mean, so the model doesn't depend on how rows are dealt.
+A fifth is held out: logits are calibrated on all of it (Platt), counted by steps of 1/1024, and thresholds are
+the highest that keep ``recall`` of the held-out secrets of a shape. What the model is applied to is
+everything too: whole texts, all candidates.
 
 Null and empty texts have no spans; repeated rows are judged alike, one by one; a null ``doc_id`` stays;
 other columns are neither read nor needed. Positions are code points, ends exclusive. Without documents
@@ -42,8 +43,10 @@ SHAPES = ("hex", "digits", "letters", "mixed")
 #: Characters that the network sees of the left side, of a value (a window) and of the right side.
 LEFT, VALUE, RIGHT = 24, 64, 16
 WIDTH = LEFT + VALUE + RIGHT
-#: Labelled rows of each label taken from the corpus, and made ones.
-SAMPLE, MADE = 2048, 3000
+#: Made findings of each label beside those in the corpus's surroundings.
+MADE = 3000
+#: Rows of a shard, rounds over all shards, steps of a logit that held-out rows are counted by.
+SHARD, ROUNDS, STEPS = 16384, 4, 1024
 
 # What the base looks for.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -213,11 +216,15 @@ class Model:
 
     def judge(self, rows: list[list[tuple[str, str, str]]]) -> np.ndarray:
         """Calibrated probabilities of candidates, each given by its windows."""
+        return self.chances(self.tops(rows))
+
+    def tops(self, rows: list[list[tuple[str, str, str]]]) -> np.ndarray:
+        """The highest logit of each candidate's windows."""
         if not rows:
             return np.empty(0)
         logit = np.concatenate([self.logits(*encoded(flat[k : k + 4096])) for flat in [[x for row in rows for x in row]] for k in range(0, len(flat), 4096)])
         first = np.cumsum([0, *(len(row) for row in rows[:-1])])
-        return self.chances(np.maximum.reduceat(logit.astype(np.float64), first))
+        return np.maximum.reduceat(logit.astype(np.float64), first)
 
 
 def train(model: Model, chars: np.ndarray, sides: np.ndarray, labels: np.ndarray, epochs: int, seed: int, rate: float = 3e-3) -> None:
@@ -238,20 +245,21 @@ def train(model: Model, chars: np.ndarray, sides: np.ndarray, labels: np.ndarray
                 model.weights[name] -= (now * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
 
-def calibrate(model: Model, logit: np.ndarray, labels: np.ndarray) -> None:
-    """Slope and shift of the logits by Newton steps on the held-out labels (Platt's targets)."""
-    n1, n0 = labels.sum(), (1 - labels).sum()
+def calibrate(model: Model, logit: np.ndarray, labels: np.ndarray, counts: np.ndarray | None = None) -> None:
+    """Slope and shift of the logits by Newton steps on the held-out labels (Platt's targets); each row stands for ``counts``."""
+    counts = np.ones(len(labels)) if counts is None else counts
+    n1, n0 = (counts * labels).sum(), (counts * (1 - labels)).sum()
     target = np.where(labels > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     x = np.stack([logit.astype(np.float64), np.ones(len(logit))], 1)
     at = np.array([1.0, 0.0])
 
     def loss(a):
         z = x @ a
-        return np.sum(np.logaddexp(0, z) - target * z)
+        return np.sum(counts * (np.logaddexp(0, z) - target * z))
 
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ at, -60, 60)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-6 * np.eye(2), x.T @ (p - target))
+        step = np.linalg.solve(x.T @ (x * (counts * p * (1 - p))[:, None]) + 1e-6 * np.eye(2), x.T @ (counts * (p - target)))
         size = 1.0
         while loss(at - size * step) > loss(at) and size > 1e-6:
             size /= 2
@@ -261,20 +269,24 @@ def calibrate(model: Model, logit: np.ndarray, labels: np.ndarray) -> None:
     model.slope, model.shift = map(float, at)
 
 
-def set_thresholds(model: Model, chance: np.ndarray, labels: np.ndarray, shapes: np.ndarray, recall: float, least: int = 20) -> None:
-    """The highest thresholds that keep ``recall`` of each shape's held-out secrets.
+def set_thresholds(model: Model, chance: np.ndarray, labels: np.ndarray, shapes: np.ndarray, recall: float, least: int = 20, counts: np.ndarray | None = None) -> None:
+    """The highest thresholds that keep ``recall`` of each shape's held-out secrets; each row stands for ``counts``.
 
     Shapes with few take the threshold of all; a shape without any has none to keep, and its threshold is above 1.
     """
+    counts = np.ones(len(labels), np.int64) if counts is None else counts
 
-    def highest(p: np.ndarray) -> float:
-        return float(np.sort(p)[int((1 - recall) * len(p))]) if len(p) else 2.0
+    def highest(of: np.ndarray) -> float:
+        order = np.argsort(chance[of], kind="stable")
+        upto = np.cumsum(counts[of][order])
+        return float(chance[of][order][np.searchsorted(upto, int((1 - recall) * upto[-1]), "right")]) if len(upto) else 2.0
 
-    of_all = highest(chance[labels > 0])
-    own = [chance[(labels > 0) & (shapes == k)] for k in range(len(SHAPES))]
-    model.thresholds = [highest(p) if len(p) >= least or not len(p) else of_all for p in own]
+    secret = labels > 0
+    own = [secret & (shapes == k) for k in range(len(SHAPES))]
+    model.thresholds = [highest(of) if counts[of].sum() >= least or not of.any() else highest(secret) for of in own]
     kept = chance >= np.array(model.thresholds)[shapes]
-    model.report |= {"held_out": len(labels), "recall": float(kept[labels > 0].mean()) if labels.any() else None, "precision": float(labels[kept].mean()) if kept.any() else None}
+    share = lambda part, of: float(counts[part & of].sum() / counts[of].sum()) if of.any() else None
+    model.report |= {"held_out": int(counts.sum()), "recall": share(kept, secret), "precision": share(secret, kept)}
 
 
 _ALNUM = string.ascii_letters + string.digits
@@ -324,35 +336,48 @@ def _harmless(r: random.Random, words: list[str]) -> str:
     ])()
 
 
+_WORDS = ["value", "plain", "name", "list"]
+
+
+def _made(r: random.Random, secret: bool, left: str, right: str, words: list[str]) -> tuple[str, str, str, int]:
+    cue = r.choice(_CUES)
+    cue = r.choice([cue, cue.upper(), cue.capitalize()])
+    tie, quote = r.choice([" = ", "=", ": ", ":", " => "]), r.choice(['"', "'", ""])
+    if not secret:
+        if r.random() < 0.75:
+            left, value = f"{left[-8:]} ", _harmless(r, words)
+        else:
+            left, value = f"{left[-8:]} {cue}{tie}{quote}", r.choice([r.choice(words) + r.choice(["", ",", ".", "();", "[0]"]), f"<{r.choice(words)}-{r.choice(words)}>", "${" + r.choice(words) + "}", "*" * r.randint(6, 16), f"{r.choice(words)}_{r.choice(words)}"])
+            right = quote + right
+    elif r.random() < 0.3:
+        left, value, right = f"{left[-8:]} {cue}{tie}{quote}", _password(r), quote + right
+    elif r.random() < 0.75:
+        left, value, right = f"{left[-8:]} {cue}{tie}{quote}", _secret(r), quote + right
+    else:
+        left, value, right = left + " ", _secret(r), " " + right
+    return left[-LEFT:], value, right[:RIGHT], int(secret)
+
+
 def made(surroundings: list[tuple[str, str]], n: int, seed: int) -> list[tuple[str, str, str, int]]:
     """(left, value, right, label): ``n`` secrets of public formats and ``n`` look-alikes, in the given surroundings."""
     r = random.Random(seed)
     surroundings = surroundings or [("", "")]
-    words = sorted({w.lower() for left, right in surroundings for w in re.findall(r"[A-Za-z]{2,}", f"{left} {right}")}) or ["value", "plain", "name", "list"]
-    out = []
-    for k in range(2 * n):
-        left, right = r.choice(surroundings)[0], r.choice(surroundings)[1]
-        cue = r.choice(_CUES)
-        cue = r.choice([cue, cue.upper(), cue.capitalize()])
-        tie, quote = r.choice([" = ", "=", ": ", ":", " => "]), r.choice(['"', "'", ""])
-        if k % 2:
-            if r.random() < 0.75:
-                left, value = f"{left[-8:]} ", _harmless(r, words)
-            else:
-                left, value = f"{left[-8:]} {cue}{tie}{quote}", r.choice([r.choice(words) + r.choice(["", ",", ".", "();", "[0]"]), f"<{r.choice(words)}-{r.choice(words)}>", "${" + r.choice(words) + "}", "*" * r.randint(6, 16), f"{r.choice(words)}_{r.choice(words)}"])
-                right = quote + right
-        elif r.random() < 0.3:
-            left, value, right = f"{left[-8:]} {cue}{tie}{quote}", _password(r), quote + right
-        elif r.random() < 0.75:
-            left, value, right = f"{left[-8:]} {cue}{tie}{quote}", _secret(r), quote + right
-        else:
-            left, value, right = left + " ", _secret(r), " " + right
-        out.append((left[-LEFT:], value, right[:RIGHT], 1 - k % 2))
-    return out
+    words = sorted({w.lower() for left, right in surroundings for w in re.findall(r"[A-Za-z]{2,}", f"{left} {right}")}) or _WORDS
+    return [_made(r, k % 2 == 0, r.choice(surroundings)[0], r.choice(surroundings)[1], words) for k in range(2 * n)]
 
 
-def labelled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(left, value, right, label) of the corpus: ``sample`` rows of each label at most, those of the least hashes; label 2 gives plain surroundings."""
+def made_in(left: str, right: str) -> tuple[str, str, str, int]:
+    """The made finding of these surroundings: which one, and whether it is a secret, their hash draws."""
+    r = random.Random(hashlib.blake2b(f"{left}\0{right}".encode("utf-8", "surrogatepass"), digest_size=8).digest())
+    words = re.findall(r"[A-Za-z]{2,}", f"{left} {right}".lower())
+    return _made(r, r.random() < 0.5, left, right, words or _WORDS)
+
+
+def labelled(docs: DataFrame, sample: int | None = None) -> DataFrame:
+    """(left, value, right, label) of the corpus, all distinct rows; label 2 gives plain surroundings, one of each document.
+
+    With ``sample`` that many rows of each label at most, those of the least hashes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -374,7 +399,9 @@ def labelled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string() if k < 3 else pa.int32()) for k in range(4)], names=["left", "value", "right", "label"])
 
     rows = ids_and_texts(docs).mapInArrow(run, "left string, value string, right string, label int")
-    rows = settled(rows.filter(F.char_length("value") <= 4 * VALUE).withColumn("hash", F.xxhash64("left", "value", "right", "label")), "secret-labels")
+    if sample is None:
+        return rows.distinct()
+    rows = settled(rows.withColumn("hash", F.xxhash64("left", "value", "right", "label")), "secret-labels")
     parts = [rows.filter(F.col("label") == k).orderBy("hash", "left", "value", "right").limit(sample) for k in range(3)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).drop("hash")
 
@@ -396,11 +423,80 @@ def fit(rows: list[tuple[str, str, str, int]], recall: float = 0.98, epochs: int
     return model
 
 
-def learned(docs: DataFrame, sample: int = SAMPLE, n_made: int = MADE, recall: float = 0.98) -> Model:
-    """The model of a corpus. What comes to the driver are 3 * ``sample`` short rows at most."""
-    rows = [tuple(r) for r in labelled(docs, sample).collect()]
-    surroundings = sorted((left, right) for left, _, right, label in rows if label == 2)
-    return fit([r for r in rows if r[3] != 2] + made(surroundings, n_made, seed=7), recall)
+_EXAMPLES = "left string, value string, right string, label int"
+
+
+def examples(docs: DataFrame, n_made: int = MADE) -> DataFrame:
+    """Distinct rows to learn from, settled: all labelled ones, a made one in each surroundings, and ``n_made`` of each label
+    apart from the corpus; with their hash and whether they are held out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [made_in(r[0], r[2]) if r[3] == 2 else r for r in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string() if k < 3 else pa.int32()) for k in range(4)], names=["left", "value", "right", "label"])
+
+    apart = docs.sparkSession.createDataFrame(made([], n_made, seed=7), _EXAMPLES)
+    rows = labelled(docs).mapInArrow(run, _EXAMPLES).unionByName(apart).distinct().withColumn("hash", F.xxhash64("left", "value", "right", "label"))
+    return settled(rows.withColumn("held", F.pmod(F.col("hash"), F.lit(5)) == 0), "secret-examples")
+
+
+def _round(rows: DataFrame, model: Model, shards: int, seed: int, rate: float) -> dict[str, np.ndarray]:
+    """The mean of the weights that each shard comes to in one pass over its rows."""
+    weights = model.weights
+
+    def step(table: pa.Table) -> pa.Table:
+        t = table.sort_by([(c, "ascending") for c in ("hash", "left", "value", "right", "label")])
+        left, value, right, labels = (t[c].to_pylist() for c in ("left", "value", "right", "label"))
+        own = Model({k: v.copy() for k, v in weights.items()})
+        train(own, *encoded([windows(*r)[0] for r in zip(left, value, right)]), np.array(labels, np.float32), 1, seed, rate)
+        blob = np.concatenate([own.weights[k].ravel() for k in sorted(weights)]).astype(np.float32).tobytes()
+        return pa.table({"shard": t["shard"][:1], "n": pa.array([len(labels)], pa.int64()), "blob": pa.array([blob], pa.binary())})
+
+    dealt = rows.withColumn("shard", F.pmod(F.shiftright("hash", 8), F.lit(shards)))
+    got = sorted(dealt.groupBy("shard").applyInArrow(step, "shard long, n long, blob binary").collect())  # some 20 KB a shard
+    total = sum(n * np.frombuffer(blob, np.float32).astype(np.float64) for _, n, blob in got) / sum(n for _, n, _ in got)
+    out, at = {}, 0
+    for k in sorted(weights):
+        size = weights[k].size
+        out[k], at = total[at : at + size].reshape(weights[k].shape).astype(np.float32), at + size
+    return out
+
+
+def _held_out(rows: DataFrame, model: Model) -> np.ndarray:
+    """(step of the logit, label, shape, how many), in order: a table of bounded size, whatever the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "value"):
+            got = [c.to_pylist() for c in batch.columns]
+            steps = np.floor(np.clip(model.tops([windows(*r) for r in zip(*got[:3])]), -60, 60) * STEPS).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(steps), pa.array(got[3], pa.int64()), pa.array([shape(v) for v in got[1]], pa.int64())], names=["step", "label", "shape"])
+
+    told = rows.select("left", "value", "right", "label").mapInArrow(run, "step long, label long, shape long")
+    return np.array(sorted(map(tuple, told.groupBy("step", "label", "shape").count().collect())), np.int64).reshape(-1, 4)
+
+
+def learned(docs: DataFrame, sample: int | None = None, n_made: int = MADE, recall: float = 0.98, shard: int = SHARD, rounds: int = ROUNDS, seed: int = 11) -> Model:
+    """The model of a corpus, of all its rows. To the driver come the weights of each shard and the counts of held-out logits.
+
+    With ``sample`` the model of that many rows of each label, fitted in the driver.
+    """
+    if sample is not None:
+        rows = [tuple(r) for r in labelled(docs, sample).collect()]
+        surroundings = sorted((left, right) for left, _, right, label in rows if label == 2)
+        return fit([r for r in rows if r[3] != 2] + made(surroundings, n_made, seed=7), recall)
+    every = examples(docs, n_made)
+    seen, held = every.filter("not held"), every.filter("held")
+    model = Model.fresh(seed)
+    begun = made([], n_made, seed=8)  # a start that all shards share
+    train(model, *encoded([windows(*r[:3])[0] for r in begun]), np.array([r[3] for r in begun], np.float32), 2, seed)
+    shards = max(1, -(-seen.count() // shard))
+    for k in range(rounds):
+        model.weights = _round(seen, model, shards, seed + k, 3e-3 * 0.5**k)
+    step, label, kind, n = _held_out(held, model).T
+    logit, label = step / STEPS, label.astype(np.float64)
+    calibrate(model, logit, label, n)
+    set_thresholds(model, model.chances(logit), label, kind, recall, counts=n)
+    return model
 
 
 SPANS = "array<struct<kind:string,start:long,end:long,value:string,chance:double>>"

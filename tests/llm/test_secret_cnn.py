@@ -132,6 +132,31 @@ def test_learns_from_a_corpus_however_it_is_dealt(spark):
     assert all(np.array_equal(models[0].weights[k], models[1].weights[k]) for k in models[0].weights) and models[0].thresholds == models[1].thresholds
 
 
+def test_learns_from_every_row(spark):
+    """More labelled rows than any sample held before: all are trained on or held out, and the model is the same however they are dealt."""
+    n = 2300
+    rows = [(k, f"words {k} of text token = \"{hashlib.sha1(str(k).encode()).hexdigest()}\" and the card {4 * 10**15 + 7919 * k} here") for k in range(n)] + [(n, None), (0, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = secret_cnn.labelled(docs).groupBy("label").count().collect()
+    assert {r[0]: r[1] for r in got} == {0: n, 1: n, 2: n + 1}
+    every = secret_cnn.examples(docs, 50)
+    assert every.count() >= 3 * n and every.filter("held").count() + every.filter("not held").count() == every.count()
+    models = [secret_cnn.learned(docs.repartition(k), n_made=50, shard=2000, rounds=2) for k in (1, 5)]
+    assert all(np.array_equal(models[0].weights[k], models[1].weights[k]) for k in models[0].weights) and models[0].thresholds == models[1].thresholds
+    assert models[0].report["held_out"] > 3 * n / 6 and models[0].report["recall"] >= 0.97
+
+
+def test_counts_stand_for_rows():
+    rng = np.random.default_rng(3)
+    logit, counts = np.floor(rng.normal(size=300) * 50) / 50, rng.integers(1, 5, 300)
+    labels, shapes = (logit + rng.normal(size=300) > 0).astype(float), rng.integers(0, 4, 300)
+    a, b = Model.fresh(0), Model.fresh(0)
+    for m, x in ((a, (logit, labels, shapes, counts)), (b, (*(np.repeat(v, counts) for v in (logit, labels, shapes)), None))):
+        secret_cnn.calibrate(m, x[0], x[1], x[3])
+        secret_cnn.set_thresholds(m, m.chances(x[0]), x[1], x[2], 0.9, counts=x[3])
+    assert (a.slope, a.shift) == pytest.approx((b.slope, b.shift)) and a.thresholds == pytest.approx(b.thresholds) and a.report == pytest.approx(b.report)
+
+
 def test_empty_table(spark, model):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert secret_cnn.digest(docs, model).count() == 0 and secret_cnn.labelled(docs).count() == 0
