@@ -10,8 +10,12 @@ starts mostly share one, so they travel as units: runs of starts with one mark.
    block, only those of the smallest document are sent on, by mark; the others are repeats.
 2. Where units of one mark meet, equal units of larger documents are repeats. First owners of
    units with one mark but different bytes may share shorter strings: their bytes are asked for.
+   A mark with very many units (``HOT``) is taken apart: tasks that answer sort its suffixes among
+   themselves first, and send on those that are no repeat there, start by start, dealt out by a
+   hash of their ``SPAN`` bytes as well. So a passage that very many documents hold is no load of one task.
 3. Their suffixes are sorted inside each mark: by the first eight bytes, then by a mergesort
-   whose comparisons find the common extension by binary search over prefix hashes. Neighbours
+   whose comparisons find the common extension by binary search over prefix hashes, and which
+   unites equal suffixes where they meet. Neighbours
    in that order that agree over ``SPAN`` bytes, checked byte by byte, form groups; all but those
    of the smallest document are repeats. A hash collision repeats the sort with other constants.
 
@@ -31,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -47,6 +52,8 @@ RUN = 255
 BLOCK, PASS = 16 << 20, 1 << 20
 #: Bytes of units asked for that are held before they are sent.
 ANSWER = 2 << 20
+#: A mark with more units than this is sorted in parts, dealt out start by start.
+HOT = 1 << 15
 #: Buckets of marks a shuffle partition; of documents there is one, as they pass one by one.
 SPREAD = 4
 #: Repeats and requests that a task gathers before it packs them, over all its buckets.
@@ -222,9 +229,13 @@ def _by_bucket(df: DataFrame, width: int) -> DataFrame:
 
 
 def _bucketwise(batches: Iterator[pa.RecordBatch], full) -> Iterator[pa.RecordBatch]:
-    """Calls ``full(bucket, blobs)`` for each bucket of a sorted partition."""
+    """Calls ``full(bucket, blobs)`` for each bucket of a sorted partition; repeats that are known pass through."""
     now, blobs = None, []
     for batch in batches:
+        passed = batch.filter(pc.equal(batch.column(1), _REPEATS))
+        if passed.num_rows:
+            yield passed
+        batch = batch.filter(pc.not_equal(batch.column(1), _REPEATS))
         for b, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
             if b != now:
                 if blobs:
@@ -256,7 +267,8 @@ def _meet(blobs: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     several &= np.repeat(np.add.reduceat(kinds, marks) > 1, span)
     start, end = start.astype(np.int64), start.astype(np.int64) + runs + SPAN - 1
     asked = several & ~repeat
-    return [doc[repeat], sign[repeat], start[repeat], end[repeat]], [doc[asked], sign[asked], mark[asked], start[asked].astype(np.uint32), runs[asked].astype(np.uint8)]
+    hot = np.repeat(np.add.reduceat(asked.astype(np.int64), marks) > HOT, span)
+    return [doc[repeat], sign[repeat], start[repeat], end[repeat]], [doc[asked], sign[asked], mark[asked], start[asked].astype(np.uint32), runs[asked].astype(np.uint8), hot[asked].astype(np.uint8)]
 
 
 def _packed(repeats: list[list[np.ndarray]], asked: list[list[np.ndarray]], m: int) -> list[tuple]:
@@ -314,46 +326,71 @@ def _docwise(batches: Iterator[pa.RecordBatch]):
             yield doc, raw, [c[low:high] for c in cols] if low < high else None
 
 
-def _answer(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Bytes of the units asked for, sent to the bucket of their mark."""
-    hold: list[list] = [[] for _ in range(6)]
-    size = 0
+def _answer(batches: Iterator[pa.RecordBatch], n: int, m: int) -> Iterator[pa.RecordBatch]:
+    """Bytes of the units asked for, sent to the bucket of their mark; those of hot marks are split."""
+    hold: list[list[list]] = [[[] for _ in range(6)] for _ in range(2)]
+    size = [0, 0]
 
-    def flush():
-        doc, sign, mark, start, runs, data = (np.concatenate(x) for x in hold)
-        length = runs.astype(np.int64) + SPAN - 1
-        first = np.cumsum(length) - length
+    def flush(hot):
+        doc, sign, mark, start, runs, data = (np.concatenate(x) for x in hold[hot])
+        hold[hot], size[hot] = [[] for _ in range(6)], 0
+        if hot:
+            return _batch(_split(doc, sign, mark, start, runs, data, n, m))
+        first = _first(runs)
         rows = []
-        for b, (d, g, m, s, r, f, ln) in by_bucket(dealt(mixed(mark), n), doc, sign, mark, start, runs, first, length):
-            at, _ = ranges(f, ln)
-            rows.append((b, _BYTES, pack(d, g, m, s, r, data[at])))
+        for b, (d, g, k, s, r, f) in by_bucket(dealt(mixed(mark), n), doc, sign, mark, start, runs, first):
+            at, _ = ranges(f, r.astype(np.int64) + SPAN - 1)
+            rows.append((b, _BYTES, pack(d, g, k, s, r, data[at])))
         return _batch(rows)
 
     for doc, raw, asked in _docwise(batches):
         if asked is None:
             continue
-        ids, sign, mark, start, runs = asked
-        at, _ = ranges(start.astype(np.int64), runs.astype(np.int64) + SPAN - 1)
-        for into, v in zip(hold, (ids, sign, mark, start, runs, np.frombuffer(raw, np.uint8)[at])):
-            into.append(v)
-        size += len(at)
-        if size >= ANSWER:
-            yield flush()
-            hold = [[] for _ in range(6)]
-            size = 0
-    if size:
-        yield flush()
+        for hot in (0, 1):
+            ids, sign, mark, start, runs = (c[asked[5] == hot] for c in asked[:5])
+            if not len(ids):
+                continue
+            at, _ = ranges(start.astype(np.int64), runs.astype(np.int64) + SPAN - 1)
+            for into, v in zip(hold[hot], (ids, sign, mark, start, runs, np.frombuffer(raw, np.uint8)[at])):
+                into.append(v)
+            size[hot] += len(at)
+            if size[hot] >= ANSWER:
+                yield flush(hot)
+    for hot in (0, 1):
+        if size[hot]:
+            yield flush(hot)
+
+
+def _first(runs: np.ndarray) -> np.ndarray:
+    """Where the bytes of units of so many starts begin, one after the other."""
+    length = runs.astype(np.int64) + SPAN - 1
+    return np.cumsum(length) - length
+
+
+def _split(doc, sign, mark, start, runs, data, n: int, m: int) -> list[tuple]:
+    """Repeats among suffixes of hot marks here; the other suffixes one by one, equal ones to one bucket."""
+    first = _first(runs)
+    pos, owner = ranges(first, runs.astype(np.int64))
+    gone = _repeated(doc, mark, pos, owner, data)
+    rows = _found(gone, doc, sign, start, first, pos, owner, m)
+    pos, owner = pos[~gone], owner[~gone]
+    at = start[owner].astype(np.int64) + pos - first[owner]
+    bucket = dealt(mixed(mark[owner] + mixed(PrefixHashes(data).part(pos, pos + SPAN))), n)
+    for b, (d, g, k, s, p) in by_bucket(bucket, doc[owner], sign[owner], mark[owner], at.astype(np.uint32), pos):
+        rows.append((b, _BYTES, pack(d, g, k, s, np.ones(len(d), np.uint8), data[p[:, None] + np.arange(SPAN)].ravel())))
+    return rows
 
 
 def common_extension(h: PrefixHashes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Length up to ``SPAN`` over which the suffixes at ``a`` and ``b`` agree, by halving steps."""
     length = np.zeros(len(a), np.int64)
+    sum_a, sum_b, back_a, back_b = h.sums[a], h.sums[b], h.back[a], h.back[b]
     step = 1 << (SPAN.bit_length() - 1)
     while step:
-        go = np.flatnonzero(length + step <= SPAN)
-        pa_, pb = a[go] + length[go], b[go] + length[go]
-        same = h.part(pa_, pa_ + step) == h.part(pb, pb + step)
-        length[go[same]] += step
+        # What agrees so far is taken along, so only the ends move.
+        longer = np.minimum(length + step, SPAN)
+        same = (h.sums[a + longer] - sum_a) * back_a == (h.sums[b + longer] - sum_b) * back_b
+        length = np.where(same, longer, length)
         step >>= 1
     return length
 
@@ -368,55 +405,75 @@ def _less(h: PrefixHashes, data: np.ndarray, a: np.ndarray, b: np.ndarray, or_eq
 def merge_sorted(h: PrefixHashes, data: np.ndarray, pos: np.ndarray, heads: np.ndarray) -> np.ndarray:
     """Order of the suffixes at ``pos`` inside each segment starting at ``heads``: a stable bottom-up
     mergesort, all segments and runs of a round at once. Each element finds its place in the
-    neighbouring run by binary search."""
+    neighbouring run by binary search. Elements that a merge brings next to equal ones are united
+    with them and go no further, so many equal suffixes cost one round each, not all rounds."""
     n = len(pos)
-    order = np.arange(n)
-    sizes = np.diff(np.r_[heads, n])
-    run = 1
-    while len(sizes) and run < sizes.max():
-        big = np.flatnonzero(sizes > run)
-        at, owner = ranges(heads[big], sizes[big])
-        base, size = heads[big][owner], sizes[big][owner]
-        inside = at - base
-        block = inside // run
-        right = block % 2 == 1
-        other = np.where(right, block - 1, block + 1) * run
-        low = np.minimum(other, size)
-        high = np.minimum(other + run, size)
-        floor = low.copy()
-        mine = pos[order[at]]
+    whole = h.part(pos, pos + SPAN)
+    one = np.arange(n)  # the suffix, further to the left, that each one is united with
+    element = np.arange(n)  # those that stand for themselves, run by run
+    size = np.ones(n, np.int64)  # of the runs
+    of = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, n]))  # their segments
+    done, done_of = [], []
+    while True:
+        # Segments of one run are done.
+        head = _groups(of)
+        runs = np.diff(np.r_[head, len(of)])
+        first = np.cumsum(size) - size
+        alone = head[runs == 1]
+        at, owner = ranges(first[alone], size[alone])
+        done.append(element[at])
+        done_of.append(of[alone][owner])
+        if len(alone) == len(head):
+            break
+        left = np.repeat(runs > 1, runs)
+        element, size, of, head, runs = element[np.repeat(left, size)], size[left], of[left], head[runs > 1], runs[runs > 1]
+        inside = np.arange(len(of)) - np.repeat(np.cumsum(runs) - runs, runs)
+        first = np.cumsum(size) - size
+        right = inside % 2 == 1
+        mate = np.arange(len(of)) + np.where(right, -1, 1)
+        has = right | (inside + 1 < np.repeat(runs, runs))
+        mate[~has] = 0
+        run = np.repeat(np.arange(len(of)), size)
+        base, to_right = first[mate][run], right[run]
+        low = np.zeros(len(element), np.int64)
+        high = np.where(has, size[mate], 0)[run]
         open_ = np.flatnonzero(low < high)
         while len(open_):
             mid = (low[open_] + high[open_]) >> 1
-            theirs = pos[order[base[open_] + mid]]
+            theirs, mine = element[base[open_] + mid], element[open_]
             # Elements of the left run stay before equal ones of the right run.
-            r = right[open_]
-            go = np.empty(len(open_), bool)
-            go[r] = _less(h, data, theirs[r], mine[open_][r], True)
-            go[~r] = _less(h, data, theirs[~r], mine[open_][~r], False)
+            go = to_right[open_]
+            k = np.flatnonzero(whole[theirs] != whole[mine])
+            go[k] = _less(h, data, pos[theirs[k]], pos[mine[k]], False)
             low[open_[go]] = mid[go] + 1
             high[open_[~go]] = mid[~go]
             open_ = open_[low[open_] < high[open_]]
-        pair = block // 2 * 2 * run
-        place = base + pair + (inside - block * run) + (low - floor)
-        merged = order.copy()
-        merged[place] = order[at]
-        order = merged
-        run *= 2
-    return order
-
-
-def _sorted_repeats(blobs: list[bytes], n: int) -> list[tuple]:
-    """Repeats among the suffixes of one bucket."""
-    parts = list(zip(*(unpack(x) for x in blobs)))
-    doc, sign, mark, start, runs, data = (np.concatenate(p) for p in parts)
-    length = runs.astype(np.int64) + SPAN - 1
-    first = np.cumsum(length) - length
-    pos, owner = ranges(first, runs.astype(np.int64))
+        merged = np.empty_like(element)
+        merged[(first - np.where(right, size[mate], 0))[run] + np.arange(len(element)) - first[run] + low] = element
+        # Pairs of runs are one now.
+        pair = np.flatnonzero(~right)
+        size, of = np.add.reduceat(size, pair), of[pair]
+        run = np.repeat(np.arange(len(of)), size)
+        equal = np.zeros(len(merged), bool)
+        equal[1:] = (run[1:] == run[:-1]) & (whole[merged[1:]] == whole[merged[:-1]])
+        gone = np.flatnonzero(equal)
+        one[merged[gone]] = merged[gone - 1]
+        element = merged[~equal]
+        size = size - np.bincount(run[gone], minlength=len(size))
+    while (one[one] != one).any():
+        one = one[one]
+    place = np.empty(n, np.int64)
+    element = np.concatenate(done)
+    place[element[np.argsort(np.concatenate(done_of), kind="stable")]] = np.arange(len(element))
+    return np.argsort(place[one], kind="stable")
+
+
+def _repeated(doc: np.ndarray, mark: np.ndarray, pos: np.ndarray, owner: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Which suffixes, at ``pos`` in units ``owner``, are repeats of one with the same mark in a smaller document."""
+    out = np.zeros(len(pos), bool)
     padded = np.r_[data, np.zeros(8, np.uint8)]
-    head = np.zeros(len(pos), np.uint64)
-    for k in range(8):
-        head = (head << np.uint64(8)) | padded[pos + k]
+    words = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    head = words[pos].byteswap()
     order = np.lexsort((head, mark[owner]))
     # A suffix that is alone with its mark and first bytes is no repeat.
     key_m, key_h = mark[owner][order], head[order]
@@ -425,7 +482,7 @@ def _sorted_repeats(blobs: list[bytes], n: int) -> list[tuple]:
     keep = np.repeat(sizes > 1, sizes)
     order = order[keep]
     if not len(order):
-        return []
+        return out
     heads = _groups(key_m[keep], key_h[keep])
     pos, owner = pos[order], owner[order]
     for seed in range(64):
@@ -435,11 +492,11 @@ def _sorted_repeats(blobs: list[bytes], n: int) -> list[tuple]:
         inner = np.ones(len(p), bool)
         inner[heads] = False
         near = np.flatnonzero(inner)
-        equal = common_extension(h, p[near - 1], p[near]) == SPAN
+        equal = h.part(p[near - 1], p[near - 1] + SPAN) == h.part(p[near], p[near] + SPAN)
         pairs = near[equal]
         true = np.ones(len(pairs), bool)
-        for k in range(SPAN):
-            true &= data[p[pairs - 1] + k] == data[p[pairs] + k]
+        for k in (*range(0, SPAN - 7, 8), SPAN - 8):
+            true &= words[p[pairs - 1] + k] == words[p[pairs] + k]
         if true.all():
             break
     else:
@@ -448,8 +505,13 @@ def _sorted_repeats(blobs: list[bytes], n: int) -> list[tuple]:
     joined[pairs] = True
     group = np.flatnonzero(~joined)
     smallest = np.repeat(np.minimum.reduceat(doc[o], group), np.diff(np.r_[group, len(p)]))
-    hit = doc[o] > smallest
-    o, p = o[hit], p[hit]
+    out[order[place[doc[o] > smallest]]] = True
+    return out
+
+
+def _found(gone, doc, sign, start, first, pos, owner, n: int) -> list[tuple]:
+    """Blobs of the intervals of the suffixes that are ``gone``."""
+    o, p = owner[gone], pos[gone]
     at = start[o].astype(np.int64) + p - first[o]
     # Neighbouring starts of one document become one interval.
     order = np.lexsort((at, sign[o], doc[o]))
@@ -460,6 +522,15 @@ def _sorted_repeats(blobs: list[bytes], n: int) -> list[tuple]:
     return [(b, _REPEATS, blob) for b, blob in _intervals(d[cut], g[cut], at[cut], at[last] + SPAN, n)] if len(d) else []
 
 
+def _sorted_repeats(blobs: list[bytes], n: int) -> list[tuple]:
+    """Repeats among the suffixes of one bucket."""
+    parts = list(zip(*(unpack(x) for x in blobs)))
+    doc, sign, mark, start, runs, data = (np.concatenate(p) for p in parts)
+    first = _first(runs)
+    pos, owner = ranges(first, runs.astype(np.int64))
+    return _found(_repeated(doc, mark, pos, owner, data), doc, sign, start, first, pos, owner, n)
+
+
 def _merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     order = np.argsort(starts, kind="stable")
     s, e = starts[order].astype(np.int64), np.maximum.accumulate(ends[order].astype(np.int64))
@@ -508,7 +579,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, int, int]:
         yield _batch(passed + _packed(repeats_, asked_, m))
 
     met = settled(sent.mapInArrow(meet, _BLOBS), "suffix-met")
-    asked = _with_docs(docs, met.filter(F.col("kind") == _ASKED), m, width).mapInArrow(lambda it: _answer(it, n), _BLOBS)
+    asked = _with_docs(docs, met.filter(F.col("kind") == _ASKED), m, width).mapInArrow(lambda it: _answer(it, n, m), _BLOBS)
     suffixes = _by_bucket(asked, width).mapInArrow(lambda it: _bucketwise(it, lambda b, blobs: _sorted_repeats(blobs, m)), _BLOBS)
     return met.filter(F.col("kind") == _REPEATS).unionByName(settled(suffixes, "suffix-sorted")), m, width
 

@@ -177,3 +177,60 @@ def test_keyed_hashes_see_every_byte():
 
 def test_empty(spark):
     assert sd.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_merge_unites_equal_suffixes():
+    """A suffix that very many documents hold is compared once a copy, not once a copy and round."""
+    n = 4096
+    rng = np.random.default_rng(1)
+    tails = rng.integers(97, 123, (n, 40)).astype(np.uint8)
+    data = np.concatenate([np.concatenate([np.full(60, 120, np.uint8), t]) for t in tails])
+    pos = np.arange(n) * 100
+    compared = []
+
+    class Counted(sd.PrefixHashes):
+        def part(self, start, end):
+            compared.append(len(start))
+            return super().part(start, end)
+
+    order = sd.merge_sorted(Counted(data), data, pos, np.array([0]))
+    assert order.tolist() == list(range(n)) and sum(compared) <= 4 * n
+    mixed_ = np.sort(rng.permutation(len(data) - 60)[:3000])
+    raw = data.tobytes()
+    want = sorted(range(3000), key=lambda k: raw[mixed_[k] : mixed_[k] + sd.SPAN])
+    assert sd.merge_sorted(sd.PrefixHashes(data), data, mixed_, np.array([0])).tolist() == want
+
+
+def test_units_of_a_hot_mark_go_to_several_buckets(monkeypatch):
+    """A passage in very many different documents: its mark's suffixes are dealt out, and repeats stay the same."""
+    from ledgerlake.llm.packed import pack, unpack
+
+    rng = random.Random(4)
+    passage = bytes(rng.randrange(97, 123) for _ in range(40))
+    texts = [bytes(rng.randrange(97, 123) for _ in range(34)) + passage + bytes(rng.randrange(97, 123) for _ in range(12)) for _ in range(300)]
+    texts[100:200] = [texts[k][:20] + texts[0][20:] for k in range(100)]
+    mark = np.full(300, 7, np.uint64)
+    runs = np.array([len(t) - sd.SPAN + 1 for t in texts], np.uint8)
+    doc, sign, start = np.arange(300) // 2, np.arange(300).astype(np.uint64), np.zeros(300, np.uint32)
+
+    def starts(rows):
+        return {(d, g, k) for _, kind, blob in rows if kind == sd._REPEATS for d, g, s, e in zip(*(c.tolist() for c in unpack(blob))) for k in range(s, e)}
+
+    want = starts(sd._sorted_repeats([pack(doc, sign, mark, start, runs, np.frombuffer(b"".join(texts), np.uint8))], 3))
+    rows = []
+    for some in (slice(0, 140), slice(140, 300)):
+        rows += sd._split(doc[some], sign[some], mark[some], start[some], runs[some], np.frombuffer(b"".join(texts[some]), np.uint8), 16, 3)
+    buckets = {}
+    for b, kind, blob in rows:
+        if kind == sd._BYTES:
+            buckets.setdefault(b, []).append(blob)
+    assert len(buckets) == 16
+    got = starts(rows) | {x for blobs_ in buckets.values() for x in starts(sd._sorted_repeats(blobs_, 3))}
+    assert want and got == want
+
+
+def test_hot_marks_equal_brute(spark, monkeypatch):
+    monkeypatch.setattr(sd, "HOT", 2)
+    rows = corpus(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((tuple(r) for r in sd.digest(df).collect()), key=str) == brute(rows)
