@@ -11,8 +11,8 @@ second one beside it, over second hashes of the words, tells whether two sets sh
 and then all is done again with another key), so copies cost one row each. Links matter
 here up to connection: in a small group that shares a prefix n-gram all pairs that pass the size
 and position bounds are counted; in a large one, members are first compared with a few pivots of
-the group's largest component, and only then are pairs counted that no link joins yet. No pair
-that could join two components is left out.
+the group's largest component, then with four times as many of its sets in each round, and only at
+last are all pairs counted that no link joins yet. No pair that could join two components is left out.
 
 The order only steers how much is compared; any table of counts gives the same links.
 
@@ -356,18 +356,26 @@ def _large(groups: DataFrame, links: DataFrame, segments: DataFrame, percent: in
     """Links of large groups, enough to connect whatever is connected.
 
     ``groups``: grp, a, size, at, deg (in how many large groups the set is). Pivots are the sets in
-    most groups, first of the whole group, later of its largest component; in the last round every
-    set outside that component meets all sets that no link joins to it yet.
+    most groups, first of the whole group, later of its largest component. Then every set outside that
+    component meets growing shares of it, picked by hash, as most sets find a link long before they
+    have met all; in the last round it meets all sets that no link joins to it yet.
     """
-    for round_, pivots in enumerate((*counts, None)):
+    most = groups.groupBy("grp").count().agg(F.max("count")).first()[0]
+    shares = []
+    while (share := 4 * (shares[-1] if shares else max(counts, default=12))) < most / 2:
+        shares.append(share)
+    for round_, pivots in enumerate((*counts, *shares, None)):
         labels = components(links)
         member = groups.join(labels, groups["a"] == labels["node"], "left").select("grp", F.col("a").alias("x"), F.col("size").alias("x_size"), F.col("at").alias("x_at"), "deg", F.coalesce("root", "a").alias("x_root"))
         member = settled(member, "jaccard-members")
-        core = member.groupBy("grp", "x_root").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.max(F.struct("n", F.col("x_root").alias("core"))).alias("m")).select("grp", F.col("m.core").alias("core"))
+        core = member.groupBy("grp", "x_root").agg(F.count(F.lit(1)).alias("n")).groupBy("grp").agg(F.max(F.struct("n", F.col("x_root").alias("core"))).alias("m")).select("grp", F.col("m.core").alias("core"), F.col("m.n").alias("core_n"))
         marked = member.join(core, "grp")
-        other = marked.select("grp", F.col("x").alias("y"), F.col("x_size").alias("y_size"), F.col("x_at").alias("y_at"), "deg", F.col("x_root").alias("y_root"), F.col("core").alias("y_core"))
+        other = marked.select("grp", F.col("x").alias("y"), F.col("x_size").alias("y_size"), F.col("x_at").alias("y_at"), "deg", F.col("x_root").alias("y_root"), F.col("core").alias("y_core"), F.col("core_n").alias("y_core_n"))
         outside = (marked if round_ == 0 else marked.filter("x_root <> core")).drop("deg")
-        if pivots:
+        if len(counts) <= round_ < len(counts) + len(shares):
+            part = F.pmod(F.xxhash64("y", F.lit(round_)), F.lit(1 << 20)) * F.col("y_core_n") < F.lit(pivots << 20)
+            pairs = outside.join(other.filter("y_root = y_core").filter(part), "grp")
+        elif pivots:
             turn = F.pmod(F.xxhash64("y", F.lit(round_)), F.lit(pivots))
             picks = F.array(*[F.min(F.when(turn == k, F.struct((-F.col("deg")).alias("o"), "y", "y_size", "y_at", "y_root"))) for k in range(pivots)])
             pool = other if round_ == 0 else other.filter("y_root = y_core")

@@ -124,3 +124,28 @@ def test_long_text(spark):
     rows = [(1, long), (2, long + " end"), (3, "w0 w1 w2 w3 w4"), (4, None)]
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jj.join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(1, 59_997, 1), (2, 59_998, 1), (3, 2, 3), (4, 0, 4)]
+
+
+def test_sets_outside_a_large_group_s_core_find_links_early(spark, monkeypatch):
+    """Near copies that few others reach are not compared with all of a large group."""
+    import types
+
+    rng = random.Random(2)
+    base = [f"w{k}" for k in range(145)]
+    rows = []
+    for k in range(700):
+        words = list(base)
+        for at in rng.sample(range(len(base)), 1 + rng.randrange(3)):
+            words[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(words)))
+    counted = []
+    real = jj.verified
+
+    def counting(pairs, segments, percent):
+        counted.append(pairs.count())
+        return real(pairs, segments, percent)
+
+    monkeypatch.setattr(jj, "verified", counting)
+    monkeypatch.setattr(jj, "secrets", types.SimpleNamespace(randbits=lambda n: 3 * 0x9E3779B97F4A7C15 % (1 << 63)))
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jj.join(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()), key=str)
+    assert max(counted) < 40 * len(rows) and got == brute(rows, 5, 80)
