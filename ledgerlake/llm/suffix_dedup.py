@@ -246,7 +246,7 @@ def _bucketwise(batches: Iterator[pa.RecordBatch], full) -> Iterator[pa.RecordBa
         yield _batch(full(now, blobs))
 
 
-def _meet(blobs: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _meet(blobs: list[bytes], most: int = HOT) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Repeats among whole units of one bucket, and which units' bytes are asked for."""
     cols: list[list[np.ndarray]] = [[] for _ in range(7)]
     for blob in blobs:
@@ -267,7 +267,7 @@ def _meet(blobs: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     several &= np.repeat(np.add.reduceat(kinds, marks) > 1, span)
     start, end = start.astype(np.int64), start.astype(np.int64) + runs + SPAN - 1
     asked = several & ~repeat
-    hot = np.repeat(np.add.reduceat(asked.astype(np.int64), marks) > HOT, span)
+    hot = np.repeat(np.add.reduceat(asked.astype(np.int64), marks) > most, span)
     return [doc[repeat], sign[repeat], start[repeat], end[repeat]], [doc[asked], sign[asked], mark[asked], start[asked].astype(np.uint32), runs[asked].astype(np.uint8), hot[asked].astype(np.uint8)]
 
 
@@ -552,7 +552,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, int, int]:
 
         def close():
             nonlocal units_, held
-            r, a = _meet(units_)
+            r, a = _meet(units_, HOT)
             repeats_.append(r)
             asked_.append(a)
             units_ = []

@@ -229,8 +229,19 @@ def test_units_of_a_hot_mark_go_to_several_buckets(monkeypatch):
     assert want and got == want
 
 
-def test_hot_marks_equal_brute(spark, monkeypatch):
+def test_hot_marks_equal_brute(spark, monkeypatch, tmp_path):
+    split = sd._split
+
+    def seen(*args):
+        (tmp_path / str(random.random())).touch()
+        return split(*args)
+
+    answer = sd._answer
     monkeypatch.setattr(sd, "HOT", 2)
+    # Functions that are not found under their names go to the workers as they are here.
+    monkeypatch.setattr(sd, "_split", seen)
+    monkeypatch.setattr(sd, "_answer", lambda it, n, m: answer(it, n, m))
     rows = corpus(5)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert sorted((tuple(r) for r in sd.digest(df).collect()), key=str) == brute(rows)
+    assert list(tmp_path.iterdir())
