@@ -2,9 +2,9 @@
 
 Documents whose ``crc32(doc_id as text) mod 10`` is not 0 are learned from; all are scored.
 
-1. Every text is encoded once; texts and ids are kept in the shared folder. Words of all training
-   documents are counted (per block first, then by word); they give the base score. All their ids
-   are counted too.
+1. Every text is split and encoded once; texts and ids are kept in the shared folder. Words of all
+   training documents are counted in the same pass (per block first, then by word); they give the
+   base score. All their ids are counted too.
 2. Ids are put in classes of equal mass: ``P(id | context) = P(class | context) * P(id | class)``;
    the second part is exact. All ids have input vectors: the most frequent ones their own, the
    others share ``HASHED`` by number.
@@ -32,21 +32,20 @@ training tokens the counts are 0 and the classes uniform. Other columns are not
 from __future__ import annotations
 
 import math
+import secrets
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cluster_width, ids_and_texts, pieces, settled
-from .packed import by_bucket, dealt, pack, unpack
-from .tokens import END_ID, encoder
+from .packed import by_bucket, dealt, keyed, pack, unpack
+from .tokens import END_ID, SPLIT_BYTES, encoder, split_words, summed
 
 T, OVERLAP = 32, 4
 WIDTH, KEYS = 16, 8  # of values, and of queries and keys
@@ -66,6 +65,8 @@ BLOCK = 32 << 20
 PASS = 256 << 10
 TURN = 4096  # windows of a long text that are held at once
 FAN = 64  # rows that one sum takes in
+HELD = 1_000_000  # words of a bucket that wait to be summed
+
 
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 == 0
@@ -76,83 +77,102 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _hash(words: list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+def _hash(words: pa.Array, key: int) -> np.ndarray:
+    """64 bits of each word, with a key that is drawn for each run."""
+    words = words.cast(pa.large_binary())
+    _, at, data = words.buffers()
+    at = np.frombuffer(at, np.int64)[words.offset : words.offset + len(words) + 1] if at else np.zeros(len(words) + 1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+    return keyed(data, at[:-1], at[1:], key)[0]
 
 
 # ---- counts
 
 
-def _word_blobs(docs: DataFrame, n: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        size = 0
-
-        def flush():
-            words = sorted(counts)
-            number = np.array([counts[w] for w in words], np.uint32)
-            rows = []
-            array = np.array(words, dtype=object)
-            for b, (ws, c) in by_bucket(dealt(_hash(words), n), array, number):
-                rows.append((b, b"\n".join(ws.tolist()), pack(c)))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "words", "counts"])
-
-        for batch in pieces(batches):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if held_out(doc):
-                    continue
-                counts.update(words_of(text))
-                size += len(text or "")
-            if size >= BLOCK:
-                yield flush()
-                counts, size = Counter(), 0
-        if counts:
-            yield flush()
-
-    return docs.mapInArrow(run, "bucket int, words binary, counts binary")
+def _word_rows(words: pa.Array, count: np.ndarray, n: int, key: int) -> list[tuple]:
+    """(bucket, words one after the other, packed sizes and counts) of distinct words."""
+    bucket = dealt(_hash(words, key), n)
+    order = np.argsort(bucket, kind="stable")
+    words, count, bucket = words.cast(pa.large_binary()).take(pa.array(order)), count[order], bucket[order]
+    data = words.buffers()[2]
+    end = np.cumsum(size := np.asarray(pc.binary_length(words)))
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]).tolist() if len(bucket) else [0]
+    return [(int(bucket[a]), data.slice(int(end[a] - size[a]), int(end[b - 1] - end[a] + size[a])).to_pybytes(), pack(size[a:b].astype(np.uint32), count[a:b].astype(np.uint32))) for a, b in zip(cuts, cuts[1:])]
 
 
-def count_words(docs: DataFrame, n: int, width: int) -> DataFrame:
-    """Settled rows (bucket, word, c) of each training word."""
+def count_words(rows: DataFrame, width: int) -> DataFrame:
+    """Settled rows (bucket, word, c) of each training word. ``rows``: from :func:`encoded`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, counts = None, {}
+        now, words, counts, held = None, [], [], 0
+
+        def merge():
+            nonlocal words, counts, held
+            found, count = summed(pa.concat_arrays(words), np.concatenate(counts))
+            words, counts, held = [found], [count], 0
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array([now] * len(counts), pa.int32()), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["bucket", "word", "c"])
+            merge()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(words[0]), now), pa.int32()), words[0].cast(pa.binary()), pa.array(counts[0], pa.int64())], names=["bucket", "word", "c"])
 
         for batch in batches:
-            for bucket, words, c in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for bucket, data, blob in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if bucket != now:
-                    if counts:
+                    if words:
                         yield flush()
-                    now, counts = bucket, {}
-                get = counts.get
-                for w, k in zip(words.split(b"\n"), unpack(c)[0].tolist()):
-                    counts[w] = get(w, 0) + k
-        if counts:
+                    now, words, counts, held = bucket, [], [], 0
+                size, c = unpack(blob)
+                at = np.r_[0, np.cumsum(size, dtype=np.int64)]
+                words.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data)]))
+                counts.append(c.astype(np.int64))
+                held += len(c)
+                if held > HELD:
+                    merge()
+        if words:
             yield flush()
 
-    sent = _word_blobs(docs, n).repartition(width, "bucket").sortWithinPartitions("bucket")
+    sent = rows.filter("bucket is not null").select("bucket", "words", "counts").repartition(width, "bucket").sortWithinPartitions("bucket")
     return settled(sent.mapInArrow(run, "bucket int, word binary, c long"), "lm-words")
 
 
 # ---- ids
 
 
-def encoded(docs: DataFrame, vocabulary: str | None) -> DataFrame:
-    """Settled rows (doc_id, text, held, n, ids) of all documents: each text with its ids, the end id last."""
+def encoded(docs: DataFrame, vocabulary: str | None, n: int = 1, key: int = 0) -> DataFrame:
+    """Settled rows (doc_id, text, held, n, ids) of all documents: each text with its ids, the end id last; and rows
+    (bucket, words, counts) of the words of training documents, per ``BLOCK`` of texts, dealt to ``n`` buckets."""
+    kind = "doc_id long, text string, held boolean, n long, ids binary, bucket int, words binary, counts binary"
+    names = [x.split()[0] for x in kind.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(vocabulary).encode, np.array([END_ID], "<u4").tobytes()
+        encode = encoder(vocabulary).encode_all
         wide = encoder(vocabulary).vocab_size > 1 << 16
-        for batch in pieces(batches):
-            ids = [np.frombuffer(encode(t) + end, "<u4") for t in batch.column(1).to_pylist()]
-            raw = [(i if wide else i.astype("<u2")).tobytes() for i in ids]
-            held = pa.array([held_out(d) for d in batch.column(0).to_pylist()], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), held, pa.array([len(i) for i in ids], pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "text", "held", "n", "ids"])
+        found: list[pa.Array] = []
+        counts: list[np.ndarray] = []
+        size = 0
 
-    return settled(docs.mapInArrow(run, "doc_id long, text string, held boolean, n long, ids binary"), "lm-ids")
+        def flush():
+            rows = _word_rows(*summed(pa.concat_arrays(found), np.concatenate(counts)), n, key)
+            none = [pa.nulls(len(rows), t) for t in (pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.binary())]
+            return pa.RecordBatch.from_arrays([*none, *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary())))], names=names)
+
+        for batch in pieces(batches, most=SPLIT_BYTES):
+            held = np.array([held_out(d) for d in batch.column(0).to_pylist()], bool)
+            ids, at, words, count = encode(batch.column(1), ~held)
+            found.append(words)
+            counts.append(count)
+            size += batch.column(1).nbytes
+            ids = ids if wide else ids.astype("<u2")
+            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(held), [None, pa.py_buffer((at * ids.itemsize).tobytes()), pa.py_buffer(ids)]).cast(pa.binary())
+            none = [pa.nulls(len(held), t) for t in (pa.int32(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held), pa.array(np.diff(at)), raw, *none], names=names)
+            if size >= BLOCK:
+                yield flush()
+                found, counts, size = [], [], 0
+        if found:
+            yield flush()
+
+    return settled(docs.mapInArrow(run, kind), "lm-ids")
 
 
 def _ids(raw: list[bytes], vocab: int) -> list[np.ndarray]:
@@ -225,7 +245,7 @@ class Classes:
 
 
 _DISTANCE = np.arange(T)[:, None] - np.arange(T)
-_SHOWN = (_DISTANCE >= 0).astype(np.float32)
+_HIDDEN = np.where(_DISTANCE >= 0, 0, -np.inf).astype(np.float32)
 #: Scores are kept within these bounds, so that their exponentials stay finite.
 _BOUND = np.float32(40)
 _SCALE = np.float32(1 / math.sqrt(KEYS))
@@ -240,25 +260,30 @@ def first_weights() -> dict[str, np.ndarray]:
     return out
 
 
-def attend(w: dict, x: np.ndarray) -> tuple:
-    """What each place of windows of input numbers attends to: vectors, queries, keys, values, weights, and their mean."""
+def attend(w: dict, x: np.ndarray, made: np.ndarray | None = None) -> tuple:
+    """What each place of windows of input numbers attends to: vectors, scaled queries, keys, values, weights, what to
+    multiply them by so that they sum to one, and the mean of the values by them. ``made``: queries, keys and values
+    of all input numbers, where they stay the same."""
     n, t = x.shape
-    e = w["embed"].take(x.ravel(), axis=0)
-    z = (e @ w["qkv"]).reshape(n, t, -1)
+    e = w["embed"].take(x.ravel(), axis=0) if made is None else None
+    z = (e @ w["qkv"] if made is None else made.take(x.ravel(), axis=0)).reshape(n, t, -1)
     q, k, v = z[:, :, :KEYS], z[:, :, KEYS : 2 * KEYS], z[:, :, 2 * KEYS :]
-    a = (q * _SCALE) @ k.transpose(0, 2, 1)
-    a += w["near"][np.maximum(_DISTANCE[:t, :t], 0)]
+    q = q * _SCALE
+    a = q @ k.transpose(0, 2, 1)
     np.clip(a, -_BOUND, _BOUND, out=a)
+    a += np.clip(w["near"], -_BOUND, _BOUND)[np.maximum(_DISTANCE[:t, :t], 0)] + _HIDDEN[:t, :t]
     np.exp(a, out=a)
-    a *= _SHOWN[:t, :t]
-    a /= (a @ np.ones(t, np.float32))[:, :, None]
-    return e, q, k, v, a, a @ v
+    part = 1 / (a @ np.ones(t, np.float32))[:, :, None]
+    h = a @ v
+    h *= part
+    return e, q, k, v, a, part, h
 
 
 def class_odds(w: dict, prior: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Unscaled probabilities of the classes after each of the vectors ``h``, and what to divide them by."""
-    g = h @ w["out"]
-    g += prior
+    wide = np.ones((len(h), h.shape[1] + 1), h.dtype)  # the last column brings in the prior
+    wide[:, :-1] = h
+    g = wide @ np.vstack([w["out"], prior[None].astype(w["out"].dtype)])
     np.clip(g, -_BOUND, _BOUND, out=g)
     np.exp(g, out=g)
     return g, g @ np.ones(CLASSES, np.float32)
@@ -267,28 +292,37 @@ def class_odds(w: dict, prior: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, n
 def _sums(to: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct numbers ``to`` and the sums of ``rows`` by them."""
     order = np.argsort(to, kind="stable")
-    to = to[order]
-    first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-    return to[first], np.add.reduceat(rows[order], first)
+    to = to.take(order)
+    new = np.empty(len(to), bool)
+    new[0] = True
+    np.not_equal(to[1:], to[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    # Two numbers at a time, which add up as one complex number.
+    pairs = rows.take(order, axis=0).view(np.result_type(rows.dtype, np.complex64))
+    return to[first], np.add.reduceat(pairs, first).view(rows.dtype)
 
 
 def gradients(w: dict, prior: np.ndarray, x: np.ndarray, y: np.ndarray, keep: np.ndarray) -> tuple[dict, np.ndarray]:
     """Gradients of the mean log loss by weight; those of input vectors only for the numbers returned beside them."""
     n, t = x.shape
-    e, q, k, v, a, h = attend(w, x)
+    e, q, k, v, a, part, h = attend(w, x)
     flat = lambda z: z.reshape(-1, z.shape[-1])
     g, total = class_odds(w, prior, flat(h))
     used = keep.ravel().astype(np.float32) / np.float32(max(1, keep.sum()))
     g *= (used / total)[:, None]
-    g[np.arange(len(g)), y.ravel()] -= used
+    g.reshape(-1)[np.arange(0, g.size, CLASSES) + y.ravel()] -= used
     grad = {"out": flat(h).T @ g}
     dh = (g @ w["out"].T).reshape(n, t, WIDTH)
+    dh *= part
     da = dh @ v.transpose(0, 2, 1)
-    da -= np.einsum("bij,bij->bi", da, a)[:, :, None]
+    da -= np.einsum("bij,bij->bi", dh, h)[:, :, None]
     da *= a
     near = da.sum(axis=0)
     grad["near"] = np.bincount(np.maximum(_DISTANCE[:t, :t], 0).ravel(), (near * (_DISTANCE[:t, :t] >= 0)).ravel(), T).astype(np.float32)
-    dz = np.concatenate([da @ k * _SCALE, da.transpose(0, 2, 1) @ q * _SCALE, a.transpose(0, 2, 1) @ dh], axis=2)
+    dz = np.empty((n, t, 2 * KEYS + WIDTH), e.dtype)
+    np.matmul(da, k * _SCALE, out=dz[:, :, :KEYS])
+    np.matmul(da.transpose(0, 2, 1), q, out=dz[:, :, KEYS : 2 * KEYS])
+    np.matmul(a.transpose(0, 2, 1), dh, out=dz[:, :, 2 * KEYS :])
     grad["qkv"] = e.T @ flat(dz)
     to, grad["embed"] = _sums(x.ravel(), flat(dz) @ w["qkv"].T)
     return grad, to
@@ -353,11 +387,12 @@ def _score(w: dict, c: Classes, ids: list[np.ndarray], before: int | None = None
     if before is not None:
         x[0, 0] = c.input[before]
         keep[0, :OVERLAP] = False
-    step = 256
+    made = w["embed"] @ w["qkv"]
+    step = 128
     for at in range(0, len(x), step):
         k = keep[at : at + step]
         now = y[at : at + step][k]
-        g, total = class_odds(w, c.prior, attend(w, x[at : at + step])[-1][k])
+        g, total = class_odds(w, c.prior, attend(w, x[at : at + step], made)[-1][k])
         own = np.log10((g[np.arange(len(now)), c.cls[now]] / total).astype(np.float64)) + c.inside[now]
         out += np.bincount(np.repeat(doc[at : at + step], k.sum(axis=1)), own, len(ids))
     return out
@@ -416,7 +451,7 @@ def fit(rows: DataFrame, classes, vocab: int, n_ids: int) -> dict:
 # ---- scores of all documents
 
 
-def _frequent(words: DataFrame) -> dict[bytes, int]:
+def _frequent(words: DataFrame) -> tuple[pa.Array, np.ndarray]:
     """Counts of the most frequent words, ``TOP`` at most: all words from some eighth of an octave of counts on,
     but those of more than ``TOP_BYTES`` bytes."""
     words = words.filter(F.octet_length("word") <= TOP_BYTES)
@@ -428,7 +463,8 @@ def _frequent(words: DataFrame) -> dict[bytes, int]:
         if total > TOP:
             break
         least = k
-    return {bytes(r.word): r.c for r in words.filter(step >= least).select("word", "c").collect()}
+    found = words.filter(step >= least).select("word", "c").collect()
+    return pa.array([bytes(r.word) for r in found], pa.large_binary()), np.array([r.c for r in found], np.int64)
 
 
 def score_all(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -438,8 +474,9 @@ def score_all(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     width = cluster_width(spark)
     n = SPREAD * width
     vocab = encoder(vocabulary).vocab_size
-    rows = encoded(docs, vocabulary)
-    words = count_words(docs, n, width)
+    key = secrets.randbits(64)
+    rows = encoded(docs, vocabulary, n, key)
+    words = count_words(rows, width)
     totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train = rows.filter("not held").count()
     all_tokens, distinct = totals.n + n_train, totals.v + (n_train > 0)
@@ -453,14 +490,15 @@ def score_all(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder.cache_clear()
-        get, c, w = top.value.get, classes.value, weights.value
-        key = TaskContext.get().partitionId() << 40
+        (frequent, counts), c, w = top.value, classes.value, weights.value
+        logs, place = np.log10(counts + SMOOTH), TaskContext.get().partitionId() << 40
         ended = math.log10(n_train + SMOOTH) - shift
-        rare_h: list[int] = []
-        rare_k: list[int] = []
+        rare_h: list[np.ndarray] = []
+        rare_k: list[np.ndarray] = []
 
         def flush():
-            cols = by_bucket(dealt(np.array(rare_h, np.uint64), n), np.array(rare_h, np.uint64), np.array(rare_k, np.int64))
+            h, k = np.concatenate(rare_h), np.concatenate(rare_k)
+            cols = by_bucket(dealt(h, n), h, k)
             rows = [(b, pack(h, k)) for b, (h, k) in cols]
             none = {t: pa.nulls(len(rows), t) for t in (pa.int64(), pa.bool_(), pa.float64())}
             i, d = none[pa.int64()], none[pa.float64()]
@@ -468,39 +506,36 @@ def score_all(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
         for big in pieces(batches):
             step = max(1, int(big.num_rows * PASS / max(1, big.nbytes)))
-            for at in range(0, big.num_rows, step):
-                batch = big.slice(at, step)
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                scores = score(w, c, _ids(batch.column(2).to_pylist(), vocab))
-                words_ = [words_of(t) for t in texts]
-                sizes = np.array([len(x) for x in words_], np.int64)
-                flat = list(chain.from_iterable(words_))
-                owner = np.repeat(np.arange(len(texts)), sizes)
-                found = np.fromiter(map(get, flat, repeat(0)), np.int64, len(flat))
-                rare = np.flatnonzero(found == 0)
-                rare_h.extend(xxhash.xxh3_64_intdigest(flat[i]) for i in rare.tolist())
-                rare_k.extend((key + owner[rare]).tolist())
-                missing = np.bincount(owner[rare], minlength=len(texts))
-                part = np.bincount(owner, np.where(found > 0, np.log10(found + SMOOTH), 0.0), len(texts)) - shift * sizes + ended
-                cols = (np.arange(key, key + len(texts)), batch.column(0), [held_out(d) for d in ids], sizes + 1, sizes - missing + (n_train > 0), part, scores)
-                key += len(texts)
-                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                none = (pa.nulls(len(texts), pa.int32()), pa.nulls(len(texts), pa.binary()))
-                yield pa.RecordBatch.from_arrays([*(v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(cols, kinds)), *none], names=[x.split()[0] for x in kind.split(", ")])
-                if len(rare_h) >= 1_000_000:
-                    yield flush()
-                    rare_h.clear()
-                    rare_k.clear()
+            scores = np.concatenate([score(w, c, _ids(big.column(2).slice(at, step).to_pylist(), vocab)) for at in range(0, big.num_rows, step)])
+            words, bounds = split_words(big.column(1))
+            words, sizes = words.cast(pa.large_binary()), np.diff(bounds)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            found = pc.index_in(words, value_set=frequent)
+            rare = np.flatnonzero(np.asarray(found.is_null()))
+            rare_h.append(_hash(words.take(pa.array(rare)), key))
+            rare_k.append(place + owner[rare])
+            missing = np.bincount(owner[rare], minlength=len(sizes))
+            log = np.r_[logs, 0.0][np.asarray(found.fill_null(len(logs)))]
+            part = np.bincount(owner, log, len(sizes)) - shift * sizes + ended
+            held = [held_out(d) for d in big.column(0).to_pylist()]
+            cols = (np.arange(place, place + len(sizes)), big.column(0), held, sizes + 1, sizes - missing + (n_train > 0), part, scores)
+            place += len(sizes)
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            none = (pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary()))
+            yield pa.RecordBatch.from_arrays([*(v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(cols, kinds)), *none], names=[x.split()[0] for x in kind.split(", ")])
+            if sum(map(len, rare_h)) >= 1_000_000:
+                yield flush()
+                rare_h.clear()
+                rare_k.clear()
         if rare_h:
             yield flush()
 
-    done = settled(rows.select("doc_id", "text", "ids").mapInArrow(run, kind), "lm-rows")
+    done = settled(rows.filter("bucket is null").select("doc_id", "text", "ids").mapInArrow(run, kind), "lm-rows")
 
     def table_blobs(batches):
         """Counts by hash of word, packed per bucket."""
         for batch in batches:
-            ws = batch.column(1).to_pylist()
-            h = _hash(ws)
+            h = _hash(batch.column(1), key)
             c = np.asarray(batch.column(2)).astype(np.int64)
             rows = [(b, 0, pack(hh, cc)) for b, (hh, cc) in by_bucket(dealt(h, n), h, c)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "kind", "blob"])

@@ -46,12 +46,12 @@ def cluster_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Batches cut so that ``column`` holds about ``BATCH_BYTES`` at most, one row at least."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that ``column`` holds about ``most`` bytes at most, one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        step = max(1, int(batch.num_rows * BATCH_BYTES / max(1, batch.nbytes)))
+        step = max(1, int(batch.num_rows * most / max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
 

@@ -6,6 +6,8 @@ pieces one after the other. Each distinct piece is encoded once per worker, and
 each distinct string between blanks put together once out of its pieces. Texts
 outside Latin-1, and texts with characters on whose class two libraries might
 differ, go through the library's whole pipeline, piece by piece between blanks.
+Whole columns of texts are split and numbered by Arrow, so that Python sees only
+strings that are new to the worker.
 
 Null and empty texts have no ids. Each cache is bounded in entries,
 which changes speed but never ids.
@@ -19,9 +21,14 @@ import re
 import struct
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CACHE_WORDS, CACHE_PIECES = 400_000, 200_000
 LONG_PIECE = 64
+#: Bytes of texts that are best split at once: the known strings are gone through once for them.
+SPLIT_BYTES = 16 << 20
 END_ID = 1
 
 # The letters and numerals among the lower-case Latin-1 characters, and
@@ -33,6 +40,8 @@ _PIECES = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMERALS}]|'?[^\\s
 _ODD = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f\xad]")
 _SPECIAL = "<|"
 _BLANKS = re.compile(r"[ \n]+")
+# Texts that have either, or characters outside Latin-1, as Arrow finds them.
+_NOT_PLAIN = r"[\x00-\x08\x0e-\x1f\x7f-\x9f\x{ad}\x{100}-\x{10ffff}]|<\|"
 
 
 def default_vocabulary() -> str:
@@ -69,6 +78,58 @@ class _Cache(dict):
         return ids
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words between ASCII blanks of all texts, A-Z lower-cased, and where each text's words begin and end."""
+    # Taken, as Arrow's ASCII functions go wrong on slices.
+    whole = pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(whole))
+    words, bounds = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
+    bounds -= bounds[0]
+    used = np.asarray(pc.binary_length(words)) > 0
+    return words.filter(pa.array(used)), np.r_[0, np.cumsum(used)][bounds]
+
+
+def stretches(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches of ``values`` one after the other."""
+    end = np.cumsum(size)
+    at = np.arange(int(end[-1]) if len(end) else 0)
+    at += np.repeat(start - (end - size), size)
+    return values.take(at)
+
+
+class _Known:
+    """Ids of strings in one flat array; of too many strings, those that were asked for last stay."""
+
+    def __init__(self, encode, most: int):
+        self._encode, self._most = encode, most
+        self.words, self.ids = pa.array([], pa.large_string()), np.empty(0, np.uint32)
+        self.size, self.used, self.turn = np.empty(0, np.int64), np.empty(0, np.int64), 0
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """Each string's number among the known ones, to which new ones are added."""
+        if len(self.words) > self._most:
+            short = np.asarray(pc.utf8_length(self.words)) <= LONG_PIECE
+            keep = np.sort(np.argsort(np.where(short, -self.used, 1), kind="stable")[: min(self._most // 2, int(short.sum()))])
+            self.ids = stretches(self.ids, (np.cumsum(self.size) - self.size)[keep], self.size[keep])
+            self.words, self.size, self.used = self.words.take(pa.array(keep)), self.size[keep], self.used[keep]
+        n = len(self.words)
+        # Known strings come first and are distinct, so they keep their numbers.
+        both = pc.dictionary_encode(pa.concat_arrays([self.words, words]))
+        self.words = both.dictionary
+        new = self.words[n:].to_pylist()
+        got = dict.fromkeys(sorted(new))  # in order, which the library's own tables like
+        for w in got:
+            got[w] = self._encode(w)
+        got = list(map(got.__getitem__, new))
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(got), "<u4")])
+        self.size = np.concatenate([self.size, np.fromiter(map(len, got), np.int64, len(got)) // 4])
+        self.used = np.concatenate([self.used, np.zeros(len(got), np.int64)])
+        number = np.asarray(both.indices)[n:]
+        self.turn += 1
+        self.used[number] = self.turn
+        return number
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes."""
 
@@ -88,6 +149,7 @@ class Encoder:
         self._pieces = _Cache(self._piece, CACHE_PIECES)
         self._words = _Cache(self._word, CACHE_WORDS)
         self._odd = _Cache(self._full, CACHE_PIECES)
+        self._known = _Known(self._plain, 2 * CACHE_WORDS)
 
     def _piece(self, piece: str) -> bytes:
         if not piece.isascii():
@@ -95,6 +157,16 @@ class Encoder:
         ids = [t.id for t in self._model.tokenize(piece)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _plain(self, word: str) -> bytes:
+        """Ids of a string without ASCII blanks and capitals, of a text that goes the short way."""
+        if not word.isascii():
+            word = word.lower()
+        if word.isalpha():
+            return self._piece(word)
+        if word[:-1].isalpha() and not (word[-1].isalnum() or word[-1].isspace()):
+            return self._pieces[word[:-1]] + self._pieces[word[-1]]
+        return b"".join(map(self._word, word.split()))
+
     def _word(self, word: str) -> bytes:
         return b"".join(map(self._pieces.__getitem__, _PIECES.findall(word)))
 
@@ -118,6 +190,52 @@ class Encoder:
             return b"".join(map(self._words.__getitem__, text.lower().split()))
         return b"".join(map(self._odd.__getitem__, _BLANKS.split(text)))
 
+    def encode_all(self, texts: pa.Array, counted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Ids of all texts, the end id after each, and where each begins and ends; and the distinct words
+        (as :func:`split_words` gives them) of the texts ``counted``, all if not given, with how often they occur."""
+        words, bounds = split_words(texts)
+        odd = np.ones(len(texts), bool)
+        if self._fast:
+            odd = np.asarray(pc.fill_null(pc.match_substring_regex(texts, _NOT_PLAIN), False))
+        n_words = np.diff(bounds)
+        counted = np.ones(len(texts), bool) if counted is None else counted
+        plain, other, other_words = words, [], words[:0]
+        if odd.any():
+            owner = np.repeat(np.arange(len(texts)), n_words)
+            plain, other_words = words.filter(pa.array(~odd[owner])), words.filter(pa.array((odd & counted)[owner]))
+            other = [self.encode(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+            n_words = np.where(odd, 0, n_words)
+            bounds = np.r_[0, np.cumsum(n_words)]
+        known = self._known
+        number = known.numbers(plain)
+        # A text is its words, then what went the long way, then its end.
+        other_size = np.zeros(len(texts), np.int64)
+        other_size[odd] = np.fromiter(map(len, other), np.int64, len(other)) // 4
+        n = len(known.ids)
+        values = np.concatenate([known.ids, np.array([END_ID], np.uint32), np.frombuffer(b"".join(other), "<u4")])
+        slots = np.arange(len(number)) + 2 * np.repeat(np.arange(len(texts)), n_words)
+        last = bounds[1:] + 2 * np.arange(len(texts))
+        start, size = (np.empty(len(number) + 2 * len(texts), np.int64) for _ in range(2))
+        start[slots], size[slots] = (np.cumsum(known.size) - known.size)[number], known.size[number]
+        start[last], size[last] = n + 1 + np.cumsum(other_size) - other_size, other_size
+        start[last + 1], size[last + 1] = n, 1
+        ends = np.cumsum(size)[last + 1]
+        count = np.bincount(number[np.repeat(counted, n_words)], minlength=len(known.words))
+        seen = np.flatnonzero(count)
+        found, count = known.words.take(pa.array(seen)), count[seen]
+        if len(other_words):
+            found, count = summed(pa.concat_arrays([found, other_words]), np.r_[count, np.ones(len(other_words), np.int64)])
+        return stretches(values, start, size), np.r_[0, ends], found, count
+
+
+def summed(words: pa.Array, count: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words and the sums of their counts."""
+    both = pc.dictionary_encode(words)
+    number = np.asarray(both.indices)
+    total = np.zeros(len(both.dictionary), np.int64)
+    np.add.at(total, number, count)
+    return both.dictionary, total
+
 
 @lru_cache(maxsize=4)
 def encoder(vocabulary: str | None = None) -> Encoder:
