@@ -131,7 +131,7 @@ def count_words(rows: DataFrame, width: int) -> DataFrame:
         if words:
             yield flush()
 
-    sent = rows.filter("bucket is not null").select("bucket", "words", "counts").repartition(width, "bucket").sortWithinPartitions("bucket")
+    sent = rows.filter("bucket >= 0").select("bucket", "words", "counts").repartition(width, "bucket").sortWithinPartitions("bucket")
     return settled(sent.mapInArrow(run, "bucket int, word binary, c long"), "lm-words")
 
 
@@ -140,25 +140,27 @@ def count_words(rows: DataFrame, width: int) -> DataFrame:
 
 def encoded(docs: DataFrame, vocabulary: str | None, n: int = 1, key: int = 0) -> DataFrame:
     """Settled rows (doc_id, text, held, n, ids) of all documents: each text with its ids, the end id last; and rows
-    (bucket, words, counts) of the words of training documents, per ``BLOCK`` of texts, dealt to ``n`` buckets."""
+    (bucket, words, counts) of the words of training documents, per ``BLOCK`` of texts, dealt to ``n`` buckets, and,
+    in a bucket below 0 for each partition, how often each id occurs in them."""
     kind = "doc_id long, text string, held boolean, n long, ids binary, bucket int, words binary, counts binary"
     names = [x.split()[0] for x in kind.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode_all
-        wide = encoder(vocabulary).vocab_size > 1 << 16
+        vocab = encoder(vocabulary).vocab_size
+        wide, total = vocab > 1 << 16, np.zeros(vocab + 1, np.int64)
         found: list[pa.Array] = []
         counts: list[np.ndarray] = []
         size = 0
 
-        def flush():
-            rows = _word_rows(*summed(pa.concat_arrays(found), np.concatenate(counts)), n, key)
+        def others(rows):
             none = [pa.nulls(len(rows), t) for t in (pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.binary())]
             return pa.RecordBatch.from_arrays([*none, *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary())))], names=names)
 
         for batch in pieces(batches, most=SPLIT_BYTES):
             held = np.array([held_out(d) for d in batch.column(0).to_pylist()], bool)
             ids, at, words, count = encode(batch.column(1), ~held)
+            total += np.bincount(ids[np.repeat(~held, np.diff(at))], minlength=vocab + 1)
             found.append(words)
             counts.append(count)
             size += batch.column(1).nbytes
@@ -167,10 +169,12 @@ def encoded(docs: DataFrame, vocabulary: str | None, n: int = 1, key: int = 0) -
             none = [pa.nulls(len(held), t) for t in (pa.int32(), pa.binary(), pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held), pa.array(np.diff(at)), raw, *none], names=names)
             if size >= BLOCK:
-                yield flush()
+                yield others(_word_rows(*summed(pa.concat_arrays(found), np.concatenate(counts)), n, key))
                 found, counts, size = [], [], 0
         if found:
-            yield flush()
+            yield others(_word_rows(*summed(pa.concat_arrays(found), np.concatenate(counts)), n, key))
+        if total.any():
+            yield others([(-1 - TaskContext.get().partitionId(), None, pack(total))])
 
     return settled(docs.mapInArrow(run, kind), "lm-ids")
 
@@ -212,17 +216,8 @@ def sums(rows: DataFrame, name: str) -> list[np.ndarray] | None:
 
 
 def count_ids(rows: DataFrame, vocab: int) -> np.ndarray:
-    """How often each id occurs in training documents."""
-
-    def run(batches):
-        total = np.zeros(vocab + 1, np.int64)
-        for batch in batches:
-            raw = batch.column(0).to_pylist()
-            if raw:
-                total += np.bincount(_ids([b"".join(raw)], vocab)[0], minlength=vocab + 1)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([pack(total)], pa.binary())], names=["k", "blob"])
-
-    found = sums(rows.filter("not held").select("ids").mapInArrow(run, "k long, blob binary"), "lm-id-counts")
+    """How often each id occurs in training documents. ``rows``: from :func:`encoded`."""
+    found = sums(rows.filter("bucket < 0").select((-1 - F.col("bucket")).cast("long").alias("k"), F.col("counts").alias("blob")), "lm-id-counts")
     return np.zeros(vocab + 1, np.int64) if found is None else found[0]
 
 
@@ -360,10 +355,10 @@ def grid(ids: list[np.ndarray], c: Classes, overlap: int = OVERLAP):
     place = start[:, None] + np.arange(T)
     inside = place < lengths[doc][:, None]
     at = np.minimum(first[doc][:, None] + place, len(flat) - 1)
-    shown = c.input[flat]
-    shown = np.r_[shown[:1], shown[:-1]]
+    shown = np.empty(len(flat), c.input.dtype)
+    shown[1:] = c.input.take(flat[:-1])
     shown[first] = START
-    return shown[at], flat[at], inside & (np.arange(T) >= skip[:, None]), doc
+    return shown.take(at), flat.take(at), inside & (np.arange(T) >= skip[:, None]), doc
 
 
 def score(w: dict, c: Classes, ids: list[np.ndarray]) -> np.ndarray:
@@ -382,20 +377,21 @@ def score(w: dict, c: Classes, ids: list[np.ndarray]) -> np.ndarray:
 
 def _score(w: dict, c: Classes, ids: list[np.ndarray], before: int | None = None) -> np.ndarray:
     """The same; a part that goes on after the id ``before`` starts with ``OVERLAP`` ids that don't count."""
-    out = np.zeros(len(ids))
     x, y, keep, doc = grid(ids, c)
     if before is not None:
         x[0, 0] = c.input[before]
         keep[0, :OVERLAP] = False
     made = w["embed"] @ w["qkv"]
     step = 128
-    for at in range(0, len(x), step):
-        k = keep[at : at + step]
-        now = y[at : at + step][k]
-        g, total = class_odds(w, c.prior, attend(w, x[at : at + step], made)[-1][k])
-        own = np.log10((g[np.arange(len(now)), c.cls[now]] / total).astype(np.float64)) + c.inside[now]
-        out += np.bincount(np.repeat(doc[at : at + step], k.sum(axis=1)), own, len(ids))
-    return out
+    pick = np.flatnonzero(keep)
+    now = y.reshape(-1).take(pick)
+    cls, own = c.cls.take(now), np.empty(len(pick))
+    cuts = np.searchsorted(pick, np.arange(0, len(x) + step, step) * T).tolist()
+    for at, i, j in zip(range(0, len(x), step), cuts, cuts[1:]):
+        h = attend(w, x[at : at + step], made)[-1].reshape(-1, WIDTH)
+        g, total = class_odds(w, c.prior, h.take(pick[i:j] - at * T, axis=0))
+        own[i:j] = g.reshape(-1).take(np.arange(0, g.size, CLASSES) + cls[i:j]) / total
+    return np.bincount(doc.take(pick // T), np.log10(own) + c.inside.take(now), len(ids))
 
 
 def fit(rows: DataFrame, classes, vocab: int, n_ids: int) -> dict:
@@ -413,7 +409,7 @@ def fit(rows: DataFrame, classes, vocab: int, n_ids: int) -> dict:
         def learn():
             nonlocal state, n, hold, size
             x, y, keep, _ = grid(hold, c, 0)
-            state = train(*(state[:1] if state else [first_weights()]), c.prior, x, c.cls[y], keep, state[1] if state else None)
+            state = train(*(state[:1] if state else [first_weights()]), c.prior, x, c.cls.take(y), keep, state[1] if state else None)
             n, hold, size = n + len(x), [], 0
 
         def done():
@@ -504,7 +500,7 @@ def score_all(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             i, d = none[pa.int64()], none[pa.float64()]
             return pa.RecordBatch.from_arrays([i, i, none[pa.bool_()], i, i, d, d, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=[x.split()[0] for x in kind.split(", ")])
 
-        for big in pieces(batches):
+        for big in pieces(batches, most=SPLIT_BYTES):
             step = max(1, int(big.num_rows * PASS / max(1, big.nbytes)))
             scores = np.concatenate([score(w, c, _ids(big.column(2).slice(at, step).to_pylist(), vocab)) for at in range(0, big.num_rows, step)])
             words, bounds = split_words(big.column(1))

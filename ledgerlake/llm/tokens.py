@@ -86,6 +86,8 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     words, bounds = lists.flatten(), np.asarray(lists.offsets).astype(np.int64)
     bounds -= bounds[0]
     used = np.asarray(pc.binary_length(words)) > 0
+    if used.all():
+        return words, bounds
     return words.filter(pa.array(used)), np.r_[0, np.cumsum(used)][bounds]
 
 
@@ -192,13 +194,13 @@ class Encoder:
 
     def encode_all(self, texts: pa.Array, counted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
         """Ids of all texts, the end id after each, and where each begins and ends; and the distinct words
-        (as :func:`split_words` gives them) of the texts ``counted``, all if not given, with how often they occur."""
+        (as :func:`split_words` gives them) of the texts ``counted``, none if not given, with how often they occur."""
         words, bounds = split_words(texts)
         odd = np.ones(len(texts), bool)
         if self._fast:
             odd = np.asarray(pc.fill_null(pc.match_substring_regex(texts, _NOT_PLAIN), False))
         n_words = np.diff(bounds)
-        counted = np.ones(len(texts), bool) if counted is None else counted
+        counted = np.zeros(len(texts), bool) if counted is None else counted
         plain, other, other_words = words, [], words[:0]
         if odd.any():
             owner = np.repeat(np.arange(len(texts)), n_words)
@@ -220,7 +222,7 @@ class Encoder:
         start[last], size[last] = n + 1 + np.cumsum(other_size) - other_size, other_size
         start[last + 1], size[last + 1] = n, 1
         ends = np.cumsum(size)[last + 1]
-        count = np.bincount(number[np.repeat(counted, n_words)], minlength=len(known.words))
+        count = np.bincount(number[np.repeat(counted, n_words)], minlength=len(known.words)) if counted.any() else np.empty(0, np.int64)
         seen = np.flatnonzero(count)
         found, count = known.words.take(pa.array(seen)), count[seen]
         if len(other_words):
