@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import pieces, shared_dir
 from .packing import in_order
-from .tokens import END_ID, encoder
+from .tokens import SPLIT_BYTES, encoder
 
 BLOCK = 2048
 #: Blocks of a frame at most.
@@ -391,7 +391,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, block: int
     """Writes the ids of ``docs`` in ascending ``doc_id`` order as frames under ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(vocabulary).encode, np.array([END_ID], "<u4")
+        encode = encoder(vocabulary).encode_all
         part = TaskContext.get().partitionId()
         hold: list[np.ndarray] = []
         table: list[tuple] = []
@@ -404,9 +404,10 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, block: int
             hold, table, size, frame = [], [], 0, frame + 1
             return row
 
-        for batch in pieces(batches):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids, go = np.r_[np.frombuffer(encode(text), "<u4"), end], False
+        for batch in pieces(batches, most=SPLIT_BYTES):
+            flat, at = encode(batch.column(1))[:2]
+            for doc, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                ids, go = flat[a:b], False
                 while len(ids):
                     now, ids = ids[: block * lanes - size], ids[block * lanes - size :]
                     hold.append(now)
