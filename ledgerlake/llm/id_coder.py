@@ -54,6 +54,7 @@ _SLOTS = 1 << 12  # order 0 shares of an id are multiples of 1 / _SLOTS
 _WEIGHT = 1 << 12  # and weights of 1 / _WEIGHT
 _SHIFT, _TOTAL = 12, 24  # bits of the first, and of both
 _LEAST, _MOST, _RATE = 64, 3904, 5  # what a weight moves to after a miss, what a hit adds, and how fast
+STEPS = 32  # that are prepared at once where ids are coded
 _PENDING = 256  # share of an id that is new since the last renewal, against one of 16 plain bits
 _SMALL = np.uint64(1 << 28)
 _WORD = np.uint64(32)
@@ -73,10 +74,13 @@ class _Model:
             raise ValueError("blocks are too long")
         self.width = block + 1
         at = np.arange(lanes)
-        self.at1, self.at2, self.at_w, self.at_n, self.at_slot = at * _ORDER1, at * _ORDER2, at * (SURE + 1) ** 2, at * self.width, at * _SLOTS
+        # Orders 1 and 2 lie one after the other in one table, so that both are looked up at once.
+        self.at1, self.at2, self.at_w, self.at_n, self.at_slot = at * _ORDER1, lanes * _ORDER1 + at * _ORDER2, at * (SURE + 1) ** 2, at * self.width, at * _SLOTS
         # Number of the id that came last, and how sure it is in the two low bits.
-        self.next1, self.next2 = np.zeros(lanes * _ORDER1, np.uint16), np.zeros(lanes * _ORDER2, np.uint16)
-        self.w1, self.w2 = (np.full(lanes * (SURE + 1) ** 2, _WEIGHT // 16, np.int16) for _ in range(2))
+        self.next = np.zeros(lanes * (_ORDER1 + _ORDER2), np.uint16)
+        # The weights of orders 1 and 2 by context, side by side; looked up as one.
+        self.weights = np.full((lanes * (SURE + 1) ** 2, 2), _WEIGHT // 16, np.int16)
+        self.weights_ = self.weights.view(np.int32).reshape(-1)
         # Start and size of each number's share of order 0; numbers without a share lie at the end.
         self.share = np.full((lanes, self.width), _SLOTS << 14, np.int32)
         self.share[:, 0] = _SLOTS
@@ -103,45 +107,79 @@ class _Model:
         if self.slot is not None:
             self.slot[:n] = np.repeat(np.broadcast_to(np.arange(d, dtype=np.uint16), (n, d)).ravel(), size.ravel()).reshape(n, _SLOTS)
 
+    def slots(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Where the last numbers (of the first lanes; or steps by lanes) lie in the tables of order 1 and 2."""
+        n = last.shape[-1]
+        out = np.empty((2, *last.shape), np.int64)
+        np.bitwise_and(last, _ORDER1 - 1, out=out[0])
+        out[0] += self.at1[:n]
+        np.multiply(last, 0x9E5, out=out[1])
+        out[1] += before * 0x2C1B3
+        out[1] >>= 4
+        out[1] &= _ORDER2 - 1
+        out[1] += self.at2[:n]
+        return out
+
     def predict(self, n: int) -> None:
         """For the first ``n`` lanes: the numbers that orders 1 and 2 predict, their shares and all weights."""
-        last, before = self.last[:n], self.before[:n]
-        self.i1 = self.at1[:n] + (last & (_ORDER1 - 1))
-        self.i2 = self.at2[:n] + ((last * 0x9E5 + before * 0x2C1B3 >> 4) & (_ORDER2 - 1))
-        self.e1, self.e2 = self.next1.take(self.i1), self.next2.take(self.i2)
-        self.s1, self.s2 = self.e1 & 3, self.e2 & 3
-        self.p1, self.p2 = self.e1 >> 2, self.e2 >> 2
-        self.i_w = self.at_w[:n] + ((self.s2 << 2) | self.s1)
-        w1, w2 = self.w1.take(self.i_w), self.w2.take(self.i_w)
-        self.w1_, self.w2_ = w1, w2
+        self.i = self.slots(self.last[:n], self.before[:n])
+        e = self.next.take(self.i)
+        self.i_w = self.contexts(e & 3)
+        self.weigh(e, self.weights_.take(self.i_w).view(np.int16).reshape(n, 2))
+        self.h = self.share_.take(self.at_n[:n] + self.p)
+        self.b = self.h >> 14
+        self.b1, self.b2 = self.b
+
+    def contexts(self, sure: np.ndarray) -> np.ndarray:
+        return self.at_w[: sure.shape[-1]] + ((sure[1] << 2) | sure[0])
+
+    def weigh(self, e: np.ndarray, weights: np.ndarray) -> None:
+        """What orders 1 and 2 predict (first axis of ``e``) with which weights (last axis of ``weights``)."""
+        self.e, self.weights2 = e, weights
+        self.p = p = e >> 2
+        self.p1, self.p2 = p
+        wide = weights.astype(np.int32)
+        w1, w2 = self.w1_, self.w2_ = wide[..., 0], wide[..., 1]
         both = w1 + w2
-        self.w0 = (_WEIGHT - both).astype(np.int32)
+        self.w0 = _WEIGHT - both
         # Where both predict one number, order 2 has the weight of both.
         self.differ = self.p1 != self.p2
-        self.m1 = (w1 * self.differ).astype(np.int32) << _SHIFT
-        self.m2 = (both.astype(np.int32) << _SHIFT) - self.m1
-        at = self.at_n[:n]
-        self.h1, self.h2 = self.share_.take(at + self.p1), self.share_.take(at + self.p2)
-        self.b1, self.b2 = self.h1 >> 14, self.h2 >> 14
+        self.m1 = (w1 * self.differ) << _SHIFT
+        self.m2 = (both << _SHIFT) - self.m1
 
     def interval(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of a number in the mixture; of what lies at the end, order 2's comes before order 1's."""
-        share = self.share_.take(self.at_n[: len(y)] + y)
-        b, z = share >> 14, share & 16383
-        self.hit2 = y == self.p2
-        self.hit1 = y == self.p1
-        start = self.w0 * b + self.m2 * ((self.b2 <= b) & ~self.hit2) + self.m1 * (self.b1 < b)
-        size = self.w0 * z + self.m2 * self.hit2 + self.m1 * self.hit1
+        share = self.share_.take(self.at_n[: y.shape[-1]] + y)
+        b = share >> 14
+        self.hit = y == self.p
+        return self.mixed(b, share & 16383, self.b1 < b, self.b2 <= b)
+
+    def intervals(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for steps by lanes. Shares lie in the order of numbers, so the predicted ones are not looked up."""
+        share = self.share_.take(self.at_n[: y.shape[-1]] + y)
+        self.hit = y == self.p
+        end = self.known16 + np.uint16(1)
+        own, (first, second) = np.minimum(y, end), np.minimum(self.p, end)
+        return self.mixed(share >> 14, share & 16383, first < own, second <= own)
+
+    def mixed(self, b, z, over1, over2) -> tuple[np.ndarray, np.ndarray]:
+        hit1, hit2 = self.hit
+        start, size = self.w0 * b, self.w0 * z
+        start += self.m2 * (over2 & ~hit2)
+        start += self.m1 * over1
+        size += self.m2 * hit2
+        size += self.m1 * hit1
         return start.astype(np.uint64), size.astype(np.uint64)
 
     def find(self, t: np.ndarray) -> np.ndarray:
         """The number whose interval ``t`` lies in."""
         n = len(t)
         first = self.b1 < self.b2
-        a2 = t - (self.w0 * self.b2 + self.m1 * first)
-        a1 = t - (self.w0 * self.b1 + self.m2 * (self.differ & ~first))
-        in2 = a2.view(np.uint32) < (self.w0 * (self.h2 & 16383) + self.m2).view(np.uint32)
-        in1 = a1.view(np.uint32) < (self.w0 * (self.h1 & 16383) + self.m1).view(np.uint32)
+        at, room = self.b * self.w0, (self.h & 16383) * self.w0
+        a2 = t - (at[1] + self.m1 * first)
+        a1 = t - (at[0] + self.m2 * (self.differ & ~first))
+        in2 = a2.view(np.uint32) < (room[1] + self.m2).view(np.uint32)
+        in1 = a1.view(np.uint32) < (room[0] + self.m1).view(np.uint32)
         rest = t - self.m2 * (a2 >= 0) - self.m1 * (a1 >= 0)
         # Quotients of such small numbers are exact; inside the two intervals what comes out does not matter.
         other = self.slot_.take(self.at_slot[:n] + (rest / self.w0).astype(np.int64), mode="clip")
@@ -149,16 +187,36 @@ class _Model:
 
     def learn(self, x: np.ndarray) -> None:
         """The weights after the coded number, and the tables after the id's own number ``x``."""
-        n, w1, w2 = len(x), self.w1_, self.w2_
-        self.w2[self.i_w] = w2 + ((self.hit2 * np.int16(_MOST) + np.int16(_LEAST) - w2) >> _RATE)
-        self.w1[self.i_w] = w1 + (((self.hit1 & ~self.hit2) * np.int16(_MOST) + np.int16(_LEAST) - w1) >> _RATE)
-        new = x << 2
-        for table, i, e, sure, p in ((self.next1, self.i1, self.e1, self.s1, self.p1), (self.next2, self.i2, self.e2, self.s2, self.p2)):
-            table[i] = np.where(p == x, e + (sure < SURE), np.where(sure > 1, e - 2, new))
+        n = len(x)
+        self.weights_[self.i_w] = _moved(self.weights2, _aims(self.hit)).view(np.int32).reshape(n)
+        self.next[self.i] = _after(self.e, x)
         self.before[:n] = self.last[:n]
         self.last[:n] = x
 
 
+def _after(e: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """What orders 1 and 2 hold after a number: the same, surer or less sure, or the number."""
+    new, sure = x << 2, e & 3
+    return np.where((e ^ new) < 4, e + (sure < SURE), np.where(sure > 1, e - 2, new))
+
+
+def _aims(hit: np.ndarray) -> np.ndarray:
+    """What the weights of orders 1 and 2 (last axis) move to, by what was hit (first axis)."""
+    out = np.empty((*hit.shape[1:], 2), np.int16)
+    np.greater(hit[0], hit[1], out=out[..., 0], casting="unsafe")
+    out[..., 1] = hit[1]
+    out *= _MOST
+    out += _LEAST
+    return out
+
+
+def _moved(weights: np.ndarray, aims: np.ndarray) -> np.ndarray:
+    aims -= weights
+    aims >>= _RATE
+    aims += weights
+    return aims
+
+
 class _Coder:
     """Interval of each lane; what is settled of it moves out at the top, 32 bits at a time."""
 
@@ -187,31 +245,31 @@ class _Coder:
 class _Out(_Coder):
     def __init__(self, lanes: int):
         super().__init__(lanes)
-        self.words = np.zeros((lanes, 64), np.uint32)
-        self.n = np.zeros(lanes, np.int64)
-
-    def _put(self, lane, words):
-        at = self.n[lane]
-        if len(lane) and int(at.max()) >= self.words.shape[1]:
-            self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
-        self.words[lane, at] = words
-        self.n[lane] = at + 1
+        self.lanes, self.words = [], []
 
     def code(self, n: int, start, size) -> None:
         """A step of the first ``n`` lanes, of a total of ``1 << _TOTAL``."""
         low, rng = self.low[:n], self.range[:n]
-        self._put(*self._narrow(low, rng, rng >> np.uint64(_TOTAL), start, size))
+        lane, words = self._narrow(low, rng, rng >> np.uint64(_TOTAL), start, size)
+        self.lanes.append(lane)
+        self.words.append(words)
 
     def code_some(self, lane, start, size, total) -> None:
         low, rng = self.low[lane], self.range[lane]
-        at, words = self._narrow(low, rng, rng // total.astype(np.uint64), start.astype(np.uint64), size.astype(np.uint64))
-        self._put(lane[at], words)
+        at, words = self._narrow(low, rng, rng // total, start, size)
+        self.lanes.append(lane[at])
+        self.words.append(words)
         self.low[lane], self.range[lane] = low, rng
 
-    def close(self):
-        lane = np.arange(len(self.low))
-        self._put(lane, (self.low >> _WORD).astype(np.uint32))
-        self._put(lane, (self.low & _LOW).astype(np.uint32))
+    def close(self) -> tuple[np.ndarray, np.ndarray]:
+        """How many words each lane has, and all words, lane by lane."""
+        every = np.arange(len(self.low))
+        self.lanes += [every, every]
+        self.words += [(self.low >> _WORD).astype(np.uint32), (self.low & _LOW).astype(np.uint32)]
+        lane = np.concatenate(self.lanes)
+        # Stable, and quick for small numbers.
+        order = np.argsort(lane.astype(np.uint16) if len(every) <= 1 << 16 else lane, kind="stable")
+        return np.bincount(lane, minlength=len(every)), np.concatenate(self.words)[order]
 
 
 class _In(_Coder):
@@ -273,30 +331,53 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.n
     grid = grid.reshape(lanes, block)
     number, first = (np.ascontiguousarray(x.T) for x in _numbered(grid))
     m, out = _Model(lanes, block, False), _Out(lanes)
+    most = int(size[0])
+    seen = np.zeros((STEPS + 1, lanes), np.uint16)  # before each step from ``a`` on
+    history = np.zeros((STEPS + 2, lanes), np.int64)  # numbers from two steps before ``a`` on
+    edges = sorted({0, most, *(k for k in _renewals(block) if k < most), *range(0, most, STEPS)})
     renewals, done = _renewals(block), 0
-    for step in range(block):
-        n = lanes if step < size[-1] else lanes - 1
-        if not n:
-            break
-        if step in renewals:
-            m.renew(number[done:step, :n])
-            done = step
-        x = number[step, :n]
-        m.predict(n)
-        lane = np.flatnonzero((x > m.known16[:n]) & (x != m.p1) & (x != m.p2))
-        y = x.copy()
-        y[lane] = 0
-        out.code(n, *m.interval(y))
-        if len(lane):
-            new = first[step, lane]
-            pending = m.seen[lane] - m.known[lane]
-            start = np.where(new, pending * _PENDING + grid[lane, step], (x[lane].astype(np.int64) - m.known[lane] - 1) * _PENDING)
-            out.code_some(lane, start, np.where(new, 1, _PENDING), pending * _PENDING + 65536)
-            m.seen[lane] += new
-        m.learn(x)
-    out.close()
-    keep = np.arange(out.words.shape[1]) < out.n[:, None]
-    return size, out.n, out.words[keep]
+    for a, b in zip(edges, edges[1:]):
+        if a in renewals:
+            n = lanes if a < size[-1] else lanes - 1
+            m.seen[:n] = seen[0, :n]
+            m.renew(number[done:a, :n])
+            done = a
+        # All numbers are known, so only the tables and weights go step by step, then the coder;
+        # what the last block lacks is carried on with and not coded.
+        x = number[a:b]
+        history[2 : b - a + 2] = x
+        at = m.slots(history[1 : b - a + 1], history[: b - a])
+        e = np.empty(at.shape, np.uint16)
+        for k in range(b - a):
+            own = m.next.take(at[:, k])
+            e[:, k] = own
+            m.next[at[:, k]] = _after(own, x[k])
+            np.add(seen[k], first[a + k], out=seen[k + 1])
+        at, guess = m.contexts(e & 3), e >> 2
+        escaped = (x > m.known16) & (x != guess[0]) & (x != guess[1])
+        y = np.where(escaped, np.uint16(0), x)
+        aims = _aims(y == guess)
+        weights = np.empty(at.shape, np.int32)
+        for k in range(b - a):
+            own = weights[k] = m.weights_.take(at[k])
+            m.weights_[at[k]] = _moved(own.view(np.int16).reshape(lanes, 2), aims[k]).view(np.int32).reshape(lanes)
+        m.weigh(e, weights.view(np.int16).reshape(*weights.shape, 2))
+        start, length = m.intervals(y)
+        step, lane = np.nonzero(escaped)
+        known = m.known[lane]
+        pending, new = seen[step, lane] - known, first[a + step, lane]
+        some = np.where(new, pending * _PENDING + grid[lane, a + step], (x[step, lane] - known - 1) * _PENDING).astype(np.uint64)
+        some_size, total = np.where(new, 1, _PENDING).astype(np.uint64), (pending * _PENDING + 65536).astype(np.uint64)
+        bounds = np.searchsorted(step, np.arange(b - a + 1)).tolist()
+        for k in range(b - a):
+            n, p, q = (lanes if a + k < size[-1] else lanes - 1), bounds[k], bounds[k + 1]
+            if n < lanes and q > p and lane[q - 1] == n:
+                q -= 1
+            out.code(n, start[k, :n], length[k, :n])
+            if q > p:
+                out.code_some(lane[p:q], some[p:q], some_size[p:q], total[p:q])
+        seen[0], history[:2] = seen[b - a], history[b - a : b - a + 2]
+    return size, *out.close()
 
 
 def decode_blocks(size: np.ndarray, n_words: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -404,7 +485,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, block: int
             hold, table, size, frame = [], [], 0, frame + 1
             return row
 
-        for batch in pieces(batches, most=SPLIT_BYTES):
+        for batch in pieces(batches, most=SPLIT_BYTES * 3 // 2):
             flat, at = encode(batch.column(1))[:2]
             for doc, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
                 ids, go = flat[a:b], False

@@ -7,7 +7,8 @@ each distinct string between blanks put together once out of its pieces. Texts
 outside Latin-1, and texts with characters on whose class two libraries might
 differ, go through the library's whole pipeline, piece by piece between blanks.
 Whole columns of texts are split and numbered by Arrow, so that Python sees only
-strings that are new to the worker.
+strings that are new to the worker; of letters with symbols after them it sees
+the two pieces, each once.
 
 Null and empty texts have no ids. Each cache is bounded in entries,
 which changes speed but never ids.
@@ -20,6 +21,7 @@ import os
 import re
 import struct
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ import pyarrow.compute as pc
 
 CACHE_WORDS, CACHE_PIECES = 400_000, 200_000
 LONG_PIECE = 64
+#: Pieces that the library encodes in one call.
+PIECES = 1000
 #: Bytes of texts that are best split at once: the known strings are gone through once for them.
 SPLIT_BYTES = 16 << 20
 END_ID = 1
@@ -40,7 +44,10 @@ _PIECES = re.compile(f"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMERALS}]|'?[^\\s
 _ODD = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\x9f\xad]")
 _SPECIAL = "<|"
 _BLANKS = re.compile(r"[ \n]+")
-# Texts that have either, or characters outside Latin-1, as Arrow finds them.
+# As Arrow finds them: strings of one piece, of letters and then symbols, and texts that have
+# odd characters, special ids or characters outside Latin-1.
+_SYMBOL = rf"[^\s\x{{a0}}{_LETTERS}{_NUMERALS}]"
+_ONE_PIECE, _TWO_PIECES = f"^(?:[{_LETTERS}]+|[{_NUMERALS}]|{_SYMBOL}+)$", f"^(?P<head>[{_LETTERS}]+)(?P<tail>{_SYMBOL}+)$"
 _NOT_PLAIN = r"[\x00-\x08\x0e-\x1f\x7f-\x9f\x{ad}\x{100}-\x{10ffff}]|<\|"
 
 
@@ -99,6 +106,10 @@ def stretches(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.nda
     return values.take(at)
 
 
+def _lists(ids: np.ndarray, size: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(ids))
+
+
 class _Known:
     """Ids of strings in one flat array; of too many strings, those that were asked for last stay."""
 
@@ -108,29 +119,50 @@ class _Known:
         self.size, self.used, self.turn = np.empty(0, np.int64), np.empty(0, np.int64), 0
 
     def numbers(self, words: pa.Array) -> np.ndarray:
-        """Each string's number among the known ones, to which new ones are added."""
+        """Each string's number among the known ones, to which new ones and their pieces are added."""
         if len(self.words) > self._most:
             short = np.asarray(pc.utf8_length(self.words)) <= LONG_PIECE
             keep = np.sort(np.argsort(np.where(short, -self.used, 1), kind="stable")[: min(self._most // 2, int(short.sum()))])
             self.ids = stretches(self.ids, (np.cumsum(self.size) - self.size)[keep], self.size[keep])
             self.words, self.size, self.used = self.words.take(pa.array(keep)), self.size[keep], self.used[keep]
-        n = len(self.words)
         # Known strings come first and are distinct, so they keep their numbers.
         both = pc.dictionary_encode(pa.concat_arrays([self.words, words]))
-        self.words = both.dictionary
-        new = self.words[n:].to_pylist()
-        got = dict.fromkeys(sorted(new))  # in order, which the library's own tables like
-        for w in got:
-            got[w] = self._encode(w)
-        got = list(map(got.__getitem__, new))
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(got), "<u4")])
-        self.size = np.concatenate([self.size, np.fromiter(map(len, got), np.int64, len(got)) // 4])
-        self.used = np.concatenate([self.used, np.zeros(len(got), np.int64)])
-        number = np.asarray(both.indices)[n:]
+        number = np.asarray(both.indices)[len(self.words) :]
+        if len(both.dictionary) > len(self.words):
+            self._add(both.dictionary)
         self.turn += 1
         self.used[number] = self.turn
         return number
 
+    def _add(self, words: pa.Array) -> None:
+        """Goes on to ``words``, the first of which are the known ones."""
+        n = len(self.words)
+        low = pc.utf8_lower(words.take(pa.array(np.arange(n, len(words)))))
+        two = pc.extract_regex(low, _TWO_PIECES)
+        pair = np.flatnonzero(np.asarray(two.is_valid()))
+        two = two.take(pa.array(pair))
+        parts = pc.dictionary_encode(pa.concat_arrays([words, *(pc.struct_field(two, k).cast(words.type) for k in (0, 1))]))
+        self.words, parts = parts.dictionary, np.asarray(parts.indices)[len(words) :].reshape(2, -1)
+        low = pa.concat_arrays([low, self.words.take(pa.array(np.arange(len(words), len(self.words))))])
+        alone = np.ones(len(low), bool)
+        alone[pair] = False
+        alone = np.flatnonzero(alone)
+        alone = alone[np.asarray(pc.sort_indices(low.take(pa.array(alone))))]  # in order, which the library's own tables like
+        ids, size = self._encode(low.take(pa.array(alone)))
+        lists, size = _lists(np.concatenate([self.ids, ids]), np.concatenate([self.size, size])), np.concatenate([self.size, size])
+        # A new string is one of these lists, or two of them.
+        place = np.arange(len(self.words), dtype=np.int32)
+        place[n + alone] = np.arange(n, n + len(alone))
+        many = np.ones(len(low), np.int64)
+        many[pair] = 2
+        at = np.cumsum(many) - many
+        which = np.empty(int(many.sum()), np.int32)
+        which[at[alone]] = place[n + alone]
+        which[at[pair]], which[at[pair] + 1] = place[parts]
+        self.ids = np.concatenate([self.ids, np.asarray(lists.take(pa.array(which)).flatten())])
+        self.size = np.concatenate([self.size, np.add.reduceat(size[which], at)])
+        self.used = np.concatenate([self.used, np.full(len(low), self.turn)])
+
 
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes."""
@@ -142,6 +174,7 @@ class Encoder:
         path = vocabulary or default_vocabulary()
         self._whole = Tokenizer.from_file(path)
         self._model = self._whole.model
+        self._alone = Tokenizer(self._model)  # the model without a split: for strings that are pieces
         with open(path, encoding="utf-8") as f:
             shape = json.load(f)
         self.vocab_size = self._whole.get_vocab_size(with_added_tokens=True)
@@ -151,6 +184,13 @@ class Encoder:
         self._pieces = _Cache(self._piece, CACHE_PIECES)
         self._words = _Cache(self._word, CACHE_WORDS)
         self._odd = _Cache(self._full, CACHE_PIECES)
+        self._upper = np.zeros((256, 2), np.uint8)  # the letters of bytes above 127 in UTF-8
+        self._upper[128:] = [list(self._letters[k].encode("utf-8")) for k in range(128, 256)]
+        self._closes = np.zeros(self.vocab_size + 1, bool)  # ids that a piece ends with, and no other id of it
+        self._closes[[k for piece, k in shape["model"]["vocab"].items() if piece.endswith("</w>")]] = True
+        # Strings are kept here: the library's own table would be filled with what is asked for once.
+        if hasattr(self._model, "_resize_cache"):
+            self._model._resize_cache(0)
         self._known = _Known(self._plain, 2 * CACHE_WORDS)
 
     def _piece(self, piece: str) -> bytes:
@@ -159,15 +199,33 @@ class Encoder:
         ids = [t.id for t in self._model.tokenize(piece)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _plain(self, word: str) -> bytes:
-        """Ids of a string without ASCII blanks and capitals, of a text that goes the short way."""
-        if not word.isascii():
-            word = word.lower()
-        if word.isalpha():
-            return self._piece(word)
-        if word[:-1].isalpha() and not (word[-1].isalnum() or word[-1].isspace()):
-            return self._pieces[word[:-1]] + self._pieces[word[-1]]
-        return b"".join(map(self._word, word.split()))
+    def _plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of strings without ASCII blanks and capitals, of texts that go the short way, and how many each has."""
+        one = np.asarray(pc.match_substring_regex(words, _ONE_PIECE))
+        pieces = self._in_letters(words.filter(pa.array(one)))
+        cut = [pieces[k : k + PIECES] for k in range(0, len(pieces), PIECES)]
+        alone = np.fromiter(chain.from_iterable(e.ids for e in self._alone.encode_batch_fast(cut, is_pretokenized=True, add_special_tokens=False)), np.uint32)
+        last = np.flatnonzero(self._closes[alone])
+        if len(last) != len(pieces):
+            raise ValueError("the vocabulary does not close each piece")
+        other = [np.frombuffer(b"".join(map(self._word, w.split())), "<u4") for w in words.filter(pa.array(~one)).to_pylist()]
+        size = np.concatenate([np.diff(last, prepend=-1), np.fromiter(map(len, other), np.int64, len(other))])
+        order = np.argsort(np.r_[np.flatnonzero(one), np.flatnonzero(~one)])
+        ids = _lists(np.concatenate([alone, *other]), size).take(pa.array(order)).flatten()
+        return np.asarray(ids), size[order]
+
+    def _in_letters(self, words: pa.Array) -> list[str]:
+        """Strings without blanks in the byte-level alphabet, all at once: bytes above 127 become two."""
+        if not len(words):
+            return []
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), pa.scalar(" ", words.type))[0].as_buffer()
+        plain = np.frombuffer(joined, np.uint8)
+        moved = plain > 127
+        at = np.arange(len(plain)) + np.cumsum(moved) - moved
+        out = np.empty(len(plain) + int(moved.sum()), np.uint8)
+        out[at] = np.where(moved, self._upper[plain, 0], plain)
+        out[at[moved] + 1] = self._upper[plain[moved], 1]
+        return out.tobytes().decode("utf-8").split(" ")
 
     def _word(self, word: str) -> bytes:
         return b"".join(map(self._pieces.__getitem__, _PIECES.findall(word)))
@@ -211,23 +269,23 @@ class Encoder:
         known = self._known
         number = known.numbers(plain)
         # A text is its words, then what went the long way, then its end.
-        other_size = np.zeros(len(texts), np.int64)
-        other_size[odd] = np.fromiter(map(len, other), np.int64, len(other)) // 4
-        n = len(known.ids)
-        values = np.concatenate([known.ids, np.array([END_ID], np.uint32), np.frombuffer(b"".join(other), "<u4")])
-        slots = np.arange(len(number)) + 2 * np.repeat(np.arange(len(texts)), n_words)
+        other_size = np.fromiter(map(len, other), np.int64, len(other)) // 4
+        n = len(known.words)
+        size = np.concatenate([known.size, other_size, [0, 1]])
+        lists = _lists(np.concatenate([known.ids, np.frombuffer(b"".join(other), "<u4"), np.array([END_ID], np.uint32)]), size)
         last = bounds[1:] + 2 * np.arange(len(texts))
-        start, size = (np.empty(len(number) + 2 * len(texts), np.int64) for _ in range(2))
-        start[slots], size[slots] = (np.cumsum(known.size) - known.size)[number], known.size[number]
-        start[last], size[last] = n + 1 + np.cumsum(other_size) - other_size, other_size
-        start[last + 1], size[last + 1] = n, 1
-        ends = np.cumsum(size)[last + 1]
+        which = np.empty(len(number) + 2 * len(texts), np.int32)
+        which[np.arange(len(number)) + 2 * np.repeat(np.arange(len(texts)), n_words)] = number
+        which[last], which[last + 1] = n + len(other), n + len(other) + 1
+        which[last[odd]] = np.arange(n, n + len(other))
+        ends = np.cumsum(size.take(which))[last + 1]
+        ids = np.asarray(lists.take(pa.array(which)).flatten())
         count = np.bincount(number[np.repeat(counted, n_words)], minlength=len(known.words)) if counted.any() else np.empty(0, np.int64)
         seen = np.flatnonzero(count)
         found, count = known.words.take(pa.array(seen)), count[seen]
         if len(other_words):
             found, count = summed(pa.concat_arrays([found, other_words]), np.r_[count, np.ones(len(other_words), np.int64)])
-        return stretches(values, start, size), np.r_[0, ends], found, count
+        return ids, np.r_[0, ends], found, count
 
 
 def summed(words: pa.Array, count: np.ndarray) -> tuple[pa.Array, np.ndarray]:

@@ -106,3 +106,16 @@ def test_documents(spark, tmp_path):
     stretches = ic.read(spark, f"{tmp_path}/small").collect()
     assert sum(len(r.ids) for r in stretches) == start and any(r.goes_on for r in stretches)
     assert ic.digest(docs.limit(0)).count() == 0
+
+
+def test_steps_are_prepared_in_stretches(monkeypatch):
+    """The coded words do not depend on how many steps are prepared at once, nor do they if the last block is short."""
+    rng = np.random.default_rng(8)
+    for n in (1, 70, 3 * 2048 + 1, 3 * 2048 + 513, 4 * 2048):
+        ids = np.where(rng.random(n) < 0.5, rng.integers(0, 50, n), rng.integers(0, 65536, n)).astype(np.uint16)
+        got = []
+        for steps in (1, 7, 32, 5000):
+            monkeypatch.setattr(ic, "STEPS", steps)
+            got.append([x.tolist() for x in ic.encode_blocks(ids)])
+        assert got[0] == got[1] == got[2] == got[3]
+        assert (ic.decode_blocks(*map(np.array, got[0][:2]), np.array(got[0][2], np.uint32)) == ids).all()

@@ -35,3 +35,17 @@ def test_words_are_counted_where_texts_are_encoded(spark):
     sent = rows.filter("bucket >= 0").collect()
     assert len({r.bucket for r in sent}) == 4 and sum(int(unpack(bytes(r.counts))[1].sum()) for r in sent) == sum(own.values())
     assert {bytes(r.word): r.c for r in lm.count_words(rows, 2).collect()} == own
+
+
+def test_the_library_gets_each_piece_once(monkeypatch):
+    """Strings of letters and symbols after them are put together from their pieces, over calls and after an overflow."""
+    e, one, asked = tokens.Encoder(), tokens.Encoder(), []
+    plain = e._known._encode
+    e._known._encode = lambda words: asked.extend(words.to_pylist()) or plain(words)
+    texts = pa.array(["über über! über, --- ab", "ab! ab... it's a1 \xdcBER...", "x\xa0y! über--- !ab"])
+    for part in (texts[:1], texts, texts):
+        ids, at, _, _ = e.encode_all(part)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [np.frombuffer(one.encode(t) + b"\1\0\0\0", "<u4").tolist() for t in part.to_pylist()]
+        assert [ids[a : b - 1].tolist() for a, b in zip(at, at[1:])] == [e._whole.encode(t, add_special_tokens=False).ids for t in part.to_pylist()]
+    assert {"über", "!", ",", "---", "ab", "...", "it's", "a1"} <= set(asked) and not {"über!", "ab!", "ab...", "über---"} & set(asked)
+    assert len(asked) == len(set(asked))
