@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import cluster_width, ids_and_texts, pieces
-from .tokens import END_ID, encoder
+from .tokens import SPLIT_BYTES, encoder
 
 WINDOW = 2048
 SENTENCE_CUT, HARD_CUT = 8, 48
@@ -76,14 +76,13 @@ class Solver:
 
     def __init__(self, start: int = 0):
         self.cuts, self.best, self.back = [start], [0], [0]
-        self.index = {start: 0}
         self.queue: deque[tuple[int, int]] = deque()  # (best + cut, index), values ascending
 
     def add(self, cuts: list[int], penalty: list[int]) -> None:
-        c, best, back, index, queue = self.cuts, self.best, self.back, self.index, self.queue
-        powers = [1 << k for k in range(WINDOW.bit_length())]
-        for j, (at, pen) in enumerate(zip(cuts, penalty), len(c)):
-            value = best[j - 1] + c[j - 1]
+        c, best, back, queue = self.cuts, self.best, self.back, self.queue
+        exact, bounds = self._powers(cuts)
+        value, a = best[-1] + c[-1], 0
+        for j, (at, pen, b) in enumerate(zip(cuts, penalty, bounds), len(c)):
             while queue and queue[-1][0] >= value:
                 queue.pop()
             queue.append((value, j - 1))
@@ -92,15 +91,29 @@ class Solver:
                 queue.popleft()
             cost, i = queue[0]
             cost += WINDOW - at
-            for p in powers:
-                k = index.get(at - p)
-                if k is not None and best[k] < cost:
+            for k in exact[a:b]:
+                if best[k] < cost:
                     cost, i = best[k], k
-            index[at] = j
+            a = b
+            cost += pen
+            value = cost + at
             c.append(at)
-            best.append(cost + pen)
+            best.append(cost)
             back.append(i)
 
+    def _powers(self, cuts: list[int]) -> tuple[list[int], list[int]]:
+        """The cuts that lie a power of two before each new one, nearest first, one after the other; and how many up to each."""
+        new = np.array(cuts, np.int64)
+        known = np.concatenate([np.array(self.cuts, np.int64), new])
+        of, found = [], []
+        for p in (1 << k for k in range(WINDOW.bit_length())):
+            k = np.searchsorted(known, new - p)
+            same = np.flatnonzero(known[k] == new - p)
+            of.append(same)
+            found.append(k[same])
+        of, found = np.concatenate(of), np.concatenate(found)
+        return found[np.argsort(of, kind="stable")].tolist(), np.cumsum(np.bincount(of, minlength=len(new))).tolist()
+
     def path(self, j: int | None = None) -> list[int]:
         """Ends of the windows up to a cut, the last one by default."""
         j, out = len(self.cuts) - 1 if j is None else j, []
@@ -126,7 +139,6 @@ class Solver:
             self.cuts, self.best = self.cuts[a:], self.best[a:]
             self.back = [max(0, k - a) for k in self.back[a:]]  # ways that start before it lead nowhere any more
             self.back[0] = 0
-            self.index = {v: k for k, v in enumerate(self.cuts)}
             self.queue = deque((v, k - a) for v, k in self.queue if k >= a)
         return out
 
@@ -220,9 +232,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """One row a piece; see the module. ``sequence_id`` counts inside a range, above 32 bits of its number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, encode = Packer(vocabulary), encoder(vocabulary).encode
+        packer, encode = Packer(vocabulary), encoder(vocabulary).encode_all
         first = TaskContext.get().partitionId() << 32
-        end = np.array([END_ID], np.uint32)
         names = [c.split()[0] for c in SCHEMA.split(", ")]
 
         def batch_of(rows):
@@ -230,10 +241,11 @@ def pack(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             cols[5] = [first + s for s in cols[5]]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
-        for batch in pieces(batches):
+        for batch in pieces(batches, most=SPLIT_BYTES * 3 // 2):
+            flat, at = encode(batch.column(1))[:2]
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows += packer.add(doc, np.r_[np.frombuffer(encode(text), "<u4"), end])
+            for doc, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                rows += packer.add(doc, flat[a:b])
             yield batch_of(rows)
         yield batch_of(packer.end())
 

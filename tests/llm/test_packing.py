@@ -99,3 +99,17 @@ def test_pieces(spark):
         padded += at if at & (at - 1) == 0 else pk.WINDOW
     assert used / padded > 0.97
     assert pk.pack(docs.limit(0)).count() == 0
+
+
+def test_cuts_a_power_of_two_apart_are_found_for_many_cuts_at_once():
+    """Also those before the cuts at hand, which an earlier stretch has left."""
+    rng = np.random.default_rng(9)
+    cuts = np.unique(rng.integers(1, 9000, 3000)).tolist()
+    solver = pk.Solver()
+    for a, b in ((0, 1), (1, 700), (700, 700), (700, len(cuts))):
+        found, bounds = solver._powers(cuts[a:b])
+        known = solver.cuts + cuts[a:b]
+        want = [[known.index(c - (1 << k)) for k in range(12) if c - (1 << k) in known] for c in cuts[a:b]]
+        assert [found[x:y] for x, y in zip([0, *bounds], bounds)] == want
+        solver.add(cuts[a:b], [0] * (b - a))
+    assert pk.windows(np.array([0, *cuts]), np.zeros(len(cuts) + 1, np.int64)) == solver.path()
