@@ -183,7 +183,9 @@ class _Model:
         rest = t - self.m2 * (a2 >= 0) - self.m1 * (a1 >= 0)
         # Quotients of such small numbers are exact; inside the two intervals what comes out does not matter.
         other = self.slot_.take(self.at_slot[:n] + (rest / self.w0).astype(np.int64), mode="clip")
-        return np.where(in2, self.p2, np.where(in1, self.p1, other))
+        np.copyto(other, self.p1, where=in1)
+        np.copyto(other, self.p2, where=in2)
+        return other
 
     def learn(self, x: np.ndarray) -> None:
         """The weights after the coded number, and the tables after the id's own number ``x``."""
@@ -220,12 +222,14 @@ def _moved(weights: np.ndarray, aims: np.ndarray) -> np.ndarray:
 class _Coder:
     """Interval of each lane; what is settled of it moves out at the top, 32 bits at a time."""
 
+    puts_out = True
+
     def __init__(self, lanes: int):
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, (1 << 64) - 1, np.uint64)
 
     def _narrow(self, low, rng, part, start, size):
-        """The interval's part; the lanes whose top word is settled, shifted by it; and the words."""
+        """The interval's part; the lanes whose top word is settled, shifted by it; and the words, where they are put out."""
         low += part * start
         np.multiply(part, size, out=rng)
         ready = (low ^ (low + rng)) <= _LOW
@@ -235,7 +239,7 @@ class _Coder:
             rng[cut] = (np.uint64(0) - low[cut]) & (_SMALL - np.uint64(1))
             ready[cut] = True
         lane = np.flatnonzero(ready)
-        top = (low[lane] >> _WORD).astype(np.uint32)
+        top = (low[lane] >> _WORD).astype(np.uint32) if self.puts_out else None
         shift = ready.astype(np.uint64) << np.uint64(5)
         low <<= shift
         rng <<= shift
@@ -273,6 +277,8 @@ class _Out(_Coder):
 
 
 class _In(_Coder):
+    puts_out = False
+
     def __init__(self, words: np.ndarray, start: np.ndarray, n: np.ndarray):
         super().__init__(len(start))
         self.words, self.at = np.r_[words, np.zeros(2, np.uint32)].astype(np.uint64), start + 2
@@ -292,11 +298,13 @@ class _In(_Coder):
         self._more(self._narrow(self.low[:n], self.range[:n], self.part, start, size)[0])
 
     def target_some(self, lane, total) -> np.ndarray:
-        self.part = self.range[lane] // total.astype(np.uint64)
-        return np.minimum((self.value[lane] - self.low[lane]) // self.part, (total - 1).astype(np.uint64)).astype(np.int64)
+        self.some = low, rng = self.low[lane], self.range[lane]
+        self.part = rng // total.astype(np.uint64)
+        return np.minimum((self.value[lane] - low) // self.part, (total - 1).astype(np.uint64)).astype(np.int64)
 
     def take_some(self, lane, start, size) -> None:
-        low, rng = self.low[lane], self.range[lane]
+        """The part of the lanes that ``target_some`` was just asked for."""
+        low, rng = self.some
         at, _ = self._narrow(low, rng, self.part, start.astype(np.uint64), size.astype(np.uint64))
         self.low[lane], self.range[lane] = low, rng
         self._more(lane[at])
@@ -386,6 +394,7 @@ def decode_blocks(size: np.ndarray, n_words: np.ndarray, words: np.ndarray) -> n
     number = np.zeros((block, lanes), np.uint16)
     m, source = _Model(lanes, block, True), _In(words, np.cumsum(n_words) - n_words, n_words)
     named = np.zeros((lanes, block + 1), np.uint16)  # ids by number
+    named_ = named.reshape(-1)
     renewals, done = _renewals(block), 0
     active = np.searchsorted(-size, -np.arange(block), "left")
     for step in range(block):
@@ -398,14 +407,17 @@ def decode_blocks(size: np.ndarray, n_words: np.ndarray, words: np.ndarray) -> n
         source.take(n, *m.interval(x))
         lane = np.flatnonzero(x == 0)
         if len(lane):
-            pending = (m.seen[lane] - m.known[lane]) * _PENDING
+            seen, known = m.seen[lane], m.known[lane]
+            pending = (seen - known) * _PENDING
             t = source.target_some(lane, pending + 65536)
             new = t >= pending
             old = t // _PENDING
             source.take_some(lane, np.where(new, t, old * _PENDING), np.where(new, 1, _PENDING))
-            m.seen[lane] += new
-            x[lane] = np.where(new, m.seen[lane], m.known[lane] + 1 + old)
-            named[lane[new], m.seen[lane[new]]] = (t - pending)[new]
+            seen += new
+            m.seen[lane] = seen
+            x[lane] = np.where(new, seen, known + 1 + old)
+            k = np.flatnonzero(new)
+            named_[lane[k] * (block + 1) + seen[k]] = (t - pending)[k]
         number[step, :n] = x
         m.learn(x)
     keep = np.arange(block) < size[:, None]
