@@ -187,7 +187,8 @@ class Encoder:
         self._upper = np.zeros((256, 2), np.uint8)  # the letters of bytes above 127 in UTF-8
         self._upper[128:] = [list(self._letters[k].encode("utf-8")) for k in range(128, 256)]
         self._closes = np.zeros(self.vocab_size + 1, bool)  # ids that a piece ends with, and no other id of it
-        self._closes[[k for piece, k in shape["model"]["vocab"].items() if piece.endswith("</w>")]] = True
+        if self._fast:
+            self._closes[[k for piece, k in shape["model"]["vocab"].items() if piece.endswith("</w>")]] = True
         # Strings are kept here: the library's own table would be filled with what is asked for once.
         if hasattr(self._model, "_resize_cache"):
             self._model._resize_cache(0)
