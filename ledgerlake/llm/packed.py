@@ -85,7 +85,8 @@ def dealt(x: np.ndarray, n: int) -> np.ndarray:
 
 def by_bucket(bucket: np.ndarray, *columns: np.ndarray):
     """(bucket, columns of its rows), in the given order inside each bucket."""
-    order = np.argsort(bucket, kind="stable")
+    # Numbers of 16 bits are sorted by digits, in the same order.
+    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and 0 <= bucket.min() and bucket.max() < 1 << 16 else bucket, kind="stable")
     bucket = bucket[order]
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, int)
     for at, end in zip(cuts, np.r_[cuts[1:], len(bucket)]):

@@ -25,7 +25,9 @@ First owners suffice in step 3: the smallest document with a string has it in a
 Nulls: a null text is empty; a document with a null ``doc_id`` neither takes nor gives. Rows with
 one ``doc_id`` don't remove from each other, and each is judged by its own text. Texts under
 ``SPAN`` bytes stay whole. Other columns are not read. Blocks, buckets and sorts hold a bounded
-share of the corpus; lineage is cut in the shared folder between the steps.
+share of the corpus; lineage is cut in the shared folder between the steps. There is a bucket a shuffle
+partition; what a task sends is gathered before it is packed, as every sending has a blob for each bucket
+and so the blobs are many where the corpus is large. Buckets are taken in parts of marks where they are sorted.
 """
 
 from __future__ import annotations
@@ -50,11 +52,11 @@ GRAM = 16
 RUN = 255
 #: Bytes of text of one block, and of one pass of numpy inside it.
 BLOCK, PASS = 16 << 20, 1 << 20
-#: Bytes of units asked for that are held before they are sent.
-ANSWER = 2 << 20
+#: Bytes of units asked for that are held before they are sent; those of hot marks are sorted first.
+ANSWER, HOT_ANSWER = 16 << 20, 2 << 20
 #: A mark with more units than this is sorted in parts, dealt out start by start.
 HOT = 1 << 15
-#: Buckets of marks a shuffle partition; of documents there is one, as they pass one by one.
+#: Parts of a bucket of marks that are sorted one after the other.
 SPREAD = 4
 #: Repeats and requests that a task gathers before it packs them, over all its buckets.
 GATHER = 2_000_000
@@ -137,6 +139,16 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _by_unit(mark: np.ndarray, unit: np.ndarray, check: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Order by mark, unit and document; only where marks repeat is more than the mark compared."""
+    order = np.argsort(mark)
+    same = mark[order[1:]] == mark[order[:-1]]
+    some = np.flatnonzero(np.r_[same, False] | np.r_[False, same])
+    of = order[some]
+    order[some] = of[np.lexsort((doc[of], check[of], unit[of], mark[of]))]
+    return order
+
+
 def _spread_first(values: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(values[starts], np.diff(np.r_[starts, n]))
 
@@ -151,6 +163,12 @@ def _intervals(ids, hashes, starts, ends, n: int) -> Iterator[tuple[int, bytes]]
         yield b, pack(*cols)
 
 
+def _by_part(mark: np.ndarray, *columns: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """The columns of each part of a bucket; marks of a bucket agree in high bits, so parts go by low ones."""
+    for _, cols in by_bucket((mixed(mark) & np.uint64(SPREAD - 1)).astype(np.uint8), *columns):
+        yield cols
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "kind", "blob"])
 
@@ -183,7 +201,7 @@ def _block(ids: list[int], texts: list[bytes], n: int, m: int, key: int = 0) ->
         at = end
     mark, unit, check, text, start, runs = (np.concatenate(x) for x in found)
     doc = np.array(ids, np.int64)
-    order = np.lexsort((doc[text], check, unit, mark))
+    order = _by_unit(mark, unit, check, doc[text])
     mark, unit, check, text, start, runs = (x[order] for x in (mark, unit, check, text, start, runs))
     owner = doc[text]
     heads = _groups(mark, unit, check)
@@ -225,7 +243,8 @@ def _to_units(docs: DataFrame, n: int, m: int, key: int) -> DataFrame:
 
 
 def _by_bucket(df: DataFrame, width: int) -> DataFrame:
-    return df.repartition(width, "bucket").sortWithinPartitions("bucket", "kind")
+    """Buckets are as many as partitions, so each is sent to the partition of its number and no two share one by chance."""
+    return df.repartitionById(width, F.col("bucket")).sortWithinPartitions("bucket", "kind")
 
 
 def _bucketwise(batches: Iterator[pa.RecordBatch], full) -> Iterator[pa.RecordBatch]:
@@ -253,8 +272,13 @@ def _meet(blobs: list[bytes], most: int = HOT) -> tuple[list[np.ndarray], list[n
         ids, sign, step, u, c, t, s, r = unpack(blob)
         for into, v in zip(cols, (np.cumsum(step), u, c, ids[t], sign[t], s, r)):
             into.append(v)
-    mark, unit, check, doc, sign, start, runs = (np.concatenate(c) for c in cols)
-    order = np.lexsort((doc, check, unit, mark))
+    whole = [np.concatenate(c) for c in cols]
+    found = [_meet_part(*part, most) for part in _by_part(whole[0], *whole)]
+    return tuple([np.concatenate(c) for c in zip(*side)] for side in zip(*found))
+
+
+def _meet_part(mark, unit, check, doc, sign, start, runs, most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    order = _by_unit(mark, unit, check, doc)
     mark, unit, check, doc, sign, start, runs = (x[order] for x in (mark, unit, check, doc, sign, start, runs))
     size = len(mark)
     whole = _groups(mark, unit, check)
@@ -274,7 +298,7 @@ def _meet(blobs: list[bytes], most: int = HOT) -> tuple[list[np.ndarray], list[n
 def _packed(repeats: list[list[np.ndarray]], asked: list[list[np.ndarray]], m: int) -> list[tuple]:
     rows = []
     if repeats:
-        rows += [(b, _REPEATS, blob) for b, blob in _intervals(*(np.concatenate(c) for c in zip(*repeats)), m)]
+        rows += _told(repeats, m)
     if asked:
         cols = [np.concatenate(c) for c in zip(*asked)]
         rows += [(b, _ASKED, pack(*c)) for b, c in by_bucket(_doc_bucket(cols[0], m), *cols)]
@@ -346,15 +370,13 @@ def _answer(batches: Iterator[pa.RecordBatch], n: int, m: int) -> Iterator[pa.Re
     for doc, raw, asked in _docwise(batches):
         if asked is None:
             continue
-        for hot in (0, 1):
+        for hot in np.unique(asked[5]).tolist():
             ids, sign, mark, start, runs = (c[asked[5] == hot] for c in asked[:5])
-            if not len(ids):
-                continue
             at, _ = ranges(start.astype(np.int64), runs.astype(np.int64) + SPAN - 1)
             for into, v in zip(hold[hot], (ids, sign, mark, start, runs, np.frombuffer(raw, np.uint8)[at])):
                 into.append(v)
             size[hot] += len(at)
-            if size[hot] >= ANSWER:
+            if size[hot] >= (ANSWER, HOT_ANSWER)[hot]:
                 yield flush(hot)
     for hot in (0, 1):
         if size[hot]:
@@ -372,7 +394,7 @@ def _split(doc, sign, mark, start, runs, data, n: int, m: int) -> list[tuple]:
     first = _first(runs)
     pos, owner = ranges(first, runs.astype(np.int64))
     gone = _repeated(doc, mark, pos, owner, data)
-    rows = _found(gone, doc, sign, start, first, pos, owner, m)
+    rows = _told([_found(gone, doc, sign, start, first, pos, owner)], m)
     pos, owner = pos[~gone], owner[~gone]
     at = start[owner].astype(np.int64) + pos - first[owner]
     bucket = dealt(mixed(mark[owner] + mixed(PrefixHashes(data).part(pos, pos + SPAN))), n)
@@ -509,26 +531,35 @@ def _repeated(doc: np.ndarray, mark: np.ndarray, pos: np.ndarray, owner: np.ndar
     return out
 
 
-def _found(gone, doc, sign, start, first, pos, owner, n: int) -> list[tuple]:
-    """Blobs of the intervals of the suffixes that are ``gone``."""
+def _found(gone, doc, sign, start, first, pos, owner) -> list[np.ndarray]:
+    """The intervals of the suffixes that are ``gone``: document, its text's hash, start, end."""
     o, p = owner[gone], pos[gone]
     at = start[o].astype(np.int64) + p - first[o]
     # Neighbouring starts of one document become one interval.
     order = np.lexsort((at, sign[o], doc[o]))
     d, g, at = doc[o][order], sign[o][order], at[order]
-    new = np.r_[True, (d[1:] != d[:-1]) | (g[1:] != g[:-1]) | (at[1:] > at[:-1] + SPAN)] if len(d) else np.empty(0, bool)
-    cut = np.flatnonzero(new)
+    if not len(d):
+        return [d, g, at, at]
+    cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (g[1:] != g[:-1]) | (at[1:] > at[:-1] + SPAN)])
     last = np.r_[cut[1:], len(d)] - 1
-    return [(b, _REPEATS, blob) for b, blob in _intervals(d[cut], g[cut], at[cut], at[last] + SPAN, n)] if len(d) else []
+    return [d[cut], g[cut], at[cut], at[last] + SPAN]
+
+
+def _told(found: list[list[np.ndarray]], n: int) -> list[tuple]:
+    """Blobs of intervals by bucket of document."""
+    return [(b, _REPEATS, blob) for b, blob in _intervals(*(np.concatenate(c) for c in zip(*found)), n)]
 
 
 def _sorted_repeats(blobs: list[bytes], n: int) -> list[tuple]:
     """Repeats among the suffixes of one bucket."""
-    parts = list(zip(*(unpack(x) for x in blobs)))
-    doc, sign, mark, start, runs, data = (np.concatenate(p) for p in parts)
-    first = _first(runs)
-    pos, owner = ranges(first, runs.astype(np.int64))
-    return _found(_repeated(doc, mark, pos, owner, data), doc, sign, start, first, pos, owner, n)
+    *cols, data = (np.concatenate(p) for p in zip(*(unpack(x) for x in blobs)))
+    found = []
+    for doc, sign, mark, start, runs, at in _by_part(cols[2], *cols, _first(cols[4])):
+        first = _first(runs)
+        pos, owner = ranges(first, runs.astype(np.int64))
+        here = data[ranges(at, runs.astype(np.int64) + SPAN - 1)[0]]
+        found.append(_found(_repeated(doc, mark, pos, owner, here), doc, sign, start, first, pos, owner))
+    return _told(found, n)
 
 
 def _merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -542,7 +573,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, int, int]:
     """Packed intervals to remove, by bucket of document; number of buckets; shuffle partitions."""
     docs = ids_and_texts(docs)
     width = cluster_width(docs.sparkSession)
-    n, m = SPREAD * width, width
+    n = m = width
     sent = _by_bucket(_to_units(docs, n, m, secrets.randbits(63)), width)
 
     def meet(batches):

@@ -245,3 +245,45 @@ def test_hot_marks_equal_brute(spark, monkeypatch, tmp_path):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert sorted((tuple(r) for r in sd.digest(df).collect()), key=str) == brute(rows)
     assert list(tmp_path.iterdir())
+
+
+def test_sendings_are_few(spark, monkeypatch):
+    """A blob for each shuffle partition and sending, a partition for each bucket, and one sending for some megabytes."""
+    from ledgerlake.llm.packed import pack, unpack
+
+    buckets = sd._by_bucket(spark.range(35).selectExpr("cast(id % 7 as int) bucket", "0 kind"), 7)
+    assert buckets.selectExpr("bucket", "spark_partition_id() p").distinct().collect() == [(k, k) for k in range(7)]
+    dealt_to, real = [], sd._to_units
+    monkeypatch.setattr(sd, "_to_units", lambda docs, n, m, key: dealt_to.append((n, m)) or real(docs, n, m, key))
+    _, m, width = sd.repeats(spark.createDataFrame([(1, "a" * 60)], "doc_id long, text string"))
+    assert dealt_to == [(width, width)] and m == width
+
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(97, 123, 100_000).astype(np.uint8).tobytes() for _ in range(40)]
+    starts = np.arange(0, 99_000, 60)
+    n = len(starts)
+    blobs, rows = [], []
+    for doc, text in enumerate(texts):
+        sign = np.full(n, sd.xxhash.xxh3_64_intdigest(text), np.uint64)
+        mark = rng.integers(0, 1 << 62, n).astype(np.uint64)
+        blobs.append((0, sd._ASKED, pack(np.full(n, doc), sign, mark, starts.astype(np.uint32), np.full(n, 11, np.uint8), np.zeros(n, np.uint8)), None))
+        rows.append((0, 9, sd.zstandard.compress(text), doc))
+    batch = sd.pa.RecordBatch.from_arrays([sd.pa.array(list(c), kind) for c, kind in zip(zip(*blobs + rows), (sd.pa.int32(), sd.pa.int32(), sd.pa.binary(), sd.pa.int64()))], names=["bucket", "kind", "blob", "doc_id"])
+    sent = [(b, blob) for out in sd._answer([batch], 16, 1) for b, blob in zip(out.column(0).to_pylist(), out.column(2).to_pylist())]
+    assert len(sent) == len({b for b, _ in sent}) == 16
+    assert sum(len(unpack(blob)[0]) for _, blob in sent) == 40 * n
+
+
+def test_parts_of_a_bucket_find_the_same(monkeypatch):
+    rows = [(k, (t or "").encode()) for k, (_, t) in enumerate(corpus(6, 40)) if t]
+    from ledgerlake.llm.packed import pack, unpack
+
+    mark, unit, check, text, start, runs = sd.units([t for _, t in rows], 3)
+    data = np.frombuffer(b"".join(rows[t][1][s : s + r + sd.SPAN - 1] for t, s, r in zip(text.tolist(), start.tolist(), runs.tolist())), np.uint8)
+    doc = np.array([d for d, _ in rows])[text]
+    blob = pack(doc, doc.astype(np.uint64), mark, start.astype(np.uint32), runs.astype(np.uint8), data)
+    found = []
+    for spread in (1, 4, 16):
+        monkeypatch.setattr(sd, "SPREAD", spread)
+        found.append({(d, k) for _, _, x in sd._sorted_repeats([blob], 3) for d, _, s, e in zip(*(c.tolist() for c in unpack(x))) for k in range(s, e)})
+    assert len(found[0]) > 1000 and found[0] == found[1] == found[2]
